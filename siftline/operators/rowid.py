@@ -40,6 +40,11 @@ def with_row_id(df: DataFrame, order_by: str | None = None) -> DataFrame:
     return materialize(df.withColumn(ROW_ID, F.monotonically_increasing_id()), "row-id")
 
 
+def file_uri(path: Column) -> Column:
+    """One spelling for local files, which Spark names with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def read_parquet_with_row_id(spark, path: str) -> DataFrame:
     """Parquet rows with an id made of (file number, row number in the file).
 
@@ -50,11 +55,14 @@ def read_parquet_with_row_id(spark, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     files = sorted(df.inputFiles())
     numbers = spark.createDataFrame(list(enumerate(files)), "_file_no bigint, _file string")
+    numbers = numbers.select("_file_no", file_uri(F.col("_file")).alias("_file"))
     rows = df.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos")
+        "*",
+        file_uri(F.col("_metadata.file_path")).alias("_file"),
+        F.col("_metadata.row_index").alias("_pos"),
     )
     return (
-        rows.join(numbers, "_file")
+        rows.join(numbers, "_file", "left")
         .withColumn(ROW_ID, F.shiftleft("_file_no", POSITION_BITS) + F.col("_pos"))
         .select(*df.columns, ROW_ID)
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cells as rules
-from ..operators.rowid import ROW_ID, name, text_columns
+from ..operators.rowid import ROW_ID, file_uri, name, text_columns
 
 BOM = chr(0xFEFF)
 HEADER_LINES = 64  # enough for a header with line breaks in its names
@@ -122,16 +122,15 @@ def validate_load(spark: SparkSession, path: str, delimiter: str = ",", multilin
     that are opened and never closed. Rows of a different width are tolerated.
     """
     found = spark.read.format("binaryFile").load(path)
-    lengths = found.select(F.col("path").alias("file"), F.col("length"))
+    lengths = found.select(file_uri(F.col("path")).alias("file"), F.col("length"))
     # a scan skips files without content, the listing has them
-    files = spark.createDataFrame([(f,) for f in found.inputFiles()], "file string").join(
-        lengths, "file", "left"
-    )
+    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "file string")
+    files = listed.select(file_uri(F.col("file")).alias("file")).join(lengths, "file", "left")
     named_ok = F.lower(F.col("file")).rlike(r"\.(csv|xls|xlsx)$")
     header = read_header(spark, path, delimiter)
     per_file = (
         _scan(spark, path, header, delimiter, multiline)
-        .groupBy(F.col("_metadata.file_path").alias("file"))
+        .groupBy(file_uri(F.col("_metadata.file_path")).alias("file"))
         .agg((F.count("*") - int(header.has_sep)).alias("row_count"))
     )
     # quotes that open and close a field, line by line, escaped pairs aside
@@ -140,7 +139,7 @@ def validate_load(spark: SparkSession, path: str, delimiter: str = ",", multilin
     quotes = (
         spark.read.text(path)
         .select(
-            F.col("_metadata.file_path").alias("file"),
+            file_uri(F.col("_metadata.file_path")).alias("file"),
             F.regexp_count(line, F.lit(f'(^|{d})"')).alias("opened"),
             F.regexp_count(line, F.lit(f'"({d}|\\r?$)')).alias("closed"),
         )
