@@ -38,7 +38,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _derived(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace(f"from {table}", "from {t}"), t=_table(spark, sf_dir, table))
+    text = sql.replace("{", "{{").replace("}", "}}").replace(f"from {table}", "from {t}")
+    return spark.sql(text, t=_table(spark, sf_dir, table))
 
 
 def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,7 @@ AFFECTED = {
 def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip: the messy orders written as CSV files and read back."""
     path = new_path(spark, "csv")
-    csv_source.write_csv(_messy(spark, sf_dir), path)
+    csv_source.write_csv(_messy(spark, sf_dir), path, o.COLUMNS)
     return csv_source.read_csv(spark, path, multiline=False)
 
 
@@ -278,7 +279,7 @@ def _flags(p: Profiler) -> DataFrame:
 
 
 def _flagged(issue_type: str) -> Query:
-    return _on_profiler(lambda p: rows.rows_with(_flags(p), issue_type).select(ROW))
+    return _on_profiler(lambda p: rows.rows_with(p.df, p, ROW, issue_type).select(ROW))
 
 
 def remove_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,7 +494,7 @@ def _oracle_sources() -> dict[str, str]:
         f"('{t}', {r}, '{c}', '{label}', '{agg}', {str(y).lower()})" for t, r, c, label, agg, y in charts.RECOMMENDATIONS
     )
     affected = " union all ".join(
-        f"select {i} as step, '{s.type}' as type, {repr(s.column) if s.column else 'null'} as \"column\", "
+        f"select cast({i} as bigint) as step, '{s.type}' as type, {repr(s.column) if s.column else 'null'} as \"column\", "
         f"{AFFECTED[s.type]} as affected_count"
         for i, s in enumerate(STEPS[:3], 1)
     )
@@ -525,7 +526,7 @@ def _oracle_sources() -> dict[str, str]:
             "loads",
         ),
         "chart_recommendations": o.q(
-            "select inferred_type, ordinal, name as \"column\", rank, chart, chart_label, default_aggregation, needs_y "
+            "select inferred_type, cast(ordinal as bigint) as ordinal, name as \"column\", cast(rank as bigint) as rank, chart, chart_label, default_aggregation, needs_y "
             f"from prof join (values {recommendations}) r(t, rank, chart, chart_label, default_aggregation, needs_y) "
             "on prof.inferred_type = r.t"
         ),
@@ -613,7 +614,7 @@ def _oracle_profile() -> dict[str, str]:
         "incomplete_rows": o.q("select row_count, incomplete_row_count from totals"),
         "empty_columns": o.q('select name as "column" from prof where is_empty'),
         "column_profile": o.q(
-            """select p.ordinal, p.name, p.inferred_type, p.total_values, p.missing_count, p.unique_count,
+            """select cast(p.ordinal as bigint) as ordinal, p.name, p.inferred_type, p.total_values, p.missing_count, p.unique_count,
             round(p.unique_ratio, 4) as unique_ratio, p.is_empty, round(n.mean, 4) as mean, round(n.median, 4) as median,
             round(n.std_dev, 4) as std_dev, round(n.p99, 4) as p99,
             case when p.inferred_type = 'date' then strftime(p.first_ts, '%Y-%m-%d') end as earliest,
@@ -661,18 +662,18 @@ def _oracle_issues() -> dict[str, str]:
         ),
         "quality_score": o.q(f"select 'messy_orders' as dataset, quality_score, {label} from score"),
         "problem_columns": o.q(
-            'select ordinal, name as "column", missing_count, inconsistent_groups from prof '
+            'select cast(ordinal as bigint) as ordinal, name as "column", missing_count, inconsistent_groups from prof '
             "where missing_count > 0 or inconsistent_groups > 0 order by ordinal limit 6"
         ),
         "column_search": o.q(
-            f"select ordinal, name, inferred_type from prof where contains(lower(name), 'or') and {has_issue}"
+            f"select cast(ordinal as bigint) as ordinal, name, inferred_type from prof where contains(lower(name), 'or') and {has_issue}"
         ),
-        "column_search_clean": o.q(f"select ordinal, name, inferred_type from prof where not ({has_issue})"),
+        "column_search_clean": o.q(f"select cast(ordinal as bigint) as ordinal, name, inferred_type from prof where not ({has_issue})"),
         "default_columns": o.q(
-            f'select ordinal, name as "column" from prof order by case when {has_issue} then 0 else 1 end, ordinal limit 4'
+            f'select cast(ordinal as bigint) as ordinal, name as "column" from prof order by case when {has_issue} then 0 else 1 end, ordinal limit 4'
         ),
         "y_candidates": o.q(
-            "select ordinal, name as \"column\" from prof where inferred_type = 'number' and name <> 'order_id'"
+            "select cast(ordinal as bigint) as ordinal, name as \"column\" from prof where inferred_type = 'number' and name <> 'order_id'"
         ),
         "default_chart_column": o.q(
             "select 'messy_orders' as dataset, name as \"column\" from prof order by total_values = 0, ordinal limit 1"

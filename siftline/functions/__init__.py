@@ -2,6 +2,7 @@
 
 from .cells import (
     chart_number,
+    fixed_one,
     is_missing,
     js_trim,
     looks_boolean,
@@ -20,6 +21,7 @@ from .cells import (
 
 __all__ = [
     "chart_number",
+    "fixed_one",
     "is_missing",
     "js_trim",
     "looks_boolean",

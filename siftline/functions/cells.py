@@ -167,6 +167,26 @@ def number_text(x: Column) -> Column:
     return F.when(s == "-0.0", F.lit("0")).when(s.contains("E"), moved).otherwise(plain)
 
 
+def fixed_one(x: Column) -> Column:
+    """One decimal, rounded by the double's exact value, halves away from zero.
+
+    Multiplying by ten would round first and turn 1.45 (just below the half) into 1.5.
+    The distance to the half is therefore summed from parts that are exact.
+    """
+    a = F.abs(x)
+    f = a - F.floor(a)
+    k = F.floor(f * 10)
+    over_half = (f * 8 - (k + F.lit(0.5))) + f * 2 >= 0
+    tenths = F.floor(a) * 10 + k + F.when(over_half, 1).otherwise(0)
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(
+        sign,
+        F.floor(tenths / 10).cast("bigint").cast("string"),
+        F.lit("."),
+        (tenths % 10).cast("bigint").cast("string"),
+    )
+
+
 def stringify(c: Column, dtype: T.DataType) -> Column:
     """Text of a typed cell, so that typed tables follow the text rules."""
     if isinstance(dtype, T.StringType):

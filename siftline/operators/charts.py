@@ -157,7 +157,7 @@ def chart_histogram(df: DataFrame, x: str) -> DataFrame:
 
     def edge(c: Column) -> Column:
         whole = rules.number_text(c)
-        return F.when(c % 1 == 0, whole).otherwise(F.format_string("%.1f", rules.round_half_up(c, 1)))
+        return F.when(c % 1 == 0, whole).otherwise(rules.fixed_one(c))
 
     label = F.when(F.col("lo") == F.col("hi"), rules.number_text(F.col("lo"))).otherwise(
         F.concat(edge(F.col("a")), F.lit("–"), edge(F.col("b")))

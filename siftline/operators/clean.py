@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as rules
+from ..session import materialize
 from . import ranks
 from .freq import number, typed_numbers
 from .rowid import ROW_ID, name
@@ -58,10 +59,21 @@ def fill_with_mean(df: DataFrame, column: str) -> DataFrame:
     return fill_missing(df, column, _figure(mean))
 
 
+def _written_numbers(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
+    """The column's numbers as a written table, and whether they are few.
+
+    The quantile passes then read one narrow column; the steps before this one, which
+    may hold joins, run once.
+    """
+    points = materialize(typed_numbers(df, [column]), "numbers")
+    return points, points.count() <= ranks.SMALL_DISTINCT
+
+
 def fill_with_median(df: DataFrame, column: str) -> DataFrame:
     """Fill with the exact median of the current numbers."""
-    median = ranks.quantiles(typed_numbers(df, [column]), {"median": 0.5}).select("median")
-    return fill_missing(df, column, _figure(median))
+    points, few = _written_numbers(df, column)
+    find = ranks.small_quantiles if few else ranks.quantiles
+    return fill_missing(df, column, _figure(find(points, {"median": 0.5}).select("median")))
 
 
 FILLS = {
@@ -122,7 +134,8 @@ def outlier_flag(df: DataFrame, column: str, method: str = "interpolated") -> Co
 
     The two bounds are one row; they become literals, as in `_figure`.
     """
-    limits = ranks.fences(typed_numbers(df, [column]), method=method).first()
+    points, few = _written_numbers(df, column)
+    limits = ranks.fences(points, method=method, small=few).first()
     if limits is None or limits["lower"] is None:
         return F.lit(False)
     outside = (number(df, column) < limits["lower"]) | (number(df, column) > limits["upper"])

@@ -87,11 +87,11 @@ def select_ranks(points: DataFrame, ranks: str, by: list[str], value: str = "x")
     )
 
 
-def quantiles(points: DataFrame, probs: dict[str, float], by: list[str] = ["column"]) -> DataFrame:
-    """One row per group: `num_count` and one interpolated quantile per name in `probs`."""
-    found = select_ranks(points, probability_ranks(list(probs.values())), by)
+def quantiles(points: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """One row per column: `num_count` and one interpolated quantile per name in `probs`."""
+    found = select_ranks(points, probability_ranks(list(probs.values())), ["column"])
     # at most two entries per probability
-    per_group = found.groupBy(*by).agg(
+    per_column = found.groupBy("column").agg(
         F.expr("max(total) as num_count"),
         F.expr("map_from_entries(collect_list(struct(rank, x))) as at"),
     )
@@ -101,7 +101,7 @@ def quantiles(points: DataFrame, probs: dict[str, float], by: list[str] = ["colu
         lo = f"try_element_at(at, floor({pos}))"
         hi = f"try_element_at(at, ceil({pos}))"
         interpolated.append(f"{lo} + ({hi} - {lo}) * ({pos} - floor({pos})) as {label}")
-    return per_group.selectExpr(*by, "num_count", *interpolated)
+    return per_column.selectExpr("column", "num_count", *interpolated)
 
 
 def small_quantiles(points: DataFrame, probs: dict[str, float]) -> DataFrame:
@@ -123,19 +123,20 @@ def quantiles_by_size(points: DataFrame, probs: dict[str, float], large: list[st
     )
 
 
-def fences(points: DataFrame, by: list[str] = ["column"], method: str = "interpolated") -> DataFrame:
-    """Outlier bounds per group: values strictly outside `lower`..`upper` are outliers.
+def fences(points: DataFrame, method: str = "interpolated", small: bool = False) -> DataFrame:
+    """Outlier bounds per column: values strictly outside `lower`..`upper` are outliers.
 
-    Bounds are null when the group has fewer than four values or no spread.
+    Bounds are null when the column has fewer than four values or no spread.
     `method="floor_index"` takes the value at floor(n*p) in place of interpolating.
     """
     if method == "interpolated":
-        return with_fences(quantiles(points, {"q1": 0.25, "q3": 0.75}, by))
+        find = small_quantiles if small else quantiles
+        return with_fences(find(points, {"q1": 0.25, "q3": 0.75}))
     if method != "floor_index":
         raise ValueError(f"unknown outlier method {method!r}")
     ranks = "array(floor(total * 0.25D), floor(total * 0.75D))"
-    found = select_ranks(points, ranks, by)
-    q = found.groupBy(*by).agg(
+    found = select_ranks(points, ranks, ["column"])
+    q = found.groupBy("column").agg(
         F.expr("max(total) as num_count"),
         F.expr("max(if(rank = floor(total * 0.25D), x, null)) as q1"),
         F.expr("max(if(rank = floor(total * 0.75D), x, null)) as q3"),

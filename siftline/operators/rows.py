@@ -60,42 +60,56 @@ def outlier_limits(
 
 
 def row_flags(
-    df: DataFrame, profiler, row_id: str, method: str = "interpolated", keep_columns: bool = False
+    df: DataFrame,
+    profiler,
+    row_id: str,
+    types: tuple[str, ...] = tuple(FLAGS),
+    method: str = "interpolated",
+    keep_columns: bool = False,
 ) -> DataFrame:
-    """One row per input row with its four issue flags.
+    """One row per input row with the flags of the given issue types, and `has_any`.
 
-    Outlier limits are one row for the whole table, read as a scalar subquery. The
-    other three flags are an expression and two left joins on unique keys.
+    Missing is an expression. Outlier limits are one row for the whole table, read as a
+    scalar subquery. Duplicate and inconsistent are left joins on unique keys. A type
+    that is not asked for costs nothing.
     """
     columns = profiler.columns
-    limits = (
-        outlier_limits(profiler.values, profiler.counters, profiler.large, method)
-        .agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("lower", "upper")))).alias("m"))
-        .scalar()
-    )
-
-    def outside(column: str) -> Column:
-        x, limit = number(df, column), F.col("_limits")[column]
-        return F.coalesce((x < limit["lower"]) | (x > limit["upper"]), F.lit(False))
-
-    odd = inconsistent_row_ids(df, profiler.values, profiler.counters, row_id, columns).select(
-        F.col("row_id").alias(row_id), F.lit(True).alias("_odd")
-    )
-    flagged = (
-        with_duplicate_flag(df.withColumn("_limits", limits), row_id, columns)
-        .join(odd, row_id, "left")
-        .withColumn("has_missing", stats.any_missing(text_columns(df, columns)))
-        .withColumn("has_inconsistent", F.coalesce("_odd", F.lit(False)))
-        .withColumn("has_outlier", _any([outside(c) for c in columns]))
-    )
-    flags = [F.col(f) for f in FLAGS.values()]
+    flagged = df
+    if "duplicate_rows" in types:
+        flagged = with_duplicate_flag(flagged, row_id, columns)
+    if "inconsistent_values" in types:
+        odd = inconsistent_row_ids(df, profiler.values, profiler.counters, row_id, columns)
+        odd = odd.select(F.col("row_id").alias(row_id), F.lit(True).alias("_odd"))
+        flagged = flagged.join(odd, row_id, "left").withColumn(
+            "has_inconsistent", F.coalesce("_odd", F.lit(False))
+        )
+    if "missing_values" in types:
+        flagged = flagged.withColumn("has_missing", stats.any_missing(text_columns(df, columns)))
+    if "potential_outliers" in types:
+        pair = F.struct("column", F.struct("lower", "upper"))
+        limits = (
+            outlier_limits(profiler.values, profiler.counters, profiler.large, method)
+            .agg(F.map_from_entries(F.collect_list(pair)))
+            .scalar()
+        )
+        flagged = flagged.withColumn("_limits", limits)
+
+        def outside(column: str) -> Column:
+            x, limit = number(df, column), F.col("_limits")[column]
+            return F.coalesce((x < limit["lower"]) | (x > limit["upper"]), F.lit(False))
+
+        flagged = flagged.withColumn("has_outlier", _any([outside(c) for c in columns]))
+    flags = [F.col(FLAGS[t]) for t in FLAGS if t in types]
     shown = [name(c) for c in columns] if keep_columns else []
     return flagged.select(name(row_id), *shown, *flags, _any(flags).alias("has_any"))
 
 
-def rows_with(flags: DataFrame, issue_type: str) -> DataFrame:
-    """Rows flagged with one issue type ("all" keeps every row)."""
-    return flags if issue_type == "all" else flags.where(FLAGS[issue_type])
+def rows_with(df: DataFrame, profiler, row_id: str, issue_type: str) -> DataFrame:
+    """The rows flagged with one issue type, columns included ("all" keeps every row)."""
+    if issue_type == "all":
+        return df
+    flags = row_flags(df, profiler, row_id, (issue_type,), keep_columns=True)
+    return flags.where("has_any").select(name(row_id), *[name(c) for c in profiler.columns])
 
 
 def any_issue_count(flags: DataFrame) -> DataFrame:
