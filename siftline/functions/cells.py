@@ -44,25 +44,62 @@ _SPACE_CLASS = "".join(f"\\x{{{ord(ch):X}}}" for ch in WHITESPACE)
 _WORD_OR_GAP = rf"[A-Za-z0-9_][^{_SPACE_CLASS}]*|[^A-Za-z0-9_]+"
 
 
+def _visible(code: Column) -> Column:
+    return code.between(33, 126)
+
+
 def js_trim(c: Column) -> Column:
-    """Strip all Unicode whitespace; Spark's `trim` strips spaces only."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Strip all Unicode whitespace; Spark's `trim` strips spaces only.
+
+    Most texts begin and end with a visible ASCII character and are returned as they are.
+    """
+    clean = _visible(F.ascii(c)) & _visible(F.ascii(F.right(c, F.lit(1))))
+    return F.when(clean, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def normal_form(c: Column) -> Column:
     return F.lower(js_trim(c))
 
 
+def short_lower(t: Column) -> Column:
+    """Lower case of a trimmed text that is short enough to be a known word."""
+    return F.when(F.length(t) <= 5, F.lower(t)).otherwise(t)
+
+
 def is_missing(c: Column) -> Column:
-    return c.isNull() | normal_form(c).isin(MISSING_TOKENS)
+    return c.isNull() | short_lower(js_trim(c)).isin(MISSING_TOKENS)
+
+
+def _starts_number(t: Column) -> Column:
+    """First character is a digit, sign or point: a cheap test before any pattern."""
+    first = F.ascii(t)
+    return first.between(48, 57) | first.isin(43, 45, 46)
+
+
+def numeric_text(t: Column) -> Column:
+    """`looks_numeric` of a trimmed text."""
+    return F.when(_starts_number(t), t.rlike(NUMERIC_PATTERN)).when(t.isNotNull(), False)
 
 
 def looks_numeric(c: Column) -> Column:
-    return js_trim(c).rlike(NUMERIC_PATTERN)
+    return numeric_text(js_trim(c))
 
 
 def looks_boolean(c: Column) -> Column:
-    return normal_form(c).isin(TRUE_TOKENS + FALSE_TOKENS)
+    return short_lower(js_trim(c)).isin(TRUE_TOKENS + FALSE_TOKENS)
+
+
+def date_of_text(t: Column) -> Column:
+    """`parse_date` of a trimmed text."""
+    month_first = F.regexp_replace(t, r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$", "$3-$1-$2")
+    year_first = ~F.substring(t, 2, 1).isin("-", "/") & ~F.substring(t, 3, 1).isin("-", "/")
+    dashed = (
+        F.when(t.contains("T"), t)
+        .when(year_first, F.translate(t, "/", "-"))
+        .otherwise(F.translate(month_first, "/", "-"))
+    )
+    plausible = F.ascii(t).between(48, 57) & (F.length(t) >= 8)
+    return F.when(plausible & t.rlike(DATE_PATTERN), dashed.try_cast("timestamp"))
 
 
 def parse_date(c: Column) -> Column:
@@ -71,10 +108,7 @@ def parse_date(c: Column) -> Column:
     The shape is checked first, then month-first dates are turned around so that
     one `try_cast` reads all of them: no formatter, so no exception per bad cell.
     """
-    t = js_trim(c)
-    year_first = F.regexp_replace(t, r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$", "$3-$1-$2")
-    dashed = F.when(t.contains("T"), t).otherwise(F.translate(year_first, "/", "-"))
-    return F.when(t.rlike(DATE_PATTERN), dashed.try_cast("timestamp"))
+    return date_of_text(js_trim(c))
 
 
 def looks_date(c: Column) -> Column:
@@ -85,28 +119,50 @@ def to_iso_date(c: Column) -> Column:
     return F.date_format(parse_date(c), "yyyy-MM-dd")
 
 
-def _finite(x: Column) -> Column:
+def finite(x: Column) -> Column:
+    """Null for infinities and NaN."""
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
+def bounded(x: Column) -> Column:
+    """Null for infinities; enough for numbers read from text, which are never NaN."""
     return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
+def number_of_text(t: Column) -> Column:
+    """`parse_numeric` of a trimmed text: a plain number is cast as a whole, anything
+    else gives up its longest numeric prefix."""
+    bare = F.translate(t, ",", "")
+    prefix = F.regexp_extract(bare, NUMERIC_PREFIX, 0)
+    text = F.when(t.rlike(NUMERIC_PATTERN), bare).otherwise(prefix)
+    starts = _starts_number(t) | (F.ascii(t) == 44)  # a leading comma is ignored too
+    return F.when(starts, text).try_cast("double")
+
+
 def parse_numeric(c: Column) -> Column:
     """Number at the start of the text ("12 kg" -> 12), commas ignored."""
-    bare = F.translate(js_trim(c), ",", "")
-    return _finite(F.regexp_extract(bare, NUMERIC_PREFIX, 0).try_cast("double"))
+    return bounded(number_of_text(js_trim(c)))
 
 
-def chart_number(c: Column) -> Column:
-    """Number only if the whole text is one; commas are refused."""
-    t = js_trim(c)
-    decimal = F.when(t.rlike(DECIMAL_LITERAL), t.try_cast("double"))
+def chart_number_of_text(t: Column) -> Column:
+    """`chart_number` of a trimmed text, infinities not yet excluded."""
+    number = F.when(_starts_number(t) & t.rlike(DECIMAL_LITERAL), t.try_cast("double"))
     for pattern, base in (
         (r"^0[xX][0-9a-fA-F]{1,15}$", 16),
         (r"^0[oO][0-7]{1,20}$", 8),
         (r"^0[bB][01]{1,63}$", 2),
     ):
-        digits = F.when(t.rlike(pattern), F.substr(t, F.lit(3)))
-        decimal = F.coalesce(decimal, F.conv(digits, base, 10).try_cast("double"))
-    return F.when(~is_missing(c), _finite(decimal))
+        digits = F.conv(F.substr(t, F.lit(3)), base, 10)
+        number = number.when((F.ascii(t) == 48) & t.rlike(pattern), digits.try_cast("double"))
+    return number
+
+
+def chart_number(c: Column) -> Column:
+    """Number only if the whole text is one; commas are refused.
+
+    No missing-value word is a number, so there is nothing else to exclude.
+    """
+    return bounded(chart_number_of_text(js_trim(c)))
 
 
 def title_case(c: Column) -> Column:

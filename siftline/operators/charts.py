@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as rules
 from . import ranks
-from .freq import NUMERIC_KINDS, finite
+from .freq import NUMERIC_KINDS
 from .rowid import name
 
 # Sizes of a chart.
@@ -28,11 +28,33 @@ def _text(df: DataFrame, column: str) -> Column:
     return rules.stringify(name(column), df.schema[column].dataType)
 
 
-def _value(df: DataFrame, column: str) -> Column:
-    """A cell as a chart number; numeric columns are taken as they are."""
-    if df.schema[column].dataType.typeName() in NUMERIC_KINDS:
-        return finite(name(column).cast("double"))
-    return rules.chart_number(_text(df, column))
+def _with_numbers(df: DataFrame, numbers: dict[str, str], **keep: Column) -> DataFrame:
+    """Select `keep` and, under the given names, columns as chart numbers.
+
+    Trimming, parsing and the check for infinity are steps of their own, so that each
+    text is trimmed and parsed once. Numeric columns are taken as they are.
+    """
+    typed = {a for a, c in numbers.items() if df.schema[c].dataType.typeName() in NUMERIC_KINDS}
+    kept = list(keep)
+    out = df.select(
+        *[c.alias(a) for a, c in keep.items()],
+        *[
+            name(c).cast("double").alias(a) if a in typed else rules.js_trim(_text(df, c)).alias(a)
+            for a, c in numbers.items()
+        ],
+    )
+    out = out.select(
+        *kept, *[F.col(a) if a in typed else rules.chart_number_of_text(F.col(a)).alias(a) for a in numbers]
+    )
+    return out.select(*kept, *[rules.finite(F.col(a)).alias(a) for a in numbers])
+
+
+def _labelled(df: DataFrame, x: str, y: str | None, row_id: str | None) -> DataFrame:
+    """(label, r, y) of the rows that have a label; without `y` each row counts as 1."""
+    order = (name(row_id) if row_id else F.lit(0)).cast("bigint")
+    out = _with_numbers(df, {"y": y} if y else {}, label=rules.js_trim(_text(df, x)), r=order)
+    out = out if y else out.withColumn("y", F.lit(1.0))
+    return out.where(~(F.col("label").isNull() | rules.short_lower(F.col("label")).isin(rules.MISSING_TOKENS)))
 
 
 def group_aggregate(
@@ -44,13 +66,7 @@ def group_aggregate(
     """
     if fn not in AGGREGATES:
         raise ValueError(f"unknown aggregation {fn!r}")
-    label = _text(df, x)
-    values = _value(df, y) if y else F.lit(1.0)
-    order = name(row_id) if row_id else F.lit(0)
-    rows = df.where(~rules.is_missing(label)).select(
-        rules.js_trim(label).alias("label"), values.alias("y"), order.cast("bigint").alias("r")
-    )
-    return rows.groupBy("label").agg(
+    return _labelled(df, x, y, row_id).groupBy("label").agg(
         F.coalesce(AGGREGATES[fn](F.col("y")).cast("double"), F.lit(0.0)).alias("value"),
         F.min("r").alias("first_row"),
     )
@@ -86,11 +102,8 @@ def top_categories(
     top = rest_labels.scalar()
     # array_contains is null when there are at most 30 groups: nothing remains then
     if other == "recompute":
-        remaining = df.where(~rules.is_missing(_text(df, x))).where(
-            ~F.array_contains(top, rules.js_trim(_text(df, x)))
-        )
-        values = _value(df, y) if y else F.lit(1.0)
-        total = AGGREGATES[fn](values).cast("double")
+        remaining = _labelled(df, x, y, None).where(~F.array_contains(top, F.col("label")))
+        total = AGGREGATES[fn](F.col("y")).cast("double")
     else:
         remaining = groups.where(~F.array_contains(top, F.col("label")))
         total = F.sum("value")
@@ -138,18 +151,20 @@ def chart_histogram(df: DataFrame, x: str) -> DataFrame:
     Range and bin count are one row, read as a scalar subquery; the rows are then
     counted per bin, and empty bins are added from the sequence of bins.
     """
-    values = df.select(_value(df, x).alias("v")).where("v is not null")
+    # nulls are left to the aggregates: a filter on `v` would parse every cell twice
+    values = _with_numbers(df, {"v": x})
     shape = (
-        values.agg(F.expr("count(*) as n"), F.expr("min(v) as lo"), F.expr("max(v) as hi"))
+        values.agg(F.expr("count(v) as n"), F.expr("min(v) as lo"), F.expr("max(v) as hi"))
         .selectExpr("*", f"if(hi > lo, int(least({HISTOGRAM_BINS}, ceil(sqrt(n)))), 1) as bins")
         .selectExpr("n", "lo", "hi", "bins", "(hi - lo) / bins as width")
     )
     s = shape.select(F.struct("lo", "hi", "bins", "width").alias("s")).scalar()
     counted = (
         values.select("v", s.alias("s"))
-        .selectExpr("int(if(s.width > 0, least(floor((v - s.lo) / s.width), s.bins - 1), 0)) as bin")
+        # never null, or the join below would push a null check, parsing and all, to the scan
+        .selectExpr("v", "coalesce(int(if(s.width > 0, least(floor((v - s.lo) / s.width), s.bins - 1), 0)), -1) as bin")
         .groupBy("bin")
-        .agg(F.count("*").alias("count"))
+        .agg(F.count("v").alias("count"))
     )
     all_bins = shape.where("n > 0").selectExpr(
         "*", "explode(sequence(0, bins - 1)) as bin"
@@ -178,12 +193,12 @@ def chart_scatter(df: DataFrame, x: str, y: str | None, row_id: str) -> DataFram
     """
     if y is None:
         return df.sparkSession.createDataFrame([], "row_id bigint, x double, y double")
-    points = df.select(
-        F.lit(0).alias("g"),
-        name(row_id).cast("bigint").alias("row_id"),
-        _value(df, x).alias("x"),
-        _value(df, y).alias("y"),
-        F.lit(1).cast("bigint").alias("cnt"),
+    points = _with_numbers(
+        df,
+        {"x": x, "y": y},
+        g=F.lit(0),
+        row_id=name(row_id).cast("bigint"),
+        cnt=F.lit(1).cast("bigint"),
     ).where("x is not null and y is not null")
     m = MAX_SCATTER_POINTS
     step = f"(total / {m}D)"

@@ -138,8 +138,8 @@ def outlier_flag(df: DataFrame, column: str, method: str = "interpolated") -> Co
     limits = ranks.fences(points, method=method, small=few).first()
     if limits is None or limits["lower"] is None:
         return F.lit(False)
-    outside = (number(df, column) < limits["lower"]) | (number(df, column) > limits["upper"])
-    return F.coalesce(outside, F.lit(False))
+    inside = number(df, column).between(limits["lower"], limits["upper"])
+    return ~F.coalesce(inside, F.lit(True))
 
 
 def remove_outliers(df: DataFrame, column: str, method: str = "interpolated") -> DataFrame:

@@ -36,51 +36,71 @@ def ordinal_of(columns: list[str]) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
 
 
+FACTS = ["missing", "is_true", "is_false", "is_number", "is_date", "x", "ts"]
+
+
 def classified(table: DataFrame) -> DataFrame:
     """Add what each cell is: missing, boolean, date, number, and its parsed values.
 
-    The trimmed text is computed in its own step, so that Spark evaluates it once.
+    A table that has been classified (and written) already is returned as it is. Each
+    step's text is a column of its own, so that Spark computes it once per cell.
     """
-    seen = table.withColumn("_norm", rules.normal_form(F.col("value"))).withColumn(
-        "missing", F.col("value").isNull() | F.col("_norm").isin(rules.MISSING_TOKENS)
+    if set(FACTS) <= set(table.columns):
+        return table
+    words = table.withColumn("_t", rules.js_trim(F.col("value"))).withColumn(
+        "_word", rules.short_lower(F.col("_t"))
+    )
+    seen = words.withColumn(
+        "missing", F.col("value").isNull() | F.col("_word").isin(rules.MISSING_TOKENS)
     )
-    present = ~F.col("missing")
-    value = F.when(present, F.col("value"))
-    return seen.select(
+    text = F.when(~F.col("missing"), F.col("_t"))
+    parsed = (
+        seen.withColumn("_present", text)
+        .withColumn("ts", rules.date_of_text(F.col("_present")))
+        .withColumn("_x", rules.number_of_text(F.col("_present")))
+    )
+    return parsed.select(
         *table.columns,
         "missing",
-        (present & F.col("_norm").isin(rules.TRUE_TOKENS)).alias("is_true"),
-        (present & F.col("_norm").isin(rules.FALSE_TOKENS)).alias("is_false"),
-        (present & rules.looks_numeric(F.col("value"))).alias("is_number"),
-        rules.parse_date(value).alias("ts"),
-        rules.parse_numeric(value).alias("x"),
-    ).withColumn("is_date", F.col("ts").isNotNull())
+        (~F.col("missing") & F.col("_word").isin(rules.TRUE_TOKENS)).alias("is_true"),
+        (~F.col("missing") & F.col("_word").isin(rules.FALSE_TOKENS)).alias("is_false"),
+        F.coalesce(rules.numeric_text(F.col("_present")), F.lit(False)).alias("is_number"),
+        F.col("ts").isNotNull().alias("is_date"),
+        rules.bounded(F.col("_x")).alias("x"),
+        "ts",
+    )
 
 
 def numbers(table: DataFrame) -> DataFrame:
     """(column, x, cnt) for the cells that start with a number."""
-    value = F.when(~rules.is_missing(F.col("value")), F.col("value"))
-    return table.select("column", rules.parse_numeric(value).alias("x"), "cnt").where("x is not null")
+    return classified(table).select("column", "x", "cnt").where("x is not null")
 
 
 NUMERIC_KINDS = ("byte", "short", "integer", "long", "float", "double", "decimal")
 
 
-def finite(x: Column) -> Column:
-    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
-
-
 def number(df: DataFrame, column: str) -> Column:
     """A cell's number. Numeric columns are read as they are, with no trip through text."""
     dtype = df.schema[column].dataType
     if dtype.typeName() in NUMERIC_KINDS:
-        return finite(name(column).cast("double"))
-    text = rules.stringify(name(column), dtype)
-    return F.when(~rules.is_missing(text), rules.parse_numeric(text))
+        return rules.finite(name(column).cast("double"))
+    return rules.parse_numeric(rules.stringify(name(column), dtype))
 
 
 def typed_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, x, cnt) straight from the given columns."""
-    exprs = [number(df, c).alias(c) for c in columns]
-    long = df.select(*exprs).unpivot([], [name(c) for c in columns], "column", "x")
-    return long.where("x is not null").withColumn("cnt", F.lit(1).cast("bigint"))
+    texts = {c for c in columns if df.schema[c].dataType.typeName() not in NUMERIC_KINDS}
+    trimmed = df.select(
+        *[
+            rules.js_trim(rules.stringify(name(c), df.schema[c].dataType)).alias(c)
+            if c in texts
+            else name(c).cast("double").alias(c)
+            for c in columns
+        ]
+    )
+    parsed = trimmed.select(
+        *[rules.number_of_text(name(c)).alias(c) if c in texts else name(c) for c in columns]
+    )
+    long = parsed.unpivot([], [name(c) for c in columns], "column", "x")
+    finite = long.select("column", rules.finite(F.col("x")).alias("x"))
+    return finite.where("x is not null").withColumn("cnt", F.lit(1).cast("bigint"))

@@ -95,8 +95,9 @@ def row_flags(
         flagged = flagged.withColumn("_limits", limits)
 
         def outside(column: str) -> Column:
-            x, limit = number(df, column), F.col("_limits")[column]
-            return F.coalesce((x < limit["lower"]) | (x > limit["upper"]), F.lit(False))
+            limit = F.col("_limits")[column]
+            inside = number(df, column).between(limit["lower"], limit["upper"])
+            return ~F.coalesce(inside, F.lit(True))
 
         flagged = flagged.withColumn("has_outlier", _any([outside(c) for c in columns]))
     flags = [F.col(FLAGS[t]) for t in FLAGS if t in types]

@@ -239,8 +239,8 @@ def outlier_counts(
 
 
 def _text_values(distinct: DataFrame, counters: DataFrame) -> DataFrame:
-    texts = of_type(distinct, counters, "text")
-    return texts.where(~rules.is_missing(F.col("value")))
+    present = classified(distinct).where(~F.col("missing"))
+    return of_type(present, counters, "text")
 
 
 def mode_bounds(distinct: DataFrame, counters: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dedup, stats
-from ..operators.freq import value_freq
+from ..operators.freq import classified, value_freq
 from ..operators.rowid import data_columns
 from ..session import materialize
 from . import issues as issue_rules
@@ -34,7 +34,8 @@ class Profiler:
 
     @cached_property
     def values(self) -> DataFrame:
-        return materialize(value_freq(self.df, self.columns), "value-freq")
+        """Distinct values with what each one is: every pattern runs here, once per value."""
+        return materialize(classified(value_freq(self.df, self.columns)), "values")
 
     @cached_property
     def counters(self) -> DataFrame:
