@@ -44,17 +44,13 @@ _SPACE_CLASS = "".join(f"\\x{{{ord(ch):X}}}" for ch in WHITESPACE)
 _WORD_OR_GAP = rf"[A-Za-z0-9_][^{_SPACE_CLASS}]*|[^A-Za-z0-9_]+"
 
 
-def _visible(code: Column) -> Column:
-    return code.between(33, 126)
-
-
 def js_trim(c: Column) -> Column:
     """Strip all Unicode whitespace; Spark's `trim` strips spaces only.
 
-    Most texts begin and end with a visible ASCII character and are returned as they are.
+    Names its input once: a filter pushed through several cleaning steps repeats what
+    each step does, so the common functions must not multiply it.
     """
-    clean = _visible(F.ascii(c)) & _visible(F.ascii(F.right(c, F.lit(1))))
-    return F.when(clean, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def normal_form(c: Column) -> Column:
@@ -67,7 +63,7 @@ def short_lower(t: Column) -> Column:
 
 
 def is_missing(c: Column) -> Column:
-    return c.isNull() | short_lower(js_trim(c)).isin(MISSING_TOKENS)
+    return F.coalesce(normal_form(c), F.lit("")).isin(MISSING_TOKENS)
 
 
 def _starts_number(t: Column) -> Column:
