@@ -212,7 +212,7 @@ def number_text(x: Column) -> Column:
     moved = (
         F.when(e.between(0, 20) & (F.length(frac) <= e), whole)
         .when(e.between(0, 20), split)
-        .when(e.between(-7, -1), small)
+        .when(e.between(-6, -1), small)
         .otherwise(power)
     )
     plain = F.regexp_replace(s, r"\.0$", "")
