@@ -24,6 +24,14 @@ from siftline.session import DEFAULTS, new_path  # noqa: E402
 from siftline.sources import csv as csv_source  # noqa: E402
 from siftline.sources import registry, summary, workbooks  # noqa: E402
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline
+    from siftline.llm import registry as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "siftline.llm"):
+        raise
+    llm = None
+
 ROW = "row_id"
 ENTRY_DIR = "/root/testdata/sf0.001"
 
@@ -475,6 +483,7 @@ def queries() -> dict[str, Query]:
         "reply_status": reply_status,
         "map_suggestions": map_suggestions,
         "fingerprint": fingerprint,
+        **(llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
@@ -919,4 +928,6 @@ def oracle_sql() -> dict[str, str]:
         **_oracle_cleaning(),
         **_oracle_rows_and_charts(),
         **_oracle_suggestions(),
+        **(llm.ORACLE_SQL if llm else {}),
+        **({"pipeline": corpus_pipeline.ORACLE_SQL} if llm and corpus_pipeline.ORACLE_SQL else {}),
     }
