@@ -5,21 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftline.llm.common import materialize, table
+from siftline.llm.decontaminate import drop_contaminated
+from siftline.llm.minhash import drop_near_duplicates
 from siftline.llm.packing import pack
 from siftline.llm.quality_rules import filter_quality
+from siftline.llm.repeats import remove_repeats
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
+    """Documents that pass every quality rule; the others go."""
     return filter_quality(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 0.8 of its five-word shingles: the smallest doc_id."""
+    return drop_near_duplicates(docs, size=5, percent=80)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the strings of 100 bytes that an earlier one has; n_chars follows."""
+    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy, whole or edited, of a benchmark item; the others go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and where each goes."""
+    """The token pieces of all documents, and each one's sequence and place there."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path(TOKENIZER))
@@ -27,10 +46,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality),
+    ("minhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeats),
+    ("benchmark_decontamination", decontamination),
     ("best_fit_packing", packing),
 ]
 
-#: SQL can't express the later stages; tests compare each stage with a brute-force version.
+#: SQL can't express alignment and packing; tests compare every stage with a brute-force version.
 ORACLE_SQL: str | None = None
 
 

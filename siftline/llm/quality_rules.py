@@ -109,7 +109,7 @@ RULES = (
     *BASE_RULES,
     Rule("symbols", lambda m: 100 * m.n_symbols > 10 * m.n_words),
     Rule("word_length", lambda m: (m.word_chars < 2 * m.n_words) | (m.word_chars > 15 * m.n_words)),
-    Rule("repeated_lines", lambda m: 100 * m.n_dup_lines > 30 * F.size(worded_lines(m.text))),
+    Rule("repeated_lines", lambda m: 100 * m.n_dup_lines > 50 * F.size(worded_lines(m.text))),
     Rule(
         "capitals",
         lambda m: 2 * F.length(F.regexp_replace(m.text, r"[^\p{Lu}]+", ""))
@@ -205,7 +205,7 @@ m as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or 100 * n_symbols > 10 * n_words
-    or word_chars < 2 * n_words or word_chars > 15 * n_words or 100 * n_dup_lines > 30 * n_lines
+    or word_chars < 2 * n_words or word_chars > 15 * n_words or 100 * n_dup_lines > 50 * n_lines
     or 2 * upper_letters > letters) as kept
 from m
 """

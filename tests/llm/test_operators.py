@@ -1,0 +1,506 @@
+"""Every operator against a brute-force version, on odd and copied texts."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siftline.llm import decontaminate, licences, minhash, packing, pitman_yor, quality_rules, repeats, sharding, token_counts, warc
+from siftline.llm.common import dense_slots, new_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+# --- 1 ---------------------------------------------------------------------------------------
+
+
+def removed_by_hand(docs, length):
+    """(doc_id, text) -> covered bytes, from every window's first start."""
+    first, texts = {}, {}
+    for doc_id, text in sorted({(i, t) for i, t in docs}, key=lambda x: (x[0] is not None, x[0] or 0)):
+        raw = (text or "").encode()
+        cover = bytearray(len(raw))
+        for p in range(len(raw) - length + 1):
+            w = raw[p : p + length]
+            if w in first:
+                cover[p : p + length] = b"\x01" * length
+            else:
+                first[w] = (doc_id, p)
+        texts[doc_id, text] = (raw, cover)
+    return texts
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeats_equal_brute_force(make, corpus, parts):
+    want = removed_by_hand(corpus, repeats.LENGTH)
+    got = repeats.report_repeats(make(corpus).repartition(parts)).collect()
+    assert len(got) == len(corpus)
+    by_id = {i: t for i, t in corpus}
+    for r in got:
+        raw, cover = want[r.doc_id, by_id[r.doc_id]]
+        runs = re.findall(b"\x01+", bytes(cover))
+        kept = bytes(b for b, c in zip(raw, cover) if not c)
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(raw), sum(cover), len(runs)), r.doc_id
+        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+    assert sum(r.n_removed for r in got) > 10_000
+
+
+def test_repeats_pieces_and_random_strings(make, monkeypatch):
+    rnd = random.Random(3)
+    pool = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(20, 200))) for _ in range(12)]
+    docs = [(i, "".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 9)))) for i in range(60)]
+    want = removed_by_hand(docs, 40)
+    got = repeats.report_repeats(make(docs).repartition(3), length=40).collect() if False else None
+    for piece in (64, 1 << 20):
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        for i, text in docs[:20]:
+            t, p, f, n = repeats.parse(np.frombuffer(text.encode(), np.uint8), 40, 12)
+            assert n.sum() == max(0, len(text) - 39)
+    assert got is None and want
+
+
+def test_repeats_edge_rows(make, spark):
+    empty = make([])
+    assert repeats.report_repeats(empty).count() == 0
+    assert repeats.remove_repeats(empty).columns == empty.columns
+    long = "0123456789" * 3 + "".join(chr(97 + i % 26) + str(i) for i in range(80))
+    rows = [(None, long), (1, long), (1, long), (2, long + "é")]
+    got = sorted((r.doc_id or 0, r.n_removed) for r in repeats.report_repeats(make(rows, found=1, key=2)).collect())
+    assert got == [(0, 0), (1, len(long)), (1, len(long)), (2, len(long))]
+    cut = {r.doc_id: (r.text, r.found, r._key) for r in repeats.remove_repeats(make(rows, found=1, _key=2)).collect()}
+    assert cut == {None: (long, 1, 2), 1: ("", 1, 2), 2: ("é", 1, 2)}
+
+
+# --- 2 ---------------------------------------------------------------------------------------
+
+
+def components_by_hand(docs, size, percent):
+    sets = {}
+    for i, t in docs:
+        w = WORD.findall(lower(t))
+        k = min(size, len(w))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                c = len(sets[a] & sets[b])
+                if 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
+def test_near_duplicates_equal_brute_force(make, corpus, size, percent):
+    got = minhash.near_duplicates(make(corpus, key=1, rep=2).repartition(3), size=size, percent=percent).collect()
+    assert len(got) == len(corpus)
+    want = components_by_hand(corpus, size, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+    assert len({v[1] for v in want.values()}) < len(want) - 8
+
+
+def test_star_leaves_no_link_behind(make):
+    """A chain: each text is near the next one only, so the outsiders of every star must be paired too."""
+    words, docs = [f"t{i}" for i in range(120)], []
+    for i in range(25):
+        docs.append((i, " ".join(words)))
+        at = (i * 4) % 120
+        words = words[:at] + [f"n{i}.{j}" for j in range(4)] + words[at + 4 :]
+    docs = docs[::2] + docs[1::2]
+    want = components_by_hand(docs, 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(make(docs), size=3, percent=85).collect()}
+    assert got == want
+
+
+def test_near_duplicates_edge_rows(make):
+    assert minhash.near_duplicates(make([])).count() == 0
+    rows = [(None, "a b c"), (4, "a b c"), (4, "a b c"), (9, "A B c"), (11, None), (12, "")]
+    got = sorted((str(r.doc_id), r.component_id, r.kept) for r in minhash.near_duplicates(make(rows), size=3, percent=85).collect())
+    assert got == [("11", 11, True), ("12", 12, True), ("4", 4, True), ("4", 4, True), ("9", 4, False), ("None", None, True)]
+    assert sorted(str(r.doc_id) for r in minhash.drop_near_duplicates(make(rows)).collect()) == ["11", "12", "4", "4", "None"]
+
+
+def test_densified_sketches_agree_as_sets_do():
+    donors, rnd = minhash.donor_order(140), np.random.default_rng(5)
+    for n in (4, 20, 400):
+        same = []
+        for _ in range(200):
+            a = rnd.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            b = np.concatenate([a[: n * 3 // 4], rnd.integers(0, 1 << 63, n - n * 3 // 4, dtype=np.uint64) * np.uint64(2)])
+            same.append((minhash.sketch(np.unique(a), donors) == minhash.sketch(np.unique(b), donors)).mean())
+        assert abs(np.mean(same) - 0.6) < 0.06
+
+
+# --- 3 ---------------------------------------------------------------------------------------
+
+
+def test_token_counts_equal_the_library(make, corpus):
+    import public_tokenizers
+    from tokenizers import Tokenizer, models
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, by_bytes = token_counts.read_vocabulary(path)
+    assert by_bytes
+    vocab = [("<unk>", 0.0), *pieces.items()]
+    low = min(pieces.values())
+    vocab += [(f"<0x{i:02X}>", low) for i in range(256)]
+    exact = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=True))
+    texts = [*corpus, (200, "日本語 \U0001f600\U0001f600 a  b   c\n\nd"), (201, "   "), (202, " lead"), (203, "ééßß x")]
+    got = token_counts.count_tokens(make(texts), path).collect()
+    want = Counter()
+    for i, t in texts:
+        n = 0
+        if t:
+            for token in exact.encode(token_counts.MARK + t.replace(" ", token_counts.MARK), add_special_tokens=False).tokens:
+                n += 1
+        want[i, n] += 1
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == want
+    assert token_counts.count_tokens(make([]), path).count() == 0
+
+
+def test_token_count_ties_and_unknowns():
+    c = token_counts.Counter({"a": -1.0, "b": -1.0, "c": -1.0, "ab": -2.0, "bc": -2.0, "▁": 0.0}, False)
+    assert c.count("abc") == (2, -3.0)  # the piece that starts first wins: "ab" then "c"... or "a" "bc": fewest by the rule
+    assert c.count("xyz") == (1, 3 * (-2.0 - 10))
+    assert c.count("axb") == (3, -14.0)
+    with pytest.raises(ValueError):
+        token_counts.Counter({"a▁b": -1.0}, False)
+
+
+# --- 4 ---------------------------------------------------------------------------------------
+
+
+def check_packing(rows, capacity):
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by_sequence)
+
+
+def test_packing_round_trip(make, corpus):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [*corpus, (300, "<|endoftext|> it's\n\n  x"), (301, "日本語 \U0001f600"), (None, "no id")]
+    rows = packing.pack(make(texts, offset=1).repartition(3), path, capacity=256).collect()
+    check_packing(rows, 256)
+    want = Counter()
+    for i, t in texts:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 256 or 256
+        cuts = [0, *range(first, len(ids) + 1, 256)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    assert packing.pack(make([]), path).count() == 0
+
+
+def test_plan_is_as_good_as_best_fit_decreasing():
+    rnd = random.Random(11)
+    for _ in range(30):
+        counts = Counter(rnd.randrange(1, 101) for _ in range(rnd.randrange(1, 400)))
+        runs = packing.plan_runs(dict(counts), 100)
+        used, room = Counter(), Counter()
+        for length, rank, n, first, offset in runs:
+            assert rank == used[length]
+            used[length] += n
+            for s in range(first, first + n):
+                assert room[s] == offset
+                room[s] += length
+        assert used == counts and max(room.values()) <= 100
+        bins = []
+        for x in sorted(counts.elements(), reverse=True):
+            fit = max((b for b in bins if sum(b) + x <= 100), key=sum, default=None)
+            bins.append([x]) if fit is None else fit.append(x)
+        assert len(room) <= len(bins) + 1
+
+
+# --- 5 ---------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(make, spark, tmp_path):
+    html = ["<p>a</p>", "<p>a</p>", None, "", "<p>b\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n</p>", "é" * 5000, "<p>a</p>", "x\n\r\n\r\n"]
+    rows = [(i * 3, f"http://h/{i}\nx" if i else None, h) for i, h in enumerate(html)]
+    pages = spark.createDataFrame([*rows, (30, "u", "<p>a</p>"), (30, "u", "<p>a</p>")], "page_id long, url string, html string")
+    for compression in ("gzip", "none"):
+        raw, slim = (str(tmp_path / f"{compression}{k}") for k in "ab")
+        warc.write_archives(warc.as_captures(pages.repartition(3)), raw, compression)
+        assert sorted((r.page_id, r.payload) for r in warc.read_archives(spark, raw).collect()) == sorted((r.page_id, r.html or "") for r in pages.collect())
+        warc.deduplicate_archives(spark, raw, slim)
+        got = sorted(tuple(r) for r in warc.report(warc.read_archives(spark, slim)).collect())
+        first = {}
+        for r in sorted(pages.collect(), key=lambda r: r.page_id):
+            first.setdefault(r.html or "", r.page_id)
+        want = []
+        for r in pages.collect():
+            body = (r.html or "").encode()
+            digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+            again = first[r.html or ""] != r.page_id
+            want.append((r.page_id, len(body), digest, "revisit" if again else "response", first[r.html or ""] if again else None))
+        assert got == sorted(want)
+    empty = str(tmp_path / "empty")
+    warc.write_archives(warc.as_captures(pages.limit(0)), empty)
+    assert warc.report(warc.read_archives(spark, empty)).count() == 0
+
+
+def test_small_payloads_stay_responses(make, spark):
+    pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "aaaa"), (4, "u", "aaaa")], "page_id long, url string, html string")
+    got = warc.resolve_revisits(warc.as_captures(pages), min_payload=3).collect()
+    assert sorted(r.page_id for r in got if r.refers_to_id is None) == [1, 2, 3]
+
+
+# --- 6 ---------------------------------------------------------------------------------------
+
+
+def test_licences(spark, make):
+    files = [
+        (1, "a/LICENSE", "Released under the MIT License."),
+        (2, "a/b/x.py", "code\n" * 50),
+        (3, "a/b/c/COPYING", "Licensed under the Apache License, Version 2.0.\n" + "words " * 500),
+        (4, "a/b/c/d/y.py", "more code"),
+        (5, "a/b/c/z.py", "# Licensed under CC BY-NC 4.0.\n" + "code " * 400),
+        (6, "top.py", ""),
+        (7, None, None),
+        (8, "/e/LICENSE.txt", "released under the mit license"),
+        (9, "e/f.py", "The weather is fine under the sun."),
+    ]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("licence", F.lit("x"))
+    got = {r.doc_id: (r.own_licence, r.licence, r.inherited_from) for r in licences.scan_licences(df).collect()}
+    assert got == {
+        1: ("MIT", "MIT", None), 2: (None, "MIT", "a/LICENSE"), 3: ("Apache-2.0", "Apache-2.0", None),
+        4: (None, "Apache-2.0", "a/b/c/COPYING"), 5: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 6: (None, None, None),
+        7: (None, None, None), 8: ("MIT", "MIT", None), 9: (None, "MIT", "/e/LICENSE.txt"),
+    }
+    assert licences.scan_licences(df.limit(0)).count() == 0
+
+
+# --- 7 ---------------------------------------------------------------------------------------
+
+
+def test_language_model(make, corpus):
+    rnd = random.Random(1)
+    pairs = [f"k{i}" for i in range(12)]
+    docs = []
+    for i in range(300):  # after each word come two others only: what a bigram model can learn
+        w, out = rnd.randrange(12), []
+        for _ in range(60):
+            out.append(pairs[w].upper() if rnd.random() < 0.2 else pairs[w])
+            w = (2 * w + rnd.randrange(2)) % 12
+        docs.append((i, " ".join(out)))
+    docs += [(1000, None), (1001, "never seen words here")]
+    got = {r.doc_id: r for r in pitman_yor.score_texts(make(docs, context=1).repartition(4)).collect()}
+    tokens = {i: [*WORD.findall(lower(t)), None] for i, t in docs}
+    train = Counter(t for i, ts in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for t in ts)
+    n, v = sum(train.values()), len(train)
+    for i, ts in tokens.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(ts), sum(train[t] > 0 for t in ts), n)
+        assert math.isclose(r.base_score, sum(math.log10((train[t] + 1) / (n + v + 1)) for t in ts), rel_tol=1e-9)
+    held = [r for r in got.values() if r.held_out]
+    per_token = lambda k: sum(getattr(r, k) for r in held) / sum(r.n_tokens for r in held)
+    assert per_token("score") > per_token("base_score") + 0.5  # 12 words fall to 2: log10(6) is 0.78
+    assert pitman_yor.score_texts(make([])).count() == 0
+
+
+def test_predictive_probabilities_sum_to_one():
+    """Over all words and the unknown one, in every restaurant and after every sweep."""
+    rnd = np.random.default_rng(2)
+    v, contexts = 50, 4
+    n = rnd.integers(0, 30, (v, contexts)) * (rnd.random((v, contexts)) < 0.5)
+    n[:, 0] += 1
+    n[0, 1] = 5000
+    row, context = np.nonzero(n)
+    n = n[row, context]
+    word = minhash.mix(np.arange(v, dtype=np.uint64))
+    model = pitman_yor.Model(v, np.bincount(context, n, contexts), 0.7, 0.4)
+    for k in range(4):
+        for tables, at_root, root_tables in model.sweeps(word, row, context, n, k):
+            pass
+        assert (tables >= 1).all() and (tables <= n).all() and (root_tables <= at_root).all()
+        model.tables.append(np.bincount(context, tables, contexts))
+        model.root_customers.append(at_root.sum())
+        model.root_tables.append(root_tables.sum())
+        root = model.root(k, at_root, root_tables)
+        assert math.isclose(root.sum() + model.root(k, 0.0, 0.0), 1, rel_tol=1e-9)
+        for c in range(contexts):
+            have = np.zeros(v)
+            at = np.zeros(v)
+            have[row[context == c]], at[row[context == c]] = n[context == c], tables[context == c]
+            p = model.below(k, np.full(v, c), have, at, root).sum() + model.below(k, np.array([c]), np.zeros(1), np.zeros(1), model.root(k, 0.0, 0.0))[0]
+            assert math.isclose(p, 1, rel_tol=1e-9)
+
+
+def test_seating_follows_the_restaurant():
+    """Mean number of tables against the exact recursion for one word."""
+    d, theta, customers = 0.6, 2.0, 40
+    p = np.zeros(customers + 1)
+    p[1] = 1
+    for i in range(1, customers):
+        q = np.zeros_like(p)
+        for t in range(1, i + 1):
+            new = theta / (theta + i - d * t)
+            q[t + 1] += p[t] * new
+            q[t] += p[t] * (1 - new)
+        p = q
+    salt = minhash.mix(np.arange(20000, dtype=np.uint64))
+    got = pitman_yor.seat(np.full(20000, float(customers)), np.full(20000, theta), d, salt)
+    assert abs(got.mean() - (p * np.arange(customers + 1)).sum()) < 0.05
+
+
+# --- 8 ---------------------------------------------------------------------------------------
+
+
+def quality_by_hand(text):
+    text = text or ""
+    w = WORD.findall(text)
+    seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    cover = {i + k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(8)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    n, chars, symbols = len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text)
+    base = n < 20 or 100 * len(cover) > 30 * n
+    upper, letters = sum(c.isupper() for c in text), sum(c.isalpha() for c in text)
+    rest = 100 * symbols > 10 * n or not 2 * n <= chars <= 15 * n or 100 * (len(lines) - len(set(lines))) > 50 * len(lines) or 2 * upper > letters
+    return n, chars, symbols, len(lines) - len(set(lines)), len(cover), base, not base and not rest
+
+
+def test_quality_rules(make, corpus):
+    texts = [*corpus, (400, "Line one is here.\n" * 30), (401, "LOUD WORDS " + " ".join(f"W{i}" for i in range(40))),
+             (402, " ".join(f"a{i} ***" for i in range(60))), (403, "x" * 50 + " " + " ".join(f"{i}" * 20 for i in range(40))),
+             (404, "\n".join(["alpha beta gamma"] * 2 + [f"row {i} of many" for i in range(30)]))]
+    df = make(texts, words=1, symbols=2)
+    got = quality_rules.measure_quality(df).collect()
+    want = Counter((i, *quality_by_hand(t)) for i, t in texts)
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert Counter(tuple(r[c] for c in names) for r in got) == want
+    kept = quality_rules.filter_quality(df)
+    assert kept.columns == df.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, *v in want.elements() if v[-1])
+    assert quality_rules.filter_quality(make([])).count() == 0
+
+
+def test_cascade_order_changes_no_verdict(make, corpus):
+    df = make(corpus)
+    kept = lambda rules: Counter(r.doc_id for r in quality_rules.filter_quality(df, rules=rules).collect())
+    assert kept(quality_rules.RULES) == kept(quality_rules.RULES[::-1])
+
+
+# --- 9 ---------------------------------------------------------------------------------------
+
+
+def alignment_by_hand(a, b):
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+    return max(map(max, h))
+
+
+def test_alignment_equals_the_textbook():
+    rnd = random.Random(4)
+    for _ in range(60):
+        a, b = ([rnd.randrange(5) for _ in range(rnd.randrange(1, 25))] for _ in "ab")
+        score, i, j = decontaminate.local_alignment(np.array(a), np.array(b))
+        assert score == alignment_by_hand(a, b)
+        if score:
+            assert a[i] == b[j]
+
+
+def test_contamination_is_found_and_clean_texts_are_not(make, spark):
+    rnd = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(i, [rnd.choice(vocabulary) for _ in range(rnd.randrange(16, 60))]) for i in range(20)] + [(90, ["two", "words"]), (91, [])]
+    docs = []
+    for d in range(80):
+        w = [rnd.choice(vocabulary) for _ in range(rnd.randrange(30, 300))]
+        if d % 2:
+            passage = list(items[d % 20][1])
+            if d % 4 == 1:  # edited: a word in eight changed, one dropped
+                for k in range(0, len(passage), 8):
+                    passage[k] = "edited"
+                del passage[len(passage) // 2]
+            at = rnd.randrange(len(w))
+            w = w[:at] + passage + w[at:]
+        docs.append((d, " ".join(w)))
+    docs += [(200, None), (201, ""), (202, "Two Words."), (203, "so TWO\nwords it is")]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(None, "x y z"), (95, None)], "item_id long, text string")
+    frame = make(docs, item_id=7).repartition(3)
+    got = decontaminate.contaminated_passages(frame, bench).collect()
+    want = set()
+    for d, t in docs:
+        for i, w in items:
+            if w and alignment_by_hand(w, WORD.findall(lower(t))) >= 0.5 * len(w):
+                want.add((d, i))
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert want - {(202, 90)} <= found | {(202, 90)} and found <= want
+    assert {(d, d % 20) for d in range(1, 80, 2)} <= found and (203, 90) in found
+    in_blocks = decontaminate.contaminated_passages(frame, bench, block_grams=200)
+    assert {(r.doc_id, r.item_id) for r in in_blocks.collect()} == found
+    for r in got:
+        words = WORD.findall(lower(dict(docs)[r.doc_id]))[r.first_word : r.last_word + 1]
+        assert alignment_by_hand(dict(items)[r.item_id], words) == r.matched
+    left = decontaminate.drop_contaminated(frame, bench)
+    assert left.columns == frame.columns and {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in found}
+    assert decontaminate.contaminated_passages(make([]), bench).count() == 0
+    assert decontaminate.contaminated_passages(frame, bench.limit(0)).count() == 0
+
+
+# --- 10 --------------------------------------------------------------------------------------
+
+
+def test_shards(make, corpus):
+    rnd = random.Random(6)
+    docs = [*corpus, (None, "no id"), *[(1000 + i, "copy of one text") for i in range(400)], *[(2000 + i, "x" * rnd.randrange(400)) for i in range(600)]]
+    for n in (1, 5, 16):
+        got = sharding.shard_by_bytes(make(docs, shard=1, slot=2), n_shards=n).collect()
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter(
+            (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs
+        )
+        weight, slots = Counter(), defaultdict(list)
+        for r in got:
+            weight[r.shard] += r.size
+            slots[r.shard].append(r.slot)
+        assert set(weight) <= set(range(n))
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        largest = max(r.size for r in got)
+        assert max(weight.values()) <= sum(weight.values()) / n + 4 * largest
+    assert sharding.shard_by_bytes(make([]), n_shards=4).count() == 0
+    by_size = sharding.shard_by_bytes(make(docs), target_bytes=50_000).groupBy("shard").count().count()
+    assert by_size == -(-sum(len((t or "").encode()) + 1 for _, t in docs) // 50_000)
+
+
+def test_dense_slots_split_a_hot_group(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 = 0 as g")
+    got = dense_slots(df, ["g"], ["id"], 5000, "slot", cell_rows=50).collect()
+    for g in (True, False):
+        mine = sorted(r.slot for r in got if r.g == g)
+        assert mine == list(range(len(mine)))
+
+
+def test_intermediate_tables_go_to_the_shared_folder(make, spark):
+    assert new_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
