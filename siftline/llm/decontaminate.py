@@ -1,8 +1,9 @@
 """Operator 9: benchmark decontamination by rare seeds and local alignment.
 
 1. The n-grams of the test items are counted over the documents (in how many each occurs).
-2. Every stretch of an item gives its rarest n-gram as a seed, so that seeds are both rare and
-   spread over the whole item; however common a passage is, its item has seeds.
+2. Every stretch of an item gives the rarest of its n-grams that occur at all as a seed, so seeds
+   are both rare and spread over the whole item; however common a passage is, its item has
+   seeds. With stretches of two 3-grams, any five unedited words in a row hold a seed.
 3. Seeds join passages of the documents to items, and Smith-Waterman alignment of words (match 1,
    other -1, gap -1) scores the passage around the hits. A passage counts if its score reaches
    `least` of the item's words, so edited and partial copies are found too.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import free_names, materialize, table
 from .minhash import _ODD, WordHashes, mix, word_list
 
-SEED_WORDS, STRETCH, LEAST = 3, 4, 0.5
+SEED_WORDS, STRETCH, LEAST = 3, 2, 0.5
 #: N-grams of test items in a block: what is broadcast at once.
 BLOCK_GRAMS = 1_000_000
 
@@ -178,9 +179,9 @@ def contaminated_passages(
         sizes = sorted(set(known["n"]))
         wanted = spark.sparkContext.broadcast(np.sort(known["gram"].to_numpy().view(np.uint64)))
         counts = texts.select("text").mapInPandas(_gram_counts(wanted, sizes), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-        rarest = Window.partitionBy("item_id", "stretch").orderBy(F.coalesce("docs", F.lit(0)), "place")
+        rarest = Window.partitionBy("item_id", "stretch").orderBy("docs", "place")
         seeds = (
-            mine.join(counts, "gram", "left").withColumn("stretch", F.floor(F.col("place") / stretch))
+            mine.join(counts, "gram").withColumn("stretch", F.floor(F.col("place") / stretch))
             .withColumn("nth", F.row_number().over(rarest)).where("nth = 1").select("gram", "item_id", "place").toPandas()
         )
         order = np.argsort(seeds["gram"].to_numpy().view(np.uint64), kind="stable")

@@ -131,10 +131,13 @@ def _parsed(length: int, gram: int):
             order = np.argsort(batch["doc_id"].to_numpy(), kind="stable")
             ids, texts = batch["doc_id"].to_numpy()[order], batch["text"].to_numpy()[order]
             docs, triggers, phrases, firsts, counts, tags = [], [], [], [], [], []
+            rows = set()
             for i, text in enumerate(texts):
                 raw = _raw(text)
-                if len(raw) < length:
+                row = (ids[i], xxhash.xxh3_128_digest(raw))
+                if len(raw) < length or row in rows:  # a repeated row is no earlier document
                     continue
+                rows.add(row)
                 t, p, f, n = parse(np.frombuffer(raw, np.uint8), length, gram)
                 docs.append(np.full(len(t), i))
                 tags.append(np.full(len(t), _tag(raw)))
@@ -148,7 +151,6 @@ def _parsed(length: int, gram: int):
             _, new = np.unique(mix(trigger ^ mix(phrase)), return_index=True)
             seen = np.ones(len(doc), bool)
             seen[new] = False
-            # a repeated row is no earlier document
             same = ids[doc]
             place = tag | first << 7 | n
             keep = ~seen
