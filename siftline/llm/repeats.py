@@ -46,7 +46,9 @@ from .minhash import mix
 
 LENGTH, GRAM = 100, 28
 #: Bytes parsed at a time; pieces overlap by length - 1.
-PIECE = 4_000_000
+PIECE = 1_000_000
+#: Phrases a task cuts out before it hands them on.
+CHUNK_PHRASES = 20_000
 _INDEX_BITS = 24
 #: A null doc_id as a number before all others.
 NO_ID = -(1 << 63)
@@ -177,39 +179,40 @@ def _settled(ids: np.ndarray, tag: np.ndarray, first: np.ndarray, n: np.ndarray,
 
 
 def _pieces(length: int):
+    """The text of every phrase in `rims`, a flat list of places and triggers."""
+    names = ["doc_id", "trigger", "place", "piece"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, triggers, places, pieces = [], [], [], []
+            rows = []
             for doc_id, text, rims in zip(batch["doc_id"], batch["text"], batch["rims"], strict=True):
                 raw = _raw(text)
                 tag = _tag(raw)
-                for rim in rims:
-                    place = rim["place"]
-                    if place >> 47 << 47 != tag:
-                        continue
-                    first, n = place >> 7 & ((1 << 40) - 1), place & 127
-                    ids.append(doc_id)
-                    triggers.append(rim["trigger"])
-                    places.append(place)
-                    pieces.append(raw[first : first + n + length - 1])
-            yield pd.DataFrame({"doc_id": ids, "trigger": triggers, "place": places, "piece": pieces})
+                for place, trigger in rims.reshape(-1, 2).tolist():
+                    if place >> 47 << 47 == tag:
+                        first, n = place >> 7 & ((1 << 40) - 1), place & 127
+                        rows.append((doc_id, trigger, place, raw[first : first + n + length - 1]))
+                if len(rows) >= CHUNK_PHRASES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
-def _covered(size: int, found: list, tag: int, length: int) -> list[tuple[int, int]]:
-    """The maximal removed stretches of one text."""
+def _covered(size: int, found: np.ndarray, tag: int, length: int) -> list[tuple[int, int]]:
+    """The maximal removed stretches of one text; found: place, stop, low, high and so on."""
     starts, stops = [], []
-    for x in found:
-        place = x["place"]
+    for place, stop, low, high in found.reshape(-1, 4).tolist():
         if place >> 47 << 47 != tag:
             continue
         first = place >> 7 & ((1 << 40) - 1)
-        if x["stop"]:
+        if stop:
             starts.append(first)
-            stops.append(x["stop"])
+            stops.append(stop)
         else:
-            bits = x["low"] | x["high"] << 63
+            bits = low | high << 63
             at = [first + i for i in range(place & 127) if bits >> i & 1]
             starts += at
             stops += [i + 1 for i in at]
@@ -226,10 +229,11 @@ def _covered(size: int, found: list, tag: int, length: int) -> list[tuple[int, i
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per doc_id the repeated windows of `docs` (doc_id long, text), as a list `found`.
 
-    An entry has a place (see above) and either `stop`, the end of a stretch of windows, or, with
-    stop 0, two sets of bits, one for each window of the phrase.
+    An entry is four numbers of that list: a place (see above), then either `stop`, the end of a
+    stretch of windows, or, with stop 0, two sets of bits, one for each window of the phrase.
     """
-    parsed = docs.mapInPandas(_parsed(length, gram), _PARSED)
+    flat = lambda *c: F.flatten(F.collect_list(F.array(*c)))  # noqa: E731  numpy arrays in tasks, where structs would be dicts
+    parsed = docs.mapInPandas(_parsed(length, gram), _PARSED).repartition("trigger")
     in_phrase = Window.partitionBy("trigger", "phrase").orderBy("doc_id", "place")
     of_trigger = Window.partitionBy("trigger")
     sorted_phrases = parsed.withColumn("nth", F.rank().over(in_phrase)).withColumn(
@@ -239,9 +243,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     known = materialize(
         sorted_phrases.where("run is not null or nth > 1 or many").select("doc_id", "trigger", "place", stop.alias("stop")), "phrases"
     )
-    rims = known.where("stop is null").groupBy("doc_id").agg(F.collect_list(F.struct("place", "trigger")).alias("rims"))
+    rims = known.where("stop is null").groupBy("doc_id").agg(flat("place", "trigger").alias("rims"))
     pieces = docs.join(rims, "doc_id").mapInPandas(_pieces(length), "doc_id long, trigger long, place long, piece binary")
-    suffixes = pieces.repartition("trigger").select(
+    # a phrase becomes some forty suffixes, hence many partitions
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    suffixes = pieces.repartition(parts, "trigger").select(
         "doc_id", "trigger", "place", F.posexplode(F.sequence(F.lit(1), F.col("place").bitwiseAND(127).cast("int"))).alias("nth", "i"), "piece"
     ).select("doc_id", "trigger", "place", "nth", F.substring("piece", F.col("i"), length).alias("suffix"))
     # windows of one trigger are equal only if the trigger stands at one distance
@@ -251,11 +257,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     rim_found = materialize(
         again.groupBy("trigger", "doc_id", "place").agg(bit(0, 62).alias("low"), bit(63, 125).alias("high")).drop("trigger"), "rims"
     )
-    nothing = F.lit(0).cast("long")  # not null: pandas would turn the numbers of a list into floats
+    nothing = F.lit(0).cast("long")
     every = known.where("stop is not null").select("doc_id", "place", "stop", nothing.alias("low"), nothing.alias("high")).unionByName(
         rim_found.select("doc_id", "place", nothing.alias("stop"), "low", "high")
     )
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("place", "stop", "low", "high")).alias("found"))
+    return every.groupBy("doc_id").agg(flat("place", "stop", "low", "high").alias("found"))
 
 
 def _report(length: int):
