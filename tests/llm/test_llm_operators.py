@@ -56,18 +56,22 @@ def test_repeats_equal_brute_force(make, corpus, parts):
     assert sum(r.n_removed for r in got) > 10_000
 
 
-def test_repeats_pieces_and_random_strings(make, monkeypatch):
+def test_repeats_of_few_letters(make, monkeypatch):
+    """Texts that repeat at every scale, with other lengths, and cut into pieces."""
     rnd = random.Random(3)
     pool = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(20, 200))) for _ in range(12)]
     docs = [(i, "".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 9)))) for i in range(60)]
     want = removed_by_hand(docs, 40)
-    got = repeats.report_repeats(make(docs).repartition(3), length=40).collect() if False else None
-    for piece in (64, 1 << 20):
-        monkeypatch.setattr(repeats, "PIECE", piece)
-        for i, text in docs[:20]:
-            t, p, f, n = repeats.parse(np.frombuffer(text.encode(), np.uint8), 40, 12)
-            assert n.sum() == max(0, len(text) - 39)
-    assert got is None and want
+    texts = repeats._numbered(make(docs).repartition(3))
+    got = {r.doc_id: r.found for r in repeats.repeated_windows(texts, length=40, gram=12).collect()}
+    for i, text in docs:
+        raw, cover = want[i, text]
+        cuts = repeats._covered(len(raw), np.array(got.get(i, []), np.int64), repeats._tag(raw), 40)
+        assert [(m.start(), m.end()) for m in re.finditer(b"\x01+", bytes(cover))] == cuts
+    monkeypatch.setattr(repeats, "PIECE", 64)
+    for i, text in docs[:20]:
+        _, _, first, n = repeats.parse(np.frombuffer(text.encode(), np.uint8), 40, 12)
+        assert sorted(p for a, k in zip(first, n) for p in range(a, a + k)) == list(range(max(0, len(text) - 39)))
 
 
 def test_repeats_edge_rows(make, spark):
@@ -138,6 +142,16 @@ def test_near_duplicates_edge_rows(make):
     assert sorted(str(r.doc_id) for r in minhash.drop_near_duplicates(make(rows)).collect()) == ["11", "12", "4", "4", "None"]
 
 
+def test_parity_bits_differ_no_more_than_sets():
+    rnd = np.random.default_rng(8)
+    for n in (3, 200, 3000):
+        a = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n * 4 // 5], rnd.integers(0, 1 << 63, n // 5 + 1, dtype=np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        flipped = sum(int(x).bit_count() for x in (minhash.parity(a) ^ minhash.parity(b)).view(np.uint64))
+        assert flipped <= apart and (n > 200 or flipped > 0.9 * apart - 4)
+
+
 def test_densified_sketches_agree_as_sets_do():
     donors, rnd = minhash.donor_order(140), np.random.default_rng(5)
     for n in (4, 20, 400):

@@ -8,7 +8,7 @@ from pathlib import Path
 import corpus_pipeline
 from siftline.llm import repeats
 
-spec = importlib.util.spec_from_file_location("llm_brute_force", Path(__file__).with_name("test_operators.py"))
+spec = importlib.util.spec_from_file_location("llm_brute_force", Path(__file__).with_name("test_llm_operators.py"))
 brute = importlib.util.module_from_spec(spec)
 sys.modules["llm_brute_force"] = brute
 spec.loader.exec_module(brute)
