@@ -11,7 +11,9 @@
 4. Where a bucket's members are not all in its centre's component, the outsiders become
    centres too, four times as many each round, against the members of other components, until
    nobody is left. So no link between two texts that share a bucket is lost, while members
-   that are connected already are never paired again.
+   that are connected already are never paired again. These later pairs must first pass a bound
+   that no similar pair fails: each shingle flips one of 1024 bits, and two texts' bits differ in no
+   more places than their sets differ in shingles.
 
 At the default 28 bands of 5 rows, a pair of similarity 0.85 meets with probability
 1 - 1e-7, one of 0.5 with 0.59 and one of 0.2 with 0.01.
@@ -36,6 +38,7 @@ from .common import materialize, table
 from .graph import components
 
 BANDS, ROWS = 28, 5
+PARITY_LONGS = 16
 #: Word hashes a task remembers at most.
 CACHE_WORDS = 400_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -119,12 +122,20 @@ def _sketches(size: int, bands: int, rows: int):
     return run
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Which of the bits an odd number of shingles falls on."""
+    odd = np.bincount((hashes & np.uint64(PARITY_LONGS * 64 - 1)).astype(np.int64), minlength=PARITY_LONGS * 64) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
-            sets = [shingle_hashes(word_list(t), known, size).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": sets})
+            sets = [shingle_hashes(word_list(t), known, size) for t in batch["text"]]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"], "shingles": [x.view(np.int64) for x in sets], "parity": [parity(x) for x in sets],
+            })
 
     return run
 
@@ -153,7 +164,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     # the whole sets of the classes that met another one
     chosen = degree.select(F.col("rep").alias("doc_id"))
-    sets = materialize(texts.join(chosen, "doc_id", "left_semi").mapInPandas(_sets(size), "doc_id long, shingles array<long>"), "sets")
+    sets = materialize(texts.join(chosen, "doc_id", "left_semi").mapInPandas(_sets(size), "doc_id long, shingles array<long>, parity array<long>"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough, judged on their whole sets."""
@@ -183,12 +194,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         apart.select("key", "rep", F.col("n").alias("cn"), "centre", F.row_number().over(by_degree).alias("place")), "outsiders"
     )
     last = outsiders.agg(F.max("place")).first()[0] or 0
+    bits = sets.select(F.col("doc_id").alias("rep"), "parity")
+    flipped = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("bits", F.lit(i)))) for i in range(PARITY_LONGS)), F.lit(0))
+    # similar sets differ in at most this share of the sum of their sizes
+    bounded = (100 + percent) * flipped <= (100 - percent) * (F.col("n") + F.col("cn"))
     done, width = 0, 4
     while done < last:
         turn = outsiders.where((F.col("place") > done) & (F.col("place") <= done + width))
-        turn = named(named(turn, "centre", "main"), "rep", "own").where("own <> main").select("key", F.col("rep").alias("x"), "cn", "own")
-        ends = named(members.join(outsiders.select("key").distinct(), "key", "left_semi"), "rep", "label")
-        tried = ends.join(turn, "key").where("label <> own").where(fits)
+        turn = named(named(turn, "centre", "main"), "rep", "own").where("own <> main")
+        turn = turn.join(bits, "rep").select("key", F.col("rep").alias("x"), "cn", "own", F.col("parity").alias("bits"))
+        ends = named(members.join(outsiders.select("key").distinct(), "key", "left_semi"), "rep", "label").join(bits, "rep")
+        tried = ends.join(turn, "key").where("label <> own").where(fits & bounded)
         pairs = tried.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
         links = materialize(confirmed(materialize(pairs, "pairs")), "links")
         joined = named(named(links, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b")
