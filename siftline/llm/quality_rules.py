@@ -54,13 +54,14 @@ def n_repeat_words(tokens: Column, k: int = WINDOW) -> Column:
     the number of windows shows that. Only for the others are the windows themselves sorted,
     so that equal ones become neighbours and their stretches can be added up.
     """
-    starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - (k - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, k)))
-    windows = F.array_sort(
-        F.transform(starts, lambda i: F.struct(F.array_join(F.slice(tokens, i, k), " ").alias("w"), i.alias("i")))
-    )
+    def count(t: Column) -> Column:
+        starts = F.when(F.size(t) >= k, F.sequence(F.lit(1), F.size(t) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(t, i, k)))
+        windows = F.array_sort(
+            F.transform(starts, lambda i: F.struct(F.array_join(F.slice(t, i, k), " ").alias("w"), i.alias("i")))
+        )
+        plain = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+        return F.when(plain, F.lit(0).cast("long")).otherwise(let(let(windows, repeated), covered))
 
     def repeated(w: Column) -> Column:
         same = lambda j, x: F.coalesce(F.get(w, j)["w"] == x["w"], F.lit(False))
@@ -71,9 +72,7 @@ def n_repeat_words(tokens: Column, k: int = WINDOW) -> Column:
         gaps = F.transform(at, lambda p, j: F.least(F.lit(k), F.coalesce(F.get(at, j + 1) - p, F.lit(k))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
 
-    exact = let(let(windows, repeated), covered)
-    plain = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
-    return F.when(plain, F.lit(0).cast("long")).otherwise(exact)
+    return let(tokens, count)
 
 
 @dataclass(frozen=True)
@@ -118,22 +117,23 @@ RULES = (
 )
 
 
-def plan_cascade(df: DataFrame, rules: tuple[Rule, ...], measures: Measures, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def plan_cascade(df: DataFrame, text: Column, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules in order of rejections per second, both measured on at most `sample_rows` rows.
 
     One short job per rule reads the first rows only and returns one boolean per row.
     """
 
-    def probe(verdict: Column) -> tuple[int, float]:
+    def probe(rejects: Callable[[Measures], Column]) -> tuple[int, float]:
         start = time.perf_counter()
-        got = df.select(verdict.alias("v")).limit(sample_rows).collect()
+        got = df.select(judged(text, rejects).alias("v")).limit(sample_rows).collect()
         return sum(bool(r[0]) for r in got), time.perf_counter() - start
 
-    probe(F.lit(True))  # start-up belongs to no rule
-    floor = probe(measures.n_words < 0)[1]
+    none = lambda m: m.n_words < 0
+    probe(none)  # start-up belongs to no rule
+    floor = probe(none)[1]
     rate = {}
     for rule in rules:
-        rejected, seconds = probe(rule.rejects(measures))
+        rejected, seconds = probe(rule.rejects)
         rate[rule.name] = (rejected + 0.5) / max(seconds - floor, 1e-3)
     return sorted(rules, key=lambda r: -rate[r.name])
 
@@ -147,21 +147,27 @@ def verdict(order: list[Rule], measures: Measures) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
+def judged(text: Column, judge: Callable[[Measures], Column]) -> Column:
+    """What `judge` makes of a text whose words are split once.
+
+    The words are bound inside the expression: as a column of their own they would be put in
+    again wherever a filter names them, once per window of the text.
+    """
+    return let(words(text), lambda t: judge(Measures.of(text, t, F.size(t).cast("long"))))
+
+
 def filter_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows whose text passes every rule, with the columns of `df`."""
-    tokens, n_words = free_names(df, "tokens", "n_words")
-    seen = df.withColumn(tokens, words(F.col(text))).withColumn(n_words, F.size(tokens).cast("long"))
-    measures = Measures.of(F.col(text), F.col(tokens), F.col(n_words))
-    order = plan_cascade(seen, rules, measures, sample_rows)
-    return seen.where(verdict(order, measures).isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
+    order = plan_cascade(df, F.col(text), rules, sample_rows)
+    return df.where(judged(F.col(text), lambda m: verdict(order, m)).isNull())
 
 
 def measure_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`df` with the five measures, `base_failed` and `kept`; these names must be free in `df`."""
+    """`df` with the five measures, `base_failed` and `kept`; columns of `df` with these names are replaced."""
     (tokens,) = free_names(df, "tokens")
     seen = df.withColumn(tokens, words(F.col(text))).withColumn("n_words", F.size(tokens).cast("long"))
     direct = Measures.of(F.col(text), F.col(tokens), F.col("n_words"))
-    order = plan_cascade(seen, rules, direct, sample_rows)
+    order = plan_cascade(df, F.col(text), rules, sample_rows)
     names = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     full = seen.withColumns({n: getattr(direct, n) for n in names})
     columns = Measures(F.col(text), F.col(tokens), F.col("n_words"), *[F.col(n) for n in names])
