@@ -7,12 +7,28 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, new_path
 
-__all__ = ["WORD_SPACE", "base32_sha1", "dense_slots", "free_names", "let", "materialize", "new_path", "table", "words"]
+__all__ = [
+    "NO_ID", "WORD_SPACE", "base32_sha1", "dense_slots", "free_names", "let", "materialize", "new_path", "numbered", "own_id", "table", "words",
+]
 
 #: The six characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: A null doc_id on its way through Python, where a null would turn the ids beside it into floats.
+NO_ID = -(1 << 63)
+
+
+def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id as a long that is never null, and the given columns."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), *columns)
+
+
+def own_id(column: str = "doc_id") -> Column:
+    """The doc_id that `numbered` was given."""
+    return F.when(F.col(column) != NO_ID, F.col(column))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, table
+from .common import free_names, materialize, numbered, own_id, table
 from .minhash import _ODD, WordHashes, mix, word_list
 
 SEED_WORDS, STRETCH, LEAST = 3, 2, 0.5
@@ -75,7 +75,7 @@ def _item_grams(n: int):
             for item_id, text in zip(batch["item_id"], batch["text"], strict=True):
                 w = word_hashes(text, known)
                 g = gram_hashes(w, min(n, len(w))) if len(w) else w
-                if pd.isna(item_id) or not len(g):
+                if not len(g):
                     continue
                 ids += [item_id] * len(g)
                 places += range(len(g))
@@ -164,7 +164,8 @@ def contaminated_passages(
 ) -> DataFrame:
     """The best passage of each document (doc_id, text) for each item (item_id, text) it holds a copy of."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = numbered(docs, "text")
+    items = items.where("item_id is not null")
     grams = materialize(
         items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(_item_grams(n), "item_id long, place long, gram long, n int"),
         "item-grams",
@@ -187,20 +188,20 @@ def contaminated_passages(
         order = np.argsort(seeds["gram"].to_numpy().view(np.uint64), kind="stable")
         words = items.where(F.pmod(F.xxhash64(F.col("item_id").cast("long")), F.lit(blocks)) == k).select("item_id", "text").toPandas()
         hashes = WordHashes()
-        of_item = {int(i): word_hashes(t, hashes) for i, t in zip(words["item_id"], words["text"], strict=True) if not pd.isna(i)}
+        of_item = {int(i): word_hashes(t, hashes) for i, t in zip(words["item_id"], words["text"], strict=True)}
         shared = spark.sparkContext.broadcast((
             seeds["gram"].to_numpy().view(np.uint64)[order], seeds["item_id"].to_numpy()[order], seeds["place"].to_numpy()[order], of_item,
         ))
         found = texts.mapInPandas(_passages(shared, sizes, least), FOUND)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], FOUND)
+    return out.withColumn("doc_id", own_id()) if out is not None else spark.createDataFrame([], FOUND)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of `docs` that hold no copy of an item."""
     (gone,) = free_names(docs, "gone")
     bad = materialize(contaminated_passages(docs, items, **how).select(F.col("doc_id").alias(gone)).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id") == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

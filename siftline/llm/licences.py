@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, numbered, own_id, table
 
 LEAST = 0.7
 #: Notices by licence: public, fixed wording.
@@ -117,7 +117,7 @@ def scan_licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     A file is a licence file if its notice is at least one `most`-th of its words, or if it is
     named so.
     """
-    texts = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text")
+    texts = numbered(files, F.col("path").cast("string").alias("path"), "text")
     wanted = frozenset(t for lines in templates.values() for line in lines for t in terms(line))
     counted = texts.select("text").mapInPandas(_having(wanted), "term string, files long").groupBy("term").agg(F.sum("files").alias("n"))
     having = {r["term"]: r["n"] for r in counted.collect()}  # at most one row per template term
@@ -125,7 +125,7 @@ def scan_licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     own = materialize(
         texts.mapInPandas(_own(known, least, most), "doc_id long, path string, own_licence string, own_score double, is_licence_file boolean"),
         "licences",
-    ).withColumn("directory", _directory(F.col("path")))
+    ).withColumn("directory", _directory(F.col("path"))).withColumn("doc_id", own_id())
     named = F.element_at(F.split("path", "/"), -1).rlike(r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$")
     givers = own.where("own_licence is not null and directory is not null").where(F.col("is_licence_file") | named)
     first = F.min_by(F.struct("own_licence", "path"), F.struct(-F.col("own_score"), "path"))

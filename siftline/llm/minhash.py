@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import NO_ID, materialize, numbered, own_id, table
 from .graph import components
 
 BANDS, ROWS = 28, 5
@@ -145,12 +145,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     Two texts are linked if 100 * common shingles >= percent * all shingles of both.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = numbered(docs, "text")
     sketches = materialize(
         texts.mapInPandas(_sketches(size, bands, rows), "doc_id long, n long, set_a long, set_b long, keys array<long>"), "sketches"
     )
     same = ["set_a", "set_b", "n"]
-    known = sketches.where("n > 0 and doc_id is not null")
+    known = sketches.where(f"n > 0 and doc_id <> {NO_ID}")
     classes = materialize(known.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
 
     # buckets where two classes or more meet
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     named_classes = materialize(named(classes, "rep", "component_id").select(*same, "component_id"), "components")
     found = known.select("doc_id", *same).join(named_classes, same)
-    alone = sketches.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    alone = sketches.where(f"n = 0 or doc_id = {NO_ID}").select(own_id().alias("doc_id"), "n", own_id().alias("component_id"))
     return found.select("doc_id", "n", "component_id").unionByName(alone).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),

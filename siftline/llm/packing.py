@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dense_slots, materialize, table
+from .common import dense_slots, materialize, numbered, own_id, table
 
 CAPACITY = 2048
 #: Text characters given to the tokenizer at once.
@@ -78,12 +78,12 @@ def _tokenize(path: str, capacity: int):
         enc = encoder(path)
         for batch in batches:
             ids, rows = [], []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
-                got = token_pieces(None if text is None or text is pd.NA else text, enc, capacity)
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                got = token_pieces(text if isinstance(text, str) else None, enc, capacity)
                 rows += got
                 ids += [doc_id] * len(got)
             out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
-            out.insert(0, "doc_id", pd.array([None if pd.isna(x) else int(x) for x in ids], dtype="Int64"))
+            out.insert(0, "doc_id", np.array(ids, np.int64))
             yield out
 
     return run
@@ -143,7 +143,7 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = materialize(
-        docs.select("doc_id", "text").mapInPandas(
+        numbered(docs, "text").mapInPandas(
             _tokenize(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"
         ),
         "pieces",
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
 
     ranked = dense_slots(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], sum(counts.values()), "_rank")
     return ranked.withColumn("_at", place("length", "_rank")).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset"
+        own_id().alias("doc_id"), "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset"
     )
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import NO_ID, materialize, numbered, own_id, table
 from .minhash import _ODD, WordHashes, mix, word_list
 
 CONTEXT_SHARE = 1024
@@ -45,7 +45,6 @@ GROUP = 64
 CONCENTRATION = 1.0
 #: The end token's hash; a word's hash is never this one but by chance of 1 in 2^64.
 END = np.uint64(0x1D8E4E27C47D124F)
-NO_ID = -(1 << 63)
 TOKEN = np.dtype([("doc", "<i8"), ("context", "<i2"), ("n", "<i4")])
 ENTRY = np.dtype([("context", "<i2"), ("n", "<i8")])
 CHANCE = np.dtype([("context", "<i2"), ("p", "<f4")])
@@ -306,7 +305,7 @@ def _scores(model: Model, averaged: int, tokens_in_training: int):
 
 def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of `docs` (doc_id, text)."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    texts = numbered(docs, "text")
     words = materialize(
         texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words"
     )
@@ -342,7 +341,7 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED)
         _scores(model, averaged, total), "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
     scored = parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in sums])
-    own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    own = own_id()
     return scored.select(
         own.alias("doc_id"), (F.crc32(F.coalesce(own.cast("string"), F.lit(""))) % 7 == 2).alias("held_out"),
         "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, table
+from .common import NO_ID, free_names, materialize, numbered, own_id, table
 from .minhash import mix
 
 LENGTH, GRAM = 100, 28
@@ -50,8 +50,6 @@ PIECE = 1_000_000
 #: Phrases a task cuts out before it hands them on.
 CHUNK_PHRASES = 20_000
 _INDEX_BITS = 24
-#: A null doc_id as a number before all others.
-NO_ID = -(1 << 63)
 
 
 @lru_cache(maxsize=1)
@@ -284,18 +282,14 @@ def _report(length: int):
     return run
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-
-
 def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of `docs` (doc_id, text)."""
-    texts = _numbered(docs)
+    texts = numbered(docs, "text")
     found = repeated_windows(texts, length)
     out = texts.join(found, "doc_id", "left").mapInPandas(
         _report(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return out.withColumn("doc_id", own_id())
 
 
 def kept_text(raw: bytes, cuts: list[tuple[int, int]]) -> str:
@@ -316,7 +310,7 @@ def kept_text(raw: bytes, cuts: list[tuple[int, int]]) -> str:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with every repeated string taken out of `text`; all rows and columns stay."""
     key, found = free_names(docs, "key", "found")
-    spans = repeated_windows(_numbered(docs), length).select(F.col("doc_id").alias(key), F.col("found").alias(found))
+    spans = repeated_windows(numbered(docs, "text"), length).select(F.col("doc_id").alias(key), F.col("found").alias(found))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, found: pd.Series) -> pd.Series:

@@ -13,8 +13,8 @@ the tree; texts are read once and never shuffled.
 
 Edge cases: a null text has no bytes (size 1); a null dimension counts as its least value;
 repeated rows and ids are dealt by their hash and, if wholly equal, go to one side together;
-fewer rows than shards leave shards empty; an empty table gives no rows; extra columns pass
-`shard_by_bytes` untouched in the narrow table only if named.
+fewer rows than shards leave shards empty; an empty table gives no rows; extra columns are
+left out.
 """
 
 from __future__ import annotations

@@ -25,9 +25,8 @@ from functools import lru_cache
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, own_id, table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -130,8 +129,8 @@ def _count(path: str):
 
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens and the best path's score for every row of `docs` (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInPandas(_count(vocabulary), "doc_id long, n_tokens long, score double")
+    counted = numbered(docs, "text").mapInPandas(_count(vocabulary), "doc_id long, n_tokens long, score double")
+    return counted.withColumn("doc_id", own_id())
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

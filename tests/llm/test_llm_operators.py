@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm import decontaminate, licences, minhash, packing, pitman_yor, quality_rules, repeats, sharding, token_counts, warc
-from siftline.llm.common import dense_slots, new_path
+from siftline.llm.common import dense_slots, new_path, numbered
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,7 +62,7 @@ def test_repeats_of_few_letters(make, monkeypatch):
     pool = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(20, 200))) for _ in range(12)]
     docs = [(i, "".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 9)))) for i in range(60)]
     want = removed_by_hand(docs, 40)
-    texts = repeats._numbered(make(docs).repartition(3))
+    texts = numbered(make(docs).repartition(3), "text")
     got = {r.doc_id: r.found for r in repeats.repeated_windows(texts, length=40, gram=12).collect()}
     for i, text in docs:
         raw, cover = want[i, text]
@@ -177,7 +177,7 @@ def test_token_counts_equal_the_library(make, corpus):
     low = min(pieces.values())
     vocab += [(f"<0x{i:02X}>", low) for i in range(256)]
     exact = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=True))
-    texts = [*corpus, (200, "日本語 \U0001f600\U0001f600 a  b   c\n\nd"), (201, "   "), (202, " lead"), (203, "ééßß x")]
+    texts = [*corpus, (None, "no id"), ((1 << 60) + 1, "a large id"), (200, "日本語 \U0001f600\U0001f600 a  b   c\n\nd"), (201, "   "), (202, " lead"), (203, "ééßß x")]
     got = token_counts.count_tokens(make(texts), path).collect()
     want = Counter()
     for i, t in texts:
@@ -461,7 +461,7 @@ def test_contamination_is_found_and_clean_texts_are_not(make, spark):
             at = rnd.randrange(len(w))
             w = w[:at] + passage + w[at:]
         docs.append((d, " ".join(w)))
-    docs += [(200, None), (201, ""), (202, "Two Words."), (203, "so TWO\nwords it is")]
+    docs += [(200, None), (201, ""), (202, "Two Words."), (203, "so TWO\nwords it is"), (None, "x " + " ".join(items[0][1])), ((1 << 60) + 1, " ".join(items[1][1]))]
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(None, "x y z"), (95, None)], "item_id long, text string")
     frame = make(docs, item_id=7).repartition(3)
     got = decontaminate.contaminated_passages(frame, bench).collect()
