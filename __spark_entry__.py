@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from siftline.plans import recipe as recipes  # noqa: E402
 from siftline.plans.profile import NUMERIC_FIELDS, Profiler  # noqa: E402
 from siftline.session import DEFAULTS, new_path  # noqa: E402
 from siftline.sources import csv as csv_source  # noqa: E402
-from siftline.sources import registry, summary, workbooks  # noqa: E402
+from siftline.sources import registry, summary  # noqa: E402
 
 try:  # the training-data operators are an optional part
     import corpus_pipeline
@@ -83,6 +84,13 @@ def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
 
 
+def _placed(ordered: DataFrame) -> DataFrame:
+    """A few ordered rows with their position, so that a comparison sees the order."""
+    place = F.posexplode("rows").alias("position", "row")
+    listed = ordered.agg(F.collect_list(F.struct(*ordered.columns)).alias("rows")).select(place)
+    return listed.select("row.*", (F.col("position") + 1).cast("bigint").alias("position"))
+
+
 STEPS = [
     recipes.Step("remove_duplicates", config={"keep": "first"}, id="s1", description="Remove duplicate rows"),
     recipes.Step("fill_missing", "total", {"strategy": "median"}, "s2", "Fill total"),
@@ -92,12 +100,6 @@ STEPS = [
     recipes.Step("remove_outlier_rows", "total", {}, "s6", "Remove outliers of total"),
     recipes.Step("remove_column", "notes", {}, "s7", "Remove notes"),
 ]
-AFFECTED = {
-    "remove_duplicates": "(select duplicate_row_count from totals)",
-    "fill_missing": "(select missing_count from prof where name = 'total')",
-    "normalize_text": "(select inconsistent_spellings from prof where name = 'priority')",
-}
-
 # --- sources --------------------------------------------------------------------------------
 
 
@@ -132,56 +134,44 @@ def validate_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _workbook_files(frame):
-    """One small workbook per group of orders: the input of `read_workbooks`."""
-    import zipfile
-    from xml.sax.saxutils import escape
-
-    import pandas as pd
-
-    def row(cells, n):
-        body = "".join(
-            f'<c r="{chr(65 + i)}{n}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for i, v in enumerate(cells)
-        )
-        return f'<row r="{n}">{body}</row>'
-
-    frame = frame.sort_values("order_id")
-    data = frame[["order_id", "status", "priority"]].itertuples(index=False)
-    xml = row(["order_id", "status", "priority"], 1) + "".join(row(r, n) for n, r in enumerate(data, 2))
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rels = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    target = f"{frame['folder'].iloc[0]}/book-{frame['book'].iloc[0]:09d}.xlsx"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(
-            "xl/workbook.xml",
-            f'<workbook xmlns="{main}" xmlns:r="{rels}"><sheets><sheet name="a" sheetId="1" r:id="r1"/></sheets></workbook>',
-        )
-        z.writestr(
-            "xl/_rels/workbook.xml.rels",
-            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-            '<Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
-        )
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{xml}</sheetData></worksheet>')
-    return pd.DataFrame({"file": [target]})
-
-
-def read_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written as workbooks of 1000 rows each into the shared folder, then read."""
-    folder = new_path(spark, "xlsx").removeprefix("file:")
-    os.makedirs(folder)
-    orders = _table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("bigint").alias("order_id"),
-        F.col("o_orderstatus").alias("status"),
-        F.col("o_orderpriority").alias("priority"),
-        F.expr("bigint(o_orderkey div 1000)").alias("book"),
-        F.lit(folder).alias("folder"),
+def _csv_texts(df: DataFrame, path: str, head: str, lines: str) -> None:
+    """Append CSV files to a folder: `head` before the first line of each."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    line = F.expr(lines)
+    df.select(F.when(first, F.concat(F.lit(head), line)).otherwise(line).alias("value")).write.mode("append").option(
+        "lineSep", "\r\n"
+    ).text(path)
+
+
+def read_csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder whose files have different columns, one kind with a `sep=` line, and rows that equal a header."""
+    path, orders = new_path(spark, "mixed"), _table(spark, sf_dir, "orders")
+    _csv_texts(
+        orders.where("o_orderkey % 2 = 0"), path, "sep=,\r\nkey, status \r\n",
+        "if(o_orderkey % 50 = 0, 'key,status', concat(o_orderkey, ',', o_orderstatus))",
     )
-    orders.groupBy("book").applyInPandas(_workbook_files, "file string").write.format("noop").mode("overwrite").save()
-    cells = workbooks.read_workbooks(spark, folder)
-    return workbooks.workbook_table(cells, ["order_id", "status", "priority"]).select(
-        F.regexp_extract("file", r"book-(\d+)", 1).cast("bigint").alias("book"),
-        "row_no", "order_id", "status", "priority",
+    _csv_texts(
+        orders.where("o_orderkey % 2 = 1"), path, "priority,key,total,\r\n",
+        "concat(o_orderpriority, ',', o_orderkey, ',', cast(o_totalprice as decimal(18,2)))",
     )
+    return csv_source.read_csv(spark, path, multiline=False, union=True)
+
+
+def validate_load_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files beside the orders that have no rows, line ends only, an open quote, or another extension."""
+    path, orders = new_path(spark, "bad"), _table(spark, sf_dir, "orders")
+    _csv_texts(orders, f"{path}/good.csv", "sep=,\r\nkey,status\r\n", "concat(o_orderkey, ',', o_orderstatus)")
+    for name, text in (("bare.csv", "a,b"), ("blank.csv", "\n\n"), ("open.csv", 'a,b\n"1,2'), ("other.txt", "a\n1")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{path}/{name}")
+    # the sink names its files .txt, so only the last folder is held to .csv
+    checked = [
+        csv_source.validate_load(
+            spark, f"{path}/{name}/part-*", multiline=False, extensions=("csv",) if name == "other.txt" else ("csv", "txt")
+        )
+        for name in ("good.csv", "bare.csv", "blank.csv", "open.csv", "other.txt")
+    ]
+    kind = F.regexp_extract("file", r"/(\w+\.\w+)/[^/]*$", 1)
+    return reduce(DataFrame.unionByName, checked).groupBy(kind.alias("kind"), "ok", "error").agg(F.sum("row_count").alias("row_count"))
 
 
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,13 +179,14 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = _messy(spark, sf_dir)
-    profile = Profiler(before, "messy_orders", row_id=ROW).profile
-    steps = STEPS[:1]
-    after = Profiler(recipes.apply_recipe(before, steps, ROW), "messy_orders", row_id=ROW).profile
-    table = recipes.affected_counts(profile, recipes.recipe_table(spark, STEPS[:3]))
-    report = summary.cleaning_summary(profile, after, table)
-    return report.select("dataset", "quality", F.explode("operations").alias("op")).select(
+    """The whole recipe's report, written as JSON and read back; each step counted on its own version."""
+    profile_of = lambda df: Profiler(df, "messy_orders", row_id=ROW).profile
+    _, steps, before, after = recipes.counted_recipe(_messy(spark, sf_dir), STEPS, profile_of, ROW)
+    report = summary.cleaning_summary(before, after, recipes.recipe_table(spark, steps))
+    path = new_path(spark, "summary")
+    summary.write_summary(report, path, "2026-01-01T00:00:00Z")
+    stored = spark.read.schema(report.schema).json(path)
+    return stored.select("dataset", "quality", F.explode("operations").alias("op")).select(
         "dataset.name", "dataset.rows_before", "dataset.rows_after", "dataset.columns",
         F.col("quality.before").alias("score_before"), F.col("quality.after").alias("score_after"),
         "op.step", "op.type", "op.column", "op.affected_count",
@@ -263,6 +254,20 @@ def column_profile(p: Profiler) -> DataFrame:
     return flat
 
 
+def _typed_profile(table: str) -> Query:
+    """The profile of a table of numbers, timestamps and texts."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Profiler(_table(spark, sf_dir, table), table).column_profile().select(
+            "ordinal", "name", "inferred_type", "total_values", "missing_count", "unique_count",
+            F.round("numeric_stats.mean", 4).alias("mean"), F.round("numeric_stats.median", 4).alias("median"),
+            F.round("numeric_stats.p99", 4).alias("p99"), F.col("date_stats.earliest").alias("earliest"),
+            F.col("date_stats.latest").alias("latest"), "outlier_count",
+        )
+
+    return query
+
+
 def dataset_profile(p: DataFrame) -> DataFrame:
     return p.select(
         "dataset", "row_count", "column_count", "incomplete_row_count", "duplicate_row_count",
@@ -287,7 +292,7 @@ def _flags(p: Profiler) -> DataFrame:
 
 
 def _flagged(issue_type: str) -> Query:
-    return _on_profiler(lambda p: rows.rows_with(p.df, p, ROW, issue_type).select(ROW))
+    return _on_profiler(lambda p: rows.rows_with(p.df, p, ROW, issue_type))
 
 
 def remove_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,6 +301,10 @@ def remove_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.remove_rows(_messy(spark, sf_dir), pending, ROW)
 
 
+def _titled(df: DataFrame) -> DataFrame:
+    return clean.normalize_text(df, "priority", ["trim", "titlecase"])
+
+
 def cell_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = _messy(spark, sf_dir)
     return rows.cell_diff(before, recipes.apply_recipe(before, STEPS, ROW), ROW)
@@ -355,6 +364,16 @@ def map_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def apply_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first suggestion of each kind, accepted while it is fresh and applied to the data."""
+    df = _messy(spark, sf_dir)
+    now = suggest.fingerprint(df, "messy_orders", "2026-01-01T00:00:00Z", [], ROW).select("dataset", "fingerprint", "content")
+    mapped = suggest.map_suggestions(parse_suggestions(spark, sf_dir), _profiler(spark, sf_dir).profile)
+    first = mapped.where("step_type is not null").groupBy("step_type").agg(F.min("reply_id").alias("reply_id"))
+    stored = mapped.join(first, ["step_type", "reply_id"]).join(now, "dataset")
+    return recipes.apply_recipe(df, suggest.accepted_steps(stored, now, "reply_id"), ROW)
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.fingerprint(_messy(spark, sf_dir), "messy_orders", "2026-01-01T00:00:00Z", ["s1", "s2"], ROW)
 
@@ -372,12 +391,15 @@ def queries() -> dict[str, Query]:
         "read_csv": read_csv,
         "conform_rows": conform_rows,
         "validate_load": validate_load,
-        "read_workbooks": read_workbooks,
+        "read_csv_mixed_headers": read_csv_mixed_headers,
+        "validate_load_bad_files": validate_load_bad_files,
         "csv_lines": csv_lines,
         "cleaning_summary": cleaning_summary,
         "load_registry": load_registry,
         "cell_functions": cell_functions,
         "value_freq": value_freq,
+        "column_profile_lineitem": _typed_profile("lineitem"),
+        "column_profile_events": _typed_profile("events"),
         "missing_counts": _on_messy(lambda df: stats.missing_counts(_cells(df))),
         "infer_types": _on_messy(lambda df: stats.infer_types(_cells(df))),
         "unique_counts": _on_messy(
@@ -403,10 +425,13 @@ def queries() -> dict[str, Query]:
         "column_profile": _on_profiler(column_profile),
         "dataset_profile": _on_profile(dataset_profile),
         "completeness": _on_messy(lambda df: stats.completeness(_cells(df))),
-        "type_summary": _on_messy(lambda df: stats.type_summary(stats.column_counters(_cells(df)))),
+        "type_summary": _on_messy(lambda df: _placed(stats.type_summary(stats.column_counters(_cells(df))))),
         "fill_type_hint": fill_type_hint,
         "issues": _on_profile(lambda p: issues.issues_of(p).drop("dataset")),
-        "issues_ranked": _on_profile(lambda p: issues.issues_ranked(issues.issues_of(p)).select("id", "severity")),
+        "issues_ranked": _on_profile(lambda p: _placed(issues.issues_ranked(issues.issues_of(p)).select("id", "severity"))),
+        "issues_ranked_outliers": _on_profile(
+            lambda p: _placed(issues.issues_ranked(issues.issues_of(p), "potential_outliers").select("id", "severity"))
+        ),
         "issue_type_counts": _on_profile(lambda p: issues.issue_type_counts(issues.issues_of(p)).drop("dataset")),
         "issue_rollup": _on_profile(issue_rollup),
         "quality_score": _on_profile(lambda p: p.select("dataset", "quality_score", "score_label")),
@@ -414,6 +439,9 @@ def queries() -> dict[str, Query]:
         "column_search": _on_profile(
             lambda p: issues.column_search(p, "OR", None, True).select("ordinal", "name", "inferred_type")
         ),
+        "column_search_numbers": _on_profile(
+            lambda p: issues.column_search(p, "", "number", None).select("ordinal", "name", "inferred_type")
+        ),
         "column_search_clean": _on_profile(
             lambda p: issues.column_search(p, "", None, False).select("ordinal", "name", "inferred_type")
         ),
@@ -446,6 +474,7 @@ def queries() -> dict[str, Query]:
         "rows_duplicate": _flagged("duplicate_rows"),
         "rows_inconsistent": _flagged("inconsistent_values"),
         "rows_outlier": _flagged("potential_outliers"),
+        "find_page": _on_profiler(lambda p: rows.find_page(p.df, p, ROW, "missing_values", "urgent", page=3, size=25)),
         "any_issue_count": _on_profiler(lambda p: rows.any_issue_count(_flags(p))),
         "search_rows": _on_messy(lambda df: rows.search_rows(df, " Urgent ", o.COLUMNS)),
         "page_rows": _on_messy(lambda df: rows.page_rows(df, ROW, page=7, size=50)),
@@ -474,6 +503,12 @@ def queries() -> dict[str, Query]:
         "chart_histogram_text": _on_messy(lambda df: charts.chart_histogram(df, "total")),
         "chart_scatter": _on_events(lambda df: charts.chart_scatter(df, "event_id", "value", "event_id")),
         "chart_donut": _on_messy(lambda df: _rounded(charts.chart_donut(df, "priority", ROW), {"share": 4})),
+        "chart_request": _on_messy(
+            lambda df: _rounded(
+                charts.draw(charts.ChartRequest("bar", "priority", "total", "sum", cleaned=True), df, _titled(df), ROW).drop("x_label", "y_label"),
+                {"value": 2},
+            )
+        ),
         "chart_recommendations": _on_profile(lambda p: charts.chart_recommendations(issues.columns_of(p)).drop("dataset")),
         "y_candidates": _on_profile(lambda p: charts.y_candidates(issues.columns_of(p), "bar", "order_id").drop("dataset")),
         "default_chart_column": _on_profile(lambda p: charts.default_chart_column(issues.columns_of(p))),
@@ -482,6 +517,7 @@ def queries() -> dict[str, Query]:
         "parse_insights": parse_insights,
         "reply_status": reply_status,
         "map_suggestions": map_suggestions,
+        "apply_suggestions": apply_suggestions,
         "fingerprint": fingerprint,
         **(llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {}),
     }
@@ -499,14 +535,6 @@ def _oracle_sources() -> dict[str, str]:
         f"else coalesce({c}, '') end"
         for c in doc_cells
     )
-    recommendations = ", ".join(
-        f"('{t}', {r}, '{c}', '{label}', '{agg}', {str(y).lower()})" for t, r, c, label, agg, y in charts.RECOMMENDATIONS
-    )
-    affected = " union all ".join(
-        f"select cast({i} as bigint) as step, '{s.type}' as type, {repr(s.column) if s.column else 'null'} as \"column\", "
-        f"{AFFECTED[s.type]} as affected_count"
-        for i, s in enumerate(STEPS[:3], 1)
-    )
     return {
         "read_csv": o.messy(f"select {filled} from messy"),
         "conform_rows": (
@@ -514,19 +542,21 @@ def _oracle_sources() -> dict[str, str]:
             "case when o_orderkey % 3 = 0 then '' else o_orderpriority end as priority from orders"
         ),
         "validate_load": "select true as ok, count(*) as row_count from orders",
-        "read_workbooks": (
-            "select cast(o_orderkey // 1000 as bigint) as book, "
-            "row_number() over (partition by o_orderkey // 1000 order by o_orderkey) as row_no, "
-            "cast(o_orderkey as varchar) as order_id, o_orderstatus as status, o_orderpriority as priority from orders"
+        "read_csv_mixed_headers": (
+            "select case when o_orderkey % 50 = 0 then 'key' else cast(o_orderkey as varchar) end as key, "
+            "case when o_orderkey % 2 = 1 then '' when o_orderkey % 50 = 0 then 'status' else o_orderstatus end as status, "
+            "case when o_orderkey % 2 = 1 then o_orderpriority else '' end as priority, "
+            "case when o_orderkey % 2 = 1 then cast(cast(o_totalprice as decimal(18,2)) as varchar) else '' end as total from orders"
+        ),
+        "validate_load_bad_files": (
+            "select 'good.csv' as kind, true as ok, null as error, count(*) as row_count from orders union all "
+            f"select 'bare.csv', false, '{csv_source.NO_ROWS}', 0 union all "
+            f"select 'blank.csv', false, $${csv_source.UNREADABLE}$$, 0 union all "
+            f"select 'open.csv', false, $${csv_source.UNREADABLE}$$, 1 union all "
+            f"select 'other.txt', false, '{csv_source.UNSUPPORTED}', 1"
         ),
         "csv_lines": f"select {quoted} as line from documents",
-        # the duplicates are the only fault that the first step removes
-        "cleaning_summary": o.q(
-            f"""select 'messy_orders' as name, row_count as rows_before, row_count - duplicate_row_count as rows_after,
-            n_cols as columns, quality_score as score_before, after_score as score_after,
-            a.step, a.type, a."column", a.affected_count
-            from score, ({affected}) a, ({_score_after_dedup()}) x"""
-        ),
+        "cleaning_summary": o.cleaning_summary([(x.type, x.column) for x in STEPS]),
         "load_registry": o.over(
             o.LOADS,
             "select * exclude (rn) from (select *, row_number() over (partition by name order by loaded_at desc, "
@@ -536,24 +566,18 @@ def _oracle_sources() -> dict[str, str]:
         ),
         "chart_recommendations": o.q(
             "select inferred_type, cast(ordinal as bigint) as ordinal, name as \"column\", cast(rank as bigint) as rank, chart, chart_label, default_aggregation, needs_y "
-            f"from prof join (values {recommendations}) r(t, rank, chart, chart_label, default_aggregation, needs_y) "
+            f"from prof join (values {o.RECOMMENDATIONS}) r(t, rank, chart, chart_label, default_aggregation, needs_y) "
             "on prof.inferred_type = r.t"
         ),
     }
 
 
-def _score_after_dedup() -> str:
-    """Quality score of the rows left after keep-first, computed from those rows."""
-    one = "(select * from messy qualify row_number() over (partition by " + o.row_key() + " order by row_id) = 1)"
-    miss = " + ".join(f"count(*) filter (where {o.missing(c)})" for c in o.COLUMNS if c != "notes")
-    num = o.prefix_number("total")
-    id_num = o.prefix_number("order_id")
-    return f"""select cast(floor(100 - (30 * miss / (n * 5.0) + 5 + 10 * outliers / cells + 2.5) + 0.5) as bigint) as after_score
-    from (select count(*) as n, {miss} as miss,
-        count(*) filter (where not {o.missing('total')}) + count(*) as cells from {one}),
-      (select count(*) filter (where x < q1 - 1.5 * (q3 - q1) or x > q3 + 1.5 * (q3 - q1)) as outliers
-       from (select {num} as x from {one} where not {o.missing('total')}),
-            (select quantile_cont({num}, 0.25) as q1, quantile_cont({num}, 0.75) as q3 from {one} where not {o.missing('total')}))"""
+NUMBERS, DATES = "number", "date"
+LINEITEM = {
+    "l_orderkey": NUMBERS, "l_partkey": NUMBERS, "l_suppkey": NUMBERS, "l_linenumber": NUMBERS, "l_quantity": NUMBERS,
+    "l_extendedprice": NUMBERS, "l_discount": NUMBERS, "l_tax": NUMBERS, "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": DATES,
+}
+EVENTS = {"event_id": NUMBERS, "ts": DATES, "user_id": NUMBERS, "event_type": "text", "value": NUMBERS, "props": "text"}
 
 
 def _oracle_profile() -> dict[str, str]:
@@ -571,7 +595,10 @@ def _oracle_profile() -> dict[str, str]:
         "select * from (select col, value, row_number() over (partition by col order by row_id) as rn from cells "
         f"where not {o.missing('value')}) where rn <= 50"
     )
-    return {
+    typed = {
+        "column_profile_lineitem": o.typed_profile("lineitem", LINEITEM), "column_profile_events": o.typed_profile("events", EVENTS),
+    }
+    return typed | {
         "cell_functions": o.messy(
             f"""select row_id, {o.missing('total')} as missing, coalesce({o.is_number('total')}, false) as numeric_like,
             coalesce({o.norm('filled')} in ('true','false','yes','no','1','0'), false) as boolean_like,
@@ -644,7 +671,9 @@ def _oracle_profile() -> dict[str, str]:
             f"""select "column", completeness, case when completeness >= 95 then 'good' when completeness >= 80 then 'fair' else 'poor' end as band
             from (select col as "column", {o.half_up('(total_values / row_count * 100)', 1)} as completeness from types)"""
         ),
-        "type_summary": o.q("select inferred_type, count(*) as n_columns from types group by 1"),
+        "type_summary": o.q(
+            "select inferred_type, count(*) as n_columns, row_number() over (order by count(*) desc, inferred_type) as position from types group by 1"
+        ),
         "fill_type_hint": o.q(
             f""", f as ({first50}), h as (select col, count(*) as n,
             count(*) filter (where regexp_full_match({o.trimmed('value')}, '-?[0-9]+([.][0-9]+)?')) as nums,
@@ -663,7 +692,10 @@ def _oracle_issues() -> dict[str, str]:
     has_issue = 'name in (select "column" from issues where "column" is not null)'
     return {
         "issues": o.q('select ordinal, id, type, severity, "column", count, description from issues'),
-        "issues_ranked": o.q("select id, severity from issues"),
+        "issues_ranked": o.q(f"select id, severity, {o.SEVERITY_PLACE} as position from issues"),
+        "issues_ranked_outliers": o.q(
+            f"select id, severity, {o.SEVERITY_PLACE} as position from issues where type = 'potential_outliers'"
+        ),
         "issue_type_counts": o.q("select type, count(*) as n_issues from issues group by type"),
         "issue_rollup": o.q(
             'select type, cast(sum(count) as bigint) as total_count, '
@@ -677,6 +709,9 @@ def _oracle_issues() -> dict[str, str]:
         "column_search": o.q(
             f"select cast(ordinal as bigint) as ordinal, name, inferred_type from prof where contains(lower(name), 'or') and {has_issue}"
         ),
+        "column_search_numbers": o.q(
+            "select cast(ordinal as bigint) as ordinal, name, inferred_type from prof where inferred_type = 'number'"
+        ),
         "column_search_clean": o.q(f"select cast(ordinal as bigint) as ordinal, name, inferred_type from prof where not ({has_issue})"),
         "default_columns": o.q(
             f'select cast(ordinal as bigint) as ordinal, name as "column" from prof order by case when {has_issue} then 0 else 1 end, ordinal limit 4'
@@ -803,11 +838,21 @@ def _oracle_rows_and_charts() -> dict[str, str]:
     ).replace("with g as", ", g as", 1)
     with_messy = f"with messy as ({o.MESSY})"
     return {
+        "chart_request": o.top_groups(
+            o.messy_groups("sum").replace(
+                "from messy", f"from (select * replace ({o.title(o.trimmed('priority'))} as priority) from ({o.MESSY}) m) messy"
+            )
+        ) + "select position, label, round(value, 2) as value from kept",
         "row_flags": o.q(f"select *, {any_flag} as has_any from flags"),
-        "rows_with_missing": o.q("select row_id from flags where has_missing"),
-        "rows_duplicate": o.q("select row_id from flags where is_duplicate"),
-        "rows_inconsistent": o.q("select row_id from flags where has_inconsistent"),
-        "rows_outlier": o.q("select row_id from flags where has_outlier"),
+        "rows_with_missing": o.q("select m.* from messy m join flags using (row_id) where has_missing"),
+        "rows_duplicate": o.q("select m.* from messy m join flags using (row_id) where is_duplicate"),
+        "rows_inconsistent": o.q("select m.* from messy m join flags using (row_id) where has_inconsistent"),
+        "rows_outlier": o.q("select m.* from messy m join flags using (row_id) where has_outlier"),
+        "find_page": o.q(
+            f"""select * from (select *, count(*) over () as row_count, cast(ceil(count(*) over () / 25.0) as bigint) as page_count
+            from (select * from messy where {hit}) join (select row_id from flags where has_missing) using (row_id))
+            order by row_id limit 25 offset 50"""
+        ),
         "any_issue_count": o.q(f"select count(*) as rows_with_any_issue from flags where {any_flag}"),
         "search_rows": o.messy(f"select * from messy where {hit}"),
         "page_rows": o.messy(
@@ -891,6 +936,14 @@ def _oracle_suggestions() -> dict[str, str]:
       generate_subscripts(cast(json_extract(j, '$.insights') as json[]), 1) - 1 as pos from parsed where j is not null)"""
     field = o._field
     return {
+        # accepted: keep-last dedup, fill `priority` with the word "mean" (it has none), trim and lower
+        # `order_date`, convert `priority` to boolean
+        "apply_suggestions": o.messy(
+            f"""select row_id, order_id, case when {o.missing('p')} then p else coalesce({o.bool_word('p')}, p) end as priority, total,
+            case when {o.missing('order_date')} then order_date else {o.norm('order_date')} end as order_date, filled, notes
+            from (select *, case when {o.missing('priority')} then 'mean' else priority end as p from messy
+              qualify row_number() over (partition by {o.row_key()} order by row_id desc) = 1)"""
+        ),
         "profile_payload": o.q(
             f"""select p.row_count, s.quality_score, p.name, p.inferred_type as type, p.missing_count as missing, p.unique_count,
             {o.half_up('p.unique_ratio', 3)} as unique_ratio, {o.half_up('n.mean', 2)} as mean, {o.half_up('n.std_dev', 2)} as std_dev,

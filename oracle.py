@@ -333,6 +333,61 @@ s7 as (select * exclude (notes) from s6)
 """
 
 
+def typed_profile(table: str, kinds: dict[str, str]) -> str:
+    """Per column of a typed table, from its own values."""
+    parts = []
+    for i, (c, kind) in enumerate(kinds.items(), 1):
+        number, date = kind == "number", kind == "date"
+        q = lambda p: f"quantile_cont(cast({c} as double), {p})"
+        far = f"(select count(*) from {table}, (select {q(0.25)} as q1, {q(0.75)} as q3 from {table}) where q1 <> q3 and ({c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1)))"
+        day = lambda f: f"strftime({f}({c}), '%Y-%m-%d')" if date else "cast(null as varchar)"
+        figure = lambda x: f"round({x}, 4)" if number else "cast(null as double)"
+        distinct = f"date_trunc('millisecond', {c})" if date else c
+        parts.append(
+            f"select cast({i} as bigint) as ordinal, '{c}' as name, '{kind}' as inferred_type, count({c}) as total_values, "
+            f"count(*) - count({c}) as missing_count, count(distinct {distinct}) as unique_count, {figure(f'avg({c})')} as mean, "
+            f"{figure(q(0.5))} as median, {figure(q(0.99))} as p99, {day('min')} as earliest, {day('max')} as latest, "
+            f"{far if number else 'cast(0 as bigint)'} as outlier_count from {table}"
+        )
+    return " union all ".join(parts)
+
+
+# Type, rank, chart, label, default aggregation, needs a y column.
+RECOMMENDATIONS = """('number', 1, 'histogram', 'Histogram', 'count', false), ('number', 2, 'bar', 'Bar chart', 'mean', false),
+('text', 1, 'donut', 'Donut chart', 'count', false), ('text', 2, 'bar', 'Bar chart', 'count', false),
+('boolean', 1, 'donut', 'Donut chart', 'count', false), ('date', 1, 'line', 'Line chart', 'count', false),
+('date', 2, 'bar', 'Bar chart', 'count', false), ('unknown', 1, 'bar', 'Bar chart', 'count', false)"""
+SEVERITY_PLACE = (
+    "row_number() over (order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, ordinal)"
+)
+
+
+def cleaning_summary(steps: list[tuple[str, str | None]]) -> str:
+    """The report of the whole recipe: profiles of the first and last version, counts on each."""
+    total, x = missing("total"), prefix_number("total")
+    counts = [
+        f"(select count(*) from messy) - (select count(*) from (select distinct {row_key()} from messy))",
+        f"(select count(*) from s1 where {total})",
+        f"""(select coalesce(sum(n), 0) from (select count(distinct {trimmed('priority')}) as n from s2
+          where not {missing('priority')} group by {norm('priority')} having count(distinct {trimmed('priority')}) >= 2))""",
+        f"(select count(*) from s3 where not {missing('order_date')})",
+        f"(select count(*) from s4 where not {missing('filled')})",
+        f"(select count(*) from s5, lim where not {total} and ({x} < q1 - 1.5 * (q3 - q1) or {x} > q3 + 1.5 * (q3 - q1)))",
+        "0",
+    ]
+    listed = " union all ".join(
+        f"""select cast({i} as bigint) as step, '{kind}' as type, {repr(column) if column else 'null'} as "column",
+        cast({n} as bigint) as affected_count""" for i, ((kind, column), n) in enumerate(zip(steps, counts, strict=True), 1)
+    )
+    last = PRELUDE.replace(f"with messy as ({MESSY})", f"with messy as ({RECIPE} select * from s7)")
+    last = last.replace(_CELLS, " union all ".join(x for x in _CELLS.split(" union all ") if "'notes'" not in x))
+    for key in (row_key(), row_key("m"), any_missing()):
+        last = last.replace(key, key.replace(", coalesce(notes, '')", "").replace(", coalesce(m.notes, '')", "").replace(f" or {missing('notes')}", ""))
+    return f"""select 'messy_orders' as name, b.row_count as rows_before, a.row_count as rows_after, b.n_cols as columns,
+      b.quality_score as score_before, a.quality_score as score_after, c.*
+    from ({PRELUDE} select * from score) b, ({last} select * from score) a, ({RECIPE} select * from ({listed})) c"""
+
+
 def top_groups(groups: str) -> str:
     """Top 29 and Other of a (label, value, first_row) query."""
     return f"""with g as ({groups}),

@@ -121,18 +121,19 @@ def finite(x: Column) -> Column:
 
 
 def bounded(x: Column) -> Column:
-    """Null for infinities; enough for numbers read from text, which are never NaN."""
-    return F.when(F.abs(x) < F.lit(float("inf")), x)
+    """Null for infinities; enough for numbers read from text, which are never NaN.
+
+    `x` is named once: a filter that is pushed through several steps repeats what it tests.
+    """
+    return F.get(F.filter(F.array(x), lambda v: F.abs(v) < F.lit(float("inf"))), F.lit(0))
 
 
+# The number that a cell text without commas holds: all of it, or its longest numeric prefix.
+# One pattern for both, so the cell is named once. An exponent counts in a prefix only where the
+# text as a whole is no plain number, which has none.
 def number_of_text(t: Column) -> Column:
-    """`parse_numeric` of a trimmed text: a plain number is cast as a whole, anything
-    else gives up its longest numeric prefix."""
-    bare = F.translate(t, ",", "")
-    prefix = F.regexp_extract(bare, NUMERIC_PREFIX, 0)
-    text = F.when(t.rlike(NUMERIC_PATTERN), bare).otherwise(prefix)
-    starts = _starts_number(t) | (F.ascii(t) == 44)  # a leading comma is ignored too
-    return F.when(starts, text).try_cast("double")
+    """`parse_numeric` of a trimmed text: commas dropped, then the longest numeric prefix."""
+    return F.regexp_extract(F.translate(t, ",", ""), NUMERIC_PREFIX, 0).try_cast("double")
 
 
 def parse_numeric(c: Column) -> Column:
@@ -143,16 +144,27 @@ def parse_numeric(c: Column) -> Column:
 def chart_number_of_text(t: Column) -> Column:
     """`chart_number` of a trimmed text, infinities not yet excluded."""
     number = F.when(_starts_number(t) & t.rlike(DECIMAL_LITERAL), t.try_cast("double"))
-    for pattern, base in (
-        (r"^0[xX][0-9a-fA-F]{1,15}$", 16),
-        (r"^0[oO][0-7]{1,20}$", 8),
-        (r"^0[bB][01]{1,63}$", 2),
-    ):
-        digits = F.conv(F.substr(t, F.lit(3)), base, 10)
-        number = number.when((F.ascii(t) == 48) & t.rlike(pattern), digits.try_cast("double"))
+    for pattern, bits in ((r"^0[xX][0-9a-fA-F]+$", 4), (r"^0[oO][0-7]+$", 3), (r"^0[bB][01]+$", 1)):
+        number = number.when((F.ascii(t) == 48) & t.rlike(pattern), _digits_value(F.substr(t, F.lit(3)), bits))
     return number
 
 
+def _digits_value(digits: Column, bits: int) -> Column:
+    """The double nearest to a literal of any length in base 2 ** bits, ties to even.
+
+    The leading 54 significant bits or more are a whole number that a bigint holds; whether any
+    later digit is not 0 is kept as its last bit, so that the one rounding, from bigint to double,
+    is right; what is left is a power of two.
+    """
+    held = 60 // bits
+    plain = F.regexp_replace(digits, "^0+", "")
+    head, tail = F.substr(plain, F.lit(1), F.lit(held)), F.substr(plain, F.lit(held + 1))
+    whole = F.coalesce(F.conv(head, 2**bits, 10).try_cast("bigint"), F.lit(0))
+    sticky = F.when(tail.rlike("[^0]"), 1).otherwise(0)
+    value = whole.bitwiseOR(sticky.cast("bigint")).cast("double")
+    return value * F.pow(F.lit(2.0), F.lit(bits) * F.length(tail))
+
+
 def chart_number(c: Column) -> Column:
     """Number only if the whole text is one; commas are refused.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -268,3 +270,43 @@ def default_chart_column(columns: DataFrame) -> DataFrame:
     """Per dataset the first column with any value, else the first column."""
     pick = F.min(F.struct((F.col("total_values") == 0).alias("empty"), "ordinal", "name"))
     return columns.groupBy("dataset").agg(pick.alias("c")).select("dataset", F.col("c.name").alias("column"))
+
+
+@dataclass(frozen=True)
+class ChartRequest:
+    """What to draw: a chart kind over columns, of the data as loaded or as cleaned."""
+
+    chart: str
+    x: str
+    y: str | None = None
+    aggregation: str = "count"
+    cleaned: bool = False
+
+    def __post_init__(self):
+        if self.chart not in CHARTS:
+            raise ValueError(f"unknown chart {self.chart!r}")
+        if self.aggregation not in AGGREGATES:
+            raise ValueError(f"unknown aggregation {self.aggregation!r}")
+
+
+CHARTS = {
+    "bar": lambda df, r, row_id: chart_bar(df, r.x, r.y, r.aggregation, row_id),
+    "line": lambda df, r, row_id: chart_line(df, r.x, r.y, r.aggregation, row_id),
+    "histogram": lambda df, r, row_id: chart_histogram(df, r.x),
+    "scatter": lambda df, r, row_id: chart_scatter(df, r.x, r.y, row_id),
+    "donut": lambda df, r, row_id: chart_donut(df, r.x, row_id),
+}
+
+
+def draw(request: ChartRequest, original: DataFrame, cleaned: DataFrame | None, row_id: str) -> DataFrame:
+    """The series of a request, in the form of its chart kind."""
+    if request.cleaned and cleaned is None:
+        raise ValueError("the request is for cleaned data, of which there is none")
+    return CHARTS[request.chart](cleaned if request.cleaned else original, request, row_id)
+
+
+def default_request(column: str, inferred_type: str) -> ChartRequest:
+    """The first recommendation for the column's type."""
+    kinds = {t: (chart, fn) for t, rank, chart, _, fn, _ in RECOMMENDATIONS if rank == 1}
+    chart, fn = kinds.get(inferred_type, kinds["unknown"])
+    return ChartRequest(chart, column, None, fn)

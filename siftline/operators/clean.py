@@ -59,21 +59,19 @@ def fill_with_mean(df: DataFrame, column: str) -> DataFrame:
     return fill_missing(df, column, _figure(mean))
 
 
-def _written_numbers(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
-    """The column's numbers as a written table, and whether they are few.
+def _written_numbers(df: DataFrame, column: str) -> DataFrame:
+    """The column's numbers as a written table.
 
     The quantile passes then read one narrow column; the steps before this one, which
     may hold joins, run once.
     """
-    points = materialize(typed_numbers(df, [column]), "numbers")
-    return points, points.count() <= ranks.SMALL_DISTINCT
+    return materialize(typed_numbers(df, [column]), "numbers")
 
 
 def fill_with_median(df: DataFrame, column: str) -> DataFrame:
     """Fill with the exact median of the current numbers."""
-    points, few = _written_numbers(df, column)
-    find = ranks.small_quantiles if few else ranks.quantiles
-    return fill_missing(df, column, _figure(find(points, {"median": 0.5}).select("median")))
+    points = _written_numbers(df, column)
+    return fill_missing(df, column, _figure(ranks.quantiles(points, {"median": 0.5}).select("median")))
 
 
 FILLS = {
@@ -134,12 +132,15 @@ def outlier_flag(df: DataFrame, column: str, method: str = "interpolated") -> Co
 
     The two bounds are one row; they become literals, as in `_figure`.
     """
-    points, few = _written_numbers(df, column)
-    limits = ranks.fences(points, method=method, small=few).first()
+    limits = ranks.fences(_written_numbers(df, column), method=method).first()
     if limits is None or limits["lower"] is None:
         return F.lit(False)
-    inside = number(df, column).between(limits["lower"], limits["upper"])
-    return ~F.coalesce(inside, F.lit(True))
+    return outside(number(df, column), limits["lower"], limits["upper"])
+
+
+def outside(x: Column, lower: float, upper: float) -> Column:
+    """True for a number outside the bounds; names `x` once, see `rules.bounded`."""
+    return F.exists(F.array(x), lambda v: F.coalesce((v < lower) | (v > upper), F.lit(False)))
 
 
 def remove_outliers(df: DataFrame, column: str, method: str = "interpolated") -> DataFrame:

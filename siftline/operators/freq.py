@@ -7,8 +7,11 @@ map-side combine, after which every pattern runs once per distinct value.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cells as rules
 from .rowid import data_columns, name, text_columns
@@ -23,12 +26,39 @@ def cells(df: DataFrame, columns: list[str] | None = None, row_id: str | None =
     return long.withColumn("cnt", F.lit(1).cast("bigint"))
 
 
+def _native(df: DataFrame, column: str) -> Column:
+    """A cell as it is counted: its own type where equal cells have equal texts, else text."""
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("millisecond", name(column))  # as far as the text goes
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+        return rules.stringify(name(column), dtype)
+    return name(column)
+
+
 def value_freq(df: DataFrame, columns: list[str] | None = None, row_id: str | None = None) -> DataFrame:
-    """(column, value, cnt), plus first_row when a row id column is named."""
-    aggs = [F.sum("cnt").alias("cnt")]
+    """(column, value, cnt), plus first_row when a row id column is named.
+
+    Columns of one type are counted together on their own values; text is made of the distinct
+    values afterwards. Each type is one scan of its own columns.
+    """
+    columns = data_columns(df, columns, row_id)
+    by_type: dict[str, list[str]] = {}
+    keys = df.select(*[_native(df, c).alias(c) for c in columns]).schema
+    for c in columns:
+        by_type.setdefault(keys[c].dataType.simpleString(), []).append(c)
+    aggs = [F.count(F.lit(1)).alias("cnt")]
+    kept = [name(row_id).alias("_first")] if row_id else []
     if row_id:
-        aggs.append(F.min("row_id").alias("first_row"))
-    return cells(df, columns, row_id).groupBy("column", "value").agg(*aggs)
+        aggs.append(F.min("_first").alias("first_row"))
+    parts = []
+    for group in by_type.values():
+        own = df.select(*kept, *[_native(df, c).alias(c) for c in group])
+        ids = [F.col("_first")] if row_id else []
+        counted = own.unpivot(ids, [name(c) for c in group], "column", "value").groupBy("column", "value").agg(*aggs)
+        text = rules.stringify(F.col("value"), keys[group[0]].dataType)
+        parts.append(counted.withColumn("value", text))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ordinal_of(columns: list[str]) -> Column:

@@ -1,17 +1,17 @@
 """Exact values at given ranks, without sorting and without one big group.
 
-`percentile` keeps all distinct values of a column in one task, so it is used only
-where their number is known to be small. Beyond that the values are counted in buckets
-whose order agrees with the order of the values, and only the buckets that hold a
-wanted rank are looked into:
+The values are counted in buckets whose order agrees with theirs, and only the buckets that
+hold a wanted rank are looked into:
 
 1. coarse buckets from a fixed monotone function of the value;
-2. each chosen coarse bucket cut into equal slices between its own ends;
-3. the single values of the chosen slices.
+2. a chosen bucket that still has many rows is cut into equal slices between its own ends,
+   and so are its chosen slices, until each has few rows or one value;
+3. the single values of what is left.
 
 Each step is one map-side combined count over the data, joined with the few chosen
-buckets (at most one per wanted rank, hence the safe broadcast). The bucket functions
-depend on the values only, so a task that runs again gives the same buckets.
+buckets (at most one per wanted rank, hence the safe broadcast). How often buckets are cut depends
+on the data, the values found do not. The bucket functions depend on the values only, so a
+task that runs again gives the same buckets.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 COARSE = 512  # coarse buckets per factor of e
 SLICES = 4096
-# Distinct values per column up to which one task may hold them all.
-SMALL_DISTINCT = 100_000
+SET_ROWS = 100_000  # rows of a bucket below which its values are sorted as one set
 
 # Ranks to look for are SQL text for an array<bigint> over `total` (and, where the
 # list is long, `before` and `n`: the part of it that can fall in one bucket).
@@ -57,36 +56,45 @@ def select_ranks(points: DataFrame, ranks: str, by: list[str], value: str = "x")
     keys = ", ".join(by)
     coarse = f"floor(signum(double({value})) * log1p(abs(double({value}))) * {COARSE})"
     pts = points.selectExpr(*by, value, "cnt", f"{coarse} as b1")
-
-    chosen1 = (
-        pts.groupBy(*by, "b1")
-        .agg(F.expr("sum(cnt) as n"), F.expr(f"min({value}) as lo"), F.expr(f"max({value}) as hi"))
+    counts = ["sum(cnt) as n", "count(*) as rows", f"min({value}) as lo", f"max({value}) as hi"]
+    chosen = (
+        pts.groupBy(*by, "b1").agg(*map(F.expr, counts))
         .selectExpr("*", _before(by, "b1", "0"), f"sum(n) over (partition by {keys}) as total")
         .where(f"size({_found(ranks)}) > 0")
-        .selectExpr(*by, "b1", "lo", "hi", "before as base", "total")
-    )
-
-    at = f"least(floor(double({value} - lo) / double(hi - lo) * {SLICES}), {SLICES - 1})"
-    sliced = pts.join(F.broadcast(chosen1), [*by, "b1"]).selectExpr(
-        *by, "b1", f"int(if(hi > lo, {at}, 0)) as b2", value, "cnt", "base", "total"
-    )
-    chosen2 = (
-        sliced.groupBy(*by, "b1", "b2")
-        .agg(F.expr("sum(cnt) as n"), F.expr("max(base) as base"), F.expr("max(total) as total"))
-        .selectExpr("*", _before([*by, "b1"], "b2", "base"))
-        .where(f"size({_found(ranks)}) > 0")
-        .selectExpr(*by, "b1", "b2", "before as base2")
+        .selectExpr(*by, "b1", "lo", "hi", "rows", "before as base", "total")
     )
-
+    schema, todo, done = chosen.schema, chosen.collect(), []
+    while True:
+        done += [r for r in todo if r["rows"] <= SET_ROWS or r["lo"] == r["hi"]]
+        todo = [r for r in todo if r["rows"] > SET_ROWS and r["lo"] < r["hi"]]
+        if not todo:
+            break
+        at = f"least(floor(double({value} - lo) / double(hi - lo) * {SLICES}), {SLICES - 1})"
+        inside = _inside(pts, todo, schema, by, value)
+        sliced = inside.selectExpr(*by, "b1", "lo as from", f"int(if({value} = hi, {SLICES}, {at})) as b2", value, "cnt", "base", "total")
+        todo = (
+            sliced.groupBy(*by, "b1", "from", "b2")
+            .agg(*map(F.expr, counts), F.expr("max(base) as base"), F.expr("max(total) as total"))
+            .selectExpr("*", _before([*by, "b1", "`from`"], "b2", "base"))
+            .where(f"size({_found(ranks)}) > 0")
+            .selectExpr(*by, "b1", "lo", "hi", "rows", "before as base", "total")
+            .collect()
+        )
     return (
-        sliced.join(F.broadcast(chosen2), [*by, "b1", "b2"])
-        .groupBy(*by, "b1", "b2", value)
-        .agg(F.expr("sum(cnt) as n"), F.expr("max(base2) as base"), F.expr("max(total) as total"))
-        .selectExpr("*", _before([*by, "b1", "b2"], value, "base"))
+        _inside(pts, done, schema, by, value)
+        .groupBy(*by, "b1", "lo", value)
+        .agg(F.expr("sum(cnt) as n"), F.expr("max(base) as base"), F.expr("max(total) as total"))
+        .selectExpr("*", _before([*by, "b1", "lo"], value, "base"))
         .selectExpr(*by, "total", f"explode({_found(ranks)}) as rank", value)
     )
 
 
+def _inside(points: DataFrame, buckets: list, schema, by: list[str], value: str) -> DataFrame:
+    """The points of the given buckets, with each one's ends, base and total."""
+    table = points.sparkSession.createDataFrame(buckets, schema).drop("rows")
+    return points.join(F.broadcast(table), [*by, "b1"]).where(f"{value} between lo and hi")
+
+
 def quantiles(points: DataFrame, probs: dict[str, float]) -> DataFrame:
     """One row per column: `num_count` and one interpolated quantile per name in `probs`."""
     found = select_ranks(points, probability_ranks(list(probs.values())), ["column"])
@@ -104,34 +112,14 @@ def quantiles(points: DataFrame, probs: dict[str, float]) -> DataFrame:
     return per_column.selectExpr("column", "num_count", *interpolated)
 
 
-def small_quantiles(points: DataFrame, probs: dict[str, float]) -> DataFrame:
-    """The same numbers from one aggregate; for columns of few distinct values only."""
-    ps = ", ".join(f"{p!r}D" for p in probs.values())
-    at = points.groupBy("column").agg(
-        F.expr("sum(cnt) as num_count"), F.expr(f"percentile(x, array({ps}), cnt) as at")
-    )
-    return at.selectExpr("column", "num_count", *[f"at[{i}] as {k}" for i, k in enumerate(probs)])
-
-
-def quantiles_by_size(points: DataFrame, probs: dict[str, float], large: list[str]) -> DataFrame:
-    """Quantiles per column: rank selection for the columns named in `large`."""
-    if not large:
-        return small_quantiles(points, probs)
-    is_large = F.col("column").isin(large)
-    return quantiles(points.where(is_large), probs).unionByName(
-        small_quantiles(points.where(~is_large), probs)
-    )
-
-
-def fences(points: DataFrame, method: str = "interpolated", small: bool = False) -> DataFrame:
+def fences(points: DataFrame, method: str = "interpolated") -> DataFrame:
     """Outlier bounds per column: values strictly outside `lower`..`upper` are outliers.
 
     Bounds are null when the column has fewer than four values or no spread.
     `method="floor_index"` takes the value at floor(n*p) in place of interpolating.
     """
     if method == "interpolated":
-        find = small_quantiles if small else quantiles
-        return with_fences(find(points, {"q1": 0.25, "q3": 0.75}))
+        return with_fences(quantiles(points, {"q1": 0.25, "q3": 0.75}))
     if method != "floor_index":
         raise ValueError(f"unknown outlier method {method!r}")
     ranks = "array(floor(total * 0.25D), floor(total * 0.75D))"

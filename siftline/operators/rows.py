@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as rules
+from ..functions import stringify
+from ..session import materialize
 from . import ranks, stats
+from .clean import outside
 from .dedup import with_duplicate_flag
-from .freq import cells, number
+from .freq import number
 from .rowid import data_columns, name, text_columns
 
 # Page sizes on offer.
@@ -28,35 +31,35 @@ def _any(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, flags, F.lit(False))
 
 
-def inconsistent_row_ids(
-    df: DataFrame, distinct: DataFrame, counters: DataFrame, row_id: str, columns: list[str]
-) -> DataFrame:
-    """Ids of rows holding a value whose form is spelled in more than one way.
+def with_inconsistent_flag(df: DataFrame, profiler, flag: str) -> DataFrame:
+    """Flag rows holding a value whose form is spelled in more than one way.
 
-    The inconsistent forms can be many, so they get no broadcast hint; AQE turns the
-    join into one when their measured size allows.
+    One join per text column that has such forms, on the form itself: a form is one row there,
+    so no row is repeated, and rows need no id to come back together. The forms can be
+    many, so they get no broadcast hint; AQE turns the join into one when their measured
+    size allows, and splits a form that holds a large share of the rows.
     """
-    forms = stats.inconsistent_forms(distinct, counters).select("column", "normal_form")
-    texts = stats.of_type(cells(df, columns, row_id), counters, "text")
-    hits = (
-        texts.where(~rules.is_missing(F.col("value")))
-        .select("row_id", "column", rules.normal_form(F.col("value")).alias("normal_form"))
-        .join(forms, ["column", "normal_form"], "left_semi")
+    forms = materialize(
+        stats.inconsistent_forms(profiler.values, profiler.counters).select("column", "normal_form").distinct(), "forms"
     )
-    return hits.select("row_id").distinct()
-
-
-def outlier_limits(
-    distinct: DataFrame, counters: DataFrame, large: list[str] | None, method: str
-) -> DataFrame:
+    columns = [r["column"] for r in forms.select("column").distinct().collect()]
+    hits = []
+    for i, column in enumerate(columns):
+        text = stringify(name(column), df.schema[column].dataType)
+        form, hit = f"_form{i}", f"_hit{i}"
+        mine = forms.where(F.col("column") == column).select(F.col("normal_form").alias(form), F.lit(True).alias(hit))
+        # a missing cell has no form and must not meet other missing ones in one task
+        own = F.when(~rules.is_missing(text), rules.normal_form(text))
+        df = df.withColumn(form, own).join(mine, form, "left").drop(form)
+        hits.append(F.col(hit).isNotNull())
+    names = [f"_hit{i}" for i in range(len(columns))]
+    return df.withColumn(flag, _any(hits)).drop(*names)
+
+
+def outlier_limits(distinct: DataFrame, counters: DataFrame, method: str) -> DataFrame:
     """(column, lower, upper) of the number columns, as counted by the profile."""
     points = stats.numbers(stats.of_type(distinct, counters, "number"))
-    if method == "interpolated" and large is not None:
-        quarters = {"q1": 0.25, "q3": 0.75}
-        bounds = ranks.with_fences(ranks.quantiles_by_size(points, quarters, large))
-    else:
-        bounds = ranks.fences(points, method=method)
-    return bounds.select("column", "lower", "upper")
+    return ranks.fences(points, method=method).select("column", "lower", "upper")
 
 
 def row_flags(
@@ -69,8 +72,8 @@ def row_flags(
 ) -> DataFrame:
     """One row per input row with the flags of the given issue types, and `has_any`.
 
-    Missing is an expression. Outlier limits are one row for the whole table, read as a
-    scalar subquery. Duplicate and inconsistent are left joins on unique keys. A type
+    Missing is an expression. Outliers are tested on number columns only, against bounds
+    fetched once. Duplicate and inconsistent are left joins on unique keys. A type
     that is not asked for costs nothing.
     """
     columns = profiler.columns
@@ -78,28 +81,14 @@ def row_flags(
     if "duplicate_rows" in types:
         flagged = with_duplicate_flag(flagged, row_id, columns)
     if "inconsistent_values" in types:
-        odd = inconsistent_row_ids(df, profiler.values, profiler.counters, row_id, columns)
-        odd = odd.select(F.col("row_id").alias(row_id), F.lit(True).alias("_odd"))
-        flagged = flagged.join(odd, row_id, "left").withColumn(
-            "has_inconsistent", F.coalesce("_odd", F.lit(False))
-        )
+        flagged = with_inconsistent_flag(flagged, profiler, "has_inconsistent")
     if "missing_values" in types:
         flagged = flagged.withColumn("has_missing", stats.any_missing(text_columns(df, columns)))
     if "potential_outliers" in types:
-        pair = F.struct("column", F.struct("lower", "upper"))
-        limits = (
-            outlier_limits(profiler.values, profiler.counters, profiler.large, method)
-            .agg(F.map_from_entries(F.collect_list(pair)))
-            .scalar()
-        )
-        flagged = flagged.withColumn("_limits", limits)
-
-        def outside(column: str) -> Column:
-            limit = F.col("_limits")[column]
-            inside = number(df, column).between(limit["lower"], limit["upper"])
-            return ~F.coalesce(inside, F.lit(True))
-
-        flagged = flagged.withColumn("has_outlier", _any([outside(c) for c in columns]))
+        limits = outlier_limits(profiler.values, profiler.counters, method).where("lower is not null").collect()
+        # one row per number column; its bounds become literals
+        tests = [outside(number(df, r["column"]), r["lower"], r["upper"]) for r in limits]
+        flagged = flagged.withColumn("has_outlier", _any(tests))
     flags = [F.col(FLAGS[t]) for t in FLAGS if t in types]
     shown = [name(c) for c in columns] if keep_columns else []
     return flagged.select(name(row_id), *shown, *flags, _any(flags).alias("has_any"))
@@ -148,6 +137,19 @@ def page_rows(df: DataFrame, row_id: str, page: int = 1, size: int = 50) -> Data
     return df.where(name(row_id).between(between["lo"], between["hi"])).orderBy(name(row_id))
 
 
+def find_page(
+    df: DataFrame, profiler, row_id: str, issue_type: str = "all", query: str = "", page: int = 1, size: int = 50
+) -> DataFrame:
+    """One page of the rows that have an issue and contain a text, with the number of such rows and pages.
+
+    The filtered rows are written once, as counting, finding the page and reading it all need them.
+    """
+    found = materialize(search_rows(rows_with(df, profiler, row_id, issue_type), query, profiler.columns), "found")
+    rows = found.count()
+    shown = page_rows(found, row_id, page, size)
+    return shown.withColumn("row_count", F.lit(rows).cast("bigint")).withColumn("page_count", F.lit(max(1, -(-rows // size))).cast("bigint"))
+
+
 def cell_diff(original: DataFrame, cleaned: DataFrame, row_id: str) -> DataFrame:
     """Changed cells: (row id, column, before, after, change).
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as rules
 from . import ranks
-from .freq import classified, numbers, ordinal_of
+from .freq import cells, classified, numbers, ordinal_of
 from .rowid import data_columns, name, text_columns
 
 TYPE_SHARE = 0.8
@@ -137,30 +137,15 @@ def date_stats(counters: DataFrame) -> DataFrame:
     )
 
 
-def large_columns(counters: DataFrame, limit: int | None = None) -> list[str]:
-    """Number columns with more distinct values than one task should hold.
-
-    Reads names only; the table's width bounds the list.
-    """
-    limit = ranks.SMALL_DISTINCT if limit is None else limit
-    big = counters.where((F.col("inferred_type") == "number") & (F.col("unique_count") > limit))
-    return [r["column"] for r in big.select("column").collect()]
-
-
-def numeric_stats(
-    table: DataFrame, counters: DataFrame, large: list[str] | None = None
-) -> DataFrame:
+def numeric_stats(table: DataFrame, counters: DataFrame) -> DataFrame:
     """All numeric statistics per number column, outlier count included.
 
     Sums and ends are already in the counters. One pass finds the quantiles, a second
     takes the mean and the outlier bounds as given: so the variance is the two-pass
-    one, and outliers cost no pass of their own. `large=None` means all are large.
+    one, and outliers cost no pass of their own.
     """
     points = numbers(of_type(table, counters, "number"))
-    if large is None:
-        q = ranks.quantiles(points, PROBS)
-    else:
-        q = ranks.quantiles_by_size(points, PROBS, large)
+    q = ranks.quantiles(points, PROBS)
     sums = counters.selectExpr(
         "column", "num_sum", "num_min", "num_max", "num_sum / num_count as num_mean"
     )
@@ -197,16 +182,8 @@ def numeric_stats(
     )
 
 
-def percentiles(
-    table: DataFrame,
-    counters: DataFrame,
-    probs: dict[str, float] = PROBS,
-    large: list[str] | None = None,
-) -> DataFrame:
-    points = numbers(of_type(table, counters, "number"))
-    if large is None:
-        return ranks.quantiles(points, probs)
-    return ranks.quantiles_by_size(points, probs, large)
+def percentiles(table: DataFrame, counters: DataFrame, probs: dict[str, float] = PROBS) -> DataFrame:
+    return ranks.quantiles(numbers(of_type(table, counters, "number")), probs)
 
 
 def approx_percentiles(
@@ -219,18 +196,9 @@ def approx_percentiles(
     return at.select("column", *[F.col("at")[i].alias(k) for i, k in enumerate(probs)])
 
 
-def outlier_counts(
-    table: DataFrame,
-    counters: DataFrame,
-    method: str = "interpolated",
-    large: list[str] | None = None,
-) -> DataFrame:
+def outlier_counts(table: DataFrame, counters: DataFrame, method: str = "interpolated") -> DataFrame:
     points = numbers(of_type(table, counters, "number"))
-    if method == "interpolated" and large is not None:
-        quarters = {"q1": 0.25, "q3": 0.75}
-        bounds = ranks.with_fences(ranks.quantiles_by_size(points, quarters, large))
-    else:
-        bounds = ranks.fences(points, method=method)
+    bounds = ranks.fences(points, method=method)
     return (
         points.join(F.broadcast(bounds.select("column", "lower", "upper")), "column")
         .groupBy("column")
@@ -382,33 +350,32 @@ HINT_NUMBER = r"^-?\d+(\.\d+)?$"
 def fill_type_hint(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
     """Kind of fill value to offer per column, from its first 50 present cells.
 
-    One bounded top-k per column: each branch reads a single column and keeps 50 rows
-    per task, so nothing is sorted as a whole.
+    One scan: the place within the column is limited before the shuffle and after it, so at
+    most 50 cells per column and task are shuffled and nothing is sorted as a whole.
     """
-    out = None
-    for c, text in zip(columns, text_columns(df, columns)):
-        first = (
-            df.select(name(row_id).alias("row_id"), text.alias("value"))
-            .where(~rules.is_missing(F.col("value")))
-            .orderBy("row_id")
-            .limit(HINT_SAMPLE)
-            .agg(
-                F.count("*").alias("n"),
-                F.count(F.when(rules.js_trim(F.col("value")).rlike(HINT_NUMBER), 1)).alias("nums"),
-                F.count(
-                    F.when(rules.looks_date(F.col("value")) & F.col("value").contains("-"), 1)
-                ).alias("dates"),
-            )
-        )
-        need = F.col("n") * HINT_SHARE
-        kind = (
-            F.when((F.col("nums") >= need) & (need > 0), "number")
-            .when((F.col("dates") >= need) & (need > 0), "date")
-            .otherwise("text")
+    present = cells(df, columns, row_id).where(~rules.is_missing(F.col("value")))
+    first = present.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy("row_id")))
+    text = F.col("value")
+    seen = (
+        first.where(F.col("place") <= HINT_SAMPLE)
+        .groupBy("column")
+        .agg(
+            F.count("*").alias("n"),
+            F.count(F.when(rules.js_trim(text).rlike(HINT_NUMBER), 1)).alias("nums"),
+            F.count(F.when(rules.looks_date(text) & text.contains("-"), 1)).alias("dates"),
         )
-        hint = first.select(F.lit(c).alias("column"), kind.alias("fill_type"))
-        out = hint if out is None else out.unionAll(hint)
-    return out
+    )
+    need = F.col("n") * HINT_SHARE
+    kind = (
+        F.when((F.col("nums") >= need) & (need > 0), "number")
+        .when((F.col("dates") >= need) & (need > 0), "date")
+        .otherwise("text")
+    )
+    # a column without a present cell has no row here
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return named.join(F.broadcast(seen.select("column", kind.alias("fill_type"))), "column", "left").select(
+        "column", F.coalesce("fill_type", F.lit("text")).alias("fill_type")
+    )
 
 
 def with_ordinal(table: DataFrame, columns: list[str]) -> DataFrame:

@@ -41,21 +41,17 @@ class Profiler:
     def counters(self) -> DataFrame:
         return materialize(stats.column_counters(self.values), "counters")
 
-    @cached_property
-    def large(self) -> list[str]:
-        return stats.large_columns(self.counters)
-
     def infer_types(self) -> DataFrame:
         return self.counters.select("column", "inferred_type")
 
     def numeric_stats(self) -> DataFrame:
-        return stats.numeric_stats(self.values, self.counters, self.large)
+        return stats.numeric_stats(self.values, self.counters)
 
     def percentiles(self, probs=stats.PROBS) -> DataFrame:
-        return stats.percentiles(self.values, self.counters, probs, self.large)
+        return stats.percentiles(self.values, self.counters, probs)
 
     def outlier_counts(self, method: str = "interpolated") -> DataFrame:
-        return stats.outlier_counts(self.values, self.counters, method, self.large)
+        return stats.outlier_counts(self.values, self.counters, method)
 
     def date_stats(self) -> DataFrame:
         return stats.date_stats(self.counters)

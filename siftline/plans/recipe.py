@@ -1,13 +1,14 @@
 """A cleaning recipe: a list of steps replayed over the untouched original.
 
-Folding the list only builds a plan. Undo and reset are list slices, because nothing
-is ever changed in place.
+Folding the list builds a plan; a step that needs figures of the data (mean, median, outlier
+bounds) or reads it twice (duplicates) gets its input written first, so no earlier step runs
+again for it. Undo and reset are list slices, because nothing is ever changed in place.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, dedup
 from ..operators.rowid import ROW_ID
+from ..session import materialize
 
 STEP_TYPES = (
     "remove_duplicates",
@@ -38,11 +40,22 @@ class Step:
     def __post_init__(self):
         if self.type not in STEP_TYPES:
             raise ValueError(f"unknown step type {self.type!r}")
+        strategy = self.config.get("strategy")
+        if self.type == "fill_missing" and strategy and strategy not in (*clean.FILLS, "custom"):
+            raise ValueError(f"unknown fill strategy {strategy!r}")
+        if strategy == "custom" and self.config.get("fill_value") is None:
+            raise ValueError("a custom fill needs a fill_value")
+
+    def reads_twice(self) -> bool:
+        """Whether the step looks at the whole table before it changes it."""
+        by_figures = self.type == "fill_missing" and self.config.get("strategy") in ("mean", "median")
+        by_bounds = self.type == "remove_outlier_rows" and "row_ids" not in self.config
+        return self.type == "remove_duplicates" or by_figures or by_bounds
 
 
 def _fill(df: DataFrame, step: Step) -> DataFrame:
     strategy = step.config.get("strategy")
-    if strategy:
+    if strategy and strategy != "custom":
         return clean.FILLS[strategy](df, step.column) if step.column in df.columns else df
     value = step.config.get("fill_value")
     return clean.fill_missing(df, step.column, None if value is None else str(value))
@@ -80,7 +93,14 @@ def apply_step(df: DataFrame, step: Step, row_id: str = ROW_ID) -> DataFrame:
 
 def apply_recipe(df: DataFrame, steps: list[Step], row_id: str = ROW_ID) -> DataFrame:
     """All steps in order; an empty list returns the original itself."""
-    return reduce(lambda d, s: apply_step(d, s, row_id), steps, df)
+    written = True  # the original is read as it is
+    for step in steps:
+        if step.reads_twice() and not written:
+            df, written = materialize(df, "step"), True
+        after = apply_step(df, step, row_id)
+        written = written and after is df
+        df = after
+    return df
 
 
 def undo(steps: list[Step]) -> list[Step]:
@@ -104,36 +124,56 @@ def recipe_table(spark: SparkSession, steps: list[Step]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def affected_counts(profile: DataFrame, steps: DataFrame) -> DataFrame:
-    """What each step would touch, read off the profile of the data it applies to.
+def affected_count(profile: DataFrame, step: Step) -> int:
+    """What a step touches, read off the profile of the version of the data it is applied to.
 
     Duplicates: extra rows. Fill: missing cells. Normalise: spellings of inconsistent
     forms. Convert: present cells. Outliers: outlier cells. Column removal: 0.
     """
-    columns = profile.select(
-        F.col("duplicate_row_count"), F.explode_outer("columns").alias("c")
-    ).select("duplicate_row_count", "c.*")
-    per_column = columns.select(
-        F.col("name").alias("column"),
-        "missing_count",
-        "total_values",
-        F.col("inconsistent_spellings"),
-        F.col("outlier_count"),
-    )
-    duplicates = profile.select("duplicate_row_count").scalar()
-    kind = F.col("type")
-    count = (
-        F.when(kind == "remove_duplicates", duplicates)
-        .when(kind == "fill_missing", F.col("missing_count"))
-        .when(kind == "normalize_text", F.col("inconsistent_spellings"))
-        .when(kind == "convert_type", F.col("total_values"))
-        .when(kind == "remove_outlier_rows", F.col("outlier_count"))
-        .otherwise(F.lit(0))
-    )
-    return steps.join(F.broadcast(per_column), "column", "left").select(
-        *[steps[c] for c in steps.columns if c != "affected_count"],
-        F.coalesce(count, F.lit(0)).cast("bigint").alias("affected_count"),
-    )
+    field = {
+        "fill_missing": "missing_count", "normalize_text": "inconsistent_spellings",
+        "convert_type": "total_values", "remove_outlier_rows": "outlier_count",
+    }.get(step.type)
+    if step.type == "remove_duplicates":
+        found = profile.select("duplicate_row_count").first()
+    elif field:
+        columns = profile.select(F.explode("columns").alias("c"))
+        found = columns.where(F.col("c.name") == step.column).select(f"c.{field}").first()
+    else:
+        found = None
+    return int(found[0] or 0) if found else 0
+
+
+def counted_recipe(
+    df: DataFrame, steps: list[Step], profile_of: Callable[[DataFrame], DataFrame], row_id: str = ROW_ID
+) -> tuple[DataFrame, list[Step], DataFrame, DataFrame]:
+    """(cleaned rows, steps with their affected counts, profile before, profile after).
+
+    Each step is counted on the version it is applied to, as when a recipe is put together
+    step by step; that version is written once, and profiled only for a step that has a count.
+    """
+    before = now = profile_of(df)
+    counted = []
+    for step in steps:
+        if now is None and step.type != "remove_column":
+            now = profile_of(df)
+        counted.append(replace(step, affected_count=affected_count(now, step) if now is not None else 0))
+        df, now = materialize(apply_step(df, step, row_id), "version"), None
+    return df, counted, before, profile_of(df) if now is None else now
+
+
+def step_of(row: dict[str, Any]) -> Step:
+    """The step of a mapped suggestion (`step_type`, `step_column`, `setting`) or of a stored `as_dict`."""
+    if "step_type" not in row:
+        return Step(**row)
+    kind, setting = row["step_type"], row["setting"]
+    config = {
+        "remove_duplicates": {"keep": setting}, "fill_missing": {"fill_value": setting},
+        "normalize_text": {"normalizations": (setting or "").split(",")}, "convert_type": {"target_type": setting},
+    }.get(kind)
+    if config is None:
+        raise ValueError(f"a suggestion can't become a step of type {kind!r}")
+    return Step(kind, row["step_column"], config, str(row.get("id") or ""), row.get("description") or "", int(row.get("affected_count") or 0))
 
 
 def as_dict(step: Step) -> dict[str, Any]:

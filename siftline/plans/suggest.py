@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as rules
 from ..operators.rowid import data_columns, row_digest, text_columns
+from .recipe import Step, step_of
 
 # What a suggestion may ask for, and its limits.
 OPERATIONS = [
@@ -263,3 +264,15 @@ def fingerprint(df: DataFrame, dataset: str, created_at: str, step_ids: list[str
 def fresh_only(stored: DataFrame, current: DataFrame) -> DataFrame:
     """Stored suggestions whose fingerprint is still the current one."""
     return stored.join(current.select("dataset", "fingerprint", "content"), ["dataset", "fingerprint", "content"], "left_semi")
+
+
+def accepted_steps(stored: DataFrame, current: DataFrame, order: str = "id") -> list[Step]:
+    """The recipe steps of accepted suggestions, in order; stale ones are refused.
+
+    `stored` has mapped suggestions with the fingerprint and content they were made for. Each
+    accepted row becomes a step, so they are as few as a person accepts.
+    """
+    usable = fresh_only(stored, current)
+    if stored.count() != usable.count():
+        raise ValueError("the data or its recipe has changed since these suggestions were made")
+    return [step_of(r.asDict()) for r in usable.where("step_type is not null").orderBy(order).collect()]

@@ -45,6 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def release(spark: SparkSession) -> None:
+    """Remove every intermediate table that this application has written.
+
+    For the end of a job: tables that still read them can't be used any more.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/siftline/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     app = spark.sparkContext.applicationId
     return f"{shared_dir(spark).rstrip('/')}/siftline/{app}/{tag}-{uuid.uuid4().hex}"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv as header_csv
+import io
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +13,11 @@ from pyspark.sql import types as T
 
 from ..functions import cells as rules
 from ..operators.rowid import ROW_ID, file_uri, name, text_columns
+from ..session import materialize
 
 BOM = chr(0xFEFF)
-HEADER_LINES = 64  # enough for a header with line breaks in its names
 
+EXTENSIONS = ("csv", "xls", "xlsx")
 # Messages of a refused load.
 UNSUPPORTED = "Only CSV, XLS, and XLSX files are supported."
 EMPTY_FILE = "This file is empty."
@@ -41,68 +44,150 @@ def normalize_columns(names: list[str]) -> list[str]:
 
 
 class Header(NamedTuple):
-    """What the first lines of the first file tell."""
+    """What a file starts with. `skip`: records before the data."""
 
-    names: list[str]
-    has_sep: bool
+    cells: tuple[str, ...]
+    skip: int
     line_sep: str
 
+    @property
+    def names(self) -> list[str]:
+        return normalize_columns(list(self.cells))
 
-def read_header(spark: SparkSession, path: str, delimiter: str = ",") -> Header:
-    raw = spark.read.option("lineSep", "\n").text(path).limit(HEADER_LINES).collect()
-    lines = [r["value"] for r in raw]
-    if lines:
-        lines[0] = lines[0].lstrip(BOM)
-    line_sep = "\r\n" if lines and lines[0].endswith("\r") else "\n"
-    lines = [line.rstrip("\r") for line in lines]
-    has_sep = bool(lines) and lines[0] == f"sep={delimiter}"
-    rest = [line for line in (lines[1:] if has_sep else lines) if line]
-    names = next(header_csv.reader((line + "\n" for line in rest), delimiter=delimiter), [])
-    return Header(names, has_sep, line_sep)
+
+FILE, AT = "_file", "_at"
+# the first record, line breaks inside quotes included; possessive, so that long cells cost no stack
+_RECORD = r'^(?:[^"\r\n]++|"(?:[^"]++|"")*+(?:"|$))*+'
+_BLANKS = r"^[\r\n]+"
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Add each record's file, and a number that grows with its place in the file.
+
+    A file's first record is in the split that starts at byte 0, and has the least number there. Two
+    scans of one path are split alike, so the numbers of one hold for the other.
+    """
+    return df.withColumn(FILE, file_uri(F.col("_metadata.file_path"))).withColumn(AT, F.monotonically_increasing_id())
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that are not blank, placed; a blank line is no record."""
+    start = F.col("_metadata.file_block_start") == 0
+    lines = spark.read.text(path).select("value", start.alias("_start"), "_metadata")
+    return _placed(lines).drop("_metadata").where(F.length(F.trim(F.translate("value", "\r" + BOM, ""))) > 0)
+
+
+def _heads(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """(file, head, second, _at): the text that a file's first and second records take, and where the first is."""
+    if multiline:
+        whole = spark.read.text(path, wholetext=True).select(
+            file_uri(F.col("_metadata.file_path")).alias(FILE),
+            F.regexp_replace(F.ltrim(F.col("value"), F.lit(BOM)), _BLANKS, "").alias("t"),
+        )
+        head = whole.select(FILE, "t", F.regexp_extract("t", _RECORD, 0).alias("head"))
+        rest = F.regexp_replace(F.substr("t", F.length("head") + 1), _BLANKS, "")
+        return head.select(
+            FILE, "head", F.regexp_extract(rest, _RECORD, 0).alias("second"), F.lit(None).cast("bigint").alias(AT),
+            F.substr("t", F.length("head") + 1, F.lit(2)).startswith("\r\n").alias("crlf"),
+        )
+    lines = _lines(spark, path)
+    first = lines.where("_start").groupBy(FILE).agg(F.min(AT).alias("_first"))
+    # blank lines take numbers too, so the second line is the least number after the first
+    second = lines.where("_start").join(first, FILE).where(F.col(AT) > F.col("_first")).groupBy(FILE).agg(F.min(AT).alias("_second"))
+    at = first.join(second, FILE, "left")
+    text = F.ltrim(F.col("value"), F.lit(BOM))
+    return (
+        lines.where("_start").join(at, FILE).where((F.col(AT) == F.col("_first")) | (F.col(AT) == F.col("_second")))
+        .groupBy(FILE, F.col("_first").alias(AT), "_second")
+        .agg(F.max(F.when(F.col(AT) == F.col("_first"), text)).alias("head"), F.max(F.when(F.col(AT) == F.col("_second"), text)).alias("second"))
+        .select(FILE, "head", F.coalesce("second", F.lit("")).alias("second"), AT, "_second", F.lit(False).alias("crlf"))
+    )
+
+
+def read_headers(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True) -> DataFrame:
+    """(_file, header text, skip, crlf, ...) of every file that has content, found by position.
+
+    A first line `sep=` and the delimiter is no header; the record after it is.
+    """
+    heads = _heads(spark, path, multiline)
+    sep = F.col("head") == f"sep={delimiter}"
+    extra = ["_second"] if "_second" in heads.columns else []
+    # a file of line ends only has no first record
+    return heads.where(F.length(F.trim("head")) > 0).select(
+        FILE, F.when(sep, F.col("second")).otherwise(F.col("head")).alias("header"), F.when(sep, 2).otherwise(1).alias("skip"), "crlf", AT, *extra
+    )
+
+
+def _parse_header(text: str, skip: int, crlf: bool, delimiter: str) -> Header:
+    cells = next(header_csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), [])
+    return Header(tuple(cells), skip, "\r\n" if crlf else "\n")
+
+
+def read_groups(
+    spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True
+) -> list[tuple[list[str], DataFrame]]:
+    """The files of a folder by header: (column names, rows with `_file`) per different header.
+
+    Only the different headers come to the driver.
+    """
+    heads = materialize(read_headers(spark, path, delimiter, multiline), "csv-heads")
+    kinds = [r.asDict() for r in heads.select("header", "skip", "crlf").distinct().orderBy("header", "skip", "crlf").collect()]
+    groups: dict[tuple[str, ...], list[tuple[Header, dict]]] = {}
+    for kind in kinds:
+        header = _parse_header(kind["header"], kind["skip"], kind["crlf"], delimiter)
+        groups.setdefault(tuple(header.names), []).append((header, kind))
+    out = []
+    for names, members in groups.items():
+        parts = []
+        for header, kind in members:
+            mine = heads.where(F.col("header").eqNullSafe(kind["header"]) & (F.col("skip") == kind["skip"]) & (F.col("crlf") == kind["crlf"]))
+            parts.append(_records(spark, path, header, mine, delimiter, multiline, list(names)))
+        out.append((list(names), reduce(DataFrame.unionByName, parts)))
+    return out
+
+
+def _records(
+    spark: SparkSession, path: str, header: Header, heads: DataFrame, delimiter: str, multiline: bool, names: list[str]
+) -> DataFrame:
+    """The data records of the files in `heads`, conformed to the header's columns."""
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(max(len(header.cells), 1))]
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    if multiline:
+        reader = spark.read.schema(T.StructType(fields)).options(**options, header=False, multiLine=True)
+        # named, so that a CRLF inside quotes is not rewritten
+        scan = _placed(reader.option("lineSep", header.line_sep).csv(path))
+        first = scan.groupBy(FILE).agg(F.min(AT).alias("_first"))
+        rows = scan.join(heads.select(FILE), FILE, "left_semi").join(first, FILE).where(F.col(AT) - F.col("_first") >= header.skip)
+        cells = rows.select(FILE, *[f.name for f in fields])
+    else:
+        last = heads.select(FILE, (F.col("_second") if header.skip == 2 else F.col(AT)).alias("_last"))
+        # a split that does not start the file holds no header
+        rows = _lines(spark, path).join(last, FILE).where(~F.col("_start") | (F.col(AT) > F.coalesce("_last", F.lit(1 << 62))))
+        parsed = F.from_csv("value", T.StructType(fields).simpleString()[7:-1].replace(":", " "), options)
+        cells = rows.select(FILE, parsed.alias("r")).select(FILE, "r.*")
+    return cells.select(*[F.coalesce(F.col(f.name), F.lit("")).alias(n) for f, n in zip(fields, names)], FILE)
 
 
 def read_csv(
-    spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True, row_id: bool = False
+    spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True, union: bool = False
 ) -> DataFrame:
     """All columns as text, named by the header, rows conformed to it.
 
-    The header's line ending is taken for the whole file.
+    Each file's header is its own first record. Files with other columns than the rest raise
+    ValueError, or with `union` are put under all columns by name, with "" where a file lacks
+    one. A `sep=` line is dropped.
 
     `multiline=True` reads line breaks inside quotes, at the price of one task per
-    file; with `multiline=False` large files are split. A folder's files must share
-    one header. A `sep=` line is dropped; then a row that repeats the header word for
-    word counts as header.
+    file; with `multiline=False` large files are split.
     """
-    header = read_header(spark, path, delimiter)
-    names = normalize_columns(header.names)
-    if not names:
+    groups = read_groups(spark, path, delimiter, multiline)
+    if not groups or any(not names for names, _ in groups):
         raise ValueError(UNREADABLE)
-    df = _scan(spark, path, header, delimiter, multiline)
-    if header.has_sep:
-        cells = [F.coalesce(F.col(c), F.lit("")) for c in df.columns]
-        same = F.array(*cells) == F.array(*[F.lit(n) for n in header.names])
-        df = df.where(~same)
-    out = conform_rows(df, names)
-    return out.withColumn(ROW_ID, F.monotonically_increasing_id()) if row_id else out
-
-
-def _scan(spark: SparkSession, path: str, header: Header, delimiter: str, multiline: bool) -> DataFrame:
-    """The records by position; cells beyond the header's width are cut by the schema."""
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(max(len(header.names), 1))]
-    reader = (
-        spark.read.schema(T.StructType(fields))
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("sep", delimiter)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("mode", "PERMISSIVE")
-    )
-    if multiline:
-        # named, so that a CRLF inside quotes is not rewritten
-        reader = reader.option("lineSep", header.line_sep)
-    return reader.csv(path)
+    if len(groups) > 1 and not union:
+        raise ValueError("files have different columns: " + "; ".join(", ".join(names) for names, _ in groups))
+    columns = list(dict.fromkeys(n for names, _ in groups for n in names))
+    whole = [df.select(*[name(c) if c in names else F.lit("").alias(c) for c in columns]) for names, df in groups]
+    return reduce(DataFrame.unionByName, whole)
 
 
 def conform_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -115,8 +200,10 @@ def conform_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def validate_load(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True) -> DataFrame:
-    """(file, ok, error, row_count) for every file of a folder.
+def validate_load(
+    spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True, extensions: tuple[str, ...] = EXTENSIONS
+) -> DataFrame:
+    """(file, ok, error, row_count) for every file of a folder, each judged by its own header.
 
     Refused: another extension, an empty file, no header, no rows, or quoted fields
     that are opened and never closed. Rows of a different width are tolerated.
@@ -126,13 +213,17 @@ def validate_load(spark: SparkSession, path: str, delimiter: str = ",", multilin
     # a scan skips files without content, the listing has them
     listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "file string")
     files = listed.select(file_uri(F.col("file")).alias("file")).join(lengths, "file", "left")
-    named_ok = F.lower(F.col("file")).rlike(r"\.(csv|xls|xlsx)$")
-    header = read_header(spark, path, delimiter)
-    per_file = (
-        _scan(spark, path, header, delimiter, multiline)
-        .groupBy(file_uri(F.col("_metadata.file_path")).alias("file"))
-        .agg((F.count("*") - int(header.has_sep)).alias("row_count"))
-    )
+    named_ok = F.lower(F.col("file")).rlike(rf"\.({'|'.join(extensions)})$")
+    heads = read_headers(spark, path, delimiter, multiline)
+    blank = "\\s" + "\\" + delimiter + '"'
+    status = heads.select(F.col(FILE).alias("file"), (F.length(F.regexp_replace("header", f"[{blank}]", "")) > 0).alias("readable"), "skip")
+    if multiline:
+        one = T.StructType([T.StructField("c0", T.StringType())])
+        options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": True, "header": False}
+        records = spark.read.schema(one).options(**options).csv(path).select(file_uri(F.col("_metadata.file_path")).alias("file"))
+    else:
+        records = _lines(spark, path).select(F.col(FILE).alias("file"))
+    per_file = records.groupBy("file").agg(F.count("*").alias("records"))
     # quotes that open and close a field, line by line, escaped pairs aside
     line = F.replace(F.col("value"), F.lit('""'), F.lit(""))
     d = "\\" + delimiter
@@ -146,18 +237,20 @@ def validate_load(spark: SparkSession, path: str, delimiter: str = ",", multilin
         .groupBy("file")
         .agg((F.sum("opened") - F.sum("closed")).alias("unclosed"))
     )
-    header_ok = bool(normalize_columns(header.names))
+    joined = files.join(status, "file", "left").join(per_file, "file", "left").join(quotes, "file", "left")
+    readable = F.coalesce("readable", F.lit(False)) & (F.coalesce("unclosed", F.lit(0)) <= 0)
+    rows = F.when(F.coalesce("readable", F.lit(False)), F.greatest(F.col("records") - F.col("skip"), F.lit(0)))
     error = (
         F.when(~named_ok, UNSUPPORTED)
         .when(F.coalesce("length", F.lit(0)) == 0, EMPTY_FILE)
-        .when(~F.lit(header_ok) | (F.coalesce("unclosed", F.lit(0)) > 0), UNREADABLE)
-        .when(F.coalesce("row_count", F.lit(0)) == 0, NO_ROWS)
+        .when(~readable, UNREADABLE)
+        .when(F.coalesce(rows, F.lit(0)) == 0, NO_ROWS)
     )
-    return files.join(per_file, "file", "left").join(quotes, "file", "left").select(
+    return joined.select(
         "file",
         error.isNull().alias("ok"),
         error.alias("error"),
-        F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"),
+        F.coalesce(rows, F.lit(0)).cast("bigint").alias("row_count"),
     )
 
 

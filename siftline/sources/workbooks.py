@@ -1,0 +1,154 @@
+"""Folder of `.xlsx` files -> rows of text cells, first sheet only.
+
+The format can only be read a file at a time, so a file is the unit of work: Spark
+spreads the files over tasks, and each task streams rows out of its files in batches.
+"""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .csv import normalize_columns
+
+BATCH_ROWS = 10_000
+SCHEMA = "file string, row_no bigint, cells array<string>, error string"
+
+# Messages of a refused workbook.
+EMPTY_SHEET_FILE = "This spreadsheet file is empty."
+NO_SHEET = "This spreadsheet does not contain any worksheets."
+NO_HEADER = "This spreadsheet needs a header row to be imported."
+NO_ROWS = "This dataset contains columns but no rows."
+BROKEN = "We couldn't read this spreadsheet. Check that the file is valid and try again."
+
+
+def _tag(element) -> str:
+    return element.tag.rsplit("}", 1)[-1]
+
+
+def _texts(element) -> str:
+    return "".join(t.text or "" for t in element.iter() if _tag(t) == "t")
+
+
+def _column_index(reference: str) -> int:
+    n = 0
+    for ch in re.match(r"[A-Z]*", reference).group():
+        n = n * 26 + ord(ch) - 64
+    return n - 1
+
+
+def _first_sheet(z: zipfile.ZipFile) -> str | None:
+    book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    sheet = next((e for e in book.iter() if _tag(e) == "sheet"), None)
+    if sheet is None:
+        return None
+    rel_id = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
+    rels = ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+    target = next(r.get("Target") for r in rels if r.get("Id") == rel_id)
+    return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+
+
+def _rows(content: bytes) -> Iterator[list[str]]:
+    """Rows of the first sheet as text, streamed; absent cells are ""."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        sheet = _first_sheet(z)
+        if sheet is None:
+            raise LookupError(NO_SHEET)
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, e in ElementTree.iterparse(f):
+                    if _tag(e) == "si":
+                        shared.append(_texts(e))
+                        e.clear()
+        with z.open(sheet) as f:
+            for _, e in ElementTree.iterparse(f):
+                if _tag(e) != "row":
+                    continue
+                row: list[str] = []
+                for cell in e:
+                    at = _column_index(cell.get("r", "")) if cell.get("r") else len(row)
+                    row.extend([""] * (at - len(row)))
+                    row.append(_cell_text(cell, shared))
+                e.clear()
+                yield row
+
+
+def _cell_text(cell, shared: list[str]) -> str:
+    kind = cell.get("t")
+    if kind == "inlineStr":
+        return _texts(cell)
+    value = next((v.text or "" for v in cell if _tag(v) == "v"), "")
+    if kind == "s":
+        return shared[int(value)]
+    if kind == "b":
+        return "true" if value == "1" else "false"
+    return value
+
+
+def _read(file: str, content: bytes) -> Iterator[tuple]:
+    if not content:
+        yield file, None, None, EMPTY_SHEET_FILE
+        return
+    try:
+        count = -1
+        for count, row in enumerate(_rows(content)):
+            if count == 0 and not normalize_columns(row):
+                yield file, None, None, NO_HEADER
+                return
+            yield file, count, row, None
+        if count < 1:
+            yield file, None, None, NO_HEADER if count < 0 else NO_ROWS
+    except LookupError as e:
+        yield file, None, None, str(e.args[0]) if e.args and e.args[0] == NO_SHEET else BROKEN
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, StopIteration):
+        yield file, None, None, BROKEN
+
+
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["file", "row_no", "cells", "error"]
+    held: list[tuple] = []
+    for frame in frames:
+        for file, content in zip(frame["file"], frame["content"]):
+            for record in _read(file, content):
+                held.append(record)
+                if len(held) >= BATCH_ROWS:
+                    yield _frame(held, names)
+                    held = []
+    yield _frame(held, names)
+
+
+def _frame(held: list[tuple], names: list[str]) -> pd.DataFrame:
+    frame = pd.DataFrame(held, columns=names)
+    return frame.astype({"row_no": "Int64"})
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_no, cells, error): row 0 is the header; a bad file gives one error row."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.xlsx")
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .select(F.col("path").alias("file"), "content")
+    )
+    return files.mapInPandas(_batches, SCHEMA)
+
+
+def workbook_table(rows: DataFrame, header: list[str]) -> DataFrame:
+    """Rows of workbooks that share a header as a table of text columns.
+
+    Short rows are padded with "", long ones cut, blank rows dropped.
+    """
+    columns = normalize_columns(header)
+    cells = F.col("cells")
+    values = [F.coalesce(F.get(cells, i), F.lit("")).alias(c) for i, c in enumerate(columns)]
+    blank = ~F.exists(cells, lambda c: c != "")
+    return rows.where("row_no > 0").where(~blank).select("file", "row_no", *values)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.rowid import ROW_ID
+from ..operators.rowid import ROW_ID, data_columns, row_digest, text_columns
 from ..plans.recipe import Step, apply_recipe
 
 ROW_WISE = ("normalize_text", "convert_type", "remove_column")
@@ -24,10 +24,15 @@ def stream_recipe(stream: DataFrame, steps: list[Step], row_id: str = ROW_ID) ->
     return apply_recipe(stream, steps, row_id)
 
 
-def dedup_within(stream: DataFrame, event_time: str, delay: str, columns: list[str] | None = None) -> DataFrame:
+def dedup_within(
+    stream: DataFrame, event_time: str, delay: str, columns: list[str] | None = None, row_id: str = ROW_ID
+) -> DataFrame:
     """Keep the first of equal rows that arrive within `delay` of each other.
 
-    The watermark bounds the state; keep-last cannot be known on a stream.
+    Rows are equal as in the batch step: the texts of all data columns, event time included, null
+    counting as "". The watermark bounds the state; keep-last cannot be known on a stream.
     """
-    keys = columns or [c for c in stream.columns if c != event_time]
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    keys = data_columns(stream, columns, row_id)
+    digest = row_digest(text_columns(stream, keys))
+    marked = stream.withColumn("_row_digest", digest).withWatermark(event_time, delay)
+    return marked.dropDuplicatesWithinWatermark(["_row_digest"]).drop("_row_digest")

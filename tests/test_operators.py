@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -9,15 +10,28 @@ from siftline.sources import csv as source
 from siftline.streaming import append_batch_counts, read_counts
 
 
-def test_rank_selection_equals_percentile(spark):
+def test_rank_selection_is_exact(spark, monkeypatch):
+    """The interpolation is a + (b - a) * frac to the last bit, however often buckets are cut."""
     rnd = random.Random(1)
-    rows = [("a", rnd.gauss(0, 100)) for _ in range(2000)] + [("b", float(rnd.randint(0, 5))) for _ in range(501)] + [("c", 1.0)]
-    points = spark.createDataFrame(rows, "column string, x double").withColumn("cnt", F.lit(1).cast("bigint"))
-    probs = {"p10": 0.1, "q1": 0.25, "p99": 0.99}
-    exact = sorted(ranks.quantiles(points, probs).collect())
-    small = sorted(ranks.small_quantiles(points, probs).collect())
-    for e, s in zip(exact, small, strict=True):
-        assert e[0] == s[0] and all(abs(x - y) < 1e-9 for x, y in zip(e[1:], s[1:]))
+    columns = {
+        "a": [rnd.gauss(0, 100) for _ in range(2000)],
+        "b": [float(rnd.randint(0, 5)) for _ in range(501)],
+        "c": [1.0],
+        "d": [4.66, 51.82],
+        "e": [float((f << 40) + i) for f in range(8) for i in range(200)],  # clustered as file and position
+    }
+    points = spark.createDataFrame([(c, x) for c, xs in columns.items() for x in xs], "column string, x double").withColumn("cnt", F.lit(1).cast("bigint"))
+    probs = {"p10": 0.1, "q1": 0.25, "median": 0.5, "p99": 0.99}
+    want = {}
+    for c, xs in columns.items():
+        xs = sorted(xs)
+        at = [p * (len(xs) - 1) for p in probs.values()]
+        want[c] = [xs[math.floor(k)] + (xs[math.ceil(k)] - xs[math.floor(k)]) * (k - math.floor(k)) for k in at]
+    for rows in (0, 10, 10**6):
+        monkeypatch.setattr(ranks, "SET_ROWS", rows)
+        got = {r["column"]: [r[k] for k in probs] for r in ranks.quantiles(points, probs).collect()}
+        assert got == want
+    assert want["d"][2] == 28.24
 
 
 def test_dedup(spark):
