@@ -180,8 +180,9 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole recipe's report, written as JSON and read back; each step counted on its own version."""
-    profile_of = lambda df: Profiler(df, "messy_orders", row_id=ROW).profile
-    _, steps, before, after = recipes.counted_recipe(_messy(spark, sf_dir), STEPS, profile_of, ROW)
+    original = _messy(spark, sf_dir)
+    cleaned, steps = recipes.counted_recipe(original, STEPS, ROW)
+    before, after = (Profiler(df, "messy_orders", row_id=ROW).profile for df in (original, cleaned))
     report = summary.cleaning_summary(before, after, recipes.recipe_table(spark, steps))
     path = new_path(spark, "summary")
     summary.write_summary(report, path, "2026-01-01T00:00:00Z")

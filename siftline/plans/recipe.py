@@ -7,16 +7,16 @@ again for it. Undo and reset are list slices, because nothing is ever changed in
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, dedup
-from ..operators.rowid import ROW_ID
+from ..operators import clean, dedup, stats
+from ..operators.rowid import ROW_ID, data_columns
 from ..session import materialize
+from .profile import Profiler
 
 STEP_TYPES = (
     "remove_duplicates",
@@ -124,42 +124,39 @@ def recipe_table(spark: SparkSession, steps: list[Step]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def affected_count(profile: DataFrame, step: Step) -> int:
-    """What a step touches, read off the profile of the version of the data it is applied to.
+def affected_count(df: DataFrame, step: Step, row_id: str = ROW_ID) -> int:
+    """What a step touches in the version of the data that it is applied to.
 
     Duplicates: extra rows. Fill: missing cells. Normalise: spellings of inconsistent
-    forms. Convert: present cells. Outliers: outlier cells. Column removal: 0.
+    forms. Convert: present cells. Outliers: outlier cells. Column removal: 0. Only the step's
+    own column is profiled, and only as far as its figure needs.
     """
-    field = {
-        "fill_missing": "missing_count", "normalize_text": "inconsistent_spellings",
-        "convert_type": "total_values", "remove_outlier_rows": "outlier_count",
-    }.get(step.type)
     if step.type == "remove_duplicates":
-        found = profile.select("duplicate_row_count").first()
-    elif field:
-        columns = profile.select(F.explode("columns").alias("c"))
-        found = columns.where(F.col("c.name") == step.column).select(f"c.{field}").first()
+        return dedup.row_totals(df, data_columns(df, None, row_id)).first()["duplicate_row_count"]
+    if step.type == "remove_column" or step.column not in df.columns:
+        return 0
+    column = Profiler(df, "step", [step.column], row_id)
+    if step.type == "normalize_text":
+        figure = stats.inconsistency_counts(column.values, column.counters).select("inconsistent_spellings")
+    elif step.type == "remove_outlier_rows":
+        figure = column.outlier_counts().select("outlier_count")
     else:
-        found = None
+        figure = column.counters.select("missing_count" if step.type == "fill_missing" else "total_values")
+    found = figure.first()
     return int(found[0] or 0) if found else 0
 
 
-def counted_recipe(
-    df: DataFrame, steps: list[Step], profile_of: Callable[[DataFrame], DataFrame], row_id: str = ROW_ID
-) -> tuple[DataFrame, list[Step], DataFrame, DataFrame]:
-    """(cleaned rows, steps with their affected counts, profile before, profile after).
+def counted_recipe(df: DataFrame, steps: list[Step], row_id: str = ROW_ID) -> tuple[DataFrame, list[Step]]:
+    """(cleaned rows, steps with their affected counts).
 
     Each step is counted on the version it is applied to, as when a recipe is put together
-    step by step; that version is written once, and profiled only for a step that has a count.
+    step by step; that version is written once.
     """
-    before = now = profile_of(df)
     counted = []
     for step in steps:
-        if now is None and step.type != "remove_column":
-            now = profile_of(df)
-        counted.append(replace(step, affected_count=affected_count(now, step) if now is not None else 0))
-        df, now = materialize(apply_step(df, step, row_id), "version"), None
-    return df, counted, before, profile_of(df) if now is None else now
+        counted.append(replace(step, affected_count=affected_count(df, step, row_id)))
+        df = materialize(apply_step(df, step, row_id), "version")
+    return df, counted
 
 
 def step_of(row: dict[str, Any]) -> Step:

@@ -54,9 +54,9 @@ def test_counts_belong_to_the_version_a_step_sees(spark):
     df = spark.createDataFrame(data, "id bigint, n string, t string")
     steps = [Step("remove_duplicates"), Step("fill_missing", "n", {"strategy": "median"}), Step("normalize_text", "t", {"normalizations": ["trim", "lowercase"]}),
              Step("normalize_text", "t", {"normalizations": ["uppercase"]}), Step("remove_outlier_rows", "n"), Step("remove_column", "t")]
-    out, counted, before, after = counted_recipe(df, steps, lambda d: Profiler(d, "d", row_id="id").profile, "id")
+    out, counted = counted_recipe(df, steps, "id")
     assert [s.affected_count for s in counted] == [1, 1, 2, 0, 1, 0]
-    assert (before.first().row_count, after.first().row_count, out.columns) == (7, 5, ["id", "n"])
+    assert (out.count(), out.columns) == (5, ["id", "n"])
     assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in apply_recipe(df, steps, "id").collect())
 
 
