@@ -12,7 +12,8 @@ Chinese restaurant process says. The tables of the children are the root's custo
 the same way. All restaurants of one word are in one row of the table of counts, so a
 sweep is one pass over it that shuffles nothing: only each restaurant's number of tables goes to
 the driver. Past GROUP customers they sit down in groups of a sixteenth of those
-seated, which have one probability. Random numbers are hashes of word, context, sweep and
+seated, which have one probability; a group's new tables are their expected number rounded up or down
+at random, right in the mean and narrower in spread than single customers would be. Random numbers are hashes of word, context, sweep and
 customer, so a sweep that a lost executor repeats comes out the same, and the seating of a
 sweep needs no storage: it follows from counts and from the earlier sweeps' table numbers.
 
