@@ -18,6 +18,7 @@ no rows; very long texts are aligned only around their hits; extra columns are i
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,7 +110,7 @@ def _passages(shared, sizes: list[int], least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         seeds, owners, places, items = shared.value  # seeds ascending; a seed may belong to several items
-        names = ["doc_id", "item_id", "score", "matched", "item_words", "first_word", "last_word"]
+        names = ["doc_id", "item_id", "score", "matched", "item_words", "first_word", "last_word", "text_md5"]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -128,7 +129,7 @@ def _passages(shared, sizes: list[int], least: float):
                     if found:
                         score, first, last = found
                         m = len(items[item_id])
-                        rows.append((doc_id, item_id, score / m, score, m, first, last))
+                        rows.append((doc_id, item_id, score / m, score, m, first, last, hashlib.md5(text.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=names)
 
     return run
@@ -156,13 +157,18 @@ def best_passage(item: np.ndarray, words: np.ndarray, starts: list[int], least:
     return best
 
 
-FOUND = "doc_id long, item_id long, score double, matched long, item_words long, first_word long, last_word long"
+FOUND = "doc_id long, item_id long, score double, matched long, item_words long, first_word long, last_word long, text_md5 string"
 
 
-def contaminated_passages(
+def contaminated_passages(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """The best passage of each document (doc_id, text) for each item (item_id, text) it holds a copy of."""
+    return passages_of_texts(docs, items, **how).drop("text_md5")
+
+
+def passages_of_texts(
     docs: DataFrame, items: DataFrame, n: int = SEED_WORDS, stretch: int = STRETCH, least: float = LEAST, block_grams: int = BLOCK_GRAMS
 ) -> DataFrame:
-    """The best passage of each document (doc_id, text) for each item (item_id, text) it holds a copy of."""
+    """`contaminated_passages` with the MD5 of the text, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
     texts = numbered(docs, "text")
     items = items.where("item_id is not null")
@@ -199,9 +205,11 @@ def contaminated_passages(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of `docs` that hold no copy of an item."""
-    (gone,) = free_names(docs, "gone")
-    bad = materialize(contaminated_passages(docs, items, **how).select(F.col("doc_id").alias(gone)).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone, text = free_names(docs, "gone", "text")
+    bad = passages_of_texts(docs, items, **how).select(F.col("doc_id").alias(gone), F.col("text_md5").alias(text)).distinct()
+    bad = materialize(bad, "contaminated")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(gone)) & (F.md5(F.col("text").cast("binary")) == F.col(text))
+    return docs.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -484,6 +484,15 @@ def test_contamination_is_found_and_clean_texts_are_not(make, spark):
     assert decontaminate.contaminated_passages(frame, bench.limit(0)).count() == 0
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(make, spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, "so " + item), (None, "a clean text"), (None, None), (5, item + " é"), (5, "another clean text"), (6, "clean")]
+    left = decontaminate.drop_contaminated(make(rows, _text=1, _gone=2).repartition(3), bench).collect()
+    want = [(None, "a clean text"), (None, None), (5, "another clean text"), (6, "clean")]
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted(want, key=str)
+
+
 # --- 10 --------------------------------------------------------------------------------------
 
 
