@@ -38,7 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, free_names, materialize, numbered, own_id, table
@@ -111,6 +111,11 @@ def _tag(raw: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(raw) & 0xFFFF) << 47
 
 
+def text_key(text: str = "text") -> Column:
+    """64 bits of another hash of the text than `_tag` takes its 16 from."""
+    return F.xxhash64(text)
+
+
 def _runs(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Neighbouring stretches of windows put together: starts and ends (exclusive)."""
     stop = first + n
@@ -122,14 +127,14 @@ def _raw(text) -> bytes:
     return text.encode("utf-8") if isinstance(text, str) else b""
 
 
-_PARSED = "doc_id long, trigger long, phrase long, place long, run long"
+_PARSED = "doc_id long, key long, trigger long, phrase long, place long, run long"
 
 
 def _parsed(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            order = np.argsort(batch["doc_id"].to_numpy(), kind="stable")
-            ids, texts = batch["doc_id"].to_numpy()[order], batch["text"].to_numpy()[order]
+            order = np.lexsort((batch["key"].to_numpy(), batch["doc_id"].to_numpy()))  # the order of the windows below
+            ids, keys, texts = (batch[c].to_numpy()[order] for c in ("doc_id", "key", "text"))
             docs, triggers, phrases, firsts, counts, tags = [], [], [], [], [], []
             rows = set()
             for i, text in enumerate(texts):
@@ -151,45 +156,45 @@ def _parsed(length: int, gram: int):
             _, new = np.unique(mix(trigger ^ mix(phrase)), return_index=True)
             seen = np.ones(len(doc), bool)
             seen[new] = False
-            same = ids[doc]
+            same, key = ids[doc], keys[doc]
             place = tag | first << 7 | n
             keep = ~seen
             yield pd.DataFrame({
-                "doc_id": same[keep], "trigger": trigger[keep].view(np.int64), "phrase": phrase[keep].view(np.int64),
+                "doc_id": same[keep], "key": key[keep], "trigger": trigger[keep].view(np.int64), "phrase": phrase[keep].view(np.int64),
                 "place": place[keep], "run": pd.array([None] * int(keep.sum()), dtype="Int64"),
             })
             if seen.any():
-                yield _settled(same[seen], tag[seen], first[seen], n[seen], doc[seen])
+                yield _settled(same[seen], key[seen], tag[seen], first[seen], n[seen], doc[seen])
 
     return run
 
 
-def _settled(ids: np.ndarray, tag: np.ndarray, first: np.ndarray, n: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
+def _settled(ids: np.ndarray, keys: np.ndarray, tag: np.ndarray, first: np.ndarray, n: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
     rows = []
     for group in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
         starts, stops = _runs(first[group], n[group])
-        rows.append((np.full(len(starts), ids[group[0]]), tag[group[0]] | starts << 7, stops))
-    same, place, stop = (np.concatenate(x) for x in zip(*rows, strict=True))
+        rows.append((np.full(len(starts), ids[group[0]]), np.full(len(starts), keys[group[0]]), tag[group[0]] | starts << 7, stops))
+    same, key, place, stop = (np.concatenate(x) for x in zip(*rows, strict=True))
     away = mix(place.view(np.uint64) ^ mix(same.view(np.uint64))).view(np.int64)
     return pd.DataFrame({
-        "doc_id": same, "trigger": away, "phrase": np.zeros(len(same), np.int64), "place": place, "run": pd.array(stop, dtype="Int64")
+        "doc_id": same, "key": key, "trigger": away, "phrase": np.zeros(len(same), np.int64), "place": place, "run": pd.array(stop, dtype="Int64")
     })
 
 
 def _pieces(length: int):
     """The text of every phrase in `rims`, a flat list of places and triggers."""
-    names = ["doc_id", "trigger", "place", "piece"]
+    names = ["doc_id", "key", "trigger", "place", "piece"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text, rims in zip(batch["doc_id"], batch["text"], batch["rims"], strict=True):
+            for doc_id, key, text, rims in zip(batch["doc_id"], batch["key"], batch["text"], batch["rims"], strict=True):
                 raw = _raw(text)
                 tag = _tag(raw)
                 for place, trigger in rims.reshape(-1, 2).tolist():
                     if place >> 47 << 47 == tag:
                         first, n = place >> 7 & ((1 << 40) - 1), place & 127
-                        rows.append((doc_id, trigger, place, raw[first : first + n + length - 1]))
+                        rows.append((doc_id, key, trigger, place, raw[first : first + n + length - 1]))
                 if len(rows) >= CHUNK_PHRASES:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -225,41 +230,46 @@ def _covered(size: int, found: np.ndarray, tag: int, length: int) -> list[tuple[
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per doc_id the repeated windows of `docs` (doc_id long, text), as a list `found`.
+    """Per text, named by doc_id and `key`, the repeated windows of `docs` (doc_id long, text), as a list `found`.
 
+    Texts that share a doc_id, as all without one do, have lists of their own: two of them are taken
+    for one another only if the 64 bits of `text_key` and the 16 of a place agree.
     An entry is four numbers of that list: a place (see above), then either `stop`, the end of a
     stretch of windows, or, with stop 0, two sets of bits, one for each window of the phrase.
     """
     flat = lambda *c: F.flatten(F.collect_list(F.array(*c)))  # noqa: E731  numpy arrays in tasks, where structs would be dicts
+    docs = docs.select("doc_id", "text", text_key().alias("key"))
     parsed = docs.mapInPandas(_parsed(length, gram), _PARSED).repartition("trigger")
-    in_phrase = Window.partitionBy("trigger", "phrase").orderBy("doc_id", "place")
+    in_phrase = Window.partitionBy("trigger", "phrase").orderBy("doc_id", "key", "place")
     of_trigger = Window.partitionBy("trigger")
     sorted_phrases = parsed.withColumn("nth", F.rank().over(in_phrase)).withColumn(
         "many", F.min("phrase").over(of_trigger) != F.max("phrase").over(of_trigger)
     )
     stop = F.coalesce("run", F.when(F.col("nth") > 1, F.shiftright("place", 7).bitwiseAND((1 << 40) - 1) + F.col("place").bitwiseAND(127)))
     known = materialize(
-        sorted_phrases.where("run is not null or nth > 1 or many").select("doc_id", "trigger", "place", stop.alias("stop")), "phrases"
+        sorted_phrases.where("run is not null or nth > 1 or many").select("doc_id", "key", "trigger", "place", stop.alias("stop")), "phrases"
     )
-    rims = known.where("stop is null").groupBy("doc_id").agg(flat("place", "trigger").alias("rims"))
-    pieces = docs.join(rims, "doc_id").mapInPandas(_pieces(length), "doc_id long, trigger long, place long, piece binary")
+    rims = known.where("stop is null").groupBy("doc_id", "key").agg(flat("place", "trigger").alias("rims"))
+    pieces = docs.join(rims, ["doc_id", "key"]).mapInPandas(_pieces(length), "doc_id long, key long, trigger long, place long, piece binary")
     # a phrase becomes some forty suffixes, hence many partitions
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     suffixes = pieces.repartition(parts, "trigger").select(
-        "doc_id", "trigger", "place", F.posexplode(F.sequence(F.lit(1), F.col("place").bitwiseAND(127).cast("int"))).alias("nth", "i"), "piece"
-    ).select("doc_id", "trigger", "place", "nth", F.substring("piece", F.col("i"), length).alias("suffix"))
+        "doc_id", "key", "trigger", "place", F.posexplode(F.sequence(F.lit(1), F.col("place").bitwiseAND(127).cast("int"))).alias("nth", "i"), "piece"
+    ).select("doc_id", "key", "trigger", "place", "nth", F.substring("piece", F.col("i"), length).alias("suffix"))
     # windows of one trigger are equal only if the trigger stands at one distance
-    equal = Window.partitionBy("trigger", "suffix").orderBy("doc_id", F.col("place").bitwiseAND(~((1 << 47) - 1)), F.shiftright("place", 7) + F.col("nth"))
+    equal = Window.partitionBy("trigger", "suffix").orderBy(
+        "doc_id", "key", F.col("place").bitwiseAND(~((1 << 47) - 1)), F.shiftright("place", 7) + F.col("nth")
+    )
     again = suffixes.withColumn("again", F.rank().over(equal)).where("again > 1")
     bit = lambda a, b: F.expr(f"sum(case when nth between {a} and {b} then shiftleft(1L, nth - {a}) else 0L end)")
     rim_found = materialize(
-        again.groupBy("trigger", "doc_id", "place").agg(bit(0, 62).alias("low"), bit(63, 125).alias("high")).drop("trigger"), "rims"
+        again.groupBy("trigger", "doc_id", "key", "place").agg(bit(0, 62).alias("low"), bit(63, 125).alias("high")).drop("trigger"), "rims"
     )
     nothing = F.lit(0).cast("long")
-    every = known.where("stop is not null").select("doc_id", "place", "stop", nothing.alias("low"), nothing.alias("high")).unionByName(
-        rim_found.select("doc_id", "place", nothing.alias("stop"), "low", "high")
+    every = known.where("stop is not null").select("doc_id", "key", "place", "stop", nothing.alias("low"), nothing.alias("high")).unionByName(
+        rim_found.select("doc_id", "key", "place", nothing.alias("stop"), "low", "high")
     )
-    return every.groupBy("doc_id").agg(flat("place", "stop", "low", "high").alias("found"))
+    return every.groupBy("doc_id", "key").agg(flat("place", "stop", "low", "high").alias("found"))
 
 
 def _report(length: int):
@@ -286,7 +296,7 @@ def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of `docs` (doc_id, text)."""
     texts = numbered(docs, "text")
     found = repeated_windows(texts, length)
-    out = texts.join(found, "doc_id", "left").mapInPandas(
+    out = texts.withColumn("key", text_key()).join(found, ["doc_id", "key"], "left").drop("key").mapInPandas(
         _report(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
     return out.withColumn("doc_id", own_id())
@@ -309,8 +319,10 @@ def kept_text(raw: bytes, cuts: list[tuple[int, int]]) -> str:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with every repeated string taken out of `text`; all rows and columns stay."""
-    key, found = free_names(docs, "key", "found")
-    spans = repeated_windows(numbered(docs, "text"), length).select(F.col("doc_id").alias(key), F.col("found").alias(found))
+    number, key, found = free_names(docs, "number", "key", "found")
+    spans = repeated_windows(numbered(docs, "text"), length).select(
+        F.col("doc_id").alias(number), F.col("key").alias(key), F.col("found").alias(found)
+    )
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, found: pd.Series) -> pd.Series:
@@ -320,7 +332,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(t if x is None else kept_text(raw, _covered(len(raw), x, _tag(raw), length)))
         return pd.Series(out, dtype=object)
 
-    joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(spans, key, "left")
+    named = docs.withColumn(number, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(key, text_key())
+    joined = named.join(spans, [number, key], "left")
     new = F.when(F.col(found).isNotNull(), cut("text", found)).otherwise(F.col("text"))
     return joined.withColumn("text", new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
