@@ -1,25 +1,23 @@
 """Operator 7: texts scored by a hierarchical Pitman-Yor language model.
 
 Restaurants: the root serves all words over a uniform base of the V known words and one unknown;
-below it, one restaurant for each context, all sharing that parent. A word's context is the
-word before it if that has at least 1/CONTEXT_SHARE of the training tokens (so there are at most
-CONTEXT_SHARE of them), else one restaurant for all rarer ones; before a text stands the end
-token. Discounts come from counts of counts, n1 / (n1 + 2 n2).
+below it, one restaurant for each word that comes before another, all sharing that parent; before a
+text stands the end token. Discounts come from counts of counts, n1 / (n1 + 2 n2).
 
 Seating: the customers of a word are reseated given the parent's predictive probability and the
 restaurant's number of tables, both of the sweep before; each opens a table or joins one, as the
 Chinese restaurant process says. The tables of the children are the root's customers, seated in
-the same way. All restaurants of one word are in one row of the table of counts, so a
-sweep is one pass over it that shuffles nothing: only each restaurant's number of tables goes to
-the driver. Past GROUP customers they sit down in groups of a sixteenth of those
-seated, which have one probability; a group's new tables are their expected number rounded up or down
-at random, right in the mean and narrower in spread than single customers would be. Random numbers are hashes of word, context, sweep and
-customer, so a sweep that a lost executor repeats comes out the same, and the seating of a
-sweep needs no storage: it follows from counts and from the earlier sweeps' table numbers.
+the same way. Counts of (word, context), words and contexts are three written tables; a sweep joins
+the first with the other two and sums its tables into new ones, so that the driver holds no
+restaurant and a word or context with any share of the pairs can be split. A single customer
+has one table for good, so pairs met once are only counted. Past GROUP customers they sit down in
+groups of a sixteenth of those seated, which have one probability; a group's new tables are their
+expected number rounded up or down at random, right in the mean and narrower in spread than single
+customers would be. Random numbers are hashes of word, context, sweep and customer, so a sweep that a
+lost executor repeats comes out the same.
 
 The score of a text is the sum of log10 of the predictive probabilities, each averaged
-over the last sweeps. Its words go to the counts grouped by word and Arrow batch, so a very common
-word is as many rows as there are batches.
+over the last sweeps: its pairs are joined with contexts, words and counts.
 
 Edge cases: a null or empty text is its end token; rows that share a doc_id are scored
 together, as one row; a null doc_id stays one; words of held-out texts that training lacks get the
@@ -40,15 +38,12 @@ from pyspark.sql import functions as F
 from .common import NO_ID, materialize, numbered, own_id, table
 from .minhash import _ODD, WordHashes, mix, word_list
 
-CONTEXT_SHARE = 1024
 SWEEPS, AVERAGED = 4, 3
 GROUP = 64
 CONCENTRATION = 1.0
 #: The end token's hash; a word's hash is never this one but by chance of 1 in 2^64.
 END = np.uint64(0x1D8E4E27C47D124F)
-TOKEN = np.dtype([("doc", "<i8"), ("context", "<i2"), ("n", "<i4")])
-ENTRY = np.dtype([("context", "<i2"), ("n", "<i8")])
-CHANCE = np.dtype([("context", "<i2"), ("p", "<f4")])
+PAIRS = "word long, context long, n long"
 
 
 def in_training(doc_id: int) -> bool:
@@ -71,13 +66,9 @@ def _tokens(batch: pa.RecordBatch, known: WordHashes, only_training: bool) -> tu
     return np.repeat(np.array(ids, np.int64), sizes), np.concatenate(hashes)
 
 
-def _contexts(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Each token's restaurant: 1 + place of the word before it among the frequent, else 0."""
-    before = np.concatenate([[END], words[:-1]]).astype(np.uint64)  # texts follow each other and end in END
-    if not len(frequent):
-        return np.zeros(len(words), np.int16)
-    at = np.minimum(np.searchsorted(frequent, before), len(frequent) - 1)
-    return np.where(frequent[at] == before, at + 1, 0).astype(np.int16)
+def _contexts(words: np.ndarray) -> np.ndarray:
+    """Each token's restaurant: the word before it."""
+    return np.concatenate([[END], words[:-1]]).astype(np.uint64)[: len(words)]  # texts follow each other and end in END
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,63 +78,28 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
-def _pair_counts(frequent: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            words = _tokens(batch, known, True)[1]
-            context = _contexts(words, frequent)
-            order = np.lexsort((context, words))
-            words, context = words[order], context[order]
-            new = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (context[1:] != context[:-1])])[: len(words)])
-            n = np.diff(new, append=len(words))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words[new].view(np.int64)), pa.array(context[new].astype(np.int32)), pa.array(n)], ["word", "context", "n"]
-            )
-
-    return run
-
-
-def packed(starts: np.ndarray, records: np.ndarray) -> pa.Array:
-    """A binary array: row i is the bytes of records[starts[i] : starts[i + 1]]."""
-    ends = np.append(starts, len(records)) * records.dtype.itemsize
-    data = pa.py_buffer(np.ascontiguousarray(records).tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), data])
-
-
-def unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The records of a binary array, and how many each row has (null: none)."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.array([len(x) if x is not None else 0 for x in column.to_pylist()]) if column.null_count else None
-    if sizes is not None:
-        joined = b"".join(x for x in column.to_pylist() if x is not None)
-        return np.frombuffer(joined, kind), sizes // kind.itemsize
-    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    ends = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    joined = memoryview(data)[ends[0] : ends[-1]] if data is not None and len(ends) else b""
-    return np.frombuffer(joined, kind), np.diff(ends) // kind.itemsize
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = WordHashes()
+    for batch in batches:
+        words = _tokens(batch, known, True)[1]
+        yield _counted(words, _contexts(words))
 
 
-def _texts_by_word(frequent: np.ndarray):
-    """Rows (word, tokens): who uses the word after what, and how often."""
+def _pairs_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, context, n, doc_id): who uses the word after what, and how often."""
+    known = WordHashes()
+    for batch in batches:
+        doc, words = _tokens(batch, known, False)
+        yield _counted(words, _contexts(words), doc)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            doc, words = _tokens(batch, known, False)
-            context = _contexts(words, frequent)
-            order = np.lexsort((context, doc, words))
-            doc, words, context = doc[order], words[order], context[order]
-            same = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1]) & (context[1:] == context[:-1])
-            new = np.flatnonzero(np.concatenate([[True], ~same])[: len(words)])
-            out = np.empty(len(new), TOKEN)
-            out["doc"], out["context"], out["n"] = doc[new], context[new], np.diff(new, append=len(words))
-            word = words[new]
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])[: len(word)])
-            yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), packed(first, out)], ["word", "tokens"])
 
-    return run
+def _counted(words: np.ndarray, context: np.ndarray, *doc: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((context, words, *doc))
+    keys = [words[order].view(np.int64), context[order].view(np.int64), *[d[order] for d in doc]]
+    changed = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    new = np.flatnonzero(np.concatenate([[True], changed])[: len(words)])
+    word, context, *doc = [pa.array(k[new]) for k in keys]
+    return pa.RecordBatch.from_arrays([word, context, pa.array(np.diff(new, append=len(words))), *doc], ["word", "context", "n", "doc_id"][: 3 + len(doc)])
 
 
 def _salt(step: int, kind: int) -> np.uint64:
@@ -191,115 +147,57 @@ class Model:
         free = CONCENTRATION + self.discount * self.tables[k][context]
         return (np.maximum(n - self.discount * t, 0) + free * parent) / (CONCENTRATION + self.customers[context])
 
-    def sweeps(self, word: np.ndarray, row: np.ndarray, context: np.ndarray, n: np.ndarray, upto: int):
+    def reseat(self, k: int, word, context, n, tables, of_context, at_root, root_tables) -> np.ndarray:
+        """Tables of (word, context) entries after sweep k + 1, given what the entries, their contexts and words had before it."""
+        others = at_root - tables
+        parent = self.root(k, others, root_tables * others / np.maximum(at_root, 1))
+        weight = (CONCENTRATION + self.discount * of_context) * parent
+        return seat(n.astype(np.float64), weight, self.discount, mix(word ^ mix(context + _ODD[1])) + _salt(k + 1, 1))
+
+    def reseat_root(self, k: int, word: np.ndarray, at_root: np.ndarray) -> np.ndarray:
+        free = CONCENTRATION + self.root_discount * self.root_tables[k]
+        return seat(at_root, np.full(len(word), free * self.base()), self.root_discount, mix(word ^ _ODD[2]) + _salt(k + 1, 1))
+
+    def sweeps(self, word: np.ndarray, row: np.ndarray, context: np.ndarray, n: np.ndarray, upto: int, names: np.ndarray | None = None):
         """After each sweep: tables of every (word, context) entry, and of every word's root customers.
 
-        row: an entry's place in `word`.
+        Over arrays, for what fits in memory; row: an entry's place in `word`; names: the contexts' hashes.
         """
         sums = lambda x: np.bincount(row, x, len(word))
         tables, root_tables = np.minimum(n, 1).astype(np.float64), np.ones(len(word))
         yield tables, sums(tables), root_tables
-        salt = mix(word[row] ^ mix(context.astype(np.uint64) + _ODD[1]))
-        root_salt = mix(word ^ _ODD[2])
+        named = context.astype(np.uint64) if names is None else names[context]
         for k in range(upto):
-            others = sums(tables)[row] - tables
-            parent = self.root(k, others, root_tables[row] * others / np.maximum(others + tables, 1))
-            weight = (CONCENTRATION + self.discount * self.tables[k][context]) * parent
-            tables = seat(n.astype(np.float64), weight, self.discount, salt + _salt(k + 1, 1))
+            tables = self.reseat(k, word[row], named, n, tables, self.tables[k][context], sums(tables)[row], root_tables[row])
             at_root = sums(tables)
-            free = CONCENTRATION + self.root_discount * self.root_tables[k]
-            root_tables = seat(at_root, np.full(len(word), free * self.base()), self.root_discount, root_salt + _salt(k + 1, 1))
+            root_tables = self.reseat_root(k, word, at_root)
             yield tables, at_root, root_tables
 
 
-def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    word = batch.column("word").to_numpy(zero_copy_only=False).view(np.uint64)
-    contexts = batch.column("contexts")
-    sizes = np.diff(np.frombuffer(contexts.buffers()[1], np.int32)[contexts.offset : contexts.offset + len(contexts) + 1])
-    flat = contexts.flatten()
-    context, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    return word, np.repeat(np.arange(len(word)), sizes), context.astype(np.int64), n.astype(np.int64)
-
-
-def _table_numbers(model: Model, upto: int):
-    """Rows (context, tables) after `upto` sweeps; -1: root customers, -2: root tables."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(model.customers) + 2)
-        for batch in batches:
-            word, row, context, n = _entries(batch)
-            for tables, at_root, root_tables in model.sweeps(word, row, context, n, upto):
-                pass
-            total[:-2] += np.bincount(context, tables, len(model.customers))
-            total[-2] += at_root.sum()
-            total[-1] += root_tables.sum()
-        names = np.append(np.arange(len(model.customers)), [-1, -2])
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["context", "tables"])
-
-    return run
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    x = batch.column(name).to_numpy(zero_copy_only=False)
+    return x.view(np.uint64) if name in ("word", "context") else x
 
 
-def _chances(model: Model, averaged: int):
-    """Rows (word, known, roots, chances): count in training, root probabilities of the averaged
-    sweeps, and the averaged probability in each restaurant that has met the word."""
+def _reseated(model: Model, k: int, share: float):
+    """Entries with their tables after sweep k + 1; `share` of what the sweep leaves of n is added to `own`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = len(model.tables) - 1
         for batch in batches:
-            word, row, context, n = _entries(batch)
-            order = np.lexsort((context, row))
-            row, context, n = row[order], context[order], n[order]
-            p, roots = np.zeros(len(n)), np.empty((len(word), averaged), "<f4")
-            for k, (tables, at_root, root_tables) in enumerate(model.sweeps(word, row, context, n, last)):
-                if k > last - averaged:
-                    parent = model.root(k, at_root, root_tables)
-                    roots[:, k - (last - averaged + 1)] = parent
-                    p += model.below(k, context, n, tables, parent[row]) / averaged
-            out = np.empty(len(n), CHANCE)
-            out["context"], out["p"] = context, p
-            starts = np.searchsorted(row, np.arange(len(word)))
-            total = np.bincount(row, n, len(word)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), pa.array(total), packed(np.arange(len(word)) * averaged, roots.ravel()), packed(starts, out)],
-                ["word", "known", "roots", "chances"],
-            )
+            names = ("word", "context", "n", "t", "of_context", "at_root", "root_tables")
+            word, context, n, *rest = (_column(batch, c) for c in names)
+            t = model.reseat(k, word, context, n, *rest)
+            own = _column(batch, "own") + share * np.maximum(n - model.discount * t, 0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], pa.array(t), pa.array(own)], ["word", "context", "n", "t", "own"])
 
     return run
 
 
-def _scores(model: Model, averaged: int, tokens_in_training: int):
-    """Partial sums per doc_id of an Arrow batch of (word, tokens, known, roots, chances)."""
-    last = len(model.tables) - 1
-    ks = range(last - averaged + 1, last + 1)
-
+def _reseated_root(model: Model, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.array([model.root(k, 0.0, 0.0) for k in ks])
-        # weight of the parent in each restaurant, sweep by sweep
-        free = np.array([(CONCENTRATION + model.discount * model.tables[k]) / (CONCENTRATION + model.customers) for k in ks])
         for batch in batches:
-            tokens, many = unpacked(batch.column("tokens"), TOKEN)
-            chances, per_word = unpacked(batch.column("chances"), CHANCE)
-            roots, filled = unpacked(batch.column("roots"), np.dtype("<f4"))
-            parent = np.tile(none, (len(many), 1))
-            parent[filled > 0] = roots.reshape(-1, averaged)
-            known = batch.column("known").fill_null(0).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(many)), many)
-            context = tokens["context"].astype(np.int64)
-            p = (free[:, context] * parent[row].T).mean(axis=0)
-            key = np.repeat(np.arange(len(per_word)), per_word) * (CONTEXT_SHARE * 2) + chances["context"]
-            if len(key):
-                want = row * (CONTEXT_SHARE * 2) + context
-                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                p = np.where(key[at] == want, chances["p"][at], p)
-            n = tokens["n"].astype(np.float64)
-            docs, place = np.unique(tokens["doc"], return_inverse=True)
-            base = np.log10((known + 1.0) / (tokens_in_training + model.vocabulary + 1.0))
-            sums = lambda x: np.bincount(place, x, len(docs))
-            whole = lambda x: pa.array(np.rint(sums(x)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs), whole(n), whole(n * (known[row] > 0)), pa.array(sums(n * base[row])), pa.array(sums(n * np.log10(p)))],
-                ["doc_id", "n_tokens", "n_known", "base_score", "score"],
-            )
+            tables = model.reseat_root(k, _column(batch, "word"), _column(batch, f"a{k + 1}"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tables)], [*batch.schema.names, f"r{k + 1}"])
 
     return run
 
@@ -313,35 +211,57 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED)
     total, vocabulary, once, twice = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
     ).first()
-    common = words.where(F.col("n") * CONTEXT_SHARE >= total).select("word").toPandas()["word"]
-    frequent = np.sort(common.to_numpy(dtype=np.int64).view(np.uint64))
-    counts = materialize(
-        texts.mapInArrow(_pair_counts(frequent), "word long, context int, n long").repartition("word")
-        .groupBy("word", "context").agg(F.sum("n").alias("n"))
-        .groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("contexts")),
-        "pairs",
-    )
-    pairs = counts.select(F.explode("contexts").alias("e")).groupBy("e.context").agg(
-        F.sum("e.n").alias("n"), F.count_if(F.col("e.n") == 1).alias("n1"), F.count_if(F.col("e.n") == 2).alias("n2")
-    ).collect()
-    customers = np.zeros(len(frequent) + 1)
-    for r in pairs:
-        customers[r["context"]] = r["n"]
+    pairs = materialize(texts.mapInArrow(_pair_counts, PAIRS).groupBy("word", "context").agg(F.sum("n").alias("n")), "pairs")
+    single = F.count_if(F.col("n") == 1).alias("single")
+    n1, n2 = pairs.agg(single, F.count_if(F.col("n") == 2)).first()
     discount = lambda n1, n2: min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    model = Model(vocabulary, customers, discount(sum(r["n1"] for r in pairs), sum(r["n2"] for r in pairs)), discount(once, twice))
+    model = Model(vocabulary, np.empty(0), discount(n1, n2), discount(once, twice))
+
+    # after sweep k a word has a<k> customers at r<k> tables of the root, a context t<k> tables
+    tables = F.count(F.lit(1)).cast("double")
+    at_root = pairs.groupBy("word").agg(F.sum("n").alias("known"), single, tables.alias("a0")).withColumn("r0", F.lit(1.0))
+    at_root = materialize(at_root, "at-root")
+    contexts = materialize(pairs.groupBy("context").agg(F.sum("n").alias("customers"), single, tables.alias("t0")), "contexts")
+    kept = range(sweeps - averaged + 1, sweeps + 1)
+    share = lambda k: 1 / averaged if k in kept else 0.0
+    entries = pairs.where("n > 1").withColumn("t", F.lit(1.0)).withColumn("own", share(0) * (F.col("n") - model.discount))
     for k in range(sweeps + 1):
-        got = counts.mapInArrow(_table_numbers(model, k), "context long, tables double").groupBy("context").agg(F.sum("tables").alias("t")).collect()
-        at = {r["context"]: r["t"] for r in got}
-        model.tables.append(np.array([at.get(c, 0.0) for c in range(len(customers))]))
-        model.root_customers.append(at.get(-1, 0.0))
-        model.root_tables.append(at.get(-2, 0.0))
-    chances = counts.mapInArrow(_chances(model, averaged), "word long, known long, roots binary, chances binary")
-    used = texts.mapInArrow(_texts_by_word(frequent), "word long, tokens binary")
-    sums = ["n_tokens", "n_known", "base_score", "score"]
-    parts = used.join(chances, "word", "left").drop("word").mapInArrow(
-        _scores(model, averaged, total), "doc_id long, n_tokens long, n_known long, base_score double, score double"
+        customers, root_tables = at_root.agg(F.sum(f"a{k}"), F.sum(f"r{k}")).first()
+        model.root_customers.append(customers or 0.0)
+        model.root_tables.append(root_tables or 0.0)
+        if k == sweeps:
+            break
+        now = entries.join(at_root.select("word", F.col(f"a{k}").alias("at_root"), F.col(f"r{k}").alias("root_tables")), "word").join(
+            contexts.select("context", F.col(f"t{k}").alias("of_context")), "context"
+        )
+        entries = materialize(now.mapInArrow(_reseated(model, k, share(k + 1)), PAIRS + ", t double, own double"), "seated")
+        of = lambda key: entries.groupBy(key).agg(F.sum("t").alias("more"))
+        total_tables = (F.col("single") + F.coalesce("more", F.lit(0.0))).cast("double")
+        contexts = materialize(contexts.join(of("context"), "context", "left").withColumn(f"t{k + 1}", total_tables).drop("more"), "contexts")
+        at_root = at_root.join(of("word"), "word", "left").withColumn(f"a{k + 1}", total_tables).drop("more")
+        schema = ", ".join(f"{c} {t}" for c, t in at_root.dtypes)
+        at_root = materialize(at_root.mapInArrow(_reseated_root(model, k), f"{schema}, r{k + 1} double"), "at-root")
+
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    seats = CONCENTRATION + F.coalesce("customers", F.lit(0))
+    weights = [((CONCENTRATION + model.discount * zero(f"t{k}")) / (averaged * seats)).alias(f"w{k}") for k in kept]
+    chances = [
+        (F.greatest(zero(f"a{k}") - model.root_discount * zero(f"r{k}"), F.lit(0.0)) + (CONCENTRATION + model.root_discount * model.root_tables[k]) * model.base())
+        / (CONCENTRATION + model.root_customers[k]) for k in kept
+    ]
+    parent = sum((F.col(f"w{k}") * p for k, p in zip(kept, chances, strict=True)), F.lit(0.0))
+    rest = pairs.where("n = 1").select("word", "context", F.lit(1 - model.discount).alias("own"))
+    own_chance = entries.select("word", "context", "own").unionByName(rest)
+    used = texts.mapInArrow(_pairs_of_texts, PAIRS + ", doc_id long").join(contexts, "context", "left").select(
+        "word", "context", "n", "doc_id", seats.alias("seats"), *weights
+    )
+    used = used.join(at_root, "word", "left").select("word", "context", "n", "doc_id", "seats", F.coalesce("known", F.lit(0)).alias("known"), parent.alias("p"))
+    used = used.join(own_chance, ["word", "context"], "left").withColumn("p", F.col("p") + zero("own") / F.col("seats"))
+    base = F.log10((F.col("known") + 1.0) / (total + vocabulary + 1.0))
+    scored = used.groupBy("doc_id").agg(
+        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known") > 0, F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("n") * base).alias("base_score"), F.sum(F.col("n") * F.log10("p")).alias("score"),
     )
-    scored = parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in sums])
     own = own_id()
     return scored.select(
         own.alias("doc_id"), (F.crc32(F.coalesce(own.cast("string"), F.lit(""))) % 7 == 2).alias("held_out"),

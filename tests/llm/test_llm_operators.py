@@ -384,6 +384,41 @@ def test_predictive_probabilities_sum_to_one():
             assert math.isclose(p, 1, rel_tol=1e-9)
 
 
+def test_rare_contexts_have_restaurants_of_their_own(make):
+    """After each of 1500 rare words comes one other: joined tables score as arrays over all contexts do."""
+    rnd = random.Random(5)
+    docs = [(i, " ".join(f"a{k} b{k}" for k in (rnd.randrange(1500) for _ in range(60)))) for i in range(250)] + [(None, "a1 new b1"), (900, None)]
+    got = {r.doc_id: r for r in pitman_yor.score_texts(make(docs).repartition(4)).collect()}
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.8  # half the words follow from the one before
+
+    tokens = {i: [*(t or "").split(), None] for i, t in docs}
+    hashed = lambda w: np.uint64(minhash.WordHashes()[w.encode()]) if w else pitman_yor.END
+    pairs = Counter(p for i, ts in tokens.items() if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2 for p in zip(ts, [None, *ts]))
+    words = sorted({w for w, _ in pairs}, key=str)
+    at = {w: k for k, w in enumerate(words)}
+    row, context, n = np.array([(at[w], at[c], m) for (w, c), m in pairs.items()]).T
+    names = np.array([hashed(w) for w in words], np.uint64)
+    share = lambda x: min(0.95, max(0.05, (x == 1).sum() / ((x == 1).sum() + 2 * (x == 2).sum())))
+    model = pitman_yor.Model(len(words), np.bincount(context, n, len(words)), share(n), share(np.bincount(row, n)))
+    p = {}
+    for k in range(5):
+        for tables, at_root, root_tables in model.sweeps(names, row, context, n, k, names):
+            pass
+        model.tables.append(np.bincount(context, tables, len(words)))
+        model.root_customers.append(at_root.sum())
+        model.root_tables.append(root_tables.sum())
+        if k >= 2:
+            for r, c, x in zip(row, context, model.below(k, context, n, tables, model.root(k, at_root, root_tables)[row])):
+                p[words[r], words[c]] = p.get((words[r], words[c]), 0) + x / 3
+    checked = 0
+    for i, ts in tokens.items():
+        if all(x in p for x in zip(ts, [None, *ts])):
+            checked += 1
+            assert math.isclose(got[i].score, sum(math.log10(p[x]) for x in zip(ts, [None, *ts])), rel_tol=1e-6)
+    assert checked > 150
+
+
 def test_seating_follows_the_restaurant():
     """Mean number of tables against the exact recursion for one word."""
     d, theta, customers = 0.6, 2.0, 40
