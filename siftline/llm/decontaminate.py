@@ -6,13 +6,16 @@
    seeds. With stretches of two 3-grams, any five unedited words in a row hold a seed.
 3. Seeds join passages of the documents to items, and Smith-Waterman alignment of words (match 1,
    other -1, gap -1) scores the passage around the hits. A passage counts if its score reaches
-   `least` of the item's words, so edited and partial copies are found too.
+   `least` of the item's words or LONG, whichever is less, so edited and partial copies are found
+   too: an excerpt of LONG words counts however long the item is. As an edit costs one match, a copy with
+   three words in ten replaced scores 0.4 of its length, which is enough from 33 words on.
 
 The items are taken in blocks of a bounded number of n-grams, each block broadcast to one pass
 over the documents; documents are never shuffled, counts and findings alone are.
 
 Edge cases: null, empty or blank texts have no passage; an item of fewer words than a seed is one
-seed; repeated items or documents are found for each id; an empty table on either side gives
+seed; items are told apart by id and text, so those without an id and different texts under one
+id are all looked for; repeated items or documents are found for each id; an empty table on either side gives
 no rows; very long texts are aligned only around their hits; extra columns are ignored.
 """
 
@@ -26,10 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, numbered, own_id, table
+from .common import NO_ID, free_names, materialize, numbered, own_id, table
 from .minhash import _ODD, WordHashes, mix, word_list
 
 SEED_WORDS, STRETCH, LEAST = 3, 2, 0.5
+#: A score that counts in any item.
+LONG = 13
 #: N-grams of test items in a block: what is broadcast at once.
 BLOCK_GRAMS = 1_000_000
 
@@ -73,17 +78,17 @@ def _item_grams(n: int):
         known = WordHashes()
         for batch in batches:
             ids, places, grams, words = [], [], [], []
-            for item_id, text in zip(batch["item_id"], batch["text"], strict=True):
+            for item, text in zip(batch["item"], batch["text"], strict=True):
                 w = word_hashes(text, known)
                 g = gram_hashes(w, min(n, len(w))) if len(w) else w
                 if not len(g):
                     continue
-                ids += [item_id] * len(g)
+                ids += [item] * len(g)
                 places += range(len(g))
                 grams.append(g.view(np.int64))
                 words += [min(n, len(w))] * len(g)
             if ids:
-                yield pd.DataFrame({"item_id": ids, "place": places, "gram": np.concatenate(grams), "n": words})
+                yield pd.DataFrame({"item": ids, "place": places, "gram": np.concatenate(grams), "n": words})
 
     return run
 
@@ -124,11 +129,12 @@ def _passages(shared, sizes: list[int], least: float):
                         while k < len(seeds) and seeds[k] == g[at]:
                             hits.setdefault(owners[k], []).append(int(at) - int(places[k]))
                             k += 1
-                for item_id, starts in hits.items():
-                    found = best_passage(items[item_id], w, starts, least)
+                for item, starts in hits.items():
+                    item_id, item_words = items[item]
+                    found = best_passage(item_words, w, starts, least)
                     if found:
                         score, first, last = found
-                        m = len(items[item_id])
+                        m = len(item_words)
                         rows.append((doc_id, item_id, score / m, score, m, first, last, hashlib.md5(text.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=names)
 
@@ -137,7 +143,8 @@ def _passages(shared, sizes: list[int], least: float):
 
 def best_passage(item: np.ndarray, words: np.ndarray, starts: list[int], least: float) -> tuple[int, int, int] | None:
     """Score and word range of the best alignment near places where the item seems to start."""
-    slack = max(4, len(item))  # any alignment that reaches `least` has fewer gaps than item words
+    slack = max(4, len(item))  # an alignment has fewer gaps than item words
+    need = min(LONG, least * len(item))
     best: tuple[int, int, int] | None = None
     stretches: list[list[int]] = []
     for s in sorted(set(starts)):
@@ -148,10 +155,10 @@ def best_passage(item: np.ndarray, words: np.ndarray, starts: list[int], least:
             stretches.append([a, b])
     for a, b in stretches:
         passage = words[a:b]
-        if np.isin(item, passage).sum() < least * len(item):  # a score is at most the words in common
+        if np.isin(item, passage).sum() < need:  # a score is at most the words in common
             continue
         score, i, j = local_alignment(item, passage)
-        if score >= least * len(item) and (best is None or score > best[0]):
+        if score >= need and (best is None or score > best[0]):
             back = local_alignment(item[i::-1], passage[j::-1])
             best = (score, a + j - back[2], a + j)
     return best
@@ -171,36 +178,37 @@ def passages_of_texts(
     """`contaminated_passages` with the MD5 of the text, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
     texts = numbered(docs, "text")
-    items = items.where("item_id is not null")
+    items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), "text").distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
     grams = materialize(
-        items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(_item_grams(n), "item_id long, place long, gram long, n int"),
+        items.select("item", "text").mapInPandas(_item_grams(n), "item long, place long, gram long, n int"),
         "item-grams",
     )
     blocks = -(-grams.count() // block_grams)
     out = None
     for k in range(blocks):
-        mine = grams.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        mine = grams.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         known = mine.select("gram", "n").distinct().toPandas()
         if not len(known):
             continue
         sizes = sorted(set(known["n"]))
         wanted = spark.sparkContext.broadcast(np.sort(known["gram"].to_numpy().view(np.uint64)))
         counts = texts.select("text").mapInPandas(_gram_counts(wanted, sizes), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-        rarest = Window.partitionBy("item_id", "stretch").orderBy("docs", "place")
+        rarest = Window.partitionBy("item", "stretch").orderBy("docs", "place")
         seeds = (
             mine.join(counts, "gram").withColumn("stretch", F.floor(F.col("place") / stretch))
-            .withColumn("nth", F.row_number().over(rarest)).where("nth = 1").select("gram", "item_id", "place").toPandas()
+            .withColumn("nth", F.row_number().over(rarest)).where("nth = 1").select("gram", "item", "place").toPandas()
         )
         order = np.argsort(seeds["gram"].to_numpy().view(np.uint64), kind="stable")
-        words = items.where(F.pmod(F.xxhash64(F.col("item_id").cast("long")), F.lit(blocks)) == k).select("item_id", "text").toPandas()
+        words = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).select("item", "item_id", "text").toPandas()
         hashes = WordHashes()
-        of_item = {int(i): word_hashes(t, hashes) for i, t in zip(words["item_id"], words["text"], strict=True)}
+        of_item = {int(k): (int(i), word_hashes(t, hashes)) for k, i, t in zip(words["item"], words["item_id"], words["text"], strict=True)}
         shared = spark.sparkContext.broadcast((
-            seeds["gram"].to_numpy().view(np.uint64)[order], seeds["item_id"].to_numpy()[order], seeds["place"].to_numpy()[order], of_item,
+            seeds["gram"].to_numpy().view(np.uint64)[order], seeds["item"].to_numpy()[order], seeds["place"].to_numpy()[order], of_item,
         ))
         found = texts.mapInPandas(_passages(shared, sizes, least), FOUND)
         out = found if out is None else out.unionByName(found)
-    return out.withColumn("doc_id", own_id()) if out is not None else spark.createDataFrame([], FOUND)
+    return out.withColumn("doc_id", own_id()).withColumn("item_id", own_id("item_id")) if out is not None else spark.createDataFrame([], FOUND)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

@@ -542,6 +542,18 @@ def test_clean_rows_stay_beside_contaminated_ones_of_their_id(make, spark):
     assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted(want, key=str)
 
 
+def test_excerpts_and_every_text_of_an_item_are_found(make, spark):
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    long, first, second, unnamed = words("l", 59), words("f", 20), words("s", 20), words("u", 20)
+    rows = [(1, long), (2, first), (2, second), (None, unnamed)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "item_id long, text string")
+    paraphrase = [w if k % 10 not in (2, 6, 9) else "other" for k, w in enumerate(long)]  # 70 % kept
+    parts = {10: long[10:38], 11: paraphrase, 12: first, 13: second, 14: unnamed, 15: long[20:32], 16: words("c", 80)}
+    docs = make([(i, " ".join(["so", *w, "on"])) for i, w in parts.items()])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_passages(docs, bench).collect()}
+    assert got == {(10, 1), (11, 1), (12, 2), (13, 2), (14, None)}
+
+
 # --- 10 --------------------------------------------------------------------------------------
 
 
