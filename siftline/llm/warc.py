@@ -192,7 +192,7 @@ def report(records: DataFrame) -> DataFrame:
     originals = narrow.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"),
         "payload_bytes", F.col("found_digest").alias("payload_digest"),
-    )
+    ).dropDuplicates(["refers_to_id"])  # repeated rows of a first page share its record id, and all else
     revisits = narrow.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to_id")
     return responses.unionByName(revisits.join(originals, "refers_to_id").select(columns))
 

@@ -297,6 +297,15 @@ def test_warc_round_trip(make, spark, tmp_path):
     assert warc.report(warc.read_archives(spark, empty)).count() == 0
 
 
+def test_revisits_of_a_repeated_first_page_come_out_once(spark, make, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, "v", "<p>a</p>")], "page_id long, url string, html string")
+    raw, slim = str(tmp_path / "raw"), str(tmp_path / "slim")
+    warc.write_archives(warc.as_captures(pages), raw)
+    warc.deduplicate_archives(spark, raw, slim)
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.report(warc.read_archives(spark, slim)).collect())
+    assert got == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
+
+
 def test_small_payloads_stay_responses(make, spark):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "aaaa"), (4, "u", "aaaa")], "page_id long, url string, html string")
     got = warc.resolve_revisits(warc.as_captures(pages), min_payload=3).collect()
