@@ -40,7 +40,7 @@ TURN_BITS = 8
 #: Turns after which a path is cut.
 SEGMENT = 1024
 #: Merged conversations that one task may hold below a prefix.
-GROUP_ROWS = 4096
+GROUP_ROWS = 512
 #: Rows that are peeled together, more if one prefix has more.
 CHUNK_ROWS = 20_000
 #: Conversation ids of one piece of a node's list.
