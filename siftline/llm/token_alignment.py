@@ -20,8 +20,10 @@ runs of white space take time in proportion; an empty table gives no rows; extra
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +39,9 @@ HEAD_PAIRS = 1_000_000
 #: Text characters that are aligned together.
 CHUNK_CHARS = 2_000_000
 MARK = "▁"
+#: Short stretches whose ids a task remembers.
+CACHE_STRETCHES = 300_000
+_STRETCH = re.compile(" +[^ ]*")
 
 
 def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -109,7 +114,30 @@ def piece_side(path: str) -> Side:
         piece = model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(MARK, " ").encode()
 
-    return _side(model.encode, [spelt(i) for i in range(model.get_piece_size())])
+    if any(MARK in model.id_to_piece(i).lstrip(MARK) for i in range(model.get_piece_size())):
+        return _side(model.encode, [spelt(i) for i in range(model.get_piece_size())])
+    return _side(_Stretches(model.encode).ids, [spelt(i) for i in range(model.get_piece_size())])
+
+
+class _Stretches(dict):
+    """Ids by stretch of a text (spaces, then other characters). No piece reaches over two, so each is encoded once."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, stretch: str) -> list[int]:
+        ids = self.encode(stretch)
+        if len(stretch) <= 40:
+            if len(self) >= CACHE_STRETCHES:
+                self.clear()
+            self[stretch] = ids
+        return ids
+
+    def ids(self, text: str) -> list[int]:
+        # each without its first space, which the model puts there itself
+        parts = text.split(" ") if "  " not in text and text[-1:] != " " and text[:1] != " " else [m[1:] for m in _STRETCH.findall(" " + text)]
+        return list(chain.from_iterable(map(self.__getitem__, parts)))
 
 
 class Aligned(NamedTuple):
@@ -136,9 +164,12 @@ def align(text: str | None, first: Side, second: Side) -> Aligned | None:
 
 
 def links(x: Aligned) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of linked tokens: each stretch between neighbouring ends lies in one token of either side."""
-    ends = np.union1d(x.ends_a, x.ends_b)
-    return np.searchsorted(x.ends_a, ends), np.searchsorted(x.ends_b, ends)
+    """Indexes of linked tokens: a token is linked from where the one before it ends up to where it ends itself."""
+    last = np.searchsorted(x.ends_b, x.ends_a)
+    first = np.zeros_like(last)
+    first[1:] = last[:-1] + (x.ends_b[last[:-1]] == x.ends_a[:-1])
+    n = last - first + 1
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
 
 
 def spelt_groups(x: Aligned, words: list[str], second: int) -> str:
