@@ -20,10 +20,8 @@ runs of white space take time in proportion; an empty table gives no rows; extra
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -39,9 +37,6 @@ HEAD_PAIRS = 1_000_000
 #: Text characters that are aligned together.
 CHUNK_CHARS = 2_000_000
 MARK = "▁"
-#: Short stretches whose ids a task remembers.
-CACHE_STRETCHES = 300_000
-_STRETCH = re.compile(" +[^ ]*")
 
 
 def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -114,30 +109,7 @@ def piece_side(path: str) -> Side:
         piece = model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(MARK, " ").encode()
 
-    if any(MARK in model.id_to_piece(i).lstrip(MARK) for i in range(model.get_piece_size())):
-        return _side(model.encode, [spelt(i) for i in range(model.get_piece_size())])
-    return _side(_Stretches(model.encode).ids, [spelt(i) for i in range(model.get_piece_size())])
-
-
-class _Stretches(dict):
-    """Ids by stretch of a text (spaces, then other characters). No piece reaches over two, so each is encoded once."""
-
-    def __init__(self, encode: Callable[[str], list[int]]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, stretch: str) -> list[int]:
-        ids = self.encode(stretch)
-        if len(stretch) <= 40:
-            if len(self) >= CACHE_STRETCHES:
-                self.clear()
-            self[stretch] = ids
-        return ids
-
-    def ids(self, text: str) -> list[int]:
-        # each without its first space, which the model puts there itself
-        parts = text.split(" ") if "  " not in text and text[-1:] != " " and text[:1] != " " else [m[1:] for m in _STRETCH.findall(" " + text)]
-        return list(chain.from_iterable(map(self.__getitem__, parts)))
+    return _side(model.encode, [spelt(i) for i in range(model.get_piece_size())])
 
 
 class Aligned(NamedTuple):
@@ -155,10 +127,13 @@ def align(text: str | None, first: Side, second: Side) -> Aligned | None:
         return None
     raw = (" " + text).encode()
     ids = [side.encode(text) for side in (first, second)]
-    if any(b"".join(map(side.pieces.__getitem__, own)) != raw for side, own in zip((first, second), ids, strict=True)):
+    # a byte-level BPE cuts the very bytes of its text
+    if b"".join(map(second.pieces.__getitem__, ids[1])) != raw:
         return None
     a, b = (np.array(own, np.int64) for own in ids)
     ends_a, ends_b = np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b])
+    if ends_a[-1] != len(raw):
+        return None
     groups_a, groups_b = group_ends(ends_a.tolist(), ends_b.tolist())
     return Aligned(a, b, ends_a, ends_b, np.array(groups_a, np.int64), np.array(groups_b, np.int64))
 
@@ -172,7 +147,7 @@ def links(x: Aligned) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
 
 
-def spelt_groups(x: Aligned, words: list[str], second: int) -> str:
+def spelt_groups(x: Aligned, words: np.ndarray, second: int) -> bytes:
     """`a1,a2|b1;a3|b2,b3`. `words`: ids of the first side with ',' and with '|', then, from `second`, the other's with ',' and ';'."""
     size_a, size_b = np.diff(x.groups_a, prepend=0), np.diff(x.groups_b, prepend=0)
     at_a = np.arange(len(x.a)) + np.repeat(x.groups_b - size_b, size_a)
@@ -182,14 +157,14 @@ def spelt_groups(x: Aligned, words: list[str], second: int) -> str:
     said_b[x.groups_b - 1] += 1
     out = np.empty(len(x.a) + len(x.b), np.int64)
     out[at_a], out[at_b] = said_a, said_b
-    return "".join(map(words.__getitem__, out.tolist()))[:-1]
+    return words[out].tobytes().translate(None, b"\0")[:-1]  # words are padded to one width
 
 
 SCHEMA = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
 def _align(a_path: str, b_path: str):
-    def chunk(rows: list[tuple], first: Side, second: Side, words: list[str]) -> pa.RecordBatch:
+    def chunk(rows: list[tuple], first: Side, second: Side, words: np.ndarray) -> pa.RecordBatch:
         width = len(second.pieces)
         columns: list[list] = [[] for _ in range(7)]
         pairs, times, sizes = [], [], [0]
@@ -203,7 +178,7 @@ def _align(a_path: str, b_path: str):
                 pairs.append(codes)
                 times.append(n)
                 own = len(codes)
-                digest = hashlib.sha256(spelt_groups(x, words, 2 * len(first.pieces)).encode()).hexdigest()
+                digest = hashlib.sha256(spelt_groups(x, words, 2 * len(first.pieces))).hexdigest()
                 figures = (len(x.a), len(x.b), len(x.groups_a), len(i), digest)
             sizes.append(sizes[-1] + own)
             for column, value in zip(columns, (row, doc_id, *figures), strict=True):
@@ -218,7 +193,9 @@ def _align(a_path: str, b_path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = byte_side(a_path), piece_side(b_path)
-        words = [f"{i}{s}" for i in range(len(first.pieces)) for s in ",|"] + [f"{i}{s}" for i in range(len(second.pieces)) for s in ",;"]
+        words = np.array(
+            [f"{i}{s}".encode() for i in range(len(first.pieces)) for s in ",|"] + [f"{i}{s}".encode() for i in range(len(second.pieces)) for s in ",;"]
+        )
         for batch in batches:
             held, chars = [], 0
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
