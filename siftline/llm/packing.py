@@ -14,7 +14,7 @@ piece's rank among those of its length (two-level counting, so that a length hel
 share of the rows is split) then says where it goes, by binary search in the runs.
 
 Edge cases: a null or empty text is its end token alone; a text longer than the capacity is
-cut so that only its first piece is shorter; repeated rows are packed like others, null ids
+cut so that only its first piece is shorter; runs of white space may have any length; repeated rows are packed like others, null ids
 too; an empty table gives no rows; extra columns are not carried.
 """
 
@@ -25,49 +25,21 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import ByteBpe, byte_bpe
 from .common import dense_slots, materialize, numbered, own_id, table
 
 CAPACITY = 2048
-#: Text characters given to the tokenizer at once.
-CHUNK_CHARS = 2_000_000
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level BPE of a tokenizers JSON file.
-
-    It has the same ids as the `tokenizers` library gives with add_special_tokens=False
-    (tests compare them), from the same file, several times faster.
-    """
-    import json
-
-    import public_tokenizers
-    import tiktoken
-
-    spec = json.load(open(path, encoding="utf-8"))
-    model, added = spec["model"], {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-    to_byte = _byte_alphabet()
-    ranks = {bytes(to_byte[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in added}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-
-
-def _byte_alphabet() -> dict[str, int]:
-    """Byte-level BPE writes each byte as a printable character: itself, or the next one from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
-def token_pieces(text: str | None, enc, capacity: int = CAPACITY, end: int = 0) -> list[tuple[int, int, int, int]]:
+def token_pieces(text: str | None, enc: ByteBpe, capacity: int = CAPACITY, end: int = 0) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32 of its little-endian ids) of one document."""
-    ids = np.array([*enc.encode(text or "", allowed_special="all"), end], dtype="<u4")
+    ids = np.array([*enc.ids_with_special(text or ""), end], dtype="<u4")
     first = (len(ids) - 1) % capacity + 1
     cuts = [0, *range(first, len(ids) + 1, capacity)]
     return [(i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
@@ -75,7 +47,7 @@ def token_pieces(text: str | None, enc, capacity: int = CAPACITY, end: int = 0)
 
 def _tokenize(path: str, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = byte_bpe(path)
         for batch in batches:
             ids, rows = [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

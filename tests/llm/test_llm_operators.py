@@ -229,6 +229,16 @@ def check_packing(rows, capacity):
     return len(by_sequence)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \n\t", "x"])
+def test_packing_of_two_million_blanks(make, blank):
+    import public_tokenizers
+
+    text = "a" + blank * (2_000_000 // len(blank)) + "b"
+    rows = packing.pack(make([(1, text), (2, "c")]), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sum(r.length for r in rows) == len({(r.sequence_id, r.offset + i) for r in rows for i in range(r.length)})
+    assert sorted(r.piece for r in rows if r.doc_id == 1) == list(range(sum(r.doc_id == 1 for r in rows)))
+
+
 def test_packing_round_trip(make, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
