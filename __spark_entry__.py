@@ -10,7 +10,7 @@ import sys
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -110,6 +110,46 @@ def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_source.read_csv(spark, path, multiline=False)
 
 
+def read_csv_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder whose files are parted by commas, semicolons, tabs and bars, with the other signs inside cells."""
+    path, orders = new_path(spark, "delimiters"), _table(spark, sf_dir, "orders")
+    for i, (name, d) in enumerate((("comma", ","), ("semicolon", ";"), ("tab", "\t"), ("bar", "|"))):
+        said = f"concat_ws('{d}', o_orderkey, concat('\"', o_orderpriority, ';,|', '\"'), o_orderstatus)"
+        _csv_texts(orders.where(f"o_orderkey % 4 = {i}"), f"{path}/{name}", d.join(("key", "priority", "status")) + "\r\n", said)
+    return csv_source.read_csv(spark, f"{path}/*", multiline=False)
+
+
+def read_csv_multiline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with line breaks in their texts, written as CSV and read in splits of 1 MB."""
+    path = new_path(spark, "multiline")
+    csv_source.write_csv(_table(spark, sf_dir, "documents").coalesce(2), path, ["doc_id", "text", "lang"], sep_line=False)
+    key, size = "spark.sql.files.maxPartitionBytes", 1 << 20
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:  # the lines are written when this returns
+        return csv_source.read_csv(spark, path)
+    finally:
+        spark.conf.set(key, before)
+
+
+def csv_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items written as parts of one ordered file, and what the parts say when they are put together by name."""
+    path = new_path(spark, "ordered")
+    items = _table(spark, sf_dir, "lineitem").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    manifest = csv_source.write_csv_in_order(items, path, "row", ["l_orderkey", "l_linenumber", "l_returnflag"], parts=6)
+    lines = spark.read.option("lineSep", "\r\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = lines.withColumn("row", F.expr("try_cast(split(value, ',')[0] as bigint) * 10 + try_cast(split(value, ',')[1] as bigint)"))
+    per_part = lines.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row").alias("low"), F.max("row").alias("high"), F.count_if(F.col("value").contains("l_returnflag")).alias("heads")
+    )
+    by_name = Window.orderBy("file")  # a row per part
+    parts = per_part.withColumn("ok", F.coalesce(F.lag("high").over(by_name) < F.col("low"), F.lit(True)))
+    ends = manifest.withColumn("ok", F.coalesce(F.lag(F.col("offset") + F.col("length")).over(Window.orderBy("part")), F.lit(0)) == F.col("offset"))
+    return parts.agg(
+        F.sum("n").alias("lines"), F.sum("heads").alias("headers"), F.min("ok").alias("in_order"), F.count(F.lit(1)).alias("parts")
+    ).join(ends.agg(F.sum("length").alias("bytes"), F.min("ok").alias("contiguous")))
+
+
 def conform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that are shorter or wider than the header, in files with a trailing delimiter."""
     path = new_path(spark, "ragged")
@@ -390,6 +430,9 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "read_csv": read_csv,
+        "read_csv_delimiters": read_csv_delimiters,
+        "read_csv_multiline_split": read_csv_multiline_split,
+        "csv_in_order": csv_in_order,
         "conform_rows": conform_rows,
         "validate_load": validate_load,
         "read_csv_mixed_headers": read_csv_mixed_headers,
@@ -537,6 +580,17 @@ def _oracle_sources() -> dict[str, str]:
         for c in doc_cells
     )
     return {
+        "read_csv_delimiters": (
+            "select cast(o_orderkey as varchar) as key, o_orderpriority || ';,|' as priority, o_orderstatus as status from orders"
+        ),
+        "read_csv_multiline_split": (
+            "select cast(doc_id as varchar) as doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang from documents"
+        ),
+        "csv_in_order": (
+            "with l as (select l_orderkey || ',' || l_linenumber || ',' || l_returnflag as line from lineitem) "
+            "select cast(count(*) + 2 as bigint) as lines, cast(1 as bigint) as headers, true as in_order, cast(6 as bigint) as parts, "
+            "cast(sum(strlen(line) + 2) + 3 + 7 + 38 as bigint) as bytes, true as contiguous from l"
+        ),
         "read_csv": o.messy(f"select {filled} from messy"),
         "conform_rows": (
             "select cast(o_orderkey as varchar) as order_id, o_orderstatus as status, "

@@ -1,13 +1,22 @@
-"""CSV in and out: text columns in, spreadsheet-friendly lines out."""
+"""CSV in and out: text columns in, spreadsheet-friendly lines out.
+
+Reading is one scan of the files, whose lines are written with their places: (file, split,
+number in the split). Headers, delimiters, quote states and rows all come from that
+table, so nothing depends on how a scan happens to be split.
+
+Line breaks inside quotes do not keep a file in one task. What a line does to the quote state (in a quoted field
+or not) is a function on two states; running windows over a split, then over the splits of a file, compose
+them. Only files that have such a line take this way, and only the lines of broken records are grouped.
+"""
 
 from __future__ import annotations
 
 import csv as header_csv
-import io
-from functools import reduce
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +33,15 @@ EMPTY_FILE = "This file is empty."
 UNREADABLE = "We couldn't read this CSV. Check that the file is a valid CSV and try again."
 NO_ROWS = "This dataset contains columns but no rows."
 
+#: What may part fields where no delimiter is named, in order of preference; the last two are the ASCII separators.
+DELIMITERS = (",", "\t", "|", ";", "\x1e", "\x1f")
+#: Records that a delimiter is guessed from.
+GUESS_RECORDS = 10
+#: Lines of a file that its header is looked for in; more are read where they do not hold it.
+HEAD_LINES = 64
+#: Files, or broken splits, up to which a table with a row for each is sent to all tasks.
+SMALL_ROWS = 200_000
+
 
 def normalize_columns(names: list[str]) -> list[str]:
     """Trim names, drop trailing blank ones, name interior blanks by position.
@@ -43,151 +61,255 @@ def normalize_columns(names: list[str]) -> list[str]:
     return out
 
 
-class Header(NamedTuple):
-    """What a file starts with. `skip`: records before the data."""
+FILE = "_file"
+PLACE = ["_file", "_split", "_at"]
 
-    cells: tuple[str, ...]
-    skip: int
-    line_sep: str
 
-    @property
-    def names(self) -> list[str]:
-        return normalize_columns(list(self.cells))
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is small; else Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
-FILE, AT = "_file", "_at"
-# the first record, line breaks inside quotes included; possessive, so that long cells cost no stack
-_RECORD = r'^(?:[^"\r\n]++|"(?:[^"]++|"")*+(?:"|$))*+'
-_BLANKS = r"^[\r\n]+"
+def _lines(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """(_file, _split, _at, value): every line, written. Without `multiline` a lone carriage return ends a line too."""
+    reader = spark.read.option("lineSep", "\n") if multiline else spark.read
+    split = F.col("_metadata.file_block_start")
+    lines = reader.text(path).select(file_uri(F.col("_metadata.file_path")).alias(FILE), split.alias("_split"), "value")
+    return materialize(lines.withColumn("_at", F.monotonically_increasing_id()), "csv-lines")
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """Add each record's file, and a number that grows with its place in the file.
+class Head(NamedTuple):
+    """How a file starts."""
 
-    A file's first record is in the split that starts at byte 0, and has the least number there. Two
-    scans of one path are split alike, so the numbers of one hold for the other.
-    """
-    return df.withColumn(FILE, file_uri(F.col("_metadata.file_path"))).withColumn(AT, F.monotonically_increasing_id())
+    cells: list[str]
+    delimiter: str
+    lines: int  # lines before the data
+    whole: bool  # else the header goes on after the lines given
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines that are not blank, placed; a blank line is no record."""
-    start = F.col("_metadata.file_block_start") == 0
-    lines = spark.read.text(path).select("value", start.alias("_start"), "_metadata")
-    return _placed(lines).drop("_metadata").where(F.length(F.trim(F.translate("value", "\r" + BOM, ""))) > 0)
-
-
-def _heads(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
-    """(file, head, second, _at): the text that a file's first and second records take, and where the first is."""
-    if multiline:
-        whole = spark.read.text(path, wholetext=True).select(
-            file_uri(F.col("_metadata.file_path")).alias(FILE),
-            F.regexp_replace(F.ltrim(F.col("value"), F.lit(BOM)), _BLANKS, "").alias("t"),
-        )
-        head = whole.select(FILE, "t", F.regexp_extract("t", _RECORD, 0).alias("head"))
-        rest = F.regexp_replace(F.substr("t", F.length("head") + 1), _BLANKS, "")
-        return head.select(
-            FILE, "head", F.regexp_extract(rest, _RECORD, 0).alias("second"), F.lit(None).cast("bigint").alias(AT),
-            F.substr("t", F.length("head") + 1, F.lit(2)).startswith("\r\n").alias("crlf"),
-        )
-    lines = _lines(spark, path)
-    first = lines.where("_start").groupBy(FILE).agg(F.min(AT).alias("_first"))
-    # blank lines take numbers too, so the second line is the least number after the first
-    second = lines.where("_start").join(first, FILE).where(F.col(AT) > F.col("_first")).groupBy(FILE).agg(F.min(AT).alias("_second"))
-    at = first.join(second, FILE, "left")
-    text = F.ltrim(F.col("value"), F.lit(BOM))
-    return (
-        lines.where("_start").join(at, FILE).where((F.col(AT) == F.col("_first")) | (F.col(AT) == F.col("_second")))
-        .groupBy(FILE, F.col("_first").alias(AT), "_second")
-        .agg(F.max(F.when(F.col(AT) == F.col("_first"), text)).alias("head"), F.max(F.when(F.col(AT) == F.col("_second"), text)).alias("second"))
-        .select(FILE, "head", F.coalesce("second", F.lit("")).alias("second"), AT, "_second", F.lit(False).alias("crlf"))
-    )
+def _parsed(lines: list[str], delimiter: str, multiline: bool, records: int) -> Iterator[tuple[list[str], int]]:
+    """The first records that are not blank, each with the number of lines read so far."""
+    if not multiline:
+        own = ((next(header_csv.reader([x], delimiter=delimiter), []), i) for i, x in enumerate(lines, 1) if x)
+    else:
+        reader = header_csv.reader([x + "\n" for x in lines], delimiter=delimiter)
+        own = ((cells, reader.line_num) for cells in reader if cells)
+    for _, record in zip(range(records), own):
+        yield record
 
 
-def read_headers(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True) -> DataFrame:
-    """(_file, header text, skip, crlf, ...) of every file that has content, found by position.
+def guess_delimiter(lines: list[str], multiline: bool = True) -> str:
+    """The delimiter under which the first records agree best in their number of fields.
 
-    A first line `sep=` and the delimiter is no header; the record after it is.
+    A later one in the list is taken if its counts change no more than the best one's and it makes more fields.
+    """
+    best = None
+    for delimiter in DELIMITERS:
+        widths = [len(cells) for cells, _ in _parsed(lines, delimiter, multiline, GUESS_RECORDS)]
+        if not widths:
+            continue
+        changes = sum(abs(b - a) for a, b in zip(widths, widths[1:]))
+        fields = sum(widths) / len(widths)
+        if fields >= 2 and (best is None or (changes <= best[0] and fields > best[1])):
+            best = (changes, fields, delimiter)
+    return best[2] if best else DELIMITERS[0]
+
+
+def read_head(lines: list[str], delimiter: str | None, multiline: bool, all_lines: bool) -> Head | None:
+    """The header record of a file's first lines. None: the lines are blank.
+
+    A first line `sep=` and a delimiter names it and is no header; the record after it is.
     """
-    heads = _heads(spark, path, multiline)
-    sep = F.col("head") == f"sep={delimiter}"
-    extra = ["_second"] if "_second" in heads.columns else []
-    # a file of line ends only has no first record
-    return heads.where(F.length(F.trim("head")) > 0).select(
-        FILE, F.when(sep, F.col("second")).otherwise(F.col("head")).alias("header"), F.when(sep, 2).otherwise(1).alias("skip"), "crlf", AT, *extra
+    header_csv.field_size_limit(1 << 31)
+    lines = [x.removesuffix("\r") for x in lines]
+    start = next((i for i, x in enumerate(lines) if x.lstrip(BOM)), None)
+    if start is None:
+        return None if all_lines else Head([], ",", 0, False)
+    lines = [lines[start].lstrip(BOM), *lines[start + 1 :]]
+    said = lines[0].removeprefix("sep=") if lines[0].startswith("sep=") else ""
+    names = said if len(said) == 1 and delimiter in (None, said) else None
+    if names:
+        start, lines = start + 1, lines[1:]
+    delimiter = delimiter or names or guess_delimiter(lines, multiline)
+    cells, used = next(_parsed(lines, delimiter, multiline, 1), ([], 0))
+    return Head(cells, delimiter, start + used, all_lines or 0 < used < len(lines))
+
+
+def read_heads(lines: DataFrame, delimiter: str | None = None, multiline: bool = True) -> DataFrame:
+    """(_file, cells, delimiter, skip, _first) of every file that has content, written; _first is its first line's number."""
+    opening = lines.where("_split = 0")
+    first = materialize(opening.groupBy(FILE).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n")), "csv-first")
+    found, wanted, size = [], first, HEAD_LINES
+    schema = f"{FILE} string, cells array<string>, delimiter string, skip long, whole boolean, _first long"
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for file, at, n, text in zip(batch[FILE], batch["_first"], batch["n"], batch["text"], strict=True):
+                head = read_head(list(text), delimiter, multiline, n == len(text))
+                if head is not None:
+                    out.append((file, head.cells, head.delimiter, head.lines, head.whole, at))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    while True:
+        near = opening.join(_small(wanted), FILE).where(F.col("_at") < F.col("_first") + size)
+        texts = near.groupBy(FILE, "_first", "n").agg(F.sort_array(F.collect_list(F.struct("_at", "value")))["value"].alias("text"))
+        got = materialize(texts.mapInPandas(heads, schema), "csv-heads")
+        found.append(got.where("whole"))
+        if got.where("not whole").isEmpty():
+            break
+        wanted, size = materialize(first.join(got.where("not whole").select(FILE), FILE), "csv-first"), size * 16
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return materialize(out.drop("whole"), "csv-heads")
+
+
+def _effects(delimiter: Column) -> list[Column]:
+    """Whether a line leaves a quoted field open: `e0` if none was open before it, `e1` if one was."""
+    d = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+
+    def opens(text: Column) -> Column:
+        closed = F.regexp_replace(text, F.concat(F.lit("(^|"), d, F.lit(')"(?:[^"]++|"")*+"')), F.lit("$1"))
+        return F.regexp_like(closed, F.concat(F.lit("(^|"), d, F.lit(')"')))
+
+    inside = '^(?:[^"]++|"")*+'
+    rest = F.regexp_replace("value", inside + '"', "x")
+    has = F.contains("value", F.lit('"'))
+    e1 = F.when(~has | F.regexp_like("value", F.lit(inside + "$")), True).otherwise(opens(rest))
+    return [(has & opens(F.col("value"))).alias("e0"), e1.alias("e1")]
+
+
+def _before(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Add s0, s1: the state before each row if the group starts outside (inside) a quoted field; rows have e0, e1."""
+    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.sum(F.when(F.col("e0") & ~F.col("e1"), 1).otherwise(0))
+    counted = df.withColumn("_turns", turns.over(upto))
+    sets = F.when(F.col("e0") == F.col("e1"), F.struct(F.col("e0").cast("int").alias("to"), "_turns"))
+    counted = counted.withColumns({"_set": F.last(sets, ignorenulls=True).over(earlier), "_turned": F.coalesce(F.max("_turns").over(earlier), F.lit(0))})
+
+    def state(start: int) -> Column:
+        at = F.when(F.col("_set").isNull(), F.lit(start) + F.col("_turned")).otherwise(F.col("_set.to") + F.col("_turned") - F.col("_set._turns"))
+        return at % 2 == 1
+
+    return counted.withColumns({"s0": state(0), "s1": state(1)}).drop("_turns", "_set", "_turned")
+
+
+def _after(state: Column) -> Column:
+    return F.when(state, F.col("e1")).otherwise(F.col("e0"))
+
+
+class Records(NamedTuple):
+    """(_file, value) per record that is not blank, the header's lines left out, and the files whose last quote is open."""
+
+    rows: DataFrame
+    unclosed: DataFrame | None
+
+
+def _records(lines: DataFrame, heads: DataFrame, multiline: bool) -> Records:
+    known = _small(heads.select(FILE, "delimiter", "skip", "_first", *[c for c in ("kind",) if c in heads.columns]))
+    carried = [FILE, *[c for c in ("kind",) if c in heads.columns], "delimiter"]
+    data = lines.join(known, FILE).where((F.col("_split") > 0) | (F.col("_at") >= F.col("_first") + F.col("skip")))
+    line = F.regexp_replace("value", "\r$", "").alias("value")
+    broken = materialize(
+        data.where(F.contains("value", F.lit('"'))).select(FILE, *_effects(F.col("delimiter"))).where("e0").select(FILE).distinct(), "csv-broken"
     )
+    if broken.isEmpty():
+        return Records(data.select(*carried, line).where("value <> ''"), None)
+    side = _small(broken)
+    plain = data.join(side, FILE, "left_anti").select(*carried, line).where("value <> ''")
+    states = materialize(_before(data.join(side, FILE, "left_semi").select(*PLACE, *carried[1:], "value", *_effects(F.col("delimiter"))), [FILE, "_split"], ["_at"]), "csv-states")
+    # what a split does as a whole is what its last line leaves
+    last = Window.partitionBy(FILE, "_split").orderBy(F.desc("_at"))
+    ends = states.select(*PLACE, "e0", "e1", "s0", "s1").withColumn("_last", F.row_number().over(last)).where("_last = 1")
+    splits = ends.select(FILE, "_split", _after(F.col("s0")).alias("e0"), _after(F.col("s1")).alias("e1"))
+    starts = materialize(_before(splits, [FILE], ["_split"]).withColumn("out", _after(F.col("s0"))).select(FILE, "_split", F.col("s0").alias("_start"), "out"), "csv-splits")
+    final = starts.groupBy(FILE).agg(F.max_by("out", "_split").alias("open")).where("open").select(FILE)
+    state = F.when(F.col("_start"), F.col("s1")).otherwise(F.col("s0"))
+    if not multiline:  # each line is a record; only the verdict on the file is wanted
+        return Records(data.select(*carried, line).where("value <> ''"), final)
+    placed = states.join(_small(starts.drop("out")), [FILE, "_split"]).withColumn("_in", state)
+    placed = placed.withColumn("_goes_on", _after(F.col("_in"))).drop("e0", "e1", "s0", "s1", "_start")
+    whole = placed.where("not _in and not _goes_on").select(*carried, line).where("value <> ''")
+    parts = placed.where("_in or _goes_on").withColumn("_begins", (~F.col("_in")).cast("long"))
+    within = Window.partitionBy(FILE, "_split").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(FILE).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy(FILE, "_split").agg(F.sum("_begins").alias("n"))
+    base = base.select(FILE, "_split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
+    numbered = parts.withColumn("_number", F.sum("_begins").over(within)).join(base, [FILE, "_split"])
+    joined = numbered.groupBy(*carried, (F.col("_number") + F.col("_base")).alias("_record")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("_split", "_at", "value")))["value"], "\n").alias("value")
+    )
+    return Records(plain.unionByName(whole).unionByName(joined.select(*carried, line)), final)
 
 
-def _parse_header(text: str, skip: int, crlf: bool, delimiter: str) -> Header:
-    cells = next(header_csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), [])
-    return Header(tuple(cells), skip, "\r\n" if crlf else "\n")
-
+class Columns(NamedTuple):
+    """The files of a folder under one list of columns."""
 
-def read_groups(
-    spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True
-) -> list[tuple[list[str], DataFrame]]:
-    """The files of a folder by header: (column names, rows with `_file`) per different header.
+    names: list[list[str]]  # of each different header
+    columns: list[str]  # all of them, in order of appearance
+    rows: DataFrame  # the columns, and _file
 
-    Only the different headers come to the driver.
-    """
-    heads = materialize(read_headers(spark, path, delimiter, multiline), "csv-heads")
-    kinds = [r.asDict() for r in heads.select("header", "skip", "crlf").distinct().orderBy("header", "skip", "crlf").collect()]
-    groups: dict[tuple[str, ...], list[tuple[Header, dict]]] = {}
-    for kind in kinds:
-        header = _parse_header(kind["header"], kind["skip"], kind["crlf"], delimiter)
-        groups.setdefault(tuple(header.names), []).append((header, kind))
-    out = []
-    for names, members in groups.items():
-        parts = []
-        for header, kind in members:
-            mine = heads.where(F.col("header").eqNullSafe(kind["header"]) & (F.col("skip") == kind["skip"]) & (F.col("crlf") == kind["crlf"]))
-            parts.append(_records(spark, path, header, mine, delimiter, multiline, list(names)))
-        out.append((list(names), reduce(DataFrame.unionByName, parts)))
-    return out
 
+def read_columns(spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool = True) -> Columns:
+    """Every record, its cells put under all columns by name, "" where its file lacks one.
 
-def _records(
-    spark: SparkSession, path: str, header: Header, heads: DataFrame, delimiter: str, multiline: bool, names: list[str]
-) -> DataFrame:
-    """The data records of the files in `heads`, conformed to the header's columns."""
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(max(len(header.cells), 1))]
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    if multiline:
-        reader = spark.read.schema(T.StructType(fields)).options(**options, header=False, multiLine=True)
-        # named, so that a CRLF inside quotes is not rewritten
-        scan = _placed(reader.option("lineSep", header.line_sep).csv(path))
-        first = scan.groupBy(FILE).agg(F.min(AT).alias("_first"))
-        rows = scan.join(heads.select(FILE), FILE, "left_semi").join(first, FILE).where(F.col(AT) - F.col("_first") >= header.skip)
-        cells = rows.select(FILE, *[f.name for f in fields])
-    else:
-        last = heads.select(FILE, (F.col("_second") if header.skip == 2 else F.col(AT)).alias("_last"))
-        # a split that does not start the file holds no header
-        rows = _lines(spark, path).join(last, FILE).where(~F.col("_start") | (F.col(AT) > F.coalesce("_last", F.lit(1 << 62))))
-        parsed = F.from_csv("value", T.StructType(fields).simpleString()[7:-1].replace(":", " "), options)
-        cells = rows.select(FILE, parsed.alias("r")).select(FILE, "r.*")
-    return cells.select(*[F.coalesce(F.col(f.name), F.lit("")).alias(n) for f, n in zip(fields, names)], FILE)
+    Only the different headers come to the driver, and all files are read in one scan, whatever their headers are.
+    """
+    lines = _lines(spark, path, multiline)
+    heads = materialize(read_heads(lines, delimiter, multiline).withColumn("kind", F.xxhash64("cells", "delimiter")), "csv-heads")
+    kinds = heads.groupBy("kind").agg(F.first("cells").alias("cells"), F.first("delimiter").alias("delimiter")).orderBy("cells", "delimiter").collect()
+    names = [normalize_columns(list(k["cells"])) for k in kinds]
+    columns = list(dict.fromkeys(n for own in names for n in own))
+    if not columns or not all(names):
+        return Columns([*names, *([] if names else [[]])], columns, lines)
+    records = _records(lines, heads, multiline)
+    if records.unclosed is not None and multiline:
+        files = [r[FILE] for r in records.unclosed.orderBy(FILE).limit(5).collect()]
+        if files:
+            raise ValueError(f"{UNREADABLE} A quote is never closed in {', '.join(files)}")
+    width = max(len(k["cells"]) for k in kinds)
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxColumns": str(max(20_480, 2 * width))}
+    parsed = None
+    for d in sorted({k["delimiter"] for k in kinds}):
+        own = F.from_csv("value", fields, {**options, "sep": d})
+        parsed = own if parsed is None else F.when(F.col("delimiter") == d, own).otherwise(parsed)
+    rows = records.rows.select(FILE, "kind", parsed.alias("r"))
+    if len({tuple(n) for n in names}) == 1:
+        cells = [F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(c) for i, c in enumerate(names[0])]
+        return Columns(names, columns, rows.select(*cells, FILE))
+    # a row per different header: where each column is in its records, 0 if nowhere
+    places = [(k["kind"], [own.index(c) + 1 if c in own else 0 for c in columns]) for k, own in zip(kinds, names)]
+    table = spark.createDataFrame(places, "kind long, _places array<int>")
+    rows = rows.join(F.broadcast(table), "kind").select(FILE, "_places", F.array(*[F.col(f"r.c{i}") for i in range(width)]).alias("_cells"))
+    cells = [
+        F.coalesce(F.when(F.col("_places")[i] > 0, F.try_element_at("_cells", F.col("_places")[i])), F.lit("")).alias(c) for i, c in enumerate(columns)
+    ]
+    return Columns(names, columns, rows.select(*cells, FILE))
 
 
 def read_csv(
-    spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True, union: bool = False
+    spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool = True, union: bool = False
 ) -> DataFrame:
     """All columns as text, named by the header, rows conformed to it.
 
-    Each file's header is its own first record. Files with other columns than the rest raise
-    ValueError, or with `union` are put under all columns by name, with "" where a file lacks
-    one. A `sep=` line is dropped.
+    Each file's header is its own first record, and where no delimiter is named, each file's
+    is guessed from its first records. Files with other columns than the rest raise ValueError, or with
+    `union` are put under all columns by name, with "" where a file lacks one. A `sep=` line is dropped;
+    lines without a character are no records. A file whose last quote is never closed raises ValueError.
 
-    `multiline=True` reads line breaks inside quotes, at the price of one task per
-    file; with `multiline=False` large files are split.
+    Lines end in LF or CRLF; line breaks inside quotes belong to the cell, and large files are
+    split all the same. With `multiline=False` every line is a record, and a lone CR ends a line too.
     """
-    groups = read_groups(spark, path, delimiter, multiline)
-    if not groups or any(not names for names, _ in groups):
+    got = read_columns(spark, path, delimiter, multiline)
+    if not got.names or any(not n for n in got.names):
         raise ValueError(UNREADABLE)
-    if len(groups) > 1 and not union:
-        raise ValueError("files have different columns: " + "; ".join(", ".join(names) for names, _ in groups))
-    columns = list(dict.fromkeys(n for names, _ in groups for n in names))
-    whole = [df.select(*[name(c) if c in names else F.lit("").alias(c) for c in columns]) for names, df in groups]
-    return reduce(DataFrame.unionByName, whole)
+    different = list(dict.fromkeys(map(tuple, got.names)))
+    if len(different) > 1 and not union:
+        raise ValueError("files have different columns: " + "; ".join(", ".join(n) for n in different))
+    return got.rows.drop(FILE)
 
 
 def conform_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -201,45 +323,32 @@ def conform_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def validate_load(
-    spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True, extensions: tuple[str, ...] = EXTENSIONS
+    spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool = True, extensions: tuple[str, ...] = EXTENSIONS
 ) -> DataFrame:
     """(file, ok, error, row_count) for every file of a folder, each judged by its own header.
 
     Refused: another extension, an empty file, no header, no rows, or quoted fields
-    that are opened and never closed. Rows of a different width are tolerated.
+    that are opened and never closed. Rows of a different width are tolerated. The files are scanned once.
     """
     found = spark.read.format("binaryFile").load(path)
-    lengths = found.select(file_uri(F.col("path")).alias("file"), F.col("length"))
+    lengths = found.select(file_uri(F.col("_metadata.file_path")).alias("file"), F.col("length"))
     # a scan skips files without content, the listing has them
     listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "file string")
     files = listed.select(file_uri(F.col("file")).alias("file")).join(lengths, "file", "left")
     named_ok = F.lower(F.col("file")).rlike(rf"\.({'|'.join(extensions)})$")
-    heads = read_headers(spark, path, delimiter, multiline)
-    blank = "\\s" + "\\" + delimiter + '"'
-    status = heads.select(F.col(FILE).alias("file"), (F.length(F.regexp_replace("header", f"[{blank}]", "")) > 0).alias("readable"), "skip")
-    if multiline:
-        one = T.StructType([T.StructField("c0", T.StringType())])
-        options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": True, "header": False}
-        records = spark.read.schema(one).options(**options).csv(path).select(file_uri(F.col("_metadata.file_path")).alias("file"))
+    lines = _lines(spark, path, multiline)
+    heads = read_heads(lines, delimiter, multiline)
+    records = _records(lines, heads, multiline)
+    blank = F.regexp_replace(F.array_join("cells", ""), "\\s", "") == ""
+    status = heads.select(F.col(FILE).alias("file"), (~blank).alias("readable"))
+    per_file = records.rows.groupBy(F.col(FILE).alias("file")).agg(F.count(F.lit(1)).alias("records"))
+    joined = files.join(status, "file", "left").join(per_file, "file", "left")
+    if records.unclosed is None:
+        joined = joined.withColumn("unclosed", F.lit(False))
     else:
-        records = _lines(spark, path).select(F.col(FILE).alias("file"))
-    per_file = records.groupBy("file").agg(F.count("*").alias("records"))
-    # quotes that open and close a field, line by line, escaped pairs aside
-    line = F.replace(F.col("value"), F.lit('""'), F.lit(""))
-    d = "\\" + delimiter
-    quotes = (
-        spark.read.text(path)
-        .select(
-            file_uri(F.col("_metadata.file_path")).alias("file"),
-            F.regexp_count(line, F.lit(f'(^|{d})"')).alias("opened"),
-            F.regexp_count(line, F.lit(f'"({d}|\\r?$)')).alias("closed"),
-        )
-        .groupBy("file")
-        .agg((F.sum("opened") - F.sum("closed")).alias("unclosed"))
-    )
-    joined = files.join(status, "file", "left").join(per_file, "file", "left").join(quotes, "file", "left")
-    readable = F.coalesce("readable", F.lit(False)) & (F.coalesce("unclosed", F.lit(0)) <= 0)
-    rows = F.when(F.coalesce("readable", F.lit(False)), F.greatest(F.col("records") - F.col("skip"), F.lit(0)))
+        joined = joined.join(records.unclosed.select(F.col(FILE).alias("file"), F.lit(True).alias("unclosed")), "file", "left")
+    readable = F.coalesce("readable", F.lit(False)) & ~F.coalesce("unclosed", F.lit(False))
+    rows = F.when(F.coalesce("readable", F.lit(False)), F.coalesce("records", F.lit(0)))
     error = (
         F.when(~named_ok, UNSUPPORTED)
         .when(F.coalesce("length", F.lit(0)) == 0, EMPTY_FILE)
@@ -299,3 +408,35 @@ def write_csv(
             F.when(first, F.concat(F.lit(head + "\r\n"), F.col("line"))).otherwise(F.col("line")).alias("value")
         )
     out.write.mode(mode).option("lineSep", "\r\n").text(path)
+
+
+def write_csv_in_order(
+    df: DataFrame, path: str, order_by: str, columns: list[str] | None = None, bom: bool = True, sep_line: bool = True, parts: int | None = None
+) -> DataFrame:
+    """Spreadsheet CSV as parts that, put together by name, are one file in row order.
+
+    Rows are dealt by ranges of `order_by` and sorted inside a part; rows that tie are next to each other. The first part alone
+    starts with the byte-order mark, the `sep=,` line and the header. The last line ends with CRLF too.
+
+    Returns the manifest (part, file, offset, length): at which byte of the one file each part starts, so
+    that a copy can be made in any order, by many writers.
+    """
+    spark = df.sparkSession
+    columns = columns or [c for c in df.columns if c not in (ROW_ID, order_by)]
+    head = (BOM if bom else "") + ("sep=,\r\n" if sep_line else "") + _header_line(columns)
+    at, line, rank = "_at", "_line", "_rank"
+    cells = [quote_cell(t) for t in text_columns(df, columns)]
+    lines = df.select(name(order_by).alias(at), F.concat_ws(",", *cells).alias(line), F.lit(1).alias(rank))
+    # the header is a row before all others, so that it leads the first range, also of an empty table
+    first = lines.agg(F.min(at).alias(at)).select(at, F.lit(head).alias(line), F.lit(0).alias(rank))
+    keys = [F.asc_nulls_first(at), F.col(rank), F.col(line)]
+    if lines.where(F.col(at).isNull()).limit(1).count():
+        first = first.withColumn(at, F.lit(None).cast(lines.schema[at].dataType))
+    whole = lines.unionByName(first)
+    dealt = whole.repartitionByRange(parts, F.asc_nulls_first(at)) if parts else whole.repartitionByRange(F.asc_nulls_first(at))
+    dealt.sortWithinPartitions(*keys).select(line).write.option("lineSep", "\r\n").text(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = files.select(file_uri(F.col("_metadata.file_path")).alias("file"), "length")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0))
+    return materialize(files.select((F.row_number().over(Window.orderBy("file")) - 1).alias("part"), "file", offset.alias("offset"), "length"), "csv-parts")

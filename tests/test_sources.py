@@ -1,5 +1,9 @@
 """CSV folders whose files differ, as bytes on disk."""
 
+import csv
+import io
+import random
+
 import pytest
 
 from siftline.sources import csv as source
@@ -56,3 +60,105 @@ def test_round_trip_with_quotes_and_breaks(spark, tmp_path):
     source.write_csv(df.coalesce(1), str(tmp_path / "o"))
     got = sorted(tuple(r) for r in source.read_csv(spark, str(tmp_path / "o")).collect())
     assert got == sorted((a, b or "", c) for a, b, c in rows)
+
+
+def test_rows_do_not_depend_on_the_split_layout(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"{i:02}.csv").write_text("a,b\n" + "".join(f"{i},{j}\n" for j in range(325)))
+    for multiline in (False, True):
+        df = source.read_csv(spark, str(tmp_path), multiline=multiline)
+        confs = {"spark.sql.files.minPartitionNum": "3", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "900"}
+        try:
+            for key, value in confs.items():
+                spark.conf.set(key, value)
+            (tmp_path / "00a.csv").write_text("a,b\nx,y\n")
+            assert df.count() == df.distinct().count() == 3900
+            assert source.read_csv(spark, str(tmp_path), multiline=multiline).count() == 3901
+        finally:
+            for key in confs:
+                spark.conf.unset(key)
+            (tmp_path / "00a.csv").unlink()
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_lines_of_blanks_are_rows(spark, tmp_path, multiline):
+    df = source.read_csv(spark, folder(tmp_path, a="v\n1\n  \n\n2\n"), multiline=multiline)
+    assert sorted(r.v for r in df.collect()) == ["  ", "1", "2"]
+
+
+def test_many_headers_in_one_scan(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"{i}.csv").write_text(f"k,c{i},d{i % 7}\n{i},own {i},{i % 7}\n")
+    df = source.read_csv(spark, str(tmp_path), union=True)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2  # the lines, and one row a file on how it starts
+    rows = {int(r.k): r for r in df.collect()}
+    assert len(df.columns) == 108 and len(rows) == 100
+    assert all(rows[i][f"c{i}"] == f"own {i}" and rows[i][f"d{i % 7}"] == str(i % 7) and rows[i][f"c{(i + 1) % 100}"] == "" for i in range(100))
+
+
+def test_each_file_has_its_own_delimiter(spark, tmp_path):
+    path = folder(
+        tmp_path, a='k,v\n1,"x;y;z"\n2,b\n', b='k;v\n3;"1,5"\n4;"2,5;3"\n', c="k\tv\n5\ta,b\n6\tc\n", d="sep=|\nk|v\n7|a,b;c\n",
+        e='k|v\n8|"line\nbreak, and ""more"""\n', f="k;v\n",
+    )
+    got = sorted((r.k, r.v) for r in source.read_csv(spark, path).collect())
+    assert got == [("1", "x;y;z"), ("2", "b"), ("3", "1,5"), ("4", "2,5;3"), ("5", "a,b"), ("6", "c"), ("7", "a,b;c"), ("8", 'line\nbreak, and "more"')]
+    assert {r.file[-5]: r.row_count for r in source.validate_load(spark, path).collect()} == {"a": 2, "b": 2, "c": 2, "d": 1, "e": 1, "f": 0}
+
+
+@pytest.mark.parametrize("lines, delimiter", [
+    (["a,b;c,d", "1,2;3,4"], ","), (["a;b;c", "1,5;2;3", "4;5;6"], ";"), (["only"], ","), ([], ","), (["a\tb", "1\t2"], "\t"), (["a|b|c", "1|2|3"], "|"),
+])
+def test_guessed_delimiters(lines, delimiter):
+    assert source.guess_delimiter(lines) == delimiter
+
+
+def test_quoted_breaks_over_splits_equal_one_reader(spark, tmp_path):
+    rnd = random.Random(5)
+    cells = ["plain", "", "with, comma", 'a "quote"', "two\nlines", "crlf\r\ninside", '"', "\n", '\n"\n,', "x" * 300, "tail\n" * 9, ", \n,"]
+    want = []
+    for f in range(4):
+        rows = [[str(f * 1000 + i), *(rnd.choice(cells) for _ in range(3))] for i in range(150)]
+        want += rows
+        end = "\r\n" if f % 2 else "\n"
+        text = io.StringIO(newline="")
+        csv.writer(text, lineterminator=end, quoting=csv.QUOTE_ALL if f == 2 else csv.QUOTE_MINIMAL).writerows([["id", "a", "b", "c"], *rows])
+        (tmp_path / f"{f}.csv").write_bytes(text.getvalue().encode())
+    (tmp_path / "open field.csv").write_text('id,a,b,c\n9000,5" pipe,"x"y,z\n9001,1,2,3\n')
+    want += [["9000", '5" pipe', '"x"y', "z"], ["9001", "1", "2", "3"]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = source.read_csv(spark, str(tmp_path)).collect()
+        status = source.validate_load(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(list, got)) == sorted(want)
+    assert sorted(r.row_count for r in status) == [2, 150, 150, 150, 150] and all(r.ok for r in status)
+
+
+def test_a_quote_that_is_never_closed_is_refused(spark, tmp_path):
+    path = folder(tmp_path, good='a,b\n"x\ny",2\n', bad='a,b\n1,"2\n3,4\n5,6\n')
+    with pytest.raises(ValueError, match="bad.csv"):
+        source.read_csv(spark, path)
+    got = {r.file.split("/")[-1]: (r.ok, r.error) for r in source.validate_load(spark, path).collect()}
+    assert got == {"good.csv": (True, None), "bad.csv": (False, source.UNREADABLE)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_parts_in_order_are_one_file(spark, tmp_path, n):
+    rows = [(i * 3 % 501, f"v {i}", 'q"\r\nx' if i % 50 == 0 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "row long, `na,me` string, w string").repartition(6)
+    manifest = source.write_csv_in_order(df, str(tmp_path / "o"), "row", parts=5).orderBy("part").collect()
+    files = sorted((tmp_path / "o").glob("part-*"))
+    data = b"".join(f.read_bytes() for f in files)
+    quoted = {None: "", 'q"\r\nx': '"q""\r\nx"'}
+    body = "".join(f"{v},{quoted[w]}\r\n" for _, v, w in sorted(rows, key=lambda r: (r[0], r[1])))
+    assert data.decode() == '﻿sep=,\r\n"na,me",w\r\n' + body
+    assert [m.file.split("/")[-1] for m in manifest] == [f.name for f in files]
+    for m, f in zip(manifest, files):
+        assert data[m.offset : m.offset + m.length] == f.read_bytes()
+    if n == 500:
+        assert len(files) == 5
+        again = source.read_csv(spark, str(tmp_path / "o" / "part-00000*"))
+        assert again.columns == ["na,me", "w"]
