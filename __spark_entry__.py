@@ -309,6 +309,21 @@ def _typed_profile(table: str) -> Query:
     return query
 
 
+def _documents_profiler(spark: SparkSession, sf_dir: str) -> Profiler:
+    """Every document's text twice, once with capital A's: long texts that are spelled in two ways."""
+    docs = _table(spark, sf_dir, "documents").select("text", "lang")
+    return Profiler(docs.unionByName(docs.withColumn("text", F.translate("text", "a", "A"))), "documents")
+
+
+def top_values_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top values of whole texts of any length, which are counted by digest."""
+    return _rounded(_documents_profiler(spark, sf_dir).top_values(), PERCENT)
+
+
+def inconsistent_groups_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents_profiler(spark, sf_dir).inconsistent_groups()
+
+
 def dataset_profile(p: DataFrame) -> DataFrame:
     return p.select(
         "dataset", "row_count", "column_count", "incomplete_row_count", "duplicate_row_count",
@@ -458,6 +473,8 @@ def queries() -> dict[str, Query]:
         "outlier_counts_floor_index": _on_profiler(lambda p: p.outlier_counts("floor_index")),
         "date_stats": _on_messy(lambda df: stats.date_stats(stats.column_counters(_cells(df)))),
         "top_values": _on_profiler(lambda p: _rounded(p.top_values(), PERCENT)),
+        "top_values_documents": top_values_documents,
+        "inconsistent_groups_documents": inconsistent_groups_documents,
         "modes": _on_profiler(lambda p: _rounded(p.modes(), PERCENT)),
         "boolean_stats": _on_messy(
             lambda df: _rounded(stats.boolean_stats(stats.column_counters(_cells(df))), PERCENT)
@@ -635,6 +652,16 @@ LINEITEM = {
 EVENTS = {"event_id": NUMBERS, "ts": DATES, "user_id": NUMBERS, "event_type": "text", "value": NUMBERS, "props": "text"}
 
 
+def _documents_values(last: str) -> str:
+    """The values of the documents' texts, once as they are and once with capital A's, and `last` over them."""
+    kept = f"not {o.missing('value')}"
+    return f"""with d as (select text, lang from documents union all select translate(text, 'a', 'A'), lang from documents),
+      v as (select 'text' as "column", text as value from d union all select 'lang', lang from d),
+      f as (select "column", value, count(*) as count from v where {kept} group by all),
+      spelled as (select "column", {o.norm('value')} as normal_form, {o.trimmed('value')} as spelling, sum(count)::bigint as count from f group by all)
+      {last}"""
+
+
 def _oracle_profile() -> dict[str, str]:
     r = NUMERIC_DIGITS
     numeric = ", ".join(f"round({f}, {r[f]}) as {f}" if f in r else f for f in NUMERIC_FIELDS)
@@ -690,6 +717,14 @@ def _oracle_profile() -> dict[str, str]:
             f'select col as "column", place, value, cnt as count, {_share("cnt", "row_count")} as percentage '
             "from ranked where place <= 10"
         ),
+        "top_values_documents": _documents_values(
+            f"""select "column", place, value, count, {_share('count', '(select count(*) from d)')} as percentage from (select *,
+            row_number() over (partition by "column" order by count desc, value collate en, value) as place from f) where place <= 10"""
+        ),
+        "inconsistent_groups_documents": _documents_values(
+            """select *, count(*) over (partition by "column", normal_form) as n_spellings from spelled
+            qualify count(*) over (partition by "column", normal_form) >= 2"""
+        ),
         "modes": o.q(
             f'select col as "column", value, cnt as count, {_share("cnt", "row_count")} as percentage from ranked where rk = 1'
         ),

@@ -61,6 +61,72 @@ def value_freq(df: DataFrame, columns: list[str] | None = None, row_id: str | No
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Characters of a text above which it is counted by its digest.
+LONG = 64
+
+
+def text_key(c: Column) -> Column:
+    """A short text itself; of a long one a mark and 128 bits, so that a key has at most LONG characters."""
+    return F.when(F.length(c) > LONG, F.concat(F.lit("\0"), F.md5(c))).otherwise(c)
+
+
+def value_keys(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The distinct values of `value_freq` with what each one is, in a table whose width no text determines.
+
+    (column, value, cnt, facts, long, key, form, spelling): a long text is looked at before it is shuffled and
+    counted by its key; `value` holds its start. `form` and `spelling` are the keys of its normal form and its trimmed
+    text. Whoever needs a whole text asks for it with `long_texts`.
+    """
+    columns = data_columns(df, columns)
+    texts = [c for c in columns if df.schema[c].dataType == T.StringType()]
+    others = [c for c in columns if c not in texts]
+    out = [*FACTS, "long", "key", "form", "spelling"]
+    own_form, own_spelling = text_key(rules.normal_form(F.col("value"))), text_key(rules.js_trim(F.col("value")))
+    parts = []
+    if others:
+        plain = classified(value_freq(df, others))
+        whole = {"long": F.lit(False), "key": F.col("value"), "form": own_form, "spelling": own_spelling}
+        parts.append(plain.withColumns(whole).select("column", "value", "cnt", *out))
+    if texts:
+        cell = df.select(*[name(c) for c in texts]).unpivot([], [name(c) for c in texts], "column", "_whole")
+        cell = cell.withColumn("long", F.coalesce(F.length("_whole") > LONG, F.lit(False)))
+        # only long texts are looked at here, short ones after they have been counted
+        seen = classified(cell.withColumn("value", F.when(F.col("long"), F.col("_whole"))))
+        keys = {"key": text_key(F.col("value")), "form": own_form, "spelling": own_spelling}
+        keyed = seen.withColumns(keys).select(
+            "column", "long", F.substring("_whole", 1, LONG).alias("value"), *[F.when(F.col("long"), F.col(c)).alias(f"long_{c}") for c in (*FACTS, *keys)]
+        )
+        counted = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("cnt"))
+        start = F.col("value")
+        short = classified(counted.withColumn("_start", start).withColumn("value", F.when(~F.col("long"), start)))
+        merged = short.withColumns({"key": F.col("value"), "form": own_form, "spelling": own_spelling})
+        parts.append(merged.select(
+            "column", F.col("_start").alias("value"), "cnt",
+            *["long" if c == "long" else F.when(F.col("long"), F.col(f"long_{c}")).otherwise(F.col(c)).alias(c) for c in out],
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Keys up to which they are sent to all tasks.
+SENT_KEYS = 100_000
+
+
+def long_texts(df: DataFrame, keys: DataFrame, trimmed: bool = False) -> DataFrame:
+    """(column, key, text) for the wanted (column, key) rows of a written table, by one more scan of their columns.
+
+    Keys are those of whole texts, or of trimmed ones. Each task finds its own texts before any is shuffled.
+    """
+    wanted = keys.select("column", "key").distinct()
+    columns = [r["column"] for r in wanted.select("column").distinct().collect()]
+    if not columns:
+        return wanted.withColumn("text", F.lit(None).cast("string"))
+    cell = df.select(*[name(c) for c in columns]).unpivot([], [name(c) for c in columns], "column", "value").where(F.length("value") > LONG)
+    text = rules.js_trim(F.col("value")) if trimmed else F.col("value")
+    own = cell.select("column", text.alias("text")).withColumn("key", text_key(F.col("text")))
+    side = F.broadcast(wanted) if wanted.limit(SENT_KEYS + 1).count() <= SENT_KEYS else wanted
+    return own.join(side, ["column", "key"], "left_semi").groupBy("column", "key").agg(F.min("text").alias("text"))
+
+
 def ordinal_of(columns: list[str]) -> Column:
     """1-based position of the `column` cell in the table's column list."""
     return F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))

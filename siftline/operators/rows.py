@@ -13,7 +13,7 @@ from ..session import materialize
 from . import ranks, stats
 from .clean import outside
 from .dedup import with_duplicate_flag
-from .freq import number
+from .freq import number, text_key
 from .rowid import data_columns, name, text_columns
 
 # Page sizes on offer.
@@ -31,29 +31,38 @@ def _any(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, flags, F.lit(False))
 
 
-def with_inconsistent_flag(df: DataFrame, profiler, flag: str) -> DataFrame:
+#: Forms up to which they are sent to all tasks.
+SENT_FORMS = 100_000
+
+
+def with_inconsistent_flag(df: DataFrame, profiler, flag: str, row_id: str) -> DataFrame:
     """Flag rows holding a value whose form is spelled in more than one way.
 
-    One join per text column that has such forms, on the form itself: a form is one row there,
-    so no row is repeated, and rows need no id to come back together. The forms can be
-    many, so they get no broadcast hint; AQE turns the join into one when their measured
-    size allows, and splits a form that holds a large share of the rows.
+    The forms are written and counted. Few are sent to all tasks, and no row moves. Many are joined with narrow
+    cells (row id, form) of all columns at once, of which only the ids that hit come back to the rows;
+    cells without a form take no part, so they do not meet in one task.
     """
     forms = materialize(
         stats.inconsistent_forms(profiler.values, profiler.counters).select("column", "normal_form").distinct(), "forms"
     )
-    columns = [r["column"] for r in forms.select("column").distinct().collect()]
-    hits = []
-    for i, column in enumerate(columns):
-        text = stringify(name(column), df.schema[column].dataType)
-        form, hit = f"_form{i}", f"_hit{i}"
-        mine = forms.where(F.col("column") == column).select(F.col("normal_form").alias(form), F.lit(True).alias(hit))
-        # a missing cell has no form and must not meet other missing ones in one task
-        own = F.when(~rules.is_missing(text), rules.normal_form(text))
-        df = df.withColumn(form, own).join(mine, form, "left").drop(form)
-        hits.append(F.col(hit).isNotNull())
-    names = [f"_hit{i}" for i in range(len(columns))]
-    return df.withColumn(flag, _any(hits)).drop(*names)
+    sizes = {r["column"]: r["n"] for r in forms.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    columns = [c for c in profiler.columns if c in sizes]
+    if not columns:
+        return df.withColumn(flag, F.lit(False))
+    texts = {c: stringify(name(c), df.schema[c].dataType) for c in columns}
+    keys = {c: F.when(~rules.is_missing(t), text_key(rules.normal_form(t))) for c, t in texts.items()}
+    if sum(sizes.values()) <= SENT_FORMS:
+        hits = []
+        for i, column in enumerate(columns):
+            form, hit = f"_form{i}", f"_hit{i}"
+            mine = forms.where(F.col("column") == column).select(F.col("normal_form").alias(form), F.lit(True).alias(hit))
+            df = df.withColumn(form, keys[column]).join(F.broadcast(mine), form, "left").drop(form)
+            hits.append(F.col(hit).isNotNull())
+        return df.withColumn(flag, _any(hits)).drop(*[f"_hit{i}" for i in range(len(columns))])
+    cell = df.select(name(row_id).alias("_row"), *[keys[c].alias(c) for c in columns]).unpivot(["_row"], [name(c) for c in columns], "column", "normal_form")
+    rows = cell.where("normal_form is not null").join(forms, ["column", "normal_form"], "left_semi").select("_row").distinct()
+    found = df.join(rows.withColumn("_hit", F.lit(True)), name(row_id).eqNullSafe(F.col("_row")), "left")
+    return found.withColumn(flag, F.col("_hit").isNotNull()).drop("_row", "_hit")
 
 
 def outlier_limits(distinct: DataFrame, counters: DataFrame, method: str) -> DataFrame:
@@ -81,7 +90,7 @@ def row_flags(
     if "duplicate_rows" in types:
         flagged = with_duplicate_flag(flagged, row_id, columns)
     if "inconsistent_values" in types:
-        flagged = with_inconsistent_flag(flagged, profiler, "has_inconsistent")
+        flagged = with_inconsistent_flag(flagged, profiler, "has_inconsistent", row_id)
     if "missing_values" in types:
         flagged = flagged.withColumn("has_missing", stats.any_missing(text_columns(df, columns)))
     if "potential_outliers" in types:

@@ -7,10 +7,13 @@ only thing broadcast here, and the table's own width bounds them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as rules
+from ..session import materialize
 from . import ranks
 from .freq import cells, classified, numbers, ordinal_of
 from .rowid import data_columns, name, text_columns
@@ -232,16 +235,36 @@ def mode_bounds(distinct: DataFrame, counters: DataFrame) -> DataFrame:
     )
 
 
-def top_values(distinct: DataFrame, counters: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+#: Gives the whole texts (column, key, text) of the (column, key) rows of a written table.
+Texts = Callable[[DataFrame], DataFrame]
+
+
+def _with_texts(found: DataFrame, texts: Texts | None, key: str = "key") -> DataFrame:
+    """Whole texts in place of the starts of long ones; `found` is small or is the result itself."""
+    if texts is None or "long" not in found.columns:
+        return found
+    found = materialize(found, "found")
+    wanted = found.where("long").select("column", F.col(key).alias("key"))
+    if wanted.isEmpty():
+        return found
+    whole = texts(wanted).withColumnsRenamed({"key": key, "text": "_text"})
+    return found.join(whole, ["column", key], "left").withColumn("value", F.when(F.col("long"), F.col("_text")).otherwise(F.col("value"))).drop("_text")
+
+
+def top_values(distinct: DataFrame, counters: DataFrame, bounds: DataFrame | None = None, texts: Texts | None = None) -> DataFrame:
     """The ten most frequent values per text column, ties in locale order.
 
     Values below the tenth place's count are dropped first; the rest goes through a
-    ranking that keeps ten rows per column and task before its shuffle.
+    ranking that keeps ten rows per column and task before its shuffle. Of long texts, only those that
+    reach the ten by the letters they start with are fetched whole.
     """
     bounds = mode_bounds(distinct, counters) if bounds is None else bounds
     near = _text_values(distinct, counters).join(
         F.broadcast(bounds.select("column", "floor_cnt")), "column"
     ).where(F.col("cnt") >= F.col("floor_cnt"))
+    if texts is not None and "long" in near.columns:
+        by_start = Window.partitionBy("column").orderBy(F.desc("cnt"), F.collate("value", "UNICODE_CI_AI"))
+        near = _with_texts(near.withColumn("_start", F.rank().over(by_start)).where(F.col("_start") <= TOP_VALUES), texts)
     w = Window.partitionBy("column").orderBy(
         F.desc("cnt"), F.collate("value", "UNICODE"), F.col("value")
     )
@@ -258,35 +281,28 @@ def top_values(distinct: DataFrame, counters: DataFrame, bounds: DataFrame | Non
     )
 
 
-def modes(distinct: DataFrame, counters: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+def modes(distinct: DataFrame, counters: DataFrame, bounds: DataFrame | None = None, texts: Texts | None = None) -> DataFrame:
     """Every value that shares the highest count of its text column.
 
     In a column of unique values that is all of them, so the rows stay distributed.
     """
     bounds = mode_bounds(distinct, counters) if bounds is None else bounds
-    return (
-        _text_values(distinct, counters)
-        .join(F.broadcast(bounds.select("column", "mode_count")), "column")
-        .where(F.col("cnt") == F.col("mode_count"))
-        .select(
-            "column",
-            "value",
-            F.col("cnt").alias("count"),
-            _percent(F.col("cnt"), F.col("row_count")).alias("percentage"),
-        )
+    found = _text_values(distinct, counters).join(F.broadcast(bounds.select("column", "mode_count")), "column")
+    return _with_texts(found.where(F.col("cnt") == F.col("mode_count")), texts).select(
+        "column",
+        "value",
+        F.col("cnt").alias("count"),
+        _percent(F.col("cnt"), F.col("row_count")).alias("percentage"),
     )
 
 
 def _spellings(distinct: DataFrame, counters: DataFrame) -> DataFrame:
-    return (
-        _text_values(distinct, counters)
-        .groupBy(
-            "column",
-            rules.normal_form(F.col("value")).alias("normal_form"),
-            rules.js_trim(F.col("value")).alias("spelling"),
-        )
-        .agg(F.sum("cnt").alias("count"))
-    )
+    """(column, normal_form, spelling, count); keys of `value_keys` stand for long texts."""
+    keyed = "form" in distinct.columns
+    form = F.col("form") if keyed else rules.normal_form(F.col("value"))
+    spelling = F.col("spelling") if keyed else rules.js_trim(F.col("value"))
+    values = _text_values(distinct, counters)
+    return values.groupBy("column", form.alias("normal_form"), spelling.alias("spelling")).agg(F.sum("cnt").alias("count"))
 
 
 def inconsistent_forms(distinct: DataFrame, counters: DataFrame) -> DataFrame:
@@ -299,8 +315,8 @@ def inconsistent_forms(distinct: DataFrame, counters: DataFrame) -> DataFrame:
     )
 
 
-def inconsistent_groups(distinct: DataFrame, counters: DataFrame) -> DataFrame:
-    """One row per spelling of an inconsistent form.
+def inconsistent_groups(distinct: DataFrame, counters: DataFrame, texts: Texts | None = None) -> DataFrame:
+    """One row per spelling of an inconsistent form; `texts` gives the trimmed text of a spelling's key.
 
     Flat on purpose: a form can have any number of spellings, and a row per spelling
     never has to fit into one task.
@@ -311,7 +327,13 @@ def inconsistent_groups(distinct: DataFrame, counters: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n_spellings"))
         .where("n_spellings >= 2")
     )
-    return spellings.join(forms, ["column", "normal_form"])
+    found = spellings.join(forms, ["column", "normal_form"])
+    if texts is None:
+        return found
+    marked = found.withColumns({"value": F.col("spelling"), "long": F.col("spelling").startswith("\0") & (F.length("spelling") == 33)})
+    whole = _with_texts(marked, texts, "spelling")
+    form = F.when(F.col("long"), F.lower("value")).otherwise(F.col("normal_form"))
+    return whole.withColumn("normal_form", form).withColumn("spelling", F.col("value")).select(*found.columns)
 
 
 def inconsistency_counts(distinct: DataFrame, counters: DataFrame) -> DataFrame:

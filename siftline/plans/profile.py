@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dedup, stats
-from ..operators.freq import classified, value_freq
+from ..operators.freq import long_texts, value_keys
 from ..operators.rowid import data_columns
 from ..session import materialize
 from . import issues as issue_rules
@@ -34,8 +34,12 @@ class Profiler:
 
     @cached_property
     def values(self) -> DataFrame:
-        """Distinct values with what each one is: every pattern runs here, once per value."""
-        return materialize(classified(value_freq(self.df, self.columns)), "values")
+        """Distinct values with what each one is: every pattern runs here, once per value, long texts by digest."""
+        return materialize(value_keys(self.df, self.columns), "values")
+
+    def texts(self, keys: DataFrame, trimmed: bool = False) -> DataFrame:
+        """The whole texts of long values (`freq.long_texts`)."""
+        return long_texts(self.df, keys, trimmed)
 
     @cached_property
     def counters(self) -> DataFrame:
@@ -64,13 +68,13 @@ class Profiler:
         return materialize(stats.mode_bounds(self.values, self.counters), "mode-bounds")
 
     def top_values(self) -> DataFrame:
-        return stats.top_values(self.values, self.counters, self._mode_bounds)
+        return stats.top_values(self.values, self.counters, self._mode_bounds, self.texts)
 
     def modes(self) -> DataFrame:
-        return stats.modes(self.values, self.counters, self._mode_bounds)
+        return stats.modes(self.values, self.counters, self._mode_bounds, self.texts)
 
     def inconsistent_groups(self) -> DataFrame:
-        return stats.inconsistent_groups(self.values, self.counters)
+        return stats.inconsistent_groups(self.values, self.counters, lambda keys: self.texts(keys, trimmed=True))
 
     def type_summary(self) -> DataFrame:
         return stats.type_summary(self.counters)

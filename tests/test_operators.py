@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from siftline.operators import dedup, ranks
-from siftline.plans.profile import profile_dataset
+from siftline.plans.profile import Profiler, profile_dataset
 from siftline.plans.recipe import Step, apply_recipe
 from siftline.sources import csv as source
 from siftline.streaming import append_batch_counts, read_counts
@@ -71,3 +71,39 @@ def test_stream_counts_are_idempotent(spark, tmp_path):
     for batch_id in (0, 0, 1):
         append_batch_counts(df, batch_id, str(tmp_path / "c"))
     assert {r.value: r.cnt for r in read_counts(spark, str(tmp_path / "c")).collect()} == {"a": 4, "b": 2}
+
+
+def test_long_texts_are_counted_by_digest(spark):
+    """Same figures as of whole values, and no text in the shuffle that counts."""
+    from siftline.operators import stats
+    from siftline.operators.freq import LONG, classified, value_freq
+
+    long = ["x" * LONG, "y" * (LONG + 1), " " * 200, "12 " + "z" * 100, "2024-01-01T00:00:00" + "0" * 90, " " * 90 + "yes"]
+    rows = [(t, i) for i in range(3) for t in [*long, None, "", "short"]]
+    rows += [("same start " + "s" * 80 + f" {i}", i) for i in range(12)] + [(("Same" if i % 2 else "same") + "q" * 99 + " " * i, i) for i in range(4)]
+    df = spark.createDataFrame(rows, "t string, n long")
+    p = Profiler(df)
+    whole = classified(value_freq(df, ["t", "n"]))
+    counters = stats.column_counters(whole)
+    assert sorted(map(tuple, p.counters.collect())) == sorted(map(tuple, counters.collect()))
+    for own, plain in (
+        (p.top_values(), stats.top_values(whole, counters)), (p.modes(), stats.modes(whole, counters)),
+        (p.inconsistent_groups(), stats.inconsistent_groups(whole, counters)),
+    ):
+        assert sorted(map(tuple, own.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect())) != []
+    assert p.values.agg(F.max(F.length("value")), F.max(F.length("key")), F.max(F.length("form")), F.max(F.length("spelling"))).first()[0] == LONG
+    assert max(len(r.key or "") for r in p.values.collect()) <= LONG
+
+
+def test_row_flags_move_no_rows_for_few_forms(spark, monkeypatch):
+    from siftline.operators import rows
+
+    data = [(i, "Ab" if i % 3 else "ab", None if i % 4 else "x", f"{i % 5}") for i in range(60)]
+    df = spark.createDataFrame(data, "id long, a string, b string, c string")
+    p = Profiler(df, row_id="id")
+    flagged = rows.with_inconsistent_flag(df, p, "hit", "id")
+    assert "Exchange hashpartitioning" not in flagged._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, flagged.collect()))
+    assert sum(r[-1] for r in want) == 60
+    monkeypatch.setattr(rows, "SENT_FORMS", 0)
+    assert sorted(map(tuple, rows.with_inconsistent_flag(df, p, "hit", "id").collect())) == want
