@@ -18,10 +18,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import oracle as o  # noqa: E402
 from siftline.functions import cells as rules  # noqa: E402
 from siftline.operators import charts, clean, dedup, freq, preview, rows, stats  # noqa: E402
-from siftline.plans import issues, suggest  # noqa: E402
+from siftline.plans import issues, planner, suggest  # noqa: E402
 from siftline.plans import recipe as recipes  # noqa: E402
 from siftline.plans.profile import NUMERIC_FIELDS, Profiler  # noqa: E402
-from siftline.session import DEFAULTS, new_path  # noqa: E402
+from siftline.session import DEFAULTS, materialize, new_path  # noqa: E402
 from siftline.sources import csv as csv_source  # noqa: E402
 from siftline.sources import registry, summary  # noqa: E402
 
@@ -221,8 +221,8 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole recipe's report, written as JSON and read back; each step counted on its own version."""
     original = _messy(spark, sf_dir)
-    cleaned, steps = recipes.counted_recipe(original, STEPS, ROW)
-    before, after = (Profiler(df, "messy_orders", row_id=ROW).profile for df in (original, cleaned))
+    cleaned, steps = planner.counted_recipe(original, STEPS, ROW)
+    before, after = (materialize(Profiler(df, "messy_orders", row_id=ROW).score(), "score") for df in (original, cleaned))
     report = summary.cleaning_summary(before, after, recipes.recipe_table(spark, steps))
     path = new_path(spark, "summary")
     summary.write_summary(report, path, "2026-01-01T00:00:00Z")

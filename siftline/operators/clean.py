@@ -42,7 +42,7 @@ def fill_missing(df: DataFrame, column: str, value: str | Column | None) -> Data
     return _replace(df, column, F.when(rules.is_missing(text), fill).otherwise(text))
 
 
-def _figure(one_row: DataFrame) -> str:
+def figure(one_row: DataFrame) -> str:
     """The single number of a one-row table, as cell text; "0" when there is none.
 
     One value comes to the driver and becomes a literal of the next step. A recipe then
@@ -56,7 +56,7 @@ def _figure(one_row: DataFrame) -> str:
 def fill_with_mean(df: DataFrame, column: str) -> DataFrame:
     """Fill with the mean of the current numbers, two decimals."""
     mean = typed_numbers(df, [column]).agg(rules.round_half_up(F.avg("x"), 2))
-    return fill_missing(df, column, _figure(mean))
+    return fill_missing(df, column, figure(mean))
 
 
 def _written_numbers(df: DataFrame, column: str) -> DataFrame:
@@ -71,7 +71,7 @@ def _written_numbers(df: DataFrame, column: str) -> DataFrame:
 def fill_with_median(df: DataFrame, column: str) -> DataFrame:
     """Fill with the exact median of the current numbers."""
     points = _written_numbers(df, column)
-    return fill_missing(df, column, _figure(ranks.quantiles(points, {"median": 0.5}).select("median")))
+    return fill_missing(df, column, figure(ranks.quantiles(points, {"median": 0.5}).select("median")))
 
 
 FILLS = {
@@ -130,7 +130,7 @@ def convert_typed(df: DataFrame, column: str, target: str, reject: str | None =
 def outlier_flag(df: DataFrame, column: str, method: str = "interpolated") -> Column:
     """True where the cell's number lies outside the column's bounds.
 
-    The two bounds are one row; they become literals, as in `_figure`.
+    The two bounds are one row; they become literals, as in `figure`.
     """
     limits = ranks.fences(_written_numbers(df, column), method=method).first()
     if limits is None or limits["lower"] is None:

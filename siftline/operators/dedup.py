@@ -63,12 +63,14 @@ def with_duplicate_flag(
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be 'first' or 'last', not {keep!r}")
     cols = data_columns(df, columns, row_id)
-    repeated = repeated_rows(df, row_id, cols).select(
-        DIGEST, F.col(f"{keep}_row").alias("_kept_row")
-    )
+    return _flagged(df, repeated_rows(df, row_id, cols), row_id, cols, keep, flag)
+
+
+def _flagged(df: DataFrame, repeated: DataFrame, row_id: str, cols: list[str], keep: str, flag: str) -> DataFrame:
+    kept = repeated.select(DIGEST, F.col(f"{keep}_row").alias("_kept_row"))
     return (
         df.withColumn(DIGEST, _digest(df, cols))
-        .join(repeated, DIGEST, "left")
+        .join(kept, DIGEST, "left")
         .withColumn(flag, F.coalesce(name(row_id) != F.col("_kept_row"), F.lit(False)))
         .drop(DIGEST, "_kept_row")
     )
@@ -79,3 +81,11 @@ def remove_duplicates(
 ) -> DataFrame:
     flagged = with_duplicate_flag(df, row_id, columns, keep, "_duplicate")
     return flagged.where(~F.col("_duplicate")).drop("_duplicate")
+
+
+def remove_repeated(df: DataFrame, repeated: DataFrame, row_id: str, keep: str = "first") -> DataFrame:
+    """`remove_duplicates` with `repeated_rows` of the same table given, so that a count of them costs no other pass."""
+    if keep not in ("first", "last"):
+        raise ValueError(f"keep must be 'first' or 'last', not {keep!r}")
+    flagged = _flagged(df, repeated, row_id, data_columns(df, None, row_id), keep, "_duplicate")
+    return flagged.where(~F.col("_duplicate")).drop("_duplicate")

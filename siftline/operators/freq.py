@@ -88,22 +88,14 @@ def value_keys(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         whole = {"long": F.lit(False), "key": F.col("value"), "form": own_form, "spelling": own_spelling}
         parts.append(plain.withColumns(whole).select("column", "value", "cnt", *out))
     if texts:
-        cell = df.select(*[name(c) for c in texts]).unpivot([], [name(c) for c in texts], "column", "_whole")
-        cell = cell.withColumn("long", F.coalesce(F.length("_whole") > LONG, F.lit(False)))
-        # only long texts are looked at here, short ones after they have been counted
-        seen = classified(cell.withColumn("value", F.when(F.col("long"), F.col("_whole"))))
+        cell = df.select(*[name(c) for c in texts]).unpivot([], [name(c) for c in texts], "column", "value")
         keys = {"key": text_key(F.col("value")), "form": own_form, "spelling": own_spelling}
-        keyed = seen.withColumns(keys).select(
-            "column", "long", F.substring("_whole", 1, LONG).alias("value"), *[F.when(F.col("long"), F.col(c)).alias(f"long_{c}") for c in (*FACTS, *keys)]
-        )
-        counted = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("cnt"))
-        start = F.col("value")
-        short = classified(counted.withColumn("_start", start).withColumn("value", F.when(~F.col("long"), start)))
-        merged = short.withColumns({"key": F.col("value"), "form": own_form, "spelling": own_spelling})
-        parts.append(merged.select(
-            "column", F.col("_start").alias("value"), "cnt",
-            *["long" if c == "long" else F.when(F.col("long"), F.col(f"long_{c}")).otherwise(F.col(c)).alias(c) for c in out],
-        ))
+        short = cell.where(F.col("value").isNull() | (F.length("value") <= LONG)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        parts.append(classified(short).withColumns({"long": F.lit(False), **keys, "key": F.col("value")}).select("column", "value", "cnt", *out))
+        # a long text is looked at first and counted by what was found
+        seen = classified(cell.where(F.length("value") > LONG)).withColumns({"long": F.lit(True), **keys})
+        found = seen.select("column", F.substring("value", 1, LONG).alias("value"), *out)
+        parts.append(found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("cnt")).select("column", "value", "cnt", *out))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -133,6 +133,16 @@ class Profiler:
             F.coalesce("outlier_count", zero).alias("outlier_count"),
         )
 
+    def score(self) -> DataFrame:
+        """One row: dataset, row_count, column_count, quality_score. Of the profile, only what the score is made of."""
+        spellings = stats.inconsistency_counts(self.values, self.counters).select("column", "inconsistent_groups")
+        outliers = self.outlier_counts().select("column", "outlier_count")
+        columns = self.counters.join(F.broadcast(spellings), "column", "left").join(F.broadcast(outliers), "column", "left")
+        totals = columns.agg(*_score_parts())
+        rows = dedup.row_totals(self.df, self.columns)  # one row, as the totals are
+        scored = rows.join(F.broadcast(totals)).withColumn("quality_score", quality_score())
+        return scored.select(F.lit(self.name).alias("dataset"), "row_count", "column_count", "quality_score")
+
     @cached_property
     def profile(self) -> DataFrame:
         return materialize(self.dataset_profile(), "profile")
@@ -143,12 +153,7 @@ class Profiler:
         columns = self.column_profile()
         rows = dedup.row_totals(self.df, self.columns).withColumn("dataset", F.lit(self.name))
         per_table = columns.withColumn("dataset", F.lit(self.name)).groupBy("dataset").agg(
-            F.count("*").alias("column_count"),
-            F.count(F.when(F.col("is_empty"), 1)).alias("empty_column_count"),
-            F.sum(F.when(~F.col("is_empty"), F.col("missing_count")).otherwise(0)).alias("total_missing"),
-            F.count(F.when(F.col("inconsistent_groups") > 0, 1)).alias("inconsistent_columns"),
-            F.sum(F.when(F.col("inferred_type") == "number", F.col("total_values")).otherwise(0)).alias("numeric_cells"),
-            F.sum("outlier_count").alias("outlier_cells"),
+            *_score_parts(),
             F.sort_array(F.collect_list(F.struct(*columns.columns))).alias("columns"),
         )
         whole = rows.join(per_table, "dataset")
@@ -170,6 +175,18 @@ class Profiler:
         )
 
 
+def _score_parts() -> list[Column]:
+    """Sums over the columns of a table that its score needs."""
+    return [
+        F.count("*").alias("column_count"),
+        F.count(F.when(F.col("is_empty"), 1)).alias("empty_column_count"),
+        F.sum(F.when(~F.col("is_empty"), F.col("missing_count")).otherwise(0)).alias("total_missing"),
+        F.count(F.when(F.col("inconsistent_groups") > 0, 1)).alias("inconsistent_columns"),
+        F.sum(F.when(F.col("inferred_type") == "number", F.col("total_values")).otherwise(0)).alias("numeric_cells"),
+        F.coalesce(F.sum("outlier_count"), F.lit(0)).alias("outlier_cells"),
+    ]
+
+
 def profile_dataset(df: DataFrame, name: str = "dataset", columns=None, row_id: str | None = None) -> DataFrame:
     return Profiler(df, name, columns, row_id).dataset_profile()
 

@@ -50,7 +50,12 @@ def release(spark: SparkSession) -> None:
 
     For the end of a job: tables that still read them can't be used any more.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/siftline/{spark.sparkContext.applicationId}")
+    remove(spark, f"{shared_dir(spark).rstrip('/')}/siftline/{spark.sparkContext.applicationId}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove one folder, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -1,6 +1,8 @@
 """Recipes, suggestions and streams."""
 
 import json
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,9 @@ from pyspark.sql import functions as F
 from siftline.operators import clean, rows
 from siftline.plans import suggest
 from siftline.plans.profile import Profiler
-from siftline.plans.recipe import Step, apply_recipe, as_dict, counted_recipe, step_of
+from siftline.plans.planner import counted_recipe, stages, unread
+from siftline.plans.recipe import Step, affected_count, apply_recipe, apply_step, as_dict, step_of
+from siftline.plans.versions import VersionStore
 from siftline.streaming.recipe import dedup_within, stream_recipe
 from siftline.functions import cells as rules
 
@@ -107,3 +111,64 @@ def test_stream_dedup_has_the_batch_key(spark, tmp_path):
     assert query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 2 and {r.x for r in got} == {"A"} and 4 in {r.id for r in got}
+
+
+def test_stages_end_where_rows_go():
+    steps = [Step("fill_missing", "a"), Step("remove_duplicates"), Step("convert_type", "a"), Step("remove_outlier_rows", "a"), Step("remove_column", "b"),
+             Step("remove_outlier_rows", "a", {"row_ids": [1]})]
+    assert stages(steps) == [[0], [1], [2, 3], [4], [5]]
+    assert unread(["a", "b", "c"], steps[2:]) == ["b"] and unread(["a", "b"], steps) == []
+
+
+def test_planned_counts_equal_counts_step_by_step(spark):
+    rnd = random.Random(4)
+    cells = ["1", "2", " 2", "yes", "No", "A", "a ", "", None, "N/A", "2024-01-05", "1/2/2024", "700", "12 kg"]
+    data = [(i, *(rnd.choice(cells[:3] + cells[-2:] if k == 0 else cells) for k in range(3)), i % 7) for i in range(120)]
+    df = spark.createDataFrame([*data, *[(200 + i, *r[1:]) for i, r in enumerate(data[:30])]], "id bigint, n string, t string, u string, k int")
+    make = [
+        lambda: Step("remove_duplicates", config={"keep": rnd.choice(["first", "last"])}), lambda: Step("fill_missing", rnd.choice("ntuk"), {"strategy": rnd.choice(["mean", "median", "zero"])}),
+        lambda: Step("normalize_text", rnd.choice("tu"), {"normalizations": ["trim", "lowercase"]}), lambda: Step("convert_type", rnd.choice("nt"), {"target_type": rnd.choice(["number", "date", "boolean"])}),
+        lambda: Step("remove_outlier_rows", "n"), lambda: Step("remove_column", rnd.choice("uz")), lambda: Step("remove_outlier_rows", "n", {"row_ids": [3, 4, 5]}),
+    ]
+    for _ in range(2):
+        steps = [rnd.choice(make)() for _ in range(6)]
+        out, counted = counted_recipe(df, steps, "id")
+        version, want = df, []
+        for step in steps:
+            want.append(affected_count(version, step, "id"))
+            version = apply_step(version, step, "id")
+        assert [s.affected_count for s in counted] == want, steps
+        assert out.columns == version.columns and sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, version.collect()), key=repr)
+
+
+def test_score_is_that_of_the_profile(spark):
+    df = spark.createDataFrame([(1, "a", None, "1"), (2, "A ", "5", "2"), (3, "b", "7", "3"), (3, "b", "7", "900")] * 3, "id bigint, t string, n string, x string")
+    p = Profiler(df, "d", row_id="id")
+    assert tuple(p.score().first()) == tuple(p.profile.select("dataset", "row_count", "column_count", "quality_score").first())
+
+
+def test_stored_versions_are_reused_and_removed(spark):
+    df = spark.createDataFrame([(i, " A" if i % 2 else "b", None if i % 5 else "7") for i in range(20)], "id bigint, t string, n string")
+    steps = [Step("normalize_text", "t", {"normalizations": ["trim"]}, "first"), Step("fill_missing", "n", {"fill_value": "0"}), Step("remove_duplicates")]
+    with VersionStore(df, "id", keep=3) as store:
+        assert store.acquire([]) is df
+        for n in (1, 2, 3):
+            got = store.acquire(steps[:n])
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apply_recipe(df, steps[:n], "id").collect()))
+        assert store.steps_run == 3
+        store.acquire(steps[:2])  # undo
+        store.acquire(steps)  # redo
+        assert store.steps_run == 3
+        changed = [*steps[:2], Step("remove_column", "t")]
+        assert store.acquire(changed).columns == ["id", "n"] and store.steps_run == 4
+        seen = store.paths()
+        assert len(seen) == 4 and all(Path(p.removeprefix("file:")).exists() for p in seen)  # all in use
+        for held in (steps[:1], steps[:2], steps[:2], steps, steps):
+            store.release(held)
+        assert len(store.paths()) == 3 and store.acquire(changed).count() == 20
+        renamed = [Step("normalize_text", "t", {"normalizations": ["trim"]}, "other", "name", 9), *steps[1:]]
+        store.acquire(renamed)
+        assert store.steps_run == 4
+        with pytest.raises(ValueError):
+            store.acquire([Step("remove_outlier_rows", "n", {"row_ids": df})])
+    assert seen and not any(Path(p.removeprefix("file:")).exists() for p in seen)
