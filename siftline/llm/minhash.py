@@ -18,10 +18,18 @@
 At the default 28 bands of 5 rows, a pair of similarity 0.85 meets with probability
 1 - 1e-7, one of 0.5 with 0.59 and one of 0.2 with 0.01.
 
+A row takes part under its node: its doc_id, or without one a negative number made of its text's
+hash, so that rows without an id link like all others and equal texts among them are one node.
+Ids are expected to be 0 or more if there are null ones; a negative one could only meet
+such a node by chance of 1 in 2^63.
+
 Edge cases: a null, empty or blank text has no shingles, links with nothing and is its own
 component; a text of fewer words than a shingle is one shingle; rows that share a doc_id are
-one document with several texts and so end in one component; a null doc_id keeps its rows, with
-a null component, kept; an empty table gives no rows; extra columns are left out of the result.
+one document with several texts and so end in one component; a row with a null doc_id has the
+smallest doc_id that it reaches as its component, null if there is none, and is kept only if there is
+none and its node is the component's least; an empty table gives no rows; extra columns are left out of
+the result. `drop_near_duplicates` keeps one row of a node that has several, with any one of its texts;
+rows without shingles all stay.
 """
 
 from __future__ import annotations
@@ -31,10 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialize, numbered, own_id, table
+from .common import NO_ID, WORD_SPACE, free_names, materialize, table
 from .graph import components
 
 BANDS, ROWS = 28, 5
@@ -117,7 +125,7 @@ def _sketches(size: int, bands: int, rows: int):
                 a.append(int(mix(h).sum().view(np.int64)))
                 b.append(int(mix(h ^ _ODD[2]).sum().view(np.int64)))
                 keys.append(band_keys(sketch(h, donors), rows) if len(h) else np.empty(0, np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "set_a": a, "set_b": b, "keys": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "n": n, "set_a": a, "set_b": b, "keys": keys})
 
     return run
 
@@ -140,18 +148,29 @@ def _sets(size: int):
     return run
 
 
+def _node() -> Column:
+    """What stands for a row: its doc_id, or a negative number from its text's hash."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(NO_ID)))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
 
     Two texts are linked if 100 * common shingles >= percent * all shingles of both.
     """
-    texts = numbered(docs, "text")
+    return _judged(docs, size, percent, bands, rows).drop("node")
+
+
+def _judged(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """The rows of `near_duplicates`, each with its node."""
+    texts = docs.select(_node().alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
     sketches = materialize(
-        texts.mapInPandas(_sketches(size, bands, rows), "doc_id long, n long, set_a long, set_b long, keys array<long>"), "sketches"
+        texts.mapInPandas(_sketches(size, bands, rows), "doc_id long, no_id boolean, n long, set_a long, set_b long, keys array<long>"), "sketches"
     )
     same = ["set_a", "set_b", "n"]
-    known = sketches.where(f"n > 0 and doc_id <> {NO_ID}")
-    classes = materialize(known.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
+    known = sketches.where("n > 0")
+    real = F.when(~F.col("no_id"), F.col("doc_id"))
+    classes = materialize(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min(real).alias("least")), "classes")
 
     # buckets where two classes or more meet
     reps = classes.select(F.col("rep").alias("doc_id"), *same)
@@ -164,7 +183,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     # the whole sets of the classes that met another one
     chosen = degree.select(F.col("rep").alias("doc_id"))
-    sets = materialize(texts.join(chosen, "doc_id", "left_semi").mapInPandas(_sets(size), "doc_id long, shingles array<long>, parity array<long>"), "sets")
+    repeated = materialize(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id"), "repeated")
+    texts = texts.select("doc_id", "text")
+    once = texts.join(chosen.join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
+    several = texts.join(chosen.join(repeated, "doc_id", "left_semi"), "doc_id", "left_semi").distinct()
+    sets = materialize(once.unionByName(several).mapInPandas(_sets(size), "doc_id long, shingles array<long>, parity array<long>"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough, judged on their whole sets."""
@@ -216,20 +239,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             labels = materialize(nodes.join(onto, "label", "left").select("node", F.coalesce("onto", "label").alias("label")), "labels")
         done, width = done + width, width * 4
 
-    named_classes = materialize(named(classes, "rep", "component_id").select(*same, "component_id"), "components")
-    found = known.select("doc_id", *same).join(named_classes, same)
-    alone = sketches.where(f"n = 0 or doc_id = {NO_ID}").select(own_id().alias("doc_id"), "n", own_id().alias("component_id"))
-    return found.select("doc_id", "n", "component_id").unionByName(alone).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+    # a component goes by the least doc_id in it, null if all its rows are without one
+    labelled = materialize(named(classes, "rep", "label").select(*same, "label", "least"), "labelled")
+    component = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    named_classes = materialize(labelled.drop("least").join(component, "label"), "components")
+    found = known.select("doc_id", "no_id", *same).join(named_classes, same).select("doc_id", "no_id", "n", "component_id", "label")
+    alone = sketches.where("n = 0").select("doc_id", "no_id", "n", real.alias("component_id"), F.col("doc_id").alias("label"))
+    first = F.when(F.col("no_id"), F.col("component_id").isNull() & (F.col("doc_id") == F.col("label")))
+    return found.unionByName(alone).select(
+        F.col("doc_id").alias("node"), real.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
+        first.otherwise(F.col("doc_id") == F.col("component_id")).alias("kept"),
     )
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` that are kept: one text of each component, its smallest doc_id."""
-    judged = near_duplicates(docs, **how)
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of `docs` that are kept: one row of each component, that of its smallest doc_id.
+
+    Only nodes that go or have several rows are joined; texts are shuffled for the latter alone.
+    """
+    (node,) = free_names(docs, "node")
+    nodes = _judged(docs, size, percent, bands, rows).where("n_shingles > 0").groupBy(F.col("node").alias(node))
+    odd = materialize(nodes.agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("m")).where("not kept or m > 1"), "odd")
+    has_words = F.col("text").rlike(f"[^{WORD_SPACE}]")
+    keyed = docs.withColumn(node, F.when(has_words, _node()))
+    plain = keyed.join(odd.select(node), node, "left_anti")
+    again = keyed.join(odd.where("kept").select(node), node, "left_semi").dropDuplicates([node])
+    return plain.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 Everything is a Column expression. Each rule's cost and share of rejections are measured on
 a bounded sample of rows, and the rules are then tried in order of rejections per unit of
-cost. The order decides how much work a rejected text causes, never which texts are kept:
-a text is kept if no rule rejects it.
+cost. The sample is the SAMPLE_ROWS texts of least hash, written once, so that it is the same for the
+same table however the table is split; a cost is the least time of several runs over it, in doubling
+steps, and rules of equal rate stay in the order given, so that noise seldom changes the order. The order
+decides how much work a rejected text causes, never which texts are kept: a text is kept if no rule
+rejects it.
 
 Edge cases: a null or empty text has no words and no lines with a word, so it fails the rule
 on the number of words; repeated rows are judged alike; an empty table gives an empty
@@ -12,6 +15,7 @@ table; other columns pass through untouched, whatever their names.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -19,13 +23,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, free_names, let, table, words
+from .common import WORD_SPACE, free_names, let, materialize, table, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 #: Rows that cost and selectivity are measured on.
 SAMPLE_ROWS = 400
+#: Runs of each rule over the sample, and how often a run judges each of its rows.
+RUNS, TIMES = 3, 4
+#: Costs below this share of the dearest rule's are taken as equal: they drown in the start of a job.
+LEAST_COST = 1 / 64
 
 
 def word_chars(text: Column) -> Column:
@@ -118,23 +126,28 @@ RULES = (
 
 
 def plan_cascade(df: DataFrame, text: Column, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules in order of rejections per second, both measured on at most `sample_rows` rows.
-
-    One short job per rule reads the first rows only and returns one boolean per row.
-    """
-
-    def probe(rejects: Callable[[Measures], Column]) -> tuple[int, float]:
-        start = time.perf_counter()
-        got = df.select(judged(text, rejects).alias("v")).limit(sample_rows).collect()
-        return sum(bool(r[0]) for r in got), time.perf_counter() - start
-
-    none = lambda m: m.n_words < 0
-    probe(none)  # start-up belongs to no rule
-    floor = probe(none)[1]
-    rate = {}
-    for rule in rules:
-        rejected, seconds = probe(rule.rejects)
-        rate[rule.name] = (rejected + 0.5) / max(seconds - floor, 1e-3)
+    """The rules in order of rejections per unit of cost, both measured on at most `sample_rows` rows."""
+    drawn = df.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample_rows)
+    sample = materialize(drawn, "quality-sample")
+    rejected = sample.select(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(judged(F.col("text"), r.rejects)).alias(f"r{i}") for i, r in enumerate(rules)]
+    ).first()
+    rounds = sample.select(F.explode(F.sequence(F.lit(1), F.lit(TIMES))).alias("i"), "text").coalesce(1)
+    fresh = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.col("i"))  # a value of its own for each round
+
+    def seconds(rejects: Callable[[Measures], Column]) -> float:
+        probe = rounds.select(F.count_if(judged(fresh, rejects)))
+        took = []
+        for _ in range(RUNS):
+            start = time.perf_counter()
+            probe.collect()
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    floor = seconds(lambda m: m.n_words < 0)  # starting a job and splitting into words belong to no rule
+    cost = [max(seconds(r.rejects) - floor, 0.0) for r in rules]
+    least = max(LEAST_COST * max(cost, default=0.0), 1e-3)
+    rate = {r.name: (rejected[f"r{i}"] + 0.5) / 2 ** round(math.log2(max(cost[i], least) / least)) for i, r in enumerate(rules)}
     return sorted(rules, key=lambda r: -rate[r.name])
 
 

@@ -8,12 +8,16 @@ is a 39-bit number (20 bits of the value within the node, then 19 bits of a hash
 so that ties are divided too), and three passes sum bytes by 13 bits each. What reaches the
 driver is at most 8192 sums per node and pass, however many rows there are.
 
+Equal texts form a group: its rows share their dimensions (the least of each) and, while the group
+weighs no more than 1/SPLIT of a shard, their tie too, so that no cut divides it. A heavier
+group's ties begin alike and end in a hash of the row: only the cuts that fall into it divide it.
+
 Rows are only ever a narrow table of numbers, written to the shared folder once per level of
 the tree; texts are read once and never shuffled.
 
 Edge cases: a null text has no bytes (size 1); a null dimension counts as its least value;
-repeated rows and ids are dealt by their hash and, if wholly equal, go to one side together;
-fewer rows than shards leave shards empty; an empty table gives no rows; extra columns are
+rows of one id and text, or of null ids with one text, are told apart by a number that the first
+table is written with; texts of any length are read once, as a size and three hashes; fewer rows than shards leave shards empty; an empty table gives no rows; extra columns are
 left out.
 """
 
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import dense_slots, materialize, table
 
 VALUE_BITS, TIE_BITS, PASS_BITS = 20, 19, 13
+#: Bits of a heavy group's ties that its rows choose, and the share of a shard from which it is heavy.
+ROW_BITS, SPLIT = 11, 256
 
 
 def _place(value: Column, low: Column, high: Column, tie: Column) -> Column:
@@ -40,8 +46,8 @@ def _case(node: Column, by_node: dict[int, object], kind: str) -> Column:
     return F.element_at(F.create_map(*pairs), node)
 
 
-def assign_shards(rows: DataFrame, dims: list[str], size: str, n_shards: int, identity: list[str]) -> DataFrame:
-    """`rows` with `shard`: a narrow, written table with numeric `dims` and a positive `size`."""
+def assign_shards(rows: DataFrame, dims: list[str], size: str, n_shards: int, tie: str) -> DataFrame:
+    """`rows` with `shard`: a narrow, written table with numeric `dims`, a positive `size` and a `tie` of TIE_BITS bits."""
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
     work = rows.withColumns({f"_d{i}": F.coalesce(F.col(d).cast("double"), F.lit(float("-inf"))) for i, d in enumerate(dims)})
@@ -50,7 +56,7 @@ def assign_shards(rows: DataFrame, dims: list[str], size: str, n_shards: int, id
     finite = work.agg(*[F.min(F.when(F.col(n) > float("-inf"), F.col(n))).alias(n) for n in names]).first()
     work = work.withColumns({
         n: F.when(F.col(n) == float("-inf"), F.lit(finite[n] if finite[n] is not None else 0.0)).otherwise(F.col(n)) for n in names
-    }).withColumn("_tie", F.shiftrightunsigned(F.xxhash64(F.lit("tie"), *identity), 64 - TIE_BITS))
+    }).withColumnRenamed(tie, "_tie")
     work = materialize(work.withColumn("_node", F.lit(0)), "shard-level")
     todo = {0: n_shards}  # a node is named by its first shard
     spread: list[float] | None = None
@@ -120,8 +126,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int | None = None, target_bytes: i
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     narrow = materialize(
         docs.select(
-            "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-            F.log2(F.octet_length(text) + F.lit(1.0)).alias("length"),
+            "doc_id", F.monotonically_increasing_id().alias("row"), (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
             (F.xxhash64("lang") / F.lit(2.0**64)).alias("lang_place"), (F.xxhash64("source") / F.lit(2.0**64)).alias("source_place"),
         ),
         "shard-rows",
@@ -131,10 +137,22 @@ def shard_by_bytes(docs: DataFrame, n_shards: int | None = None, target_bytes: i
         if not target_bytes:
             raise ValueError("give n_shards or target_bytes")
         n_shards = max(1, -(-total // target_bytes))
-    identity = ["doc_id", "text_crc32", "size"]
-    dealt = assign_shards(narrow, ["length", "source_place", "lang_place"], "size", n_shards, identity)
+    same, places = ["size", "text_crc32", "text_hash"], ["source_place", "lang_place"]
+    groups = narrow.groupBy(*same).agg(
+        F.sum("size").alias("weight"), F.count(F.lit(1)).alias("m"), *[F.min(p).alias(f"group_{p}") for p in places]
+    )
+    groups = materialize(groups.where("m > 1").drop("m"), "shard-groups")
+    bits = lambda n, *of: F.shiftrightunsigned(F.xxhash64(F.lit("tie"), *of), 64 - n)
+    divided = F.shiftleft(bits(TIE_BITS - ROW_BITS, *same), ROW_BITS).bitwiseOR(bits(ROW_BITS, "row"))
+    placed = narrow.join(groups, same, "left").select(
+        "doc_id", "row", "size", "text_crc32", F.log2(F.col("size").cast("double")).alias("length"),
+        *[F.coalesce(f"group_{p}", p).alias(p) for p in places],
+        F.when(F.coalesce("weight", "size") * n_shards * SPLIT > total, divided).otherwise(bits(TIE_BITS, *same)).alias("tie"),
+    )
+    dealt = assign_shards(placed, ["length", *places], "size", n_shards, "tie")
+    identity = ["doc_id", "text_crc32", "size", "row"]
     dealt = materialize(dealt.select(*identity, "shard"), "shards")
-    return dense_slots(dealt, ["shard"], identity, rows, "slot")
+    return dense_slots(dealt, ["shard"], identity, rows, "slot").drop("row")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

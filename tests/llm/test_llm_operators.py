@@ -152,8 +152,46 @@ def test_near_duplicates_edge_rows(make):
     assert minhash.near_duplicates(make([])).count() == 0
     rows = [(None, "a b c"), (4, "a b c"), (4, "a b c"), (9, "A B c"), (11, None), (12, "")]
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in minhash.near_duplicates(make(rows), size=3, percent=85).collect())
-    assert got == [("11", 11, True), ("12", 12, True), ("4", 4, True), ("4", 4, True), ("9", 4, False), ("None", None, True)]
-    assert sorted(str(r.doc_id) for r in minhash.drop_near_duplicates(make(rows)).collect()) == ["11", "12", "4", "4", "None"]
+    assert got == [("11", 11, True), ("12", 12, True), ("4", 4, True), ("4", 4, True), ("9", 4, False), ("None", 4, False)]
+    assert sorted(str(r.doc_id) for r in minhash.drop_near_duplicates(make(rows)).collect()) == ["11", "12", "4"]
+
+
+def prose(seed, n):
+    rnd = random.Random(seed)
+    return [f"w{rnd.randrange(10**6):x}" for _ in range(n)]
+
+
+def test_near_duplicates_without_ids(make):
+    """Links through rows without an id hold, and a group of such rows alone keeps one of them."""
+    words = [f"t{i}" for i in range(120)]
+    chain = []
+    for i in range(3):  # each text is near the next one only
+        chain.append(" ".join(words))
+        words = words[: 6 * i] + [f"n{i}.{j}" for j in range(6)] + words[6 * i + 6 :]
+    assert components_by_hand([(0, chain[0]), (1, chain[2])], 3, 85)[1][1] == 1
+    lone = " ".join(f"u{i}" for i in range(90))
+    rows = [(3, chain[0]), (None, chain[1]), (1, chain[2]), (None, lone), (None, lone), (None, lone + " more"), (None, "other words here"), (None, None), (None, "")]
+    numbered = [(1000 + k if i is None else i, t) for k, (i, t) in enumerate(rows)]
+    want = components_by_hand(numbered, 3, 85)
+    got = minhash.near_duplicates(make(rows, node=1), size=3, percent=85).collect()
+    assert len(got) == len(rows)
+    assert Counter((r.n_shingles, r.component_id) for r in got) == Counter((n, c if c < 1000 else None) for n, c, _ in (want[i] for i, _ in numbered))
+    kept = minhash.drop_near_duplicates(make(rows, node=1), size=3, percent=85)
+    assert kept.columns == make(rows, node=1).columns
+    texts = sorted(str(r.text) for r in kept.collect())
+    assert [t for t in texts if t not in (lone, lone + " more")] == sorted([chain[2], "other words here", "None", ""])
+    assert len(texts) == 5
+
+
+def test_near_duplicates_keep_one_row_of_an_id(make):
+    """Rows of one id, with one text or several, are one document; a hot one is fetched once."""
+    a, b = (" ".join(prose(k, 80)) for k in (31, 32))
+    rows = [*[(5, a)] * 300, (5, b), (8, b), (9, a + " end"), *[(None, a)] * 200, (2, "alone here now")]
+    got = minhash.near_duplicates(make(rows).repartition(3), size=3, percent=85).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter(
+        {(5, 5, True): 301, (8, 5, False): 1, (9, 5, False): 1, (None, 5, False): 200, (2, 2, True): 1}
+    )
+    assert sorted(r.doc_id for r in minhash.drop_near_duplicates(make(rows).repartition(3), size=3, percent=85).collect()) == [2, 5]
 
 
 def test_parity_bits_differ_no_more_than_sets():
@@ -593,6 +631,34 @@ def test_shards(make, corpus):
         largest = max(r.size for r in got)
         assert max(weight.values()) <= sum(weight.values()) / n + 4 * largest
     assert sharding.shard_by_bytes(make([]), n_shards=4).count() == 0
+
+
+def test_equal_texts_stay_in_one_shard(make):
+    """Light groups are whole; a third of all bytes in one group is divided, by the cuts alone; nulls and repeated rows too."""
+    rnd = random.Random(9)
+    texts = [" ".join(prose(200 + k, rnd.randrange(5, 12 if k < 40 else 60))) for k in range(900)]
+    docs = [(k, t) for k, t in enumerate(texts)]
+    light = [(5000 + k, texts[k % 40]) for k in range(80)]
+    heavy = [(k % 7 or None, "one text that very many rows have, " * 4) for k in range(900)]
+    df = make([*docs, *light, *heavy]).withColumn("lang", F.when(F.rand(3) < 0.8, F.lit("en")))
+    df = df.withColumn("source", F.when(F.rand(4) < 0.7, F.concat(F.lit("s"), (F.rand(5) * 9).cast("int"))))
+    got = sharding.shard_by_bytes(df, n_shards=4).collect()
+    assert len(got) == len(docs) + len(light) + len(heavy)
+    weight, at, slots = Counter(), defaultdict(set), defaultdict(list)
+    for r in got:
+        weight[r.shard] += r.size
+        at[r.size, r.text_crc32].add(r.shard)
+        slots[r.shard].append(r.slot)
+    split = {k for k, v in at.items() if len(v) > 1}
+    big = ("one text that very many rows have, " * 4).encode()
+    assert split == {(len(big) + 1, zlib.crc32(big))}
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(weight.values()) <= 1.05 * min(weight.values())
+
+
+def test_shards_by_target_bytes(make, corpus):
+    rnd = random.Random(6)
+    docs = [*corpus, (None, "no id"), *[(1000 + i, "copy of one text") for i in range(400)], *[(2000 + i, "x" * rnd.randrange(400)) for i in range(600)]]
     by_size = sharding.shard_by_bytes(make(docs), target_bytes=50_000).groupBy("shard").count().count()
     assert by_size == -(-sum(len((t or "").encode()) + 1 for _, t in docs) // 50_000)
 
