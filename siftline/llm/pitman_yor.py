@@ -16,13 +16,20 @@ expected number rounded up or down at random, right in the mean and narrower in
 customers would be. Random numbers are hashes of word, context, sweep and customer, so a sweep that a
 lost executor repeats comes out the same.
 
-The score of a text is the sum of log10 of the predictive probabilities, each averaged
-over the last sweeps: its pairs are joined with contexts, words and counts.
-
-Edge cases: a null or empty text is its end token; rows that share a doc_id are scored
-together, as one row; a null doc_id stays one; words of held-out texts that training lacks get the
-unknown word's probability; without training rows the base stands alone; an empty table gives no
-rows; extra columns are ignored.
+Most pairs are of words that are common both as word and as context: at most HEAD words have one HEAD-th of
+the tokens, so these are sent to all tasks, and only pairs with a rarer word or context are joined by
+shuffles. Tables that a sweep has replaced are removed.
+
+The score of a text is the sum of log10 of the predictive probabilities, each averaged over the
+last sweeps. They are worked out once for each pair of the training texts and joined with the pairs
+of all texts by a 64-bit hash of the pair (of 10^9 pairs, one shares its hash with another with a
+chance of 3 %). Only held-out texts can have pairs that training lacks: these are joined with
+contexts and words afterwards.
+
+Edge cases: a null or empty text is its end token; every row is scored on its own, whatever doc_id it
+shares (rows are told apart by doc_id and a hash of the text; equal rows get equal scores); a null
+doc_id stays one; words of held-out texts that training lacks get the unknown word's probability;
+without training rows the base stands alone; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialize, numbered, own_id, table
+from ..session import remove
+from .common import NO_ID, new_path, numbered, own_id, table
 from .minhash import _ODD, WordHashes, mix, word_list
 
 SWEEPS, AVERAGED = 4, 3
 GROUP = 64
+#: Words and contexts with at least one HEAD-th of the tokens, so HEAD at most, are sent to all tasks.
+HEAD = 1 << 16
 CONCENTRATION = 1.0
 #: The end token's hash; a word's hash is never this one but by chance of 1 in 2^64.
 END = np.uint64(0x1D8E4E27C47D124F)
@@ -51,19 +61,17 @@ def in_training(doc_id: int) -> bool:
 
 
 def _tokens(batch: pa.RecordBatch, known: WordHashes, only_training: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The doc_id and hash of every token of a batch, end tokens included, text after text."""
-    ids, hashes, sizes = [], [], []
-    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+    """The row and hash of every token of a batch, end tokens included, text after text."""
+    rows, hashes, sizes = [], [np.empty(0, np.uint64)], []
+    for row, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
         if only_training and not in_training(doc_id):
             continue
         words = word_list(text.as_py())
         hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
         hashes.append(np.array([END]))
-        ids.append(doc_id)
+        rows.append(row)
         sizes.append(len(words) + 1)
-    if not ids:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.repeat(np.array(ids, np.int64), sizes), np.concatenate(hashes)
+    return np.repeat(np.array(rows, np.int64), sizes), np.concatenate(hashes)
 
 
 def _contexts(words: np.ndarray) -> np.ndarray:
@@ -71,35 +79,36 @@ def _contexts(words: np.ndarray) -> np.ndarray:
     return np.concatenate([[END], words[:-1]]).astype(np.uint64)[: len(words)]  # texts follow each other and end in END
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for batch in batches:
-        words, n = np.unique(_tokens(batch, known, True)[1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
-
-
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in batches:
         words = _tokens(batch, known, True)[1]
-        yield _counted(words, _contexts(words))
+        yield pa.RecordBatch.from_arrays(_counted(words, _contexts(words), np.zeros(len(words), np.int64))[:3], ["word", "context", "n"])
 
 
 def _pairs_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, context, n, doc_id): who uses the word after what, and how often."""
+    """Who uses the word after what, how often, and whether the text is held out."""
     known = WordHashes()
     for batch in batches:
-        doc, words = _tokens(batch, known, False)
-        yield _counted(words, _contexts(words), doc)
+        rows, words = _tokens(batch, known, False)
+        word, context, n, row = _counted(words, _contexts(words), rows)
+        held = pa.array([not in_training(i) for i in batch.column("doc_id").to_pylist()], pa.bool_())
+        yield pa.RecordBatch.from_arrays(
+            [word, context, n, *[c.take(row) for c in (batch.column("doc_id"), batch.column("tag"), held)]],
+            ["word", "context", "n", "doc_id", "tag", "held"],
+        )
 
 
-def _counted(words: np.ndarray, context: np.ndarray, *doc: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((context, words, *doc))
-    keys = [words[order].view(np.int64), context[order].view(np.int64), *[d[order] for d in doc]]
+def _counted(words: np.ndarray, context: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
+    """The distinct (word, context, row) with their counts, row after row."""
+    order = np.argsort(mix(words ^ mix(context + _ODD[1]) ^ mix(rows.astype(np.uint64) * _ODD[0])))
+    keys = [k[order] for k in (words, context, rows)]
     changed = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     new = np.flatnonzero(np.concatenate([[True], changed])[: len(words)])
-    word, context, *doc = [pa.array(k[new]) for k in keys]
-    return pa.RecordBatch.from_arrays([word, context, pa.array(np.diff(new, append=len(words))), *doc], ["word", "context", "n", "doc_id"][: 3 + len(doc)])
+    n = np.diff(new, append=len(words))
+    by_row = np.argsort(order[new])
+    word, context, row = [k[new[by_row]] for k in keys]
+    return [pa.array(word.view(np.int64)), pa.array(context.view(np.int64)), pa.array(n[by_row]), pa.array(row)]
 
 
 def _salt(step: int, kind: int) -> np.uint64:
@@ -188,7 +197,8 @@ def _reseated(model: Model, k: int, share: float):
             word, context, n, *rest = (_column(batch, c) for c in names)
             t = model.reseat(k, word, context, n, *rest)
             own = _column(batch, "own") + share * np.maximum(n - model.discount * t, 0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], pa.array(t), pa.array(own)], ["word", "context", "n", "t", "own"])
+            kept = ["word", "context", "n", "head"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(t), pa.array(own)], [*kept, "t", "own"])
 
     return run
 
@@ -202,28 +212,63 @@ def _reseated_root(model: Model, k: int):
     return run
 
 
+class Written:
+    """A table in the shared folder that the next version takes the place of."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.tag, self.path = spark, tag, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, self.tag)
+        df.write.parquet(path)
+        if self.path:
+            remove(self.spark, self.path)
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def _looked_up(rows: DataFrame, words: DataFrame, contexts: DataFrame) -> DataFrame:
+    """`rows` (word, context, head, ...) with the columns of their words and contexts; all three tables have `head`.
+
+    Rows whose word and context are both frequent are joined where they are, with at most HEAD rows each.
+    """
+    frequent = lambda t: F.broadcast(t.where("head").drop("head"))
+    near = rows.where("head").join(frequent(words), "word").join(frequent(contexts), "context")
+    far = rows.where("not head").join(words.drop("head"), "word").join(contexts.drop("head"), "context")
+    return near.unionByName(far)
+
+
 def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of `docs` (doc_id, text)."""
-    texts = numbered(docs, "text")
-    words = materialize(
-        texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words"
-    )
-    total, vocabulary, once, twice = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
-    ).first()
-    pairs = materialize(texts.mapInArrow(_pair_counts, PAIRS).groupBy("word", "context").agg(F.sum("n").alias("n")), "pairs")
-    single = F.count_if(F.col("n") == 1).alias("single")
-    n1, n2 = pairs.agg(single, F.count_if(F.col("n") == 2)).first()
-    discount = lambda n1, n2: min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    model = Model(vocabulary, np.empty(0), discount(n1, n2), discount(once, twice))
+    spark = docs.sparkSession
+    texts = numbered(docs, "text", F.xxhash64("text").alias("tag"))
+    seated, of_words, of_contexts = (Written(spark, tag) for tag in ("seated", "at-root", "contexts"))
+    # a batch counts its pairs before they are dealt, so that a pair is met once per batch
+    pairs = texts.mapInArrow(_pair_counts, PAIRS).repartition("word", "context")
+    pairs = Written(spark, "pairs").put(pairs.groupBy("word", "context").agg(F.sum("n").alias("n")))
+    single, double = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+    total, n1, n2 = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), single, double).first()
 
     # after sweep k a word has a<k> customers at r<k> tables of the root, a context t<k> tables
     tables = F.count(F.lit(1)).cast("double")
-    at_root = pairs.groupBy("word").agg(F.sum("n").alias("known"), single, tables.alias("a0")).withColumn("r0", F.lit(1.0))
-    at_root = materialize(at_root, "at-root")
-    contexts = materialize(pairs.groupBy("context").agg(F.sum("n").alias("customers"), single, tables.alias("t0")), "contexts")
+    common = lambda n: (F.col(n) * HEAD >= total).alias("head")
+    at_root = pairs.groupBy("word").agg(F.sum("n").alias("known"), single.alias("single"), tables.alias("a0"))
+    at_root = of_words.put(at_root.select("*", F.lit(1.0).alias("r0"), common("known")))
+    contexts = pairs.groupBy("context").agg(F.sum("n").alias("customers"), single.alias("single"), tables.alias("t0"))
+    contexts = of_contexts.put(contexts.select("*", common("customers")))
+    vocabulary, once, twice = at_root.agg(F.count(F.lit(1)), *[F.count_if(F.col("known") == i) for i in (1, 2)]).first()
+    discount = lambda n1, n2: min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+    model = Model(vocabulary, np.empty(0), discount(n1, n2), discount(once, twice))
+
     kept = range(sweeps - averaged + 1, sweeps + 1)
     share = lambda k: 1 / averaged if k in kept else 0.0
+    # the frequent ones are written by themselves, since the tables they come from are replaced
+    flag = lambda t, key: F.broadcast(
+        Written(spark, "common").put(t.where("head").select(key, F.lit(True).alias(f"common_{key}")))
+    )
+    pairs = pairs.join(flag(at_root, "word"), "word", "left").join(flag(contexts, "context"), "context", "left").select(
+        "word", "context", "n", (F.col("common_word").isNotNull() & F.col("common_context").isNotNull()).alias("head")
+    )
     entries = pairs.where("n > 1").withColumn("t", F.lit(1.0)).withColumn("own", share(0) * (F.col("n") - model.discount))
     for k in range(sweeps + 1):
         customers, root_tables = at_root.agg(F.sum(f"a{k}"), F.sum(f"r{k}")).first()
@@ -231,16 +276,17 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED)
         model.root_tables.append(root_tables or 0.0)
         if k == sweeps:
             break
-        now = entries.join(at_root.select("word", F.col(f"a{k}").alias("at_root"), F.col(f"r{k}").alias("root_tables")), "word").join(
-            contexts.select("context", F.col(f"t{k}").alias("of_context")), "context"
+        now = _looked_up(
+            entries, at_root.select("word", F.col(f"a{k}").alias("at_root"), F.col(f"r{k}").alias("root_tables"), "head"),
+            contexts.select("context", F.col(f"t{k}").alias("of_context"), "head"),
         )
-        entries = materialize(now.mapInArrow(_reseated(model, k, share(k + 1)), PAIRS + ", t double, own double"), "seated")
+        entries = seated.put(now.mapInArrow(_reseated(model, k, share(k + 1)), PAIRS + ", head boolean, t double, own double"))
         of = lambda key: entries.groupBy(key).agg(F.sum("t").alias("more"))
         total_tables = (F.col("single") + F.coalesce("more", F.lit(0.0))).cast("double")
-        contexts = materialize(contexts.join(of("context"), "context", "left").withColumn(f"t{k + 1}", total_tables).drop("more"), "contexts")
+        contexts = of_contexts.put(contexts.join(of("context"), "context", "left").withColumn(f"t{k + 1}", total_tables).drop("more"))
         at_root = at_root.join(of("word"), "word", "left").withColumn(f"a{k + 1}", total_tables).drop("more")
         schema = ", ".join(f"{c} {t}" for c, t in at_root.dtypes)
-        at_root = materialize(at_root.mapInArrow(_reseated_root(model, k), f"{schema}, r{k + 1} double"), "at-root")
+        at_root = of_words.put(at_root.mapInArrow(_reseated_root(model, k), f"{schema}, r{k + 1} double"))
 
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     seats = CONCENTRATION + F.coalesce("customers", F.lit(0))
@@ -250,23 +296,50 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED)
         / (CONCENTRATION + model.root_customers[k]) for k in kept
     ]
     parent = sum((F.col(f"w{k}") * p for k, p in zip(kept, chances, strict=True)), F.lit(0.0))
-    rest = pairs.where("n = 1").select("word", "context", F.lit(1 - model.discount).alias("own"))
-    own_chance = entries.select("word", "context", "own").unionByName(rest)
-    used = texts.mapInArrow(_pairs_of_texts, PAIRS + ", doc_id long").join(contexts, "context", "left").select(
-        "word", "context", "n", "doc_id", seats.alias("seats"), *weights
+    base = F.log10((F.coalesce("known", F.lit(0)) + 1.0) / (total + vocabulary + 1.0))
+    ends = (F.col("word") == int(END.view(np.int64))).cast("long")
+
+    # every pair of training texts, then every pair of all texts
+    key = F.xxhash64("word", "context").alias("key")
+    rest = pairs.where("n = 1").select("word", "context", "head", F.lit(1 - model.discount).alias("own"))
+    trained = _looked_up(
+        entries.select("word", "context", "head", "own").unionByName(rest),
+        at_root.select("word", "known", *[f"{c}{k}" for c in "ar" for k in kept], "head"), contexts.select("context", seats.alias("seats"), *weights, "head"),
+    ).select(key, F.log10(parent + F.col("own") / F.col("seats")).alias("score"), base.alias("base_score"), ends.alias("ends"))
+    only = lambda c, of: F.when(of, F.col(c)).alias(c)
+    used = texts.mapInArrow(_pairs_of_texts, PAIRS + ", doc_id long, tag long, held boolean").select(
+        key, "doc_id", "tag", "n", only("word", F.col("held")), only("context", F.col("held"))
     )
-    used = used.join(at_root, "word", "left").select("word", "context", "n", "doc_id", "seats", F.coalesce("known", F.lit(0)).alias("known"), parent.alias("p"))
-    used = used.join(own_chance, ["word", "context"], "left").withColumn("p", F.col("p") + zero("own") / F.col("seats"))
-    base = F.log10((F.col("known") + 1.0) / (total + vocabulary + 1.0))
-    scored = used.groupBy("doc_id").agg(
-        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("n") * base).alias("base_score"), F.sum(F.col("n") * F.log10("p")).alias("score"),
+    summed = lambda df, *keys: df.groupBy("doc_id", "tag", *keys).agg(
+        F.sum("n").alias("n"), F.sum("n_known").alias("n_known"), *[F.sum(c).alias(c) for c in ("base_score", "score", "ends")]
     )
+    times = lambda c: (F.col("n") * F.col(c)).alias(c)
+    new = F.col("score").isNull()
+    used = used.join(trained, "key", "left").select(
+        "doc_id", "tag", "n", F.when(new, 0).otherwise(F.col("n")).alias("n_known"), only("word", new), only("context", new),
+        times("base_score"), times("score"), times("ends"),
+    )
+    used = Written(spark, "used").put(summed(used, "word", "context"))
+    unseen = used.where("word is not null").select("doc_id", "tag", "n", "word", "context")
+    unseen = unseen.join(contexts.select("context", seats.alias("seats"), *weights), "context", "left")
+    # a context that training lacks has no seat taken: all is left to the parent
+    unseen = unseen.select(
+        "doc_id", "tag", "n", "word", *[F.coalesce(f"w{k}", F.lit(1 / averaged)).alias(f"w{k}") for k in kept]
+    ).join(at_root.drop("head"), "word", "left")
+    unseen = unseen.select(
+        "doc_id", "tag", "n", F.when(F.col("known") > 0, F.col("n")).otherwise(0).alias("n_known"),
+        (F.col("n") * base).alias("base_score"), (F.col("n") * F.log10(parent)).alias("score"), (F.col("n") * ends).alias("ends"),
+    )
+    scored = summed(used.where("word is null").drop("word", "context").unionByName(unseen))
+
+    # equal rows were summed: each has its part, one end token
     own = own_id()
-    return scored.select(
+    part = lambda c: F.expr(f"{c} div ends")
+    return numbered(docs, F.xxhash64("text").alias("tag")).join(scored, ["doc_id", "tag"]).select(
         own.alias("doc_id"), (F.crc32(F.coalesce(own.cast("string"), F.lit(""))) % 7 == 2).alias("held_out"),
-        "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
-        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+        part("n").alias("n_tokens"), part("n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base_score") / F.col("ends")).alias("base_score"), (F.col("score") / F.col("ends")).alias("score"),
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n")).alias("perplexity"),
     )
 
 

@@ -476,6 +476,30 @@ def test_rare_contexts_have_restaurants_of_their_own(make):
     assert checked > 150
 
 
+def test_rows_that_share_an_id_are_scored_on_their_own(make):
+    docs = [(i, f"red fish {i % 3} blue fish") for i in range(40)] + [
+        (None, "red fish"), (None, "blue fish 1 red"), (None, "red fish"), (7, "blue blue"), (7, "red sky"), (7, None), (7, ""),
+    ]
+    got = [r for r in pitman_yor.score_texts(make(docs).repartition(3)).collect()]
+    assert len(got) == len(docs)
+    assert sorted(r.n_tokens for r in got if r.doc_id is None) == [3, 3, 5]
+    assert sorted(r.n_tokens for r in got if r.doc_id == 7) == [1, 1, 3, 3, 6]
+    assert {r.train_tokens for r in got} == {sum(len((t or "").split()) + 1 for i, t in docs if pitman_yor.in_training(pitman_yor.NO_ID if i is None else i))}
+    twins = [r for r in got if r.doc_id is None and r.n_tokens == 3]
+    assert math.isclose(twins[0].score, twins[1].score) and math.isclose(twins[0].base_score, twins[1].base_score)
+
+
+def test_frequent_words_sent_and_rare_words_joined_score_alike(make, monkeypatch):
+    rnd = random.Random(9)
+    docs = [(i, " ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(40))) for i in range(120)]
+    runs = []
+    for head in (8, 1 << 16):
+        monkeypatch.setattr(pitman_yor, "HEAD", head)
+        runs.append({r.doc_id: r.score for r in pitman_yor.score_texts(make(docs).repartition(3)).collect()})
+    for i, _ in docs:
+        assert math.isclose(runs[0][i], runs[1][i], rel_tol=1e-9)
+
+
 def test_seating_follows_the_restaurant():
     """Mean number of tables against the exact recursion for one word."""
     d, theta, customers = 0.6, 2.0, 40
