@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,11 @@ from .minhash import _ODD, WordHashes, mix, word_list
 SWEEPS, AVERAGED = 4, 3
 GROUP = 64
 #: Words and contexts with at least one HEAD-th of the tokens, so HEAD at most, are sent to all tasks.
-HEAD = 1 << 16
+HEAD = 1 << 18
+#: Tokens that a task counts at once; texts stay whole.
+RUN_TOKENS = 1 << 18
+#: A partition of pairs up to this size may be joined as a hash table.
+HASHED_BYTES = "64m"
 CONCENTRATION = 1.0
 #: The end token's hash; a word's hash is never this one but by chance of 1 in 2^64.
 END = np.uint64(0x1D8E4E27C47D124F)
@@ -60,9 +65,9 @@ def in_training(doc_id: int) -> bool:
     return zlib.crc32(b"" if doc_id == NO_ID else str(doc_id).encode()) % 7 != 2
 
 
-def _tokens(batch: pa.RecordBatch, known: WordHashes, only_training: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The row and hash of every token of a batch, end tokens included, text after text."""
-    rows, hashes, sizes = [], [np.empty(0, np.uint64)], []
+def _tokens(batch: pa.RecordBatch, known: WordHashes, only_training: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The row and hash of every token of a batch, end tokens included, text after text, in runs of whole texts."""
+    rows, hashes, sizes, held = [], [], [], 0
     for row, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
         if only_training and not in_training(doc_id):
             continue
@@ -71,7 +76,12 @@ def _tokens(batch: pa.RecordBatch, known: WordHashes, only_training: bool) -> tu
         hashes.append(np.array([END]))
         rows.append(row)
         sizes.append(len(words) + 1)
-    return np.repeat(np.array(rows, np.int64), sizes), np.concatenate(hashes)
+        held += len(words) + 1
+        if held >= RUN_TOKENS:
+            yield np.repeat(np.array(rows, np.int64), sizes), np.concatenate(hashes)
+            rows, hashes, sizes, held = [], [], [], 0
+    if rows:
+        yield np.repeat(np.array(rows, np.int64), sizes), np.concatenate(hashes)
 
 
 def _contexts(words: np.ndarray) -> np.ndarray:
@@ -82,21 +92,22 @@ def _contexts(words: np.ndarray) -> np.ndarray:
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in batches:
-        words = _tokens(batch, known, True)[1]
-        yield pa.RecordBatch.from_arrays(_counted(words, _contexts(words), np.zeros(len(words), np.int64))[:3], ["word", "context", "n"])
+        for rows, words in _tokens(batch, known, True):
+            columns = _counted(words, _contexts(words), np.zeros_like(rows))
+            yield pa.RecordBatch.from_arrays(columns[:3], ["word", "context", "n"])
 
 
 def _pairs_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Who uses the word after what, how often, and whether the text is held out."""
     known = WordHashes()
     for batch in batches:
-        rows, words = _tokens(batch, known, False)
-        word, context, n, row = _counted(words, _contexts(words), rows)
         held = pa.array([not in_training(i) for i in batch.column("doc_id").to_pylist()], pa.bool_())
-        yield pa.RecordBatch.from_arrays(
-            [word, context, n, *[c.take(row) for c in (batch.column("doc_id"), batch.column("tag"), held)]],
-            ["word", "context", "n", "doc_id", "tag", "held"],
-        )
+        for rows, words in _tokens(batch, known, False):
+            word, context, n, row = _counted(words, _contexts(words), rows)
+            yield pa.RecordBatch.from_arrays(
+                [word, context, n, *[c.take(row) for c in (batch.column("doc_id"), batch.column("tag"), held)]],
+                ["word", "context", "n", "doc_id", "tag", "held"],
+            )
 
 
 def _counted(words: np.ndarray, context: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
@@ -238,12 +249,24 @@ def _looked_up(rows: DataFrame, words: DataFrame, contexts: DataFrame) -> DataFr
     return near.unionByName(far)
 
 
+@contextmanager
+def _hash_tables(spark: SparkSession):
+    """Lets Spark join by hash tables in place of sorting where it finds all partitions of a side small enough."""
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, HASHED_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     texts = numbered(docs, "text", F.xxhash64("text").alias("tag"))
     seated, of_words, of_contexts = (Written(spark, tag) for tag in ("seated", "at-root", "contexts"))
-    # a batch counts its pairs before they are dealt, so that a pair is met once per batch
+    # a task counts the pairs of each run before they are dealt
     pairs = texts.mapInArrow(_pair_counts, PAIRS).repartition("word", "context")
     pairs = Written(spark, "pairs").put(pairs.groupBy("word", "context").agg(F.sum("n").alias("n")))
     single, double = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
@@ -319,7 +342,8 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED)
         "doc_id", "tag", "n", F.when(new, 0).otherwise(F.col("n")).alias("n_known"), only("word", new), only("context", new),
         times("base_score"), times("score"), times("ends"),
     )
-    used = Written(spark, "used").put(summed(used, "word", "context"))
+    with _hash_tables(spark):
+        used = Written(spark, "used").put(summed(used, "word", "context"))
     unseen = used.where("word is not null").select("doc_id", "tag", "n", "word", "context")
     unseen = unseen.join(contexts.select("context", seats.alias("seats"), *weights), "context", "left")
     # a context that training lacks has no seat taken: all is left to the parent
