@@ -51,8 +51,8 @@ SWEEPS, AVERAGED = 4, 3
 GROUP = 64
 #: Words and contexts with at least one HEAD-th of the tokens, so HEAD at most, are sent to all tasks.
 HEAD = 1 << 18
-#: Tokens that a task counts at once; texts stay whole.
-RUN_TOKENS = 1 << 18
+#: Tokens that a task counts at once, of training and of each text; texts stay whole.
+COUNT_TOKENS, TEXT_TOKENS = 1 << 21, 1 << 18
 #: A partition of pairs up to this size may be joined as a hash table.
 HASHED_BYTES = "64m"
 CONCENTRATION = 1.0
@@ -65,7 +65,7 @@ def in_training(doc_id: int) -> bool:
     return zlib.crc32(b"" if doc_id == NO_ID else str(doc_id).encode()) % 7 != 2
 
 
-def _tokens(batch: pa.RecordBatch, known: WordHashes, only_training: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _tokens(batch: pa.RecordBatch, known: WordHashes, only_training: bool, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The row and hash of every token of a batch, end tokens included, text after text, in runs of whole texts."""
     rows, hashes, sizes, held = [], [], [], 0
     for row, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
@@ -77,7 +77,7 @@ def _tokens(batch: pa.RecordBatch, known: WordHashes, only_training: bool) -> It
         rows.append(row)
         sizes.append(len(words) + 1)
         held += len(words) + 1
-        if held >= RUN_TOKENS:
+        if held >= at_once:
             yield np.repeat(np.array(rows, np.int64), sizes), np.concatenate(hashes)
             rows, hashes, sizes, held = [], [], [], 0
     if rows:
@@ -92,7 +92,7 @@ def _contexts(words: np.ndarray) -> np.ndarray:
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in batches:
-        for rows, words in _tokens(batch, known, True):
+        for rows, words in _tokens(batch, known, True, COUNT_TOKENS):
             columns = _counted(words, _contexts(words), np.zeros_like(rows))
             yield pa.RecordBatch.from_arrays(columns[:3], ["word", "context", "n"])
 
@@ -102,7 +102,7 @@ def _pairs_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     known = WordHashes()
     for batch in batches:
         held = pa.array([not in_training(i) for i in batch.column("doc_id").to_pylist()], pa.bool_())
-        for rows, words in _tokens(batch, known, False):
+        for rows, words in _tokens(batch, known, False, TEXT_TOKENS):
             word, context, n, row = _counted(words, _contexts(words), rows)
             yield pa.RecordBatch.from_arrays(
                 [word, context, n, *[c.take(row) for c in (batch.column("doc_id"), batch.column("tag"), held)]],
@@ -223,6 +223,20 @@ def _reseated_root(model: Model, k: int):
     return run
 
 
+@contextmanager
+def _settings(spark: SparkSession, **values: str):
+    """Sets settings below `spark.sql` for one write."""
+    names = {f"spark.sql.{k.replace('__', '.')}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Written:
     """A table in the shared folder that the next version takes the place of."""
 
@@ -231,7 +245,9 @@ class Written:
 
     def put(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark, self.tag)
-        df.write.parquet(path)
+        # the shuffles of a written table are needed no more; a side in small partitions is joined by a hash table
+        with _settings(self.spark, classic__shuffleDependency__fileCleanup__enabled="true", adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED_BYTES):
+            df.write.parquet(path)
         if self.path:
             remove(self.spark, self.path)
         self.path = path
@@ -249,18 +265,6 @@ def _looked_up(rows: DataFrame, words: DataFrame, contexts: DataFrame) -> DataFr
     return near.unionByName(far)
 
 
-@contextmanager
-def _hash_tables(spark: SparkSession):
-    """Lets Spark join by hash tables in place of sorting where it finds all partitions of a side small enough."""
-    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, HASHED_BYTES)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of `docs` (doc_id, text)."""
     spark = docs.sparkSession
@@ -342,8 +346,7 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED)
         "doc_id", "tag", "n", F.when(new, 0).otherwise(F.col("n")).alias("n_known"), only("word", new), only("context", new),
         times("base_score"), times("score"), times("ends"),
     )
-    with _hash_tables(spark):
-        used = Written(spark, "used").put(summed(used, "word", "context"))
+    used = Written(spark, "used").put(summed(used, "word", "context"))
     unseen = used.where("word is not null").select("doc_id", "tag", "n", "word", "context")
     unseen = unseen.join(contexts.select("context", seats.alias("seats"), *weights), "context", "left")
     # a context that training lacks has no seat taken: all is left to the parent
