@@ -323,16 +323,20 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED)
         / (CONCENTRATION + model.root_customers[k]) for k in kept
     ]
     parent = sum((F.col(f"w{k}") * p for k, p in zip(kept, chances, strict=True)), F.lit(0.0))
-    base = F.log10((F.coalesce("known", F.lit(0)) + 1.0) / (total + vocabulary + 1.0))
-    ends = (F.col("word") == int(END.view(np.int64))).cast("long")
+    base = lambda known: F.log10((F.coalesce(known, F.lit(0)) + 1.0) / (total + vocabulary + 1.0))
+    at_end = F.col("word") == int(END.view(np.int64))
 
-    # every pair of training texts, then every pair of all texts
+    # every pair of training texts, in rows that compress: a score of 24 bits, the end token's count below zero;
+    # then every pair of all texts
     key = F.xxhash64("word", "context").alias("key")
     rest = pairs.where("n = 1").select("word", "context", "head", F.lit(1 - model.discount).alias("own"))
     trained = _looked_up(
         entries.select("word", "context", "head", "own").unionByName(rest),
         at_root.select("word", "known", *[f"{c}{k}" for c in "ar" for k in kept], "head"), contexts.select("context", seats.alias("seats"), *weights, "head"),
-    ).select(key, F.log10(parent + F.col("own") / F.col("seats")).alias("score"), base.alias("base_score"), ends.alias("ends"))
+    ).select(
+        key, F.log10(parent + F.col("own") / F.col("seats")).cast("float").alias("score"),
+        F.when(at_end, -F.col("known")).otherwise(F.col("known")).alias("known"),
+    )
     only = lambda c, of: F.when(of, F.col(c)).alias(c)
     used = texts.mapInArrow(_pairs_of_texts, PAIRS + ", doc_id long, tag long, held boolean").select(
         key, "doc_id", "tag", "n", only("word", F.col("held")), only("context", F.col("held"))
@@ -340,11 +344,12 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED)
     summed = lambda df, *keys: df.groupBy("doc_id", "tag", *keys).agg(
         F.sum("n").alias("n"), F.sum("n_known").alias("n_known"), *[F.sum(c).alias(c) for c in ("base_score", "score", "ends")]
     )
-    times = lambda c: (F.col("n") * F.col(c)).alias(c)
+    times = lambda of, c: (F.col("n") * of).alias(c)
     new = F.col("score").isNull()
     used = used.join(trained, "key", "left").select(
         "doc_id", "tag", "n", F.when(new, 0).otherwise(F.col("n")).alias("n_known"), only("word", new), only("context", new),
-        times("base_score"), times("score"), times("ends"),
+        times(F.when(~new, base(F.abs("known"))), "base_score"), times(F.col("score").cast("double"), "score"),
+        times((F.col("known") < 0).cast("long"), "ends"),
     )
     used = Written(spark, "used").put(summed(used, "word", "context"))
     unseen = used.where("word is not null").select("doc_id", "tag", "n", "word", "context")
@@ -355,7 +360,7 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED)
     ).join(at_root.drop("head"), "word", "left")
     unseen = unseen.select(
         "doc_id", "tag", "n", F.when(F.col("known") > 0, F.col("n")).otherwise(0).alias("n_known"),
-        (F.col("n") * base).alias("base_score"), (F.col("n") * F.log10(parent)).alias("score"), (F.col("n") * ends).alias("ends"),
+        times(base(F.col("known")), "base_score"), times(F.log10(parent), "score"), times(at_end.cast("long"), "ends"),
     )
     scored = summed(used.where("word is null").drop("word", "context").unionByName(unseen))
 
