@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+import __spark_entry__ as entry
 from siftline.sources import csv as source
 
 
@@ -162,3 +163,23 @@ def test_parts_in_order_are_one_file(spark, tmp_path, n):
         assert len(files) == 5
         again = source.read_csv(spark, str(tmp_path / "o" / "part-00000*"))
         assert again.columns == ["na,me", "w"]
+
+
+@pytest.fixture
+def orders_late(spark, tmp_path):
+    """A folder with orders whose only row group lies in none of the scan's first splits."""
+    rows = spark.range(1, 3001).selectExpr(
+        "id as o_orderkey", "concat(id % 5, '-', md5(string(id))) as o_orderpriority", "'F' as o_orderstatus", "double(id) as o_totalprice"
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    confs = {"spark.sql.files.minPartitionNum": "3", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "20000"}
+    for key, value in confs.items():
+        spark.conf.set(key, value)
+    assert min(r[0] for r in spark.read.parquet(str(tmp_path / "orders.parquet")).selectExpr("spark_partition_id()").distinct().collect()) > 0
+    yield str(tmp_path)
+    for key in confs:
+        spark.conf.unset(key)
+
+
+def test_files_to_validate_all_have_rows(spark, orders_late):
+    assert [tuple(r) for r in entry.validate_load(spark, orders_late).collect()] == [(True, 3000)]
