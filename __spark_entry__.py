@@ -184,7 +184,7 @@ def _csv_texts(df: DataFrame, path: str, head: str, lines: str) -> None:
     """Append CSV files to a folder: `head` before the first line of each."""
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     line = F.expr(lines)
-    df.select(F.when(first, F.concat(F.lit(head), line)).otherwise(line).alias("value")).write.mode("append").option(
+    _with_rows(df).select(F.when(first, F.concat(F.lit(head), line)).otherwise(line).alias("value")).write.mode("append").option(
         "lineSep", "\r\n"
     ).text(path)
 

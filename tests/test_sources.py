@@ -183,3 +183,8 @@ def orders_late(spark, tmp_path):
 
 def test_files_to_validate_all_have_rows(spark, orders_late):
     assert [tuple(r) for r in entry.validate_load(spark, orders_late).collect()] == [(True, 3000)]
+
+
+def test_good_files_beside_bad_ones_all_have_rows(spark, orders_late):
+    got = sorted((r.kind, r.ok, r.row_count) for r in entry.validate_load_bad_files(spark, orders_late).collect())
+    assert got == [("bare.csv", False, 0), ("blank.csv", False, 0), ("good.csv", True, 3000), ("open.csv", False, 1), ("other.txt", False, 1)]
