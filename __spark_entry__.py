@@ -122,7 +122,7 @@ def read_csv_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_csv_multiline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with line breaks in their texts, written as CSV and read in splits of 1 MB."""
     path = new_path(spark, "multiline")
-    csv_source.write_csv(_table(spark, sf_dir, "documents").coalesce(2), path, ["doc_id", "text", "lang"], sep_line=False)
+    csv_source.write_csv(_table(spark, sf_dir, "documents"), path, ["doc_id", "text", "lang"], sep_line=False)
     key, size = "spark.sql.files.maxPartitionBytes", 1 << 20
     before = spark.conf.get(key)
     spark.conf.set(key, size)

@@ -188,3 +188,19 @@ def test_files_to_validate_all_have_rows(spark, orders_late):
 def test_good_files_beside_bad_ones_all_have_rows(spark, orders_late):
     got = sorted((r.kind, r.ok, r.row_count) for r in entry.validate_load_bad_files(spark, orders_late).collect())
     assert got == [("bare.csv", False, 0), ("blank.csv", False, 0), ("good.csv", True, 3000), ("open.csv", False, 1), ("other.txt", False, 1)]
+
+
+def test_documents_are_written_by_a_task_per_split(spark, tmp_path, monkeypatch):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('a\nb', md5(string(id))) as text", "'en' as lang")
+    docs.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    parts, write = [], source.write_csv
+    monkeypatch.setattr(source, "write_csv", lambda df, *a, **k: (parts.append(df.rdd.getNumPartitions()), write(df, *a, **k)))
+    confs = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "20000"}
+    for key, value in confs.items():
+        spark.conf.set(key, value)
+    try:
+        assert entry.read_csv_multiline_split(spark, str(tmp_path)).count() == 4000
+    finally:
+        for key in confs:
+            spark.conf.unset(key)
+    assert parts[0] >= 6
