@@ -15,7 +15,10 @@ import csv as header_csv
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,10 @@ GUESS_RECORDS = 10
 HEAD_LINES = 64
 #: Files, or broken splits, up to which a table with a row for each is sent to all tasks.
 SMALL_ROWS = 200_000
+#: Bytes of a range of an ordered export that one task sorts, with what a row takes beside its text, and of a block of its lines.
+RANGE_BYTES, ROW_BYTES, BLOCK_BYTES = 64 << 20, 64, 1 << 20
+#: Ranges a part is made of at least, so that parts are even.
+PART_RANGES = 16
 
 
 def normalize_columns(names: list[str]) -> list[str]:
@@ -410,12 +417,43 @@ def write_csv(
     out.write.mode(mode).option("lineSep", "\r\n").text(path)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring lines as one text, at most a batch or BLOCK_BYTES and a line long."""
+    for batch in batches:
+        if batch.num_rows:
+            lines = batch.column(0).cast(pa.string())
+            block = np.cumsum(pc.binary_length(lines).to_numpy(), dtype=np.int64) // BLOCK_BYTES
+            cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(lines)).astype(np.int32)
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), lines), "\r\n")
+            yield pa.RecordBatch.from_arrays([texts, pa.array(np.diff(cuts), pa.int64())], ["value", "n"])
+
+
+def _in_parts(ordered: DataFrame, at: str, keys: list[Column], line: str, parts: int) -> DataFrame:
+    """Blocks of lines, a partition for each part, in order.
+
+    Rows are sorted in ranges of a bounded size, as many as the input needs, and written as blocks. A part is some
+    neighbouring ranges; its task only puts their blocks in order.
+    """
+    size = ordered.agg(F.sum(F.octet_length(line) + ROW_BYTES)).first()[0]
+    ranges = max(PART_RANGES * parts, -(-size // RANGE_BYTES))
+    lines = ordered.repartitionByRange(ranges, F.asc_nulls_first(at)).sortWithinPartitions(*keys).select(line)
+    placed = lines.mapInArrow(_blocks, "value string, n long").withColumn("_place", F.monotonically_increasing_id())
+    blocks = materialize(placed.withColumn("_range", F.shiftright("_place", 33)), "csv-blocks")
+    per_range = blocks.groupBy("_range").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    total = F.sum("n").over(Window.partitionBy())
+    part = F.floor(before * parts / total).cast("int").alias("_part")
+    dealt = blocks.join(F.broadcast(per_range.select("_range", part)), "_range").repartitionById(parts, "_part")
+    return dealt.sortWithinPartitions("_place").select("value")
+
+
 def write_csv_in_order(
     df: DataFrame, path: str, order_by: str, columns: list[str] | None = None, bom: bool = True, sep_line: bool = True, parts: int | None = None
 ) -> DataFrame:
     """Spreadsheet CSV as parts that, put together by name, are one file in row order.
 
-    Rows are dealt by ranges of `order_by` and sorted inside a part; rows that tie are next to each other. The first part alone
+    Rows are dealt by ranges of `order_by` and sorted inside a range; rows that tie are next to each other. Where `parts` are
+    named, a range is no part but has a bounded size: see `_in_parts`. The first part alone
     starts with the byte-order mark, the `sep=,` line and the header. The last line ends with CRLF too.
 
     Returns the manifest (part, file, offset, length): at which byte of the one file each part starts, so
@@ -433,8 +471,11 @@ def write_csv_in_order(
     if lines.where(F.col(at).isNull()).limit(1).count():
         first = first.withColumn(at, F.lit(None).cast(lines.schema[at].dataType))
     whole = lines.unionByName(first)
-    dealt = whole.repartitionByRange(parts, F.asc_nulls_first(at)) if parts else whole.repartitionByRange(F.asc_nulls_first(at))
-    dealt.sortWithinPartitions(*keys).select(line).write.option("lineSep", "\r\n").text(path)
+    if parts:
+        out = _in_parts(whole, at, keys, line, parts)
+    else:
+        out = whole.repartitionByRange(F.asc_nulls_first(at)).sortWithinPartitions(*keys).select(line)
+    out.write.option("lineSep", "\r\n").text(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     files = files.select(file_uri(F.col("_metadata.file_path")).alias("file"), "length")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per part

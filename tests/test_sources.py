@@ -204,3 +204,16 @@ def test_documents_are_written_by_a_task_per_split(spark, tmp_path, monkeypatch)
         for key in confs:
             spark.conf.unset(key)
     assert parts[0] >= 6
+
+
+def test_parts_in_order_are_sorted_in_small_ranges(spark, tmp_path, monkeypatch):
+    written, write = {}, source.materialize
+    monkeypatch.setattr(source, "materialize", lambda df, tag: written.setdefault(tag, write(df, tag)))
+    monkeypatch.setattr(source, "RANGE_BYTES", 2000, raising=False)
+    monkeypatch.setattr(source, "BLOCK_BYTES", 100, raising=False)
+    df = spark.range(3000).selectExpr("id as row", "concat('v', id) as v").repartition(5)
+    manifest = source.write_csv_in_order(df, str(tmp_path / "o"), "row", parts=2)
+    data = b"".join(f.read_bytes() for f in sorted((tmp_path / "o").glob("part-*")))
+    assert data.decode().split("\r\n")[2:] == [f"v{i}" for i in range(3000)] + [""] and manifest.count() == 2
+    sizes = [r["n"] for r in written["csv-blocks"].groupBy("_range").agg({"n": "sum"}).toDF("_range", "n").collect()]
+    assert sum(sizes) == 3001 and max(sizes) < 200
