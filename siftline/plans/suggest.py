@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as rules
 from ..operators.rowid import data_columns, row_digest, text_columns
+from ..session import materialize
 from .recipe import Step, step_of
 
 # What a suggestion may ask for, and its limits.
@@ -68,8 +69,11 @@ def json_text(reply: Column) -> Column:
 
 def _parsed(replies: DataFrame) -> DataFrame:
     """Add the parsed reply. A variant keeps each field's own type, which decides
-    whether it is used: a title that is a number is no title."""
-    return replies.withColumn("v", F.try_parse_json(json_text(F.col("reply"))))
+    whether it is used: a title that is a number is no title.
+
+    A reply costs far more to parse than to read, so a table of few splits is dealt to all tasks first."""
+    dealt = replies.repartition(int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.withColumn("v", F.try_parse_json(json_text(F.col("reply"))))
 
 
 def _text_field(item: str, field: str) -> Column:
@@ -272,6 +276,7 @@ def accepted_steps(stored: DataFrame, current: DataFrame, order: str = "id") ->
     `stored` has mapped suggestions with the fingerprint and content they were made for. Each
     accepted row becomes a step, so they are as few as a person accepts.
     """
+    stored, current = materialize(stored, "stored"), materialize(current, "current")  # each is read several times
     usable = fresh_only(stored, current)
     if stored.count() != usable.count():
         raise ValueError("the data or its recipe has changed since these suggestions were made")
