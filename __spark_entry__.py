@@ -430,7 +430,8 @@ def apply_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first suggestion of each kind, accepted while it is fresh and applied to the data."""
     df = _messy(spark, sf_dir)
     now = suggest.fingerprint(df, "messy_orders", "2026-01-01T00:00:00Z", [], ROW).select("dataset", "fingerprint", "content")
-    mapped = suggest.map_suggestions(parse_suggestions(spark, sf_dir), _profiler(spark, sf_dir).profile)
+    now = materialize(now, "now")
+    mapped = materialize(suggest.map_suggestions(parse_suggestions(spark, sf_dir), _profiler(spark, sf_dir).profile), "mapped")
     first = mapped.where("step_type is not null").groupBy("step_type").agg(F.min("reply_id").alias("reply_id"))
     stored = mapped.join(first, ["step_type", "reply_id"]).join(now, "dataset")
     return recipes.apply_recipe(df, suggest.accepted_steps(stored, now, "reply_id"), ROW)
