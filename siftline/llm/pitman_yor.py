@@ -7,29 +7,31 @@ text stands the end token. Discounts come from counts of counts, n1 / (n1 + 2 n2
 Seating: the customers of a word are reseated given the parent's predictive probability and the
 restaurant's number of tables, both of the sweep before; each opens a table or joins one, as the
 Chinese restaurant process says. The tables of the children are the root's customers, seated in
-the same way. Counts of (word, context), words and contexts are three written tables; a sweep joins
-the first with the other two and sums its tables into new ones, so that the driver holds no
-restaurant and a word or context with any share of the pairs can be split. A single customer
-has one table for good, so pairs met once are only counted. Past GROUP customers they sit down in
-groups of a sixteenth of those seated, which have one probability; a group's new tables are their
-expected number rounded up or down at random, right in the mean and narrower in spread than single
-customers would be. Random numbers are hashes of word, context, sweep and customer, so a sweep that a
-lost executor repeats comes out the same.
+the same way. Counts of (word, context) and of words are written tables; a sweep joins the first
+with the other by word and by context and sums its tables into a new one, so that the driver holds
+no restaurant and a word or context with any share of the pairs can be split. A single customer
+has one table for good, so pairs met once are only counted, and words met once take no part in sweeps.
+Past GROUP customers they sit down in groups of a sixteenth of those seated, which have one probability; a
+group's new tables are their expected number rounded up or down at random, right in the mean and narrower
+in spread than single customers would be. Random numbers are hashes of word, context, sweep and customer,
+so a sweep that a lost executor repeats comes out the same.
 
 Most pairs are of words that are common both as word and as context: at most HEAD words have one HEAD-th of
 the tokens, so these are sent to all tasks, and only pairs with a rarer word or context are joined by
 shuffles. Tables that a sweep has replaced are removed.
 
-The score of a text is the sum of log10 of the predictive probabilities, each averaged over the
-last sweeps. They are worked out once for each pair of the training texts and joined with the pairs
-of all texts by a 64-bit hash of the pair (of 10^9 pairs, one shares its hash with another with a
-chance of 3 %). Only held-out texts can have pairs that training lacks: these are joined with
-contexts and words afterwards.
+Texts are tokenized once, into written runs of about RUN_TOKENS tokens. The distinct pairs of each run
+are dealt into buckets by a 64-bit hash of the pair (of 10^9 pairs, one shares its hash with another
+with a chance of 3 %), about one for BUCKET_TOKENS tokens; a bucket sums the pairs' counts and notes for each
+run which of its pairs was meant. After the sweeps it answers every run with what the restaurants have of
+these pairs, in the order of the run; words are looked up likewise. The score of a text is the sum of
+log10 of the predictive probabilities, each averaged over the last sweeps, worked out per run from these
+answers. Pairs and runs are handled in ROUNDS, whose shuffles are removed before the next, which bounds disk.
 
 Edge cases: a null or empty text is its end token; every row is scored on its own, whatever doc_id it
-shares (rows are told apart by doc_id and a hash of the text; equal rows get equal scores); a null
-doc_id stays one; words of held-out texts that training lacks get the unknown word's probability;
-without training rows the base stands alone; an empty table gives no rows; extra columns are ignored.
+shares; a null doc_id stays one; words of held-out texts that training lacks get the unknown word's
+probability; without training rows the base stands alone; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +54,10 @@ SWEEPS, AVERAGED = 4, 3
 GROUP = 64
 #: Words and contexts with at least one HEAD-th of the tokens, so HEAD at most, are sent to all tasks.
 HEAD = 1 << 18
-#: Tokens that a task counts at once, of training and of each text; texts stay whole.
-COUNT_TOKENS, TEXT_TOKENS = 1 << 21, 1 << 18
+#: Tokens of a run of texts, which stay whole; tokens for which there is one bucket of pairs and one of words.
+RUN_TOKENS, BUCKET_TOKENS = 1 << 21, 1 << 20
+#: Parts in which the pairs are counted, and the runs scored.
+ROUNDS = 2
 #: A partition of pairs up to this size may be joined as a hash table.
 HASHED_BYTES = "64m"
 CONCENTRATION = 1.0
@@ -65,61 +70,292 @@ def in_training(doc_id: int) -> bool:
     return zlib.crc32(b"" if doc_id == NO_ID else str(doc_id).encode()) % 7 != 2
 
 
-def _tokens(batch: pa.RecordBatch, known: WordHashes, only_training: bool, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The row and hash of every token of a batch, end tokens included, text after text, in runs of whole texts."""
-    rows, hashes, sizes, held = [], [], [], 0
-    for row, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
-        if only_training and not in_training(doc_id):
-            continue
-        words = word_list(text.as_py())
-        hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        hashes.append(np.array([END]))
-        rows.append(row)
-        sizes.append(len(words) + 1)
-        held += len(words) + 1
-        if held >= at_once:
-            yield np.repeat(np.array(rows, np.int64), sizes), np.concatenate(hashes)
-            rows, hashes, sizes, held = [], [], [], 0
-    if rows:
-        yield np.repeat(np.array(rows, np.int64), sizes), np.concatenate(hashes)
+RUNS = "run long, tokens long, doc_id array<long>, size array<int>, token array<int>, vocabulary array<long>"
+COUNTED = (
+    "bucket int, run long, at array<int>, word array<long>, context array<long>, n array<long>, "
+    "id array<long>, known array<long>, as_word array<int>, words array<int>, as_context array<int>, contexts array<int>"
+)
 
 
-def _contexts(words: np.ndarray) -> np.ndarray:
-    """Each token's restaurant: the word before it."""
-    return np.concatenate([[END], words[:-1]]).astype(np.uint64)[: len(words)]  # texts follow each other and end in END
+class _Places(dict):
+    """Words in the order of their first use."""
 
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of whole texts: their distinct words, the end token first, and the place of every token's word among them."""
     known = WordHashes()
+    number = TaskContext.get().partitionId() << 32
+
+    def run(ids: list[int], tokens: list[np.ndarray], places: _Places) -> pa.RecordBatch:
+        words = iter(places)
+        next(words)
+        vocabulary = np.concatenate([[END], np.fromiter(map(known.__getitem__, words), np.uint64, len(places) - 1)])
+        columns = [np.array(ids, np.int64), np.array([len(t) for t in tokens], np.int32), np.concatenate(tokens), vocabulary.view(np.int64)]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(columns[2])]), *lists], ["run", "tokens", "doc_id", "size", "token", "vocabulary"])
+
+    ids, tokens, places, held = [], [], _Places({b"": 0}), 0
     for batch in batches:
-        for rows, words in _tokens(batch, known, True, COUNT_TOKENS):
-            columns = _counted(words, _contexts(words), np.zeros_like(rows))
-            yield pa.RecordBatch.from_arrays(columns[:3], ["word", "context", "n"])
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            words = word_list(text.as_py())
+            words.append(b"")
+            ids.append(doc_id)
+            tokens.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+            held += len(words)
+            if held >= RUN_TOKENS:
+                yield run(ids, tokens, places)
+                ids, tokens, places, held = [], [], _Places({b"": 0}), 0
+                number += 1
+    if ids:
+        yield run(ids, tokens, places)
 
 
-def _pairs_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Who uses the word after what, how often, and whether the text is held out."""
-    known = WordHashes()
+def _list(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The values of all lists of a column, one after another; hashes as the unsigned numbers they are."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(word ^ mix(context + _ODD[1]))
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+
+
+def _dealt(bucket: np.ndarray, run: int | None, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket with the values of its items; bucket: ascending, columns: one value or more for each item."""
+    new = _changes(bucket)
+    ends = np.append(new, len(bucket))
+    lists = [pa.ListArray.from_arrays(pa.array(ends * (len(c) // max(1, len(bucket))), pa.int32()), pa.array(c)) for c in columns.values()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[new].astype(np.int32)), pa.array([run] * len(new), pa.int64()), *lists], ["bucket", "run", *columns]
+    )
+
+
+class _Run:
+    """A run's tokens, and its distinct pairs dealt into buckets."""
+
+    def __init__(self, row: pa.RecordBatch | pa.Table):
+        self.ids, self.size = _list(row.column("doc_id")), _list(row.column("size"))
+        self.token, self.vocabulary = _list(row.column("token")).astype(np.int64), _list(row.column("vocabulary")).view(np.uint64)
+
+    def codes(self) -> np.ndarray:
+        """Each token's word and the word before it; texts follow each other and end in the end token, word 0."""
+        return self.token * len(self.vocabulary) + np.concatenate([[0], self.token[:-1]])
+
+    def words_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return codes // len(self.vocabulary), codes % len(self.vocabulary)
+
+    def dealt_pairs(self, word: np.ndarray, context: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order in which pairs are dealt, and the bucket of each."""
+        bucket = _bucket(_pair_key(self.vocabulary[word], self.vocabulary[context]), buckets)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
+
+    def dealt_words(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        bucket = _bucket(self.vocabulary, buckets)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Run]]:
     for batch in batches:
-        held = pa.array([not in_training(i) for i in batch.column("doc_id").to_pylist()], pa.bool_())
-        for rows, words in _tokens(batch, known, False, TEXT_TOKENS):
-            word, context, n, row = _counted(words, _contexts(words), rows)
-            yield pa.RecordBatch.from_arrays(
-                [word, context, n, *[c.take(row) for c in (batch.column("doc_id"), batch.column("tag"), held)]],
-                ["word", "context", "n", "doc_id", "tag", "held"],
-            )
-
-
-def _counted(words: np.ndarray, context: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
-    """The distinct (word, context, row) with their counts, row after row."""
-    order = np.argsort(mix(words ^ mix(context + _ODD[1]) ^ mix(rows.astype(np.uint64) * _ODD[0])))
-    keys = [k[order] for k in (words, context, rows)]
-    changed = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    new = np.flatnonzero(np.concatenate([[True], changed])[: len(words)])
-    n = np.diff(new, append=len(words))
-    by_row = np.argsort(order[new])
-    word, context, row = [k[new[by_row]] for k in keys]
-    return [pa.array(word.view(np.int64)), pa.array(context.view(np.int64)), pa.array(n[by_row]), pa.array(row)]
+        for i, run in enumerate(batch.column("run").to_pylist()):
+            yield run, _Run(batch.slice(i, 1))
+
+
+def _pairs_of_runs(buckets: int, turn: int):
+    """The distinct pairs of all texts of a run, and how often its training texts have them, for the buckets of one round."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, run in _runs(batches):
+            held = np.repeat([not in_training(i) for i in run.ids.tolist()], run.size)
+            codes = np.sort(run.codes() << 1 | held)
+            new = _changes(codes >> 1)
+            n = np.add.reduceat(1 - (codes & 1), new).astype(np.int32)
+            word, context = run.words_of(codes[new] >> 1)
+            order, bucket = run.dealt_pairs(word, context, buckets)
+            mine = bucket % ROUNDS == turn
+            order, bucket = order[mine], bucket[mine]
+            hashes = [run.vocabulary[x[order]].view(np.int64) for x in (word, context)]
+            if len(order):
+                yield _dealt(bucket, number, word=hashes[0], context=hashes[1], n=n[order])
+
+    return deal
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """A bucket's pairs, counted.
+
+    For each run, what its pairs are: 0 unknown to training, 1 met once, from 2 on the place among those met
+    more often, in the order of their hashes. Then a row with the latter and with every word's share in the counts.
+    """
+    word, context = (_list(rows.column(c)).view(np.uint64) for c in ("word", "context"))
+    key = _pair_key(word, context)
+    order = np.argsort(key)
+    new = _changes(key[order])
+    n = np.add.reduceat(_list(rows.column("n")).astype(np.int64)[order], new)
+    often = n > 1
+    what = np.where(often, np.cumsum(often) + 1, n).astype(np.int32)
+    at = np.empty(len(key), np.int32)
+    at[order] = np.repeat(what, np.diff(new, append=len(key)))
+    sizes = np.cumsum([0, *rows.column("word").combine_chunks().value_lengths().to_pylist()])
+    runs, count = rows.column("run").combine_chunks(), rows.num_rows
+
+    first = order[new]
+    word, context, met = word[first], context[first], n > 0
+    ids, place = np.unique(np.concatenate([word[met], context[met]]), return_inverse=True)
+    place, n_met = place.reshape(2, -1), n[met]
+    sums = lambda side, weights=None: np.bincount(place[side], weights, len(ids))
+    once = n_met == 1
+    last = {
+        "word": word[often].view(np.int64), "context": context[often].view(np.int64), "n": n[often],
+        "id": ids.view(np.int64), "known": sums(0, n_met).astype(np.int64), "as_word": sums(0, once).astype(np.int32),
+        "words": sums(0).astype(np.int32), "as_context": sums(1, once).astype(np.int32), "contexts": sums(1).astype(np.int32),
+    }
+    columns = {
+        "bucket": pa.array([rows.column("bucket")[0].as_py()] * (count + 1), pa.int32()),
+        "run": pa.concat_arrays([runs, pa.nulls(1, pa.int64())]),
+        "at": pa.ListArray.from_arrays(pa.array([*sizes, sizes[-1]], pa.int32()), pa.array(at)),
+    }
+    for name, values in last.items():
+        columns[name] = pa.ListArray.from_arrays(pa.array([0] * (count + 1) + [len(values)], pa.int32()), pa.array(values))
+    return pa.table(columns)
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each place of the lists."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([c.flatten() for c in batch.columns], batch.schema.names)
+
+
+def _in_bulk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together until they have BUCKET_TOKENS rows, so that a bucket's share is no tiny list."""
+    bulk, held = [], 0
+    for batch in batches:
+        bulk.append(batch)
+        held += batch.num_rows
+        if held >= BUCKET_TOKENS:
+            yield pa.Table.from_batches(bulk)
+            bulk, held = [], 0
+    if held:
+        yield pa.Table.from_batches(bulk)
+
+
+def _owned(buckets: int):
+    """What the restaurants' own customers give to pairs met more than once, dealt like the pairs."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _in_bulk(batches):
+            key = _pair_key(*(rows.column(c).to_numpy().view(np.uint64) for c in ("word", "context")))
+            order = np.argsort(key)
+            yield _dealt(_bucket(key[order], buckets), None, key=key[order].view(np.int64), own=rows.column("own").to_numpy()[order].astype(np.float32))
+
+    return deal
+
+
+def _own_of_pairs(single: float):
+    def answer(rows: pa.Table) -> pa.Table:
+        key = _list(rows.column("key")).view(np.uint64)
+        own = np.concatenate([[0, single], _list(rows.column("own"))[np.argsort(key)]]).astype(np.float32)
+        asked = rows.filter(rows.column("run").is_valid())
+        at = asked.column("at").combine_chunks()
+        values = pa.array(own[_list(at)])
+        offsets = pa.array(np.cumsum([0, *at.value_lengths().to_pylist()]), pa.int32())
+        return pa.table({"run": asked.column("run"), "bucket": asked.column("bucket"), "own": pa.ListArray.from_arrays(offsets, values)})
+
+    return answer
+
+
+def _words_of_runs(buckets: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, run in _runs(batches):
+            order, bucket = run.dealt_words(buckets)
+            yield _dealt(bucket, number, key=run.vocabulary[order].view(np.int64))
+
+    return deal
+
+
+def _known_words(buckets: int):
+    """Words with their count and `values`, dealt like the words of runs."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _in_bulk(batches):
+            word, known = (rows.column(c).to_numpy() for c in ("word", "known"))
+            values = _list(rows.column("values")).reshape(len(word), -1)
+            order = np.argsort(word.view(np.uint64))
+            bucket = _bucket(word[order].view(np.uint64), buckets)
+            yield _dealt(bucket, None, key=word[order], known=known[order], values=values[order].ravel())
+
+    return deal
+
+
+def _values_of_words(unknown: list[float]):
+    def answer(rows: pa.Table) -> pa.Table:
+        of_run = rows.column("run").is_valid()
+        held, asked = rows.filter(rows.column("run").is_null()), rows.filter(of_run)
+        key = _list(held.column("key")).view(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        known = np.append(_list(held.column("known"))[order], 0)
+        values = np.concatenate([_list(held.column("values")).reshape(-1, len(unknown))[order], [unknown]]).astype(np.float32)
+        wanted = asked.column("key").combine_chunks()
+        want = _list(wanted).view(np.uint64)
+        at = np.searchsorted(key, want)
+        at[np.append(key, np.uint64(0))[at] != want] = len(key)
+        at[at == len(key)] = -1
+        offsets = np.cumsum([0, *wanted.value_lengths().to_pylist()])
+        lists = lambda x, width: pa.ListArray.from_arrays(pa.array(offsets * width, pa.int32()), pa.array(x[at].ravel()))
+        return pa.table({
+            "run": asked.column("run"), "bucket": asked.column("bucket"),
+            "known": lists(known.astype(np.int64), 1), "values": lists(values, len(unknown)),
+        })
+
+    return answer
+
+
+def _scored(buckets: int, total: int, vocabulary: int):
+    """The texts of a run, from the answers to its words and pairs."""
+
+    def score(rows: pa.Table) -> pa.Table:
+        run = _Run(rows.filter(rows.column("token").is_valid()))
+        answered = lambda c: rows.filter(rows.column(c).is_valid()).sort_by("bucket").column(c)
+        order, _ = run.dealt_words(buckets)
+        known = np.empty(len(order), np.int64)
+        known[order] = _list(answered("known"))
+        values = _list(answered("values")).reshape(len(order), -1)
+        sorted_back = np.empty_like(order)
+        sorted_back[order] = np.arange(len(order))
+        values = values[sorted_back].astype(np.float64)
+        averaged = values.shape[1] // 2
+        pairs, place = np.unique(run.codes(), return_inverse=True)
+        word, context = run.words_of(pairs)
+        order, _ = run.dealt_pairs(word, context, buckets)
+        own = np.empty(len(order))
+        own[order] = _list(answered("own"))
+        p = own / (CONCENTRATION + known[context])
+        for k in range(averaged):
+            p += values[word, k] * values[context, averaged + k]
+        starts = np.cumsum(run.size, dtype=np.int64) - run.size
+        by_text = lambda of_token: pa.array(np.add.reduceat(of_token, starts))
+        base = np.log10((known + 1.0) / (total + vocabulary + 1.0))
+        return pa.table({
+            "doc_id": pa.array(run.ids), "n_tokens": pa.array(run.size.astype(np.int64)), "n_known": by_text((known > 0).astype(np.int64)[run.token]),
+            "base_score": by_text(base[run.token]), "score": by_text(np.log10(p)[place]),
+        })
+
+    return score
 
 
 def _salt(step: int, kind: int) -> np.uint64:
@@ -243,15 +479,23 @@ class Written:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tag, self.path = spark, tag, None
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, *parts: DataFrame) -> DataFrame:
+        """Writes the parts one after another."""
         path = new_path(self.spark, self.tag)
         # the shuffles of a written table are needed no more; a side in small partitions is joined by a hash table
         with _settings(self.spark, classic__shuffleDependency__fileCleanup__enabled="true", adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED_BYTES):
-            df.write.parquet(path)
+            for df in parts:
+                # rows can be lists of megabytes, so a file's size is looked at after each
+                checked = {f"parquet.{x}.size.row.check.min": "1" for x in ("page", "block")}
+                df.write.mode("append").options(compression="zstd", **checked).parquet(path)
+        self.drop()
+        self.path = path
+        return self.spark.read.schema(parts[0].schema).parquet(path)
+
+    def drop(self) -> None:
         if self.path:
             remove(self.spark, self.path)
-        self.path = path
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.path = None
 
 
 def _looked_up(rows: DataFrame, words: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -268,110 +512,102 @@ def _looked_up(rows: DataFrame, words: DataFrame, contexts: DataFrame) -> DataFr
 def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of `docs` (doc_id, text)."""
     spark = docs.sparkSession
-    texts = numbered(docs, "text", F.xxhash64("text").alias("tag"))
-    seated, of_words, of_contexts = (Written(spark, tag) for tag in ("seated", "at-root", "contexts"))
-    # a task counts the pairs of each run before they are dealt
-    pairs = texts.mapInArrow(_pair_counts, PAIRS).repartition("word", "context")
-    pairs = Written(spark, "pairs").put(pairs.groupBy("word", "context").agg(F.sum("n").alias("n")))
-    single, double = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
-    total, n1, n2 = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), single, double).first()
-
-    # after sweep k a word has a<k> customers at r<k> tables of the root, a context t<k> tables
-    tables = F.count(F.lit(1)).cast("double")
-    common = lambda n: (F.col(n) * HEAD >= total).alias("head")
-    at_root = pairs.groupBy("word").agg(F.sum("n").alias("known"), single.alias("single"), tables.alias("a0"))
-    at_root = of_words.put(at_root.select("*", F.lit(1.0).alias("r0"), common("known")))
-    contexts = pairs.groupBy("context").agg(F.sum("n").alias("customers"), single.alias("single"), tables.alias("t0"))
-    contexts = of_contexts.put(contexts.select("*", common("customers")))
-    vocabulary, once, twice = at_root.agg(F.count(F.lit(1)), *[F.count_if(F.col("known") == i) for i in (1, 2)]).first()
+    of_runs, counted, of_pairs, seated, of_words = (Written(spark, tag) for tag in ("runs", "counted", "pairs", "seated", "words"))
+    runs = of_runs.put(numbered(docs, "text").mapInArrow(_encoded, RUNS))
+    buckets = max(1, -(-(runs.agg(F.sum("tokens")).first()[0] or 0) // BUCKET_TOKENS))
+    dealt = "bucket int, run long, "
+    in_buckets = lambda df, answer, schema: df.groupBy("bucket").applyInArrow(answer, schema)
+    texts = runs.select("run", "doc_id", "size", "token", "vocabulary")
+    pairs = counted.put(*[
+        in_buckets(texts.mapInArrow(_pairs_of_runs(buckets, i), dealt + "word array<long>, context array<long>, n array<int>"), _counted, COUNTED)
+        for i in range(ROUNDS)
+    ])
+    counts = pairs.where("run is null")
+    # pairs met more than once; pairs met once only count for their word and context
+    entries = counts.select("word", "context", "n").mapInArrow(_flat, PAIRS)
+    entries = seated.put(entries)
+    kinds = {"known": "long", "as_word": "int", "words": "int", "as_context": "int", "contexts": "int"}
+    words = counts.select("id", *kinds).mapInArrow(_flat, "id long, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    words = of_words.put(words.groupBy(F.col("id").alias("word")).agg(*[F.sum(c).alias(c) for c in kinds]))
+    asked = of_pairs.put(pairs.where("run is not null").select("bucket", "run", "at"))
+    counted.drop()
+    total, n1, vocabulary, once, twice = words.agg(
+        F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("as_word"), F.lit(0)), F.count(F.lit(1)), *[F.count_if(F.col("known") == i) for i in (1, 2)]
+    ).first()
+    n2 = entries.where("n = 2").count()
     discount = lambda n1, n2: min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
     model = Model(vocabulary, np.empty(0), discount(n1, n2), discount(once, twice))
 
+    # after sweep k a word has a<k> customers at r<k> tables of the root, and t<k> tables as a context; a word met once
+    # has one of each for good
+    met_once = Written(spark, "once").put(words.where("known = 1").select("word"))
+    words = of_words.put(words.where("known > 1").select(
+        "word", "known", "as_word", "as_context", (F.col("known") * HEAD >= total).alias("head"),
+        F.col("words").cast("double").alias("a0"), F.lit(1.0).alias("r0"), F.col("contexts").cast("double").alias("t0"),
+    ))
     kept = range(sweeps - averaged + 1, sweeps + 1)
     share = lambda k: 1 / averaged if k in kept else 0.0
     # the frequent ones are written by themselves, since the tables they come from are replaced
-    flag = lambda t, key: F.broadcast(
-        Written(spark, "common").put(t.where("head").select(key, F.lit(True).alias(f"common_{key}")))
+    common = Written(spark, "common").put(words.where("head").select("word"))
+    flag = lambda key: F.broadcast(common.select(F.col("word").alias(key), F.lit(True).alias(f"common_{key}")))
+    entries = entries.join(flag("word"), "word", "left").join(flag("context"), "context", "left").select(
+        "word", "context", "n", (F.col("common_word").isNotNull() & F.col("common_context").isNotNull()).alias("head"),
+        F.lit(1.0).alias("t"), (share(0) * (F.col("n") - model.discount)).alias("own"),
     )
-    pairs = pairs.join(flag(at_root, "word"), "word", "left").join(flag(contexts, "context"), "context", "left").select(
-        "word", "context", "n", (F.col("common_word").isNotNull() & F.col("common_context").isNotNull()).alias("head")
-    )
-    entries = pairs.where("n > 1").withColumn("t", F.lit(1.0)).withColumn("own", share(0) * (F.col("n") - model.discount))
     for k in range(sweeps + 1):
-        customers, root_tables = at_root.agg(F.sum(f"a{k}"), F.sum(f"r{k}")).first()
-        model.root_customers.append(customers or 0.0)
-        model.root_tables.append(root_tables or 0.0)
+        customers, root_tables = words.agg(F.sum(f"a{k}"), F.sum(f"r{k}")).first()
+        model.root_customers.append((customers or 0.0) + once)
+        model.root_tables.append((root_tables or 0.0) + once)
         if k == sweeps:
             break
         now = _looked_up(
-            entries, at_root.select("word", F.col(f"a{k}").alias("at_root"), F.col(f"r{k}").alias("root_tables"), "head"),
-            contexts.select("context", F.col(f"t{k}").alias("of_context"), "head"),
+            entries, words.select("word", F.col(f"a{k}").alias("at_root"), F.col(f"r{k}").alias("root_tables"), "head"),
+            words.select(F.col("word").alias("context"), F.col(f"t{k}").alias("of_context"), "head"),
         )
         entries = seated.put(now.mapInArrow(_reseated(model, k, share(k + 1)), PAIRS + ", head boolean, t double, own double"))
-        of = lambda key: entries.groupBy(key).agg(F.sum("t").alias("more"))
-        total_tables = (F.col("single") + F.coalesce("more", F.lit(0.0))).cast("double")
-        contexts = of_contexts.put(contexts.join(of("context"), "context", "left").withColumn(f"t{k + 1}", total_tables).drop("more"))
-        at_root = at_root.join(of("word"), "word", "left").withColumn(f"a{k + 1}", total_tables).drop("more")
-        schema = ", ".join(f"{c} {t}" for c, t in at_root.dtypes)
-        at_root = of_words.put(at_root.mapInArrow(_reseated_root(model, k), f"{schema}, r{k + 1} double"))
-
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    seats = CONCENTRATION + F.coalesce("customers", F.lit(0))
-    weights = [((CONCENTRATION + model.discount * zero(f"t{k}")) / (averaged * seats)).alias(f"w{k}") for k in kept]
-    chances = [
-        (F.greatest(zero(f"a{k}") - model.root_discount * zero(f"r{k}"), F.lit(0.0)) + (CONCENTRATION + model.root_discount * model.root_tables[k]) * model.base())
-        / (CONCENTRATION + model.root_customers[k]) for k in kept
-    ]
-    parent = sum((F.col(f"w{k}") * p for k, p in zip(kept, chances, strict=True)), F.lit(0.0))
-    base = lambda known: F.log10((F.coalesce(known, F.lit(0)) + 1.0) / (total + vocabulary + 1.0))
-    at_end = F.col("word") == int(END.view(np.int64))
-
-    # every pair of training texts, in rows that compress: a score of 24 bits, the end token's count below zero;
-    # then every pair of all texts
-    key = F.xxhash64("word", "context").alias("key")
-    rest = pairs.where("n = 1").select("word", "context", "head", F.lit(1 - model.discount).alias("own"))
-    trained = _looked_up(
-        entries.select("word", "context", "head", "own").unionByName(rest),
-        at_root.select("word", "known", *[f"{c}{k}" for c in "ar" for k in kept], "head"), contexts.select("context", seats.alias("seats"), *weights, "head"),
-    ).select(
-        key, F.log10(parent + F.col("own") / F.col("seats")).cast("float").alias("score"),
-        F.when(at_end, -F.col("known")).otherwise(F.col("known")).alias("known"),
-    )
-    only = lambda c, of: F.when(of, F.col(c)).alias(c)
-    used = texts.mapInArrow(_pairs_of_texts, PAIRS + ", doc_id long, tag long, held boolean").select(
-        key, "doc_id", "tag", "n", only("word", F.col("held")), only("context", F.col("held"))
-    )
-    summed = lambda df, *keys: df.groupBy("doc_id", "tag", *keys).agg(
-        F.sum("n").alias("n"), F.sum("n_known").alias("n_known"), *[F.sum(c).alias(c) for c in ("base_score", "score", "ends")]
-    )
-    times = lambda of, c: (F.col("n") * of).alias(c)
-    new = F.col("score").isNull()
-    used = used.join(trained, "key", "left").select(
-        "doc_id", "tag", "n", F.when(new, 0).otherwise(F.col("n")).alias("n_known"), only("word", new), only("context", new),
-        times(F.when(~new, base(F.abs("known"))), "base_score"), times(F.col("score").cast("double"), "score"),
-        times((F.col("known") < 0).cast("long"), "ends"),
-    )
-    used = Written(spark, "used").put(summed(used, "word", "context"))
-    unseen = used.where("word is not null").select("doc_id", "tag", "n", "word", "context")
-    unseen = unseen.join(contexts.select("context", seats.alias("seats"), *weights), "context", "left")
-    # a context that training lacks has no seat taken: all is left to the parent
-    unseen = unseen.select(
-        "doc_id", "tag", "n", "word", *[F.coalesce(f"w{k}", F.lit(1 / averaged)).alias(f"w{k}") for k in kept]
-    ).join(at_root.drop("head"), "word", "left")
-    unseen = unseen.select(
-        "doc_id", "tag", "n", F.when(F.col("known") > 0, F.col("n")).otherwise(0).alias("n_known"),
-        times(base(F.col("known")), "base_score"), times(F.log10(parent), "score"), times(at_end.cast("long"), "ends"),
-    )
-    scored = summed(used.where("word is null").drop("word", "context").unionByName(unseen))
+        of = lambda key: entries.select(F.col(key).alias("word"), *[(F.col("t") if c == key else F.lit(0.0)).alias(f"of_{c}") for c in ("word", "context")])
+        more = of("word").unionByName(of("context")).groupBy("word").agg(F.sum("of_word").alias("of_word"), F.sum("of_context").alias("of_context"))
+        now_has = lambda c: (F.col(f"as_{c}") + F.coalesce(f"of_{c}", F.lit(0.0))).cast("double")
+        needed = [f"{c}{i}" for i in range(k + 1) if i in kept or i == k for c in "art"]
+        words = words.join(more, "word", "left").select(
+            "word", "known", "as_word", "as_context", "head", *needed, now_has("word").alias(f"a{k + 1}"), now_has("context").alias(f"t{k + 1}")
+        )
+        schema = ", ".join(f"{c} {t}" for c, t in words.dtypes)
+        words = of_words.put(words.mapInArrow(_reseated_root(model, k), f"{schema}, r{k + 1} double"))
 
-    # equal rows were summed: each has its part, one end token
+    # of a word: its probability at the root after each kept sweep; then what its restaurant leaves to the root
+    weight = lambda k, t, customers: (CONCENTRATION + model.discount * t) / (averaged * (CONCENTRATION + customers))
+    chance = lambda k, a, r: (
+        (a - model.root_discount * r + (CONCENTRATION + model.root_discount * model.root_tables[k]) * model.base()) / (CONCENTRATION + model.root_customers[k])
+    )
+    constant = lambda a, r, t, known: [chance(k, a, r) for k in kept] + [weight(k, t, known) for k in kept]
+    floats = lambda columns: F.array(*columns).cast("array<float>").alias("values")
+    known = words.select("word", "known", floats(
+        [chance(k, F.col(f"a{k}"), F.col(f"r{k}")) for k in kept] + [weight(k, F.col(f"t{k}"), F.col("known")) for k in kept]
+    )).unionByName(met_once.select("word", F.lit(1).cast("long").alias("known"), floats(map(F.lit, constant(1, 1, 1, 1)))))
+
+    owned = entries.select("word", "context", "own").mapInArrow(_owned(buckets), dealt + "key array<long>, own array<float>")
+    own = in_buckets(asked.unionByName(owned, True), _own_of_pairs(1 - model.discount), dealt + "own array<float>")
+    own = Written(spark, "own").put(own)
+    for done in (of_pairs, seated):
+        done.drop()
+    values = "known array<long>, values array<float>"
+    known = known.mapInArrow(_known_words(buckets), dealt + "key array<long>, " + values)
+    asked = texts.mapInArrow(_words_of_runs(buckets), dealt + "key array<long>")
+    known = in_buckets(asked.unionByName(known, True), _values_of_words(constant(0, 0, 0, 0)), dealt + values)
+    known = Written(spark, "known").put(known)
+    of_words.drop()
+    answered = texts.unionByName(own, True).unionByName(known, True)
+    result = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    scored = Written(spark, "scored").put(*[
+        answered.where(F.pmod(F.xxhash64("run"), F.lit(ROUNDS)) == i).groupBy("run").applyInArrow(_scored(buckets, total, vocabulary), result)
+        for i in range(ROUNDS)
+    ])
     own = own_id()
-    part = lambda c: F.expr(f"{c} div ends")
-    return numbered(docs, F.xxhash64("text").alias("tag")).join(scored, ["doc_id", "tag"]).select(
+    return scored.select(
         own.alias("doc_id"), (F.crc32(F.coalesce(own.cast("string"), F.lit(""))) % 7 == 2).alias("held_out"),
-        part("n").alias("n_tokens"), part("n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") / F.col("ends")).alias("base_score"), (F.col("score") / F.col("ends")).alias("score"),
-        F.pow(F.lit(10.0), -F.col("score") / F.col("n")).alias("perplexity"),
+        "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
 
