@@ -7,24 +7,22 @@ text stands the end token. Discounts come from counts of counts, n1 / (n1 + 2 n2
 Seating: the customers of a word are reseated given the parent's predictive probability and the
 restaurant's number of tables, both of the sweep before; each opens a table or joins one, as the
 Chinese restaurant process says. The tables of the children are the root's customers, seated in
-the same way. Counts of (word, context) and of words are written tables; a sweep joins the first
-with the other by word and by context and sums its tables into a new one, so that the driver holds
-no restaurant and a word or context with any share of the pairs can be split. A single customer
-has one table for good, so pairs met once are only counted, and words met once take no part in sweeps.
+the same way. Counts of (word, context) and of words are written tables in buckets of their hashes, so
+that the driver holds no restaurant and a word or context with any share of the pairs is split. In a sweep
+the buckets of words tell those of pairs what they need of their words and contexts, and these tell back
+their tables, summed by word and by context. A single customer has one table for good, so pairs met once
+are only counted.
 Past GROUP customers they sit down in groups of a sixteenth of those seated, which have one probability; a
 group's new tables are their expected number rounded up or down at random, right in the mean and narrower
 in spread than single customers would be. Random numbers are hashes of word, context, sweep and customer,
 so a sweep that a lost executor repeats comes out the same.
 
-Most pairs are of words that are common both as word and as context: at most HEAD words have one HEAD-th of
-the tokens, so these are sent to all tasks, and only pairs with a rarer word or context are joined by
-shuffles. Tables that a sweep has replaced are removed.
-
 Texts are tokenized once, into written runs of about RUN_TOKENS tokens. The distinct pairs of each run
 are dealt into buckets by a 64-bit hash of the pair (of 10^9 pairs, one shares its hash with another
 with a chance of 3 %), about one for BUCKET_TOKENS tokens; a bucket sums the pairs' counts and notes for each
 run which of its pairs was meant. After the sweeps it answers every run with what the restaurants have of
-these pairs, in the order of the run; words are looked up likewise. The score of a text is the sum of
+these pairs, in the order of the run; words are looked up likewise, but for those with one HEAD-th of the tokens,
+HEAD at most, which are sent to all tasks. The score of a text is the sum of
 log10 of the predictive probabilities, each averaged over the last sweeps, worked out per run from these
 answers. Pairs and runs are handled in ROUNDS, whose shuffles are removed before the next, which bounds disk.
 
@@ -52,18 +50,15 @@ from .minhash import _ODD, WordHashes, mix, word_list
 
 SWEEPS, AVERAGED = 4, 3
 GROUP = 64
-#: Words and contexts with at least one HEAD-th of the tokens, so HEAD at most, are sent to all tasks.
+#: Words with at least one HEAD-th of the tokens, so HEAD at most, are sent to the tasks that score.
 HEAD = 1 << 18
 #: Tokens of a run of texts, which stay whole; tokens for which there is one bucket of pairs and one of words.
 RUN_TOKENS, BUCKET_TOKENS = 1 << 21, 1 << 20
 #: Parts in which the pairs are counted, and the runs scored.
 ROUNDS = 2
-#: A partition of pairs up to this size may be joined as a hash table.
-HASHED_BYTES = "64m"
 CONCENTRATION = 1.0
 #: The end token's hash; a word's hash is never this one but by chance of 1 in 2^64.
 END = np.uint64(0x1D8E4E27C47D124F)
-PAIRS = "word long, context long, n long"
 
 
 def in_training(doc_id: int) -> bool:
@@ -71,9 +66,17 @@ def in_training(doc_id: int) -> bool:
 
 
 RUNS = "run long, tokens long, doc_id array<long>, size array<int>, token array<int>, vocabulary array<long>"
+#: What a bucket of pairs holds: places among its runs' pairs; pairs met more than once; shares in the words' counts; words it needs.
 COUNTED = (
-    "bucket int, run long, at array<int>, word array<long>, context array<long>, n array<long>, "
-    "id array<long>, known array<long>, as_word array<int>, words array<int>, as_context array<int>, contexts array<int>"
+    "bucket int, run long, at array<int>, n2 long, id array<long>, word array<int>, context array<int>, n array<long>, "
+    "to int, key array<long>, known array<long>, as_word array<int>, words array<int>, as_context array<int>, contexts array<int>, want array<long>"
+)
+SEATED = "bucket int, id array<long>, word array<int>, context array<int>, n array<long>, t array<double>, own array<double>, to int, sums array<double>"
+#: Of a bucket of words: its words with a, r, t (customers and tables at the root, tables as a context), now and in the
+#: kept sweeps before, a third each; for each bucket of pairs the places of words it needs, and what it is told of them.
+OF_WORDS = (
+    "to int, key array<long>, known array<long>, as_word array<int>, as_context array<int>, now array<double>, past array<double>, "
+    "counts array<long>, customers double, tables double, bucket int, at array<int>, told array<double>"
 )
 
 
@@ -163,9 +166,11 @@ class _Run:
         order = np.argsort(bucket, kind="stable")
         return order, bucket[order]
 
-    def dealt_words(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    def dealt_words(self, buckets: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the words that are not frequent."""
         bucket = _bucket(self.vocabulary, buckets)
         order = np.argsort(bucket, kind="stable")
+        order = order[~np.isin(self.vocabulary[order], frequent)]
         return order, bucket[order]
 
 
@@ -195,155 +200,239 @@ def _pairs_of_runs(buckets: int, turn: int):
     return deal
 
 
-def _counted(rows: pa.Table) -> pa.Table:
+def _table(schema: str, rows: list[dict]) -> pa.Table:
+    """Rows of numbers and arrays under the columns of a schema."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "float": pa.float32()}
+    columns = {}
+    for name, kind in (c.split() for c in schema.split(", ")):
+        value = kinds[kind.removeprefix("array<").rstrip(">")]
+        found = [r.get(name) for r in rows]
+        if kind.startswith("array"):
+            numbers = value.to_pandas_dtype()
+            whole = [np.empty(0, numbers) if x is None else (x.view(np.int64) if x.dtype == np.uint64 else x).astype(numbers) for x in found]
+            offsets = pa.array(np.cumsum([0, *map(len, whole)]), pa.int32())
+            items = pa.array(np.concatenate(whole), value)
+            columns[name] = pa.ListArray.from_arrays(offsets, items, mask=pa.array([x is None for x in found], pa.bool_()))
+        else:
+            columns[name] = pa.array(found, value)
+    return pa.table(columns)
+
+
+def _with(rows: pa.Table, column: str, by: str | None = None) -> pa.Table:
+    """The rows that have a column, in the order of another."""
+    rows = rows.filter(rows.column(column).is_valid())
+    return rows.sort_by(by) if by else rows
+
+
+def _lengths(column: pa.ChunkedArray) -> list[int]:
+    return column.combine_chunks().value_lengths().to_pylist()
+
+
+def _split(ids: np.ndarray, buckets: int, *columns: np.ndarray) -> tuple[list[int], list[tuple[np.ndarray, ...]]]:
+    """The buckets of ascending hashes, and the part of each column that goes there."""
+    bucket = _bucket(ids, buckets)
+    new = _changes(bucket)
+    return bucket[new].tolist(), list(zip(*[np.split(c, new[1:]) for c in columns], strict=True))[: len(new)]
+
+
+def _counted(buckets: int):
     """A bucket's pairs, counted.
 
     For each run, what its pairs are: 0 unknown to training, 1 met once, from 2 on the place among those met
-    more often, in the order of their hashes. Then a row with the latter and with every word's share in the counts.
+    more often, in the order of their hashes.
     """
-    word, context = (_list(rows.column(c)).view(np.uint64) for c in ("word", "context"))
-    key = _pair_key(word, context)
-    order = np.argsort(key)
-    new = _changes(key[order])
-    n = np.add.reduceat(_list(rows.column("n")).astype(np.int64)[order], new)
-    often = n > 1
-    what = np.where(often, np.cumsum(often) + 1, n).astype(np.int32)
-    at = np.empty(len(key), np.int32)
-    at[order] = np.repeat(what, np.diff(new, append=len(key)))
-    sizes = np.cumsum([0, *rows.column("word").combine_chunks().value_lengths().to_pylist()])
-    runs, count = rows.column("run").combine_chunks(), rows.num_rows
-
-    first = order[new]
-    word, context, met = word[first], context[first], n > 0
-    ids, place = np.unique(np.concatenate([word[met], context[met]]), return_inverse=True)
-    place, n_met = place.reshape(2, -1), n[met]
-    sums = lambda side, weights=None: np.bincount(place[side], weights, len(ids))
-    once = n_met == 1
-    last = {
-        "word": word[often].view(np.int64), "context": context[often].view(np.int64), "n": n[often],
-        "id": ids.view(np.int64), "known": sums(0, n_met).astype(np.int64), "as_word": sums(0, once).astype(np.int32),
-        "words": sums(0).astype(np.int32), "as_context": sums(1, once).astype(np.int32), "contexts": sums(1).astype(np.int32),
-    }
-    columns = {
-        "bucket": pa.array([rows.column("bucket")[0].as_py()] * (count + 1), pa.int32()),
-        "run": pa.concat_arrays([runs, pa.nulls(1, pa.int64())]),
-        "at": pa.ListArray.from_arrays(pa.array([*sizes, sizes[-1]], pa.int32()), pa.array(at)),
-    }
-    for name, values in last.items():
-        columns[name] = pa.ListArray.from_arrays(pa.array([0] * (count + 1) + [len(values)], pa.int32()), pa.array(values))
-    return pa.table(columns)
 
+    def count(rows: pa.Table) -> pa.Table:
+        number = rows.column("bucket")[0].as_py()
+        word, context = (_list(rows.column(c)).view(np.uint64) for c in ("word", "context"))
+        key = _pair_key(word, context)
+        order = np.argsort(key)
+        new = _changes(key[order])
+        n = np.add.reduceat(_list(rows.column("n")).astype(np.int64)[order], new)
+        often = n > 1
+        at = np.empty(len(key), np.int32)
+        at[order] = np.repeat(np.where(often, np.cumsum(often) + 1, n), np.diff(new, append=len(key)))
+        parts = np.split(at, np.cumsum(_lengths(rows.column("word")))[:-1])
+        out = [{"run": run, "at": part} for run, part in zip(rows.column("run").to_pylist(), parts, strict=True)]
+
+        first = order[new]
+        word, context, met = word[first], context[first], n > 0
+        needed, place = np.unique(np.concatenate([word[often], context[often]]), return_inverse=True)
+        of_word, of_context = place.reshape(2, -1)
+        out.append({"id": needed, "word": of_word, "context": of_context, "n": n[often], "n2": int((n == 2).sum())})
+        for to, want in zip(*_split(needed, buckets, needed), strict=True):
+            out.append({"to": to, "want": want[0]})
+
+        ids, place = np.unique(np.concatenate([word[met], context[met]]), return_inverse=True)
+        place, n = place.reshape(2, -1), n[met]
+        sums = lambda side, weights=None: np.bincount(place[side], weights, len(ids))
+        share = {"key": ids, "known": sums(0, n), "as_word": sums(0, n == 1), "words": sums(0), "as_context": sums(1, n == 1), "contexts": sums(1)}
+        for to, part in zip(*_split(ids, buckets, *share.values()), strict=True):
+            out.append({"to": to, **dict(zip(share, part, strict=True))})
+        return _table(COUNTED, [{"bucket": number, **row} for row in out])
+
+    return count
+
+
+def _told(to: int, state: dict, asked: list[tuple[int, np.ndarray]]) -> pa.Table:
+    """A bucket of words, and for each bucket of pairs what it needs of its words."""
+    now = state["now"].reshape(3, -1)
+    state |= {"customers": float(now[0].sum()), "tables": float(now[1].sum())}
+    rows = [{"bucket": bucket, "at": at, "told": now[:, at].ravel()} for bucket, at in asked]
+    return _table(OF_WORDS, [{"to": to, **row} for row in (state, *rows)])
+
+
+def _first_of_words(rows: pa.Table) -> pa.Table:
+    shares, wants = _with(rows, "key"), _with(rows, "want", "bucket")
+    key, place = np.unique(_list(shares.column("key")).view(np.uint64), return_inverse=True)
+    known, as_word, words, as_context, contexts = (
+        np.bincount(place, _list(shares.column(c)), len(key)) for c in ("known", "as_word", "words", "as_context", "contexts")
+    )
+    parts = np.split(np.searchsorted(key, _list(wants.column("want")).view(np.uint64)), np.cumsum(_lengths(wants.column("want")))[:-1]) if wants.num_rows else []
+    state = {
+        "key": key, "known": known, "as_word": as_word, "as_context": as_context, "now": np.concatenate([words, np.ones(len(key)), contexts]),
+        "past": np.empty(0), "counts": np.array([known.sum(), as_word.sum(), len(key), (known == 1).sum(), (known == 2).sum()]),
+    }
+    return _told(rows.column("to")[0].as_py(), state, list(zip(wants.column("bucket").to_pylist(), parts, strict=True)))
+
+
+def _next_of_words(model: Model, k: int, keep: bool):
+    """Words after sweep k + 1, given the tables that buckets of pairs have summed."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        old, asked, sums = _with(rows, "key"), _with(rows, "at", "bucket"), _with(rows, "sums", "bucket")
+        key = _list(old.column("key")).view(np.uint64)
+        at = np.split(_list(asked.column("at")), np.cumsum(_lengths(asked.column("at")))[:-1]) if asked.num_rows else []
+        of_word, of_context = np.zeros((2, len(key)))
+        for places, row in zip(at, range(sums.num_rows), strict=True):  # a bucket of pairs has each word once
+            more = _list(sums.column("sums").slice(row, 1)).reshape(2, -1)
+            of_word[places] += more[0]
+            of_context[places] += more[1]
+        a = _list(old.column("as_word")) + of_word
+        now, past = _list(old.column("now")), _list(old.column("past"))
+        state = {c: _list(old.column(c)) for c in ("key", "known", "as_word", "as_context")} | {
+            "now": np.concatenate([a, model.reseat_root(k, key, a), _list(old.column("as_context")) + of_context]),
+            "past": np.concatenate([past, now]) if keep else past,
+        }
+        return _told(rows.column("to")[0].as_py(), state, list(zip(asked.column("bucket").to_pylist(), at, strict=True)))
 
-def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each place of the lists."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([c.flatten() for c in batch.columns], batch.schema.names)
-
+    return run
 
-def _in_bulk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches put together until they have BUCKET_TOKENS rows, so that a bucket's share is no tiny list."""
-    bulk, held = [], 0
-    for batch in batches:
-        bulk.append(batch)
-        held += batch.num_rows
-        if held >= BUCKET_TOKENS:
-            yield pa.Table.from_batches(bulk)
-            bulk, held = [], 0
-    if held:
-        yield pa.Table.from_batches(bulk)
 
+def _reseated(model: Model, k: int, before: float, share: float):
+    """A bucket's pairs with their tables after sweep k + 1, summed by word and by context for the buckets of these.
 
-def _owned(buckets: int):
-    """What the restaurants' own customers give to pairs met more than once, dealt like the pairs."""
+    `share` of what the sweep leaves of n is added to `own`, and `before` of what there is before the first sweep.
+    """
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _in_bulk(batches):
-            key = _pair_key(*(rows.column(c).to_numpy().view(np.uint64) for c in ("word", "context")))
-            order = np.argsort(key)
-            yield _dealt(_bucket(key[order], buckets), None, key=key[order].view(np.int64), own=rows.column("own").to_numpy()[order].astype(np.float32))
+    def run(rows: pa.Table) -> pa.Table:
+        old, told = _with(rows, "id"), _with(rows, "told", "to")
+        ids, word, context, n = (_list(old.column(c)) for c in ("id", "word", "context", "n"))
+        ids = ids.view(np.uint64)
+        each = [_list(told.column("told").slice(i, 1)).reshape(3, -1) for i in range(told.num_rows)]
+        at_root, root_tables, as_context = np.concatenate([np.empty((3, 0)), *each], 1)
+        tables = _list(old.column("t")) if k else np.ones(len(n))
+        own = _list(old.column("own")) if k else before * (n - model.discount)
+        t = model.reseat(k, ids[word], ids[context], n, tables, as_context[context], at_root[word], root_tables[word])
+        sums = np.stack([np.bincount(side, t, len(ids)) for side in (word, context)])
+        parts = np.split(sums, np.cumsum([x.shape[1] for x in each])[:-1], 1) if each else []
+        out = [{"id": ids, "word": word, "context": context, "n": n, "t": t, "own": own + share * np.maximum(n - model.discount * t, 0)}]
+        out += [{"to": to, "sums": part.ravel()} for to, part in zip(told.column("to").to_pylist(), parts, strict=True)]
+        return _table(SEATED, [{"bucket": rows.column("bucket")[0].as_py(), **row} for row in out])
 
-    return deal
+    return run
 
 
 def _own_of_pairs(single: float):
     def answer(rows: pa.Table) -> pa.Table:
-        key = _list(rows.column("key")).view(np.uint64)
-        own = np.concatenate([[0, single], _list(rows.column("own"))[np.argsort(key)]]).astype(np.float32)
-        asked = rows.filter(rows.column("run").is_valid())
+        own = np.concatenate([[0, single], _list(_with(rows, "own").column("own"))]).astype(np.float32)
+        asked = _with(rows, "run")
         at = asked.column("at").combine_chunks()
-        values = pa.array(own[_list(at)])
         offsets = pa.array(np.cumsum([0, *at.value_lengths().to_pylist()]), pa.int32())
-        return pa.table({"run": asked.column("run"), "bucket": asked.column("bucket"), "own": pa.ListArray.from_arrays(offsets, values)})
+        return pa.table({"run": asked.column("run"), "bucket": asked.column("bucket"), "own": pa.ListArray.from_arrays(offsets, pa.array(own[_list(at)]))})
 
     return answer
 
 
-def _words_of_runs(buckets: int):
+def _words_of_runs(buckets: int, frequent: np.ndarray):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, run in _runs(batches):
-            order, bucket = run.dealt_words(buckets)
-            yield _dealt(bucket, number, key=run.vocabulary[order].view(np.int64))
+            order, bucket = run.dealt_words(buckets, frequent)
+            if len(order):
+                rows = _dealt(bucket, number, want=run.vocabulary[order].view(np.int64))
+                yield rows.rename_columns(["to", "run", "want"])
 
     return deal
 
 
-def _known_words(buckets: int):
-    """Words with their count and `values`, dealt like the words of runs."""
+def _values(model: Model, kept: list[int], known: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """Of each word: its probability at the root after each kept sweep; then what its restaurant leaves to the root.
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _in_bulk(batches):
-            word, known = (rows.column(c).to_numpy() for c in ("word", "known"))
-            values = _list(rows.column("values")).reshape(len(word), -1)
-            order = np.argsort(word.view(np.uint64))
-            bucket = _bucket(word[order].view(np.uint64), buckets)
-            yield _dealt(bucket, None, key=word[order], known=known[order], values=values[order].ravel())
+    history: a, r and t of the words after each kept sweep.
+    """
+    a, r, t = history.reshape(len(kept), 3, -1).transpose(1, 0, 2)
+    at_root = [model.root(k, *x) for k, *x in zip(kept, a, r, strict=True)]
+    left = [(CONCENTRATION + model.discount * x) / (len(kept) * (CONCENTRATION + known)) for x in t]
+    return np.stack([*at_root, *left], 1).astype(np.float32)
 
-    return deal
+
+def _held(model: Model, kept: list[int], state: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and values of the words of a bucket."""
+    known = _list(state.column("known"))
+    history = np.concatenate([_list(state.column("past")), _list(state.column("now"))])
+    return _list(state.column("key")).view(np.uint64), known, _values(model, kept, known, history)
 
 
-def _values_of_words(unknown: list[float]):
+def _frequent(model: Model, kept: list[int], total: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, known, values = _held(model, kept, batch.slice(i, 1))
+                at = np.flatnonzero(known >= total / HEAD)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * values.shape[1], pa.int32()), pa.array(values[at].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(known[at]), lists], ["key", "known", "values"])
+
+    return run
+
+
+def _values_of_words(model: Model, kept: list[int]):
+    unknown = _values(model, kept, np.zeros(1), np.zeros(3 * len(kept)))
+
     def answer(rows: pa.Table) -> pa.Table:
-        of_run = rows.column("run").is_valid()
-        held, asked = rows.filter(rows.column("run").is_null()), rows.filter(of_run)
-        key = _list(held.column("key")).view(np.uint64)
-        order = np.argsort(key)
-        key = key[order]
-        known = np.append(_list(held.column("known"))[order], 0)
-        values = np.concatenate([_list(held.column("values")).reshape(-1, len(unknown))[order], [unknown]]).astype(np.float32)
-        wanted = asked.column("key").combine_chunks()
-        want = _list(wanted).view(np.uint64)
+        state, asked = _with(rows, "key"), _with(rows, "run")
+        key, known, values = _held(model, kept, state) if state.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64), unknown[:0])
+        want = _list(asked.column("want")).view(np.uint64)
         at = np.searchsorted(key, want)
-        at[np.append(key, np.uint64(0))[at] != want] = len(key)
-        at[at == len(key)] = -1
-        offsets = np.cumsum([0, *wanted.value_lengths().to_pylist()])
+        at[np.append(key, ~want[-1:])[at] != want] = len(key)
+        known, values = np.append(known, 0), np.concatenate([values, unknown])
+        offsets = np.cumsum([0, *_lengths(asked.column("want"))])
         lists = lambda x, width: pa.ListArray.from_arrays(pa.array(offsets * width, pa.int32()), pa.array(x[at].ravel()))
         return pa.table({
-            "run": asked.column("run"), "bucket": asked.column("bucket"),
-            "known": lists(known.astype(np.int64), 1), "values": lists(values, len(unknown)),
+            "run": asked.column("run"), "to": asked.column("to"), "known": lists(known, 1), "values": lists(values, unknown.shape[1]),
         })
 
     return answer
 
 
-def _scored(buckets: int, total: int, vocabulary: int):
+def _scored(buckets: int, total: int, vocabulary: int, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """The texts of a run, from the answers to its words and pairs."""
 
     def score(rows: pa.Table) -> pa.Table:
-        run = _Run(rows.filter(rows.column("token").is_valid()))
-        answered = lambda c: rows.filter(rows.column(c).is_valid()).sort_by("bucket").column(c)
-        order, _ = run.dealt_words(buckets)
-        known = np.empty(len(order), np.int64)
-        known[order] = _list(answered("known"))
-        values = _list(answered("values")).reshape(len(order), -1)
-        sorted_back = np.empty_like(order)
-        sorted_back[order] = np.arange(len(order))
-        values = values[sorted_back].astype(np.float64)
+        run = _Run(_with(rows, "token"))
+        order, _ = run.dealt_words(buckets, frequent[0])
+        known, values = np.empty(len(run.vocabulary), np.int64), np.empty((len(run.vocabulary), frequent[2].shape[1]))
+        answers = _with(rows, "known", "to")
+        known[order], values[order] = _list(answers.column("known")), _list(answers.column("values")).reshape(-1, values.shape[1])
+        sent = np.ones(len(known), bool)
+        sent[order] = False
+        at = np.searchsorted(frequent[0], run.vocabulary[sent])
+        known[sent], values[sent] = frequent[1][at], frequent[2][at]
         averaged = values.shape[1] // 2
         pairs, place = np.unique(run.codes(), return_inverse=True)
         word, context = run.words_of(pairs)
         order, _ = run.dealt_pairs(word, context, buckets)
         own = np.empty(len(order))
-        own[order] = _list(answered("own"))
+        own[order] = _list(_with(rows, "own", "bucket").column("own"))
         p = own / (CONCENTRATION + known[context])
         for k in range(averaged):
             p += values[word, k] * values[context, averaged + k]
@@ -430,35 +519,6 @@ class Model:
             yield tables, at_root, root_tables
 
 
-def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    x = batch.column(name).to_numpy(zero_copy_only=False)
-    return x.view(np.uint64) if name in ("word", "context") else x
-
-
-def _reseated(model: Model, k: int, share: float):
-    """Entries with their tables after sweep k + 1; `share` of what the sweep leaves of n is added to `own`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = ("word", "context", "n", "t", "of_context", "at_root", "root_tables")
-            word, context, n, *rest = (_column(batch, c) for c in names)
-            t = model.reseat(k, word, context, n, *rest)
-            own = _column(batch, "own") + share * np.maximum(n - model.discount * t, 0)
-            kept = ["word", "context", "n", "head"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(t), pa.array(own)], [*kept, "t", "own"])
-
-    return run
-
-
-def _reseated_root(model: Model, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tables = model.reseat_root(k, _column(batch, "word"), _column(batch, f"a{k + 1}"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tables)], [*batch.schema.names, f"r{k + 1}"])
-
-    return run
-
-
 @contextmanager
 def _settings(spark: SparkSession, **values: str):
     """Sets settings below `spark.sql` for one write."""
@@ -482,8 +542,8 @@ class Written:
     def put(self, *parts: DataFrame) -> DataFrame:
         """Writes the parts one after another."""
         path = new_path(self.spark, self.tag)
-        # the shuffles of a written table are needed no more; a side in small partitions is joined by a hash table
-        with _settings(self.spark, classic__shuffleDependency__fileCleanup__enabled="true", adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED_BYTES):
+        # the shuffles of a written table are needed no more
+        with _settings(self.spark, classic__shuffleDependency__fileCleanup__enabled="true"):
             for df in parts:
                 # rows can be lists of megabytes, so a file's size is looked at after each
                 checked = {f"parquet.{x}.size.row.check.min": "1" for x in ("page", "block")}
@@ -498,109 +558,55 @@ class Written:
         self.path = None
 
 
-def _looked_up(rows: DataFrame, words: DataFrame, contexts: DataFrame) -> DataFrame:
-    """`rows` (word, context, head, ...) with the columns of their words and contexts; all three tables have `head`.
-
-    Rows whose word and context are both frequent are joined where they are, with at most HEAD rows each.
-    """
-    frequent = lambda t: F.broadcast(t.where("head").drop("head"))
-    near = rows.where("head").join(frequent(words), "word").join(frequent(contexts), "context")
-    far = rows.where("not head").join(words.drop("head"), "word").join(contexts.drop("head"), "context")
-    return near.unionByName(far)
-
-
 def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     of_runs, counted, of_pairs, seated, of_words = (Written(spark, tag) for tag in ("runs", "counted", "pairs", "seated", "words"))
     runs = of_runs.put(numbered(docs, "text").mapInArrow(_encoded, RUNS))
     buckets = max(1, -(-(runs.agg(F.sum("tokens")).first()[0] or 0) // BUCKET_TOKENS))
-    dealt = "bucket int, run long, "
-    in_buckets = lambda df, answer, schema: df.groupBy("bucket").applyInArrow(answer, schema)
     texts = runs.select("run", "doc_id", "size", "token", "vocabulary")
-    pairs = counted.put(*[
-        in_buckets(texts.mapInArrow(_pairs_of_runs(buckets, i), dealt + "word array<long>, context array<long>, n array<int>"), _counted, COUNTED)
-        for i in range(ROUNDS)
-    ])
-    counts = pairs.where("run is null")
-    # pairs met more than once; pairs met once only count for their word and context
-    entries = counts.select("word", "context", "n").mapInArrow(_flat, PAIRS)
-    entries = seated.put(entries)
-    kinds = {"known": "long", "as_word": "int", "words": "int", "as_context": "int", "contexts": "int"}
-    words = counts.select("id", *kinds).mapInArrow(_flat, "id long, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
-    words = of_words.put(words.groupBy(F.col("id").alias("word")).agg(*[F.sum(c).alias(c) for c in kinds]))
+    dealt = "bucket int, run long, word array<long>, context array<long>, n array<int>"
+    pairs = counted.put(*[texts.mapInArrow(_pairs_of_runs(buckets, i), dealt).groupBy("bucket").applyInArrow(_counted(buckets), COUNTED) for i in range(ROUNDS)])
     asked = of_pairs.put(pairs.where("run is not null").select("bucket", "run", "at"))
+    entries = seated.put(pairs.where("id is not null").select("bucket", "id", "word", "context", "n", "n2"))
+    words = pairs.where("to is not null").select("to", "bucket", "key", "known", "as_word", "words", "as_context", "contexts", "want")
+    words = of_words.put(words.groupBy("to").applyInArrow(_first_of_words, OF_WORDS))
     counted.drop()
-    total, n1, vocabulary, once, twice = words.agg(
-        F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("as_word"), F.lit(0)), F.count(F.lit(1)), *[F.count_if(F.col("known") == i) for i in (1, 2)]
-    ).first()
-    n2 = entries.where("n = 2").count()
+
+    # after sweep k a word has a<k> customers at r<k> tables of the root, and t<k> tables as a context
+    total, n1, vocabulary, once, twice = words.agg(*[F.coalesce(F.sum(F.col("counts")[i]), F.lit(0)) for i in range(5)]).first()
+    n2 = entries.agg(F.coalesce(F.sum("n2"), F.lit(0))).first()[0]
     discount = lambda n1, n2: min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
     model = Model(vocabulary, np.empty(0), discount(n1, n2), discount(once, twice))
-
-    # after sweep k a word has a<k> customers at r<k> tables of the root, and t<k> tables as a context; a word met once
-    # has one of each for good
-    met_once = Written(spark, "once").put(words.where("known = 1").select("word"))
-    words = of_words.put(words.where("known > 1").select(
-        "word", "known", "as_word", "as_context", (F.col("known") * HEAD >= total).alias("head"),
-        F.col("words").cast("double").alias("a0"), F.lit(1.0).alias("r0"), F.col("contexts").cast("double").alias("t0"),
-    ))
-    kept = range(sweeps - averaged + 1, sweeps + 1)
+    kept = list(range(sweeps - averaged + 1, sweeps + 1))
     share = lambda k: 1 / averaged if k in kept else 0.0
-    # the frequent ones are written by themselves, since the tables they come from are replaced
-    common = Written(spark, "common").put(words.where("head").select("word"))
-    flag = lambda key: F.broadcast(common.select(F.col("word").alias(key), F.lit(True).alias(f"common_{key}")))
-    entries = entries.join(flag("word"), "word", "left").join(flag("context"), "context", "left").select(
-        "word", "context", "n", (F.col("common_word").isNotNull() & F.col("common_context").isNotNull()).alias("head"),
-        F.lit(1.0).alias("t"), (share(0) * (F.col("n") - model.discount)).alias("own"),
-    )
     for k in range(sweeps + 1):
-        customers, root_tables = words.agg(F.sum(f"a{k}"), F.sum(f"r{k}")).first()
-        model.root_customers.append((customers or 0.0) + once)
-        model.root_tables.append((root_tables or 0.0) + once)
+        customers, root_tables = words.agg(F.sum("customers"), F.sum("tables")).first()
+        model.root_customers.append(customers or 0.0)
+        model.root_tables.append(root_tables or 0.0)
         if k == sweeps:
             break
-        now = _looked_up(
-            entries, words.select("word", F.col(f"a{k}").alias("at_root"), F.col(f"r{k}").alias("root_tables"), "head"),
-            words.select(F.col("word").alias("context"), F.col(f"t{k}").alias("of_context"), "head"),
-        )
-        entries = seated.put(now.mapInArrow(_reseated(model, k, share(k + 1)), PAIRS + ", head boolean, t double, own double"))
-        of = lambda key: entries.select(F.col(key).alias("word"), *[(F.col("t") if c == key else F.lit(0.0)).alias(f"of_{c}") for c in ("word", "context")])
-        more = of("word").unionByName(of("context")).groupBy("word").agg(F.sum("of_word").alias("of_word"), F.sum("of_context").alias("of_context"))
-        now_has = lambda c: (F.col(f"as_{c}") + F.coalesce(f"of_{c}", F.lit(0.0))).cast("double")
-        needed = [f"{c}{i}" for i in range(k + 1) if i in kept or i == k for c in "art"]
-        words = words.join(more, "word", "left").select(
-            "word", "known", "as_word", "as_context", "head", *needed, now_has("word").alias(f"a{k + 1}"), now_has("context").alias(f"t{k + 1}")
-        )
-        schema = ", ".join(f"{c} {t}" for c, t in words.dtypes)
-        words = of_words.put(words.mapInArrow(_reseated_root(model, k), f"{schema}, r{k + 1} double"))
-
-    # of a word: its probability at the root after each kept sweep; then what its restaurant leaves to the root
-    weight = lambda k, t, customers: (CONCENTRATION + model.discount * t) / (averaged * (CONCENTRATION + customers))
-    chance = lambda k, a, r: (
-        (a - model.root_discount * r + (CONCENTRATION + model.root_discount * model.root_tables[k]) * model.base()) / (CONCENTRATION + model.root_customers[k])
-    )
-    constant = lambda a, r, t, known: [chance(k, a, r) for k in kept] + [weight(k, t, known) for k in kept]
-    floats = lambda columns: F.array(*columns).cast("array<float>").alias("values")
-    known = words.select("word", "known", floats(
-        [chance(k, F.col(f"a{k}"), F.col(f"r{k}")) for k in kept] + [weight(k, F.col(f"t{k}"), F.col("known")) for k in kept]
-    )).unionByName(met_once.select("word", F.lit(1).cast("long").alias("known"), floats(map(F.lit, constant(1, 1, 1, 1)))))
-
-    owned = entries.select("word", "context", "own").mapInArrow(_owned(buckets), dealt + "key array<long>, own array<float>")
-    own = in_buckets(asked.unionByName(owned, True), _own_of_pairs(1 - model.discount), dealt + "own array<float>")
-    own = Written(spark, "own").put(own)
+        entries = entries.where("id is not null").unionByName(words.where("told is not null").select("bucket", "to", "told"), True)
+        entries = seated.put(entries.groupBy("bucket").applyInArrow(_reseated(model, k, share(0), share(k + 1)), SEATED))
+        words = words.drop("told", "counts", "customers", "tables").unionByName(entries.where("sums is not null").select("to", "bucket", "sums"), True)
+        words = of_words.put(words.groupBy("to").applyInArrow(_next_of_words(model, k, k in kept), OF_WORDS))
+
+    own = asked.unionByName(entries.where("own is not null").select("bucket", "own"), True)
+    own = Written(spark, "own").put(own.groupBy("bucket").applyInArrow(_own_of_pairs(1 - model.discount), "run long, bucket int, own array<float>"))
     for done in (of_pairs, seated):
         done.drop()
-    values = "known array<long>, values array<float>"
-    known = known.mapInArrow(_known_words(buckets), dealt + "key array<long>, " + values)
-    asked = texts.mapInArrow(_words_of_runs(buckets), dealt + "key array<long>")
-    known = in_buckets(asked.unionByName(known, True), _values_of_words(constant(0, 0, 0, 0)), dealt + values)
+    words = words.where("key is not null").select("to", "key", "known", "past", "now")
+    frequent = words.drop("to").mapInArrow(_frequent(model, kept, total), "key long, known long, values array<float>").toArrow()
+    frequent = [frequent.column("key").to_numpy().view(np.uint64), frequent.column("known").to_numpy(), _list(frequent.column("values")).reshape(-1, 2 * averaged)]
+    frequent = tuple(x[np.argsort(frequent[0])] for x in frequent)
+    known = texts.mapInArrow(_words_of_runs(buckets, frequent[0]), "to int, run long, want array<long>").unionByName(words, True)
+    known = known.groupBy("to").applyInArrow(_values_of_words(model, kept), "run long, to int, known array<long>, values array<float>")
     known = Written(spark, "known").put(known)
     of_words.drop()
     answered = texts.unionByName(own, True).unionByName(known, True)
     result = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     scored = Written(spark, "scored").put(*[
-        answered.where(F.pmod(F.xxhash64("run"), F.lit(ROUNDS)) == i).groupBy("run").applyInArrow(_scored(buckets, total, vocabulary), result)
+        answered.where(F.pmod(F.xxhash64("run"), F.lit(ROUNDS)) == i).groupBy("run").applyInArrow(_scored(buckets, total, vocabulary, frequent), result)
         for i in range(ROUNDS)
     ])
     own = own_id()
