@@ -24,7 +24,7 @@ run which of its pairs was meant. After the sweeps it answers every run with wha
 these pairs, in the order of the run; words are looked up likewise, but for those with one HEAD-th of the tokens,
 HEAD at most, which are sent to all tasks. The score of a text is the sum of
 log10 of the predictive probabilities, each averaged over the last sweeps, worked out per run from these
-answers. Pairs and runs are handled in ROUNDS, whose shuffles are removed before the next, which bounds disk.
+answers. Pairs and runs are handled in rounds, whose shuffles are removed before the next, which bounds disk.
 
 Edge cases: a null or empty text is its end token; every row is scored on its own, whatever doc_id it
 shares; a null doc_id stays one; words of held-out texts that training lacks get the unknown word's
@@ -54,8 +54,8 @@ GROUP = 64
 HEAD = 1 << 18
 #: Tokens of a run of texts, which stay whole; tokens for which there is one bucket of pairs and one of words.
 RUN_TOKENS, BUCKET_TOKENS = 1 << 21, 1 << 20
-#: Parts in which the pairs are counted, and the runs scored.
-ROUNDS = 2
+#: Parts in which the pairs are counted, by their words, and the runs scored.
+ROUNDS, RUN_ROUNDS = 4, 2
 CONCENTRATION = 1.0
 #: The end token's hash; a word's hash is never this one but by chance of 1 in 2^64.
 END = np.uint64(0x1D8E4E27C47D124F)
@@ -65,18 +65,28 @@ def in_training(doc_id: int) -> bool:
     return zlib.crc32(b"" if doc_id == NO_ID else str(doc_id).encode()) % 7 != 2
 
 
-RUNS = "run long, tokens long, doc_id array<long>, size array<int>, token array<int>, vocabulary array<long>"
+#: Lists of numbers are binary columns of these kinds, which Spark copies whole.
+KINDS = {
+    "int32": ("size", "token", "at", "n", "word_at", "context_at", "as_word", "words", "as_context", "contexts"),
+    "int64": ("doc_id", "count", "known"), "uint64": ("vocabulary", "word", "context", "id", "key", "want"),
+    "float32": ("own", "values"), "float64": ("t", "kept", "sums", "now", "past", "told"),
+}
+DTYPE = {name: np.dtype(kind) for kind, names in KINDS.items() for name in names}
+RUNS = "run long, tokens long, doc_id binary, size binary, token binary, vocabulary binary"
 #: What a bucket of pairs holds: places among its runs' pairs; pairs met more than once; shares in the words' counts; words it needs.
 COUNTED = (
-    "bucket int, run long, at array<int>, n2 long, id array<long>, word array<int>, context array<int>, n array<long>, "
-    "to int, key array<long>, known array<long>, as_word array<int>, words array<int>, as_context array<int>, contexts array<int>, want array<long>"
+    "bucket int, run long, at binary, n2 long, id binary, word_at binary, context_at binary, count binary, "
+    "to int, key binary, known binary, as_word binary, words binary, as_context binary, contexts binary, want binary"
 )
-SEATED = "bucket int, id array<long>, word array<int>, context array<int>, n array<long>, t array<double>, own array<double>, to int, sums array<double>"
+PAIRS = "bucket int, run long, word binary, context binary, n binary"
+OWN, ASKED, VALUES = "run long, bucket int, own binary", "to int, run long, want binary", "run long, to int, known binary, values binary"
+FREQUENT = "key binary, known binary, values binary"
+SEATED = "bucket int, id binary, word_at binary, context_at binary, count binary, t binary, kept binary, to int, sums binary"
 #: Of a bucket of words: its words with a, r, t (customers and tables at the root, tables as a context), now and in the
 #: kept sweeps before, a third each; for each bucket of pairs the places of words it needs, and what it is told of them.
 OF_WORDS = (
-    "to int, key array<long>, known array<long>, as_word array<int>, as_context array<int>, now array<double>, past array<double>, "
-    "counts array<long>, customers double, tables double, bucket int, at array<int>, told array<double>"
+    "to int, key binary, known binary, as_word binary, as_context binary, now binary, past binary, "
+    "total long, singles long, vocabulary_size long, once long, twice long, customers double, tables double, bucket int, at binary, told binary"
 )
 
 
@@ -97,9 +107,8 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = iter(places)
         next(words)
         vocabulary = np.concatenate([[END], np.fromiter(map(known.__getitem__, words), np.uint64, len(places) - 1)])
-        columns = [np.array(ids, np.int64), np.array([len(t) for t in tokens], np.int32), np.concatenate(tokens), vocabulary.view(np.int64)]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(columns[2])]), *lists], ["run", "tokens", "doc_id", "size", "token", "vocabulary"])
+        lists = {"doc_id": np.array(ids, np.int64), "size": np.array([len(t) for t in tokens]), "token": np.concatenate(tokens), "vocabulary": vocabulary}
+        return _table(RUNS, [{"run": number, "tokens": len(lists["token"]), **lists}]).to_batches()[0]
 
     ids, tokens, places, held = [], [], _Places({b"": 0}), 0
     for batch in batches:
@@ -117,10 +126,31 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield run(ids, tokens, places)
 
 
-def _list(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """The values of all lists of a column, one after another; hashes as the unsigned numbers they are."""
+def _list(rows: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    """The numbers of a column, row after row."""
+    column = rows.column(name)
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False)
+    if not len(column) or not column.buffers()[2]:
+        return np.empty(0, DTYPE[name])
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], DTYPE[name], (ends[-1] - ends[0]) // DTYPE[name].itemsize, ends[0])
+
+
+def _lists(rows: pa.Table, name: str) -> list[np.ndarray]:
+    """The same, row by row."""
+    return [np.frombuffer(x, DTYPE[name]) for x in rows.column(name).to_pylist()]
+
+
+def _table(schema: str, rows: list[dict]) -> pa.Table:
+    """Rows of numbers and arrays under the columns of a schema."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    columns = {}
+    for name, kind in (c.split() for c in schema.split(", ")):
+        found = [r.get(name) for r in rows]
+        if kind == "binary":
+            found = [None if x is None else x.astype(DTYPE[name], copy=False).tobytes() for x in found]
+        columns[name] = pa.array(found, kinds[kind])
+    return pa.table(columns)
 
 
 def _pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -131,27 +161,30 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
 
 
+def _turn(word: np.ndarray) -> np.ndarray:
+    """The round in which pairs of a word are counted."""
+    return (word % np.uint64(ROUNDS)).astype(np.uint16)
+
+
 def _changes(values: np.ndarray) -> np.ndarray:
     """Where a new value begins."""
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
 
 
-def _dealt(bucket: np.ndarray, run: int | None, **columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket with the values of its items; bucket: ascending, columns: one value or more for each item."""
+def _dealt(schema: str, bucket: np.ndarray, run: int, **columns: np.ndarray) -> list[pa.RecordBatch]:
+    """A row for each bucket with the values of its items; schema: of the bucket, the run and these; bucket: ascending."""
     new = _changes(bucket)
-    ends = np.append(new, len(bucket))
-    lists = [pa.ListArray.from_arrays(pa.array(ends * (len(c) // max(1, len(bucket))), pa.int32()), pa.array(c)) for c in columns.values()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[new].astype(np.int32)), pa.array([run] * len(new), pa.int64()), *lists], ["bucket", "run", *columns]
-    )
+    name = schema.split()[0]
+    parts = zip(*[np.split(c, new[1:]) for c in columns.values()], strict=True)
+    return _table(schema, [{name: to, "run": run, **dict(zip(columns, part, strict=True))} for to, part in zip(bucket[new].tolist(), parts)]).to_batches()
 
 
 class _Run:
     """A run's tokens, and its distinct pairs dealt into buckets."""
 
     def __init__(self, row: pa.RecordBatch | pa.Table):
-        self.ids, self.size = _list(row.column("doc_id")), _list(row.column("size"))
-        self.token, self.vocabulary = _list(row.column("token")).astype(np.int64), _list(row.column("vocabulary")).view(np.uint64)
+        self.ids, self.size, token, self.vocabulary = (_list(row, c) for c in ("doc_id", "size", "token", "vocabulary"))
+        self.token = token.astype(np.int64)
 
     def codes(self) -> np.ndarray:
         """Each token's word and the word before it; texts follow each other and end in the end token, word 0."""
@@ -162,7 +195,9 @@ class _Run:
 
     def dealt_pairs(self, word: np.ndarray, context: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """The order in which pairs are dealt, and the bucket of each."""
-        bucket = _bucket(_pair_key(self.vocabulary[word], self.vocabulary[context]), buckets)
+        hashes = self.vocabulary[word]
+        part = _bucket(_pair_key(hashes, self.vocabulary[context]), -(-buckets // ROUNDS))
+        bucket = part * part.dtype.type(ROUNDS) + _turn(hashes)
         order = np.argsort(bucket, kind="stable")
         return order, bucket[order]
 
@@ -186,48 +221,24 @@ def _pairs_of_runs(buckets: int, turn: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, run in _runs(batches):
             held = np.repeat([not in_training(i) for i in run.ids.tolist()], run.size)
-            codes = np.sort(run.codes() << 1 | held)
+            mine = (_turn(run.vocabulary) == turn)[run.token]
+            codes = np.sort(run.codes()[mine] << 1 | held[mine])
             new = _changes(codes >> 1)
-            n = np.add.reduceat(1 - (codes & 1), new).astype(np.int32)
-            word, context = run.words_of(codes[new] >> 1)
-            order, bucket = run.dealt_pairs(word, context, buckets)
-            mine = bucket % ROUNDS == turn
-            order, bucket = order[mine], bucket[mine]
-            hashes = [run.vocabulary[x[order]].view(np.int64) for x in (word, context)]
-            if len(order):
-                yield _dealt(bucket, number, word=hashes[0], context=hashes[1], n=n[order])
+            if len(new):
+                n = np.add.reduceat(1 - (codes & 1), new)
+                word, context = run.words_of(codes[new] >> 1)
+                order, bucket = run.dealt_pairs(word, context, buckets)
+                yield from _dealt(PAIRS, bucket, number, word=run.vocabulary[word[order]], context=run.vocabulary[context[order]], n=n[order])
 
     return deal
 
 
-def _table(schema: str, rows: list[dict]) -> pa.Table:
-    """Rows of numbers and arrays under the columns of a schema."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "float": pa.float32()}
-    columns = {}
-    for name, kind in (c.split() for c in schema.split(", ")):
-        value = kinds[kind.removeprefix("array<").rstrip(">")]
-        found = [r.get(name) for r in rows]
-        if kind.startswith("array"):
-            numbers = value.to_pandas_dtype()
-            whole = [np.empty(0, numbers) if x is None else (x.view(np.int64) if x.dtype == np.uint64 else x).astype(numbers) for x in found]
-            offsets = pa.array(np.cumsum([0, *map(len, whole)]), pa.int32())
-            items = pa.array(np.concatenate(whole), value)
-            columns[name] = pa.ListArray.from_arrays(offsets, items, mask=pa.array([x is None for x in found], pa.bool_()))
-        else:
-            columns[name] = pa.array(found, value)
-    return pa.table(columns)
-
-
 def _with(rows: pa.Table, column: str, by: str | None = None) -> pa.Table:
     """The rows that have a column, in the order of another."""
     rows = rows.filter(rows.column(column).is_valid())
     return rows.sort_by(by) if by else rows
 
 
-def _lengths(column: pa.ChunkedArray) -> list[int]:
-    return column.combine_chunks().value_lengths().to_pylist()
-
-
 def _split(ids: np.ndarray, buckets: int, *columns: np.ndarray) -> tuple[list[int], list[tuple[np.ndarray, ...]]]:
     """The buckets of ascending hashes, and the part of each column that goes there."""
     bucket = _bucket(ids, buckets)
@@ -244,22 +255,22 @@ def _counted(buckets: int):
 
     def count(rows: pa.Table) -> pa.Table:
         number = rows.column("bucket")[0].as_py()
-        word, context = (_list(rows.column(c)).view(np.uint64) for c in ("word", "context"))
+        word, context = (_list(rows, c) for c in ("word", "context"))
         key = _pair_key(word, context)
         order = np.argsort(key)
         new = _changes(key[order])
-        n = np.add.reduceat(_list(rows.column("n")).astype(np.int64)[order], new)
+        n = np.add.reduceat(_list(rows, "n").astype(np.int64)[order], new)
         often = n > 1
         at = np.empty(len(key), np.int32)
         at[order] = np.repeat(np.where(often, np.cumsum(often) + 1, n), np.diff(new, append=len(key)))
-        parts = np.split(at, np.cumsum(_lengths(rows.column("word")))[:-1])
+        parts = np.split(at, np.cumsum([len(x) for x in _lists(rows, "n")])[:-1])
         out = [{"run": run, "at": part} for run, part in zip(rows.column("run").to_pylist(), parts, strict=True)]
 
         first = order[new]
         word, context, met = word[first], context[first], n > 0
         needed, place = np.unique(np.concatenate([word[often], context[often]]), return_inverse=True)
         of_word, of_context = place.reshape(2, -1)
-        out.append({"id": needed, "word": of_word, "context": of_context, "n": n[often], "n2": int((n == 2).sum())})
+        out.append({"id": needed, "word_at": of_word, "context_at": of_context, "count": n[often], "n2": int((n == 2).sum())})
         for to, want in zip(*_split(needed, buckets, needed), strict=True):
             out.append({"to": to, "want": want[0]})
 
@@ -284,16 +295,16 @@ def _told(to: int, state: dict, asked: list[tuple[int, np.ndarray]]) -> pa.Table
 
 def _first_of_words(rows: pa.Table) -> pa.Table:
     shares, wants = _with(rows, "key"), _with(rows, "want", "bucket")
-    key, place = np.unique(_list(shares.column("key")).view(np.uint64), return_inverse=True)
+    key, place = np.unique(_list(shares, "key"), return_inverse=True)
     known, as_word, words, as_context, contexts = (
-        np.bincount(place, _list(shares.column(c)), len(key)) for c in ("known", "as_word", "words", "as_context", "contexts")
+        np.bincount(place, _list(shares, c), len(key)) for c in ("known", "as_word", "words", "as_context", "contexts")
     )
-    parts = np.split(np.searchsorted(key, _list(wants.column("want")).view(np.uint64)), np.cumsum(_lengths(wants.column("want")))[:-1]) if wants.num_rows else []
     state = {
-        "key": key, "known": known, "as_word": as_word, "as_context": as_context, "now": np.concatenate([words, np.ones(len(key)), contexts]),
-        "past": np.empty(0), "counts": np.array([known.sum(), as_word.sum(), len(key), (known == 1).sum(), (known == 2).sum()]),
+        "key": key, "known": known, "as_word": as_word, "as_context": as_context, "now": np.concatenate([words, np.ones(len(key)), contexts]), "past": np.empty(0),
+        "total": int(known.sum()), "singles": int(as_word.sum()), "vocabulary_size": len(key), "once": int((known == 1).sum()), "twice": int((known == 2).sum()),
     }
-    return _told(rows.column("to")[0].as_py(), state, list(zip(wants.column("bucket").to_pylist(), parts, strict=True)))
+    asked = [np.searchsorted(key, want) for want in _lists(wants, "want")]
+    return _told(rows.column("to")[0].as_py(), state, list(zip(wants.column("bucket").to_pylist(), asked, strict=True)))
 
 
 def _next_of_words(model: Model, k: int, keep: bool):
@@ -301,17 +312,16 @@ def _next_of_words(model: Model, k: int, keep: bool):
 
     def run(rows: pa.Table) -> pa.Table:
         old, asked, sums = _with(rows, "key"), _with(rows, "at", "bucket"), _with(rows, "sums", "bucket")
-        key = _list(old.column("key")).view(np.uint64)
-        at = np.split(_list(asked.column("at")), np.cumsum(_lengths(asked.column("at")))[:-1]) if asked.num_rows else []
+        key, at = _list(old, "key"), _lists(asked, "at")
         of_word, of_context = np.zeros((2, len(key)))
-        for places, row in zip(at, range(sums.num_rows), strict=True):  # a bucket of pairs has each word once
-            more = _list(sums.column("sums").slice(row, 1)).reshape(2, -1)
+        for places, more in zip(at, _lists(sums, "sums"), strict=True):  # a bucket of pairs has each word once
+            more = more.reshape(2, -1)
             of_word[places] += more[0]
             of_context[places] += more[1]
-        a = _list(old.column("as_word")) + of_word
-        now, past = _list(old.column("now")), _list(old.column("past"))
-        state = {c: _list(old.column(c)) for c in ("key", "known", "as_word", "as_context")} | {
-            "now": np.concatenate([a, model.reseat_root(k, key, a), _list(old.column("as_context")) + of_context]),
+        a = _list(old, "as_word") + of_word
+        now, past = _list(old, "now"), _list(old, "past")
+        state = {c: _list(old, c) for c in ("key", "known", "as_word", "as_context")} | {
+            "now": np.concatenate([a, model.reseat_root(k, key, a), _list(old, "as_context") + of_context]),
             "past": np.concatenate([past, now]) if keep else past,
         }
         return _told(rows.column("to")[0].as_py(), state, list(zip(asked.column("bucket").to_pylist(), at, strict=True)))
@@ -322,21 +332,20 @@ def _next_of_words(model: Model, k: int, keep: bool):
 def _reseated(model: Model, k: int, before: float, share: float):
     """A bucket's pairs with their tables after sweep k + 1, summed by word and by context for the buckets of these.
 
-    `share` of what the sweep leaves of n is added to `own`, and `before` of what there is before the first sweep.
+    `share` of what the sweep leaves of n is added to `kept`, and `before` of what there is before the first sweep.
     """
 
     def run(rows: pa.Table) -> pa.Table:
         old, told = _with(rows, "id"), _with(rows, "told", "to")
-        ids, word, context, n = (_list(old.column(c)) for c in ("id", "word", "context", "n"))
-        ids = ids.view(np.uint64)
-        each = [_list(told.column("told").slice(i, 1)).reshape(3, -1) for i in range(told.num_rows)]
+        ids, word, context, n = (_list(old, c) for c in ("id", "word_at", "context_at", "count"))
+        each = [x.reshape(3, -1) for x in _lists(told, "told")]
         at_root, root_tables, as_context = np.concatenate([np.empty((3, 0)), *each], 1)
-        tables = _list(old.column("t")) if k else np.ones(len(n))
-        own = _list(old.column("own")) if k else before * (n - model.discount)
+        tables = _list(old, "t") if k else np.ones(len(n))
+        kept = _list(old, "kept") if k else before * (n - model.discount)
         t = model.reseat(k, ids[word], ids[context], n, tables, as_context[context], at_root[word], root_tables[word])
         sums = np.stack([np.bincount(side, t, len(ids)) for side in (word, context)])
         parts = np.split(sums, np.cumsum([x.shape[1] for x in each])[:-1], 1) if each else []
-        out = [{"id": ids, "word": word, "context": context, "n": n, "t": t, "own": own + share * np.maximum(n - model.discount * t, 0)}]
+        out = [{"id": ids, "word_at": word, "context_at": context, "count": n, "t": t, "kept": kept + share * np.maximum(n - model.discount * t, 0)}]
         out += [{"to": to, "sums": part.ravel()} for to, part in zip(told.column("to").to_pylist(), parts, strict=True)]
         return _table(SEATED, [{"bucket": rows.column("bucket")[0].as_py(), **row} for row in out])
 
@@ -345,11 +354,10 @@ def _reseated(model: Model, k: int, before: float, share: float):
 
 def _own_of_pairs(single: float):
     def answer(rows: pa.Table) -> pa.Table:
-        own = np.concatenate([[0, single], _list(_with(rows, "own").column("own"))]).astype(np.float32)
+        own = np.concatenate([[0, single], _list(_with(rows, "kept"), "kept")]).astype(np.float32)
         asked = _with(rows, "run")
-        at = asked.column("at").combine_chunks()
-        offsets = pa.array(np.cumsum([0, *at.value_lengths().to_pylist()]), pa.int32())
-        return pa.table({"run": asked.column("run"), "bucket": asked.column("bucket"), "own": pa.ListArray.from_arrays(offsets, pa.array(own[_list(at)]))})
+        to = zip(asked.column("run").to_pylist(), asked.column("bucket").to_pylist(), _lists(asked, "at"), strict=True)
+        return _table(OWN, [{"run": run, "bucket": bucket, "own": own[at]} for run, bucket, at in to])
 
     return answer
 
@@ -359,8 +367,7 @@ def _words_of_runs(buckets: int, frequent: np.ndarray):
         for number, run in _runs(batches):
             order, bucket = run.dealt_words(buckets, frequent)
             if len(order):
-                rows = _dealt(bucket, number, want=run.vocabulary[order].view(np.int64))
-                yield rows.rename_columns(["to", "run", "want"])
+                yield from _dealt(ASKED, bucket, number, want=run.vocabulary[order])
 
     return deal
 
@@ -378,9 +385,8 @@ def _values(model: Model, kept: list[int], known: np.ndarray, history: np.ndarra
 
 def _held(model: Model, kept: list[int], state: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, counts and values of the words of a bucket."""
-    known = _list(state.column("known"))
-    history = np.concatenate([_list(state.column("past")), _list(state.column("now"))])
-    return _list(state.column("key")).view(np.uint64), known, _values(model, kept, known, history)
+    known = _list(state, "known")
+    return _list(state, "key"), known, _values(model, kept, known, np.concatenate([_list(state, "past"), _list(state, "now")]))
 
 
 def _frequent(model: Model, kept: list[int], total: int):
@@ -389,8 +395,7 @@ def _frequent(model: Model, kept: list[int], total: int):
             for i in range(batch.num_rows):
                 key, known, values = _held(model, kept, batch.slice(i, 1))
                 at = np.flatnonzero(known >= total / HEAD)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * values.shape[1], pa.int32()), pa.array(values[at].ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(known[at]), lists], ["key", "known", "values"])
+                yield from _table(FREQUENT, [{"key": key[at], "known": known[at], "values": values[at]}]).to_batches()
 
     return run
 
@@ -401,15 +406,12 @@ def _values_of_words(model: Model, kept: list[int]):
     def answer(rows: pa.Table) -> pa.Table:
         state, asked = _with(rows, "key"), _with(rows, "run")
         key, known, values = _held(model, kept, state) if state.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64), unknown[:0])
-        want = _list(asked.column("want")).view(np.uint64)
-        at = np.searchsorted(key, want)
-        at[np.append(key, ~want[-1:])[at] != want] = len(key)
-        known, values = np.append(known, 0), np.concatenate([values, unknown])
-        offsets = np.cumsum([0, *_lengths(asked.column("want"))])
-        lists = lambda x, width: pa.ListArray.from_arrays(pa.array(offsets * width, pa.int32()), pa.array(x[at].ravel()))
-        return pa.table({
-            "run": asked.column("run"), "to": asked.column("to"), "known": lists(known, 1), "values": lists(values, unknown.shape[1]),
-        })
+        known, values, out = np.append(known, 0), np.concatenate([values, unknown]), []
+        for run, to, want in zip(asked.column("run").to_pylist(), asked.column("to").to_pylist(), _lists(asked, "want"), strict=True):
+            at = np.searchsorted(key, want)
+            at[np.append(key, np.uint64(0))[at] != want] = len(key)
+            out.append({"run": run, "to": to, "known": known[at], "values": values[at]})
+        return _table(VALUES, out)
 
     return answer
 
@@ -422,7 +424,7 @@ def _scored(buckets: int, total: int, vocabulary: int, frequent: tuple[np.ndarra
         order, _ = run.dealt_words(buckets, frequent[0])
         known, values = np.empty(len(run.vocabulary), np.int64), np.empty((len(run.vocabulary), frequent[2].shape[1]))
         answers = _with(rows, "known", "to")
-        known[order], values[order] = _list(answers.column("known")), _list(answers.column("values")).reshape(-1, values.shape[1])
+        known[order], values[order] = _list(answers, "known"), _list(answers, "values").reshape(-1, values.shape[1])
         sent = np.ones(len(known), bool)
         sent[order] = False
         at = np.searchsorted(frequent[0], run.vocabulary[sent])
@@ -432,7 +434,7 @@ def _scored(buckets: int, total: int, vocabulary: int, frequent: tuple[np.ndarra
         word, context = run.words_of(pairs)
         order, _ = run.dealt_pairs(word, context, buckets)
         own = np.empty(len(order))
-        own[order] = _list(_with(rows, "own", "bucket").column("own"))
+        own[order] = _list(_with(rows, "own", "bucket"), "own")
         p = own / (CONCENTRATION + known[context])
         for k in range(averaged):
             p += values[word, k] * values[context, averaged + k]
@@ -545,7 +547,7 @@ class Written:
         # the shuffles of a written table are needed no more
         with _settings(self.spark, classic__shuffleDependency__fileCleanup__enabled="true"):
             for df in parts:
-                # rows can be lists of megabytes, so a file's size is looked at after each
+                # rows can be of megabytes, so a file's size is looked at after each
                 checked = {f"parquet.{x}.size.row.check.min": "1" for x in ("page", "block")}
                 df.write.mode("append").options(compression="zstd", **checked).parquet(path)
         self.drop()
@@ -565,16 +567,15 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED)
     runs = of_runs.put(numbered(docs, "text").mapInArrow(_encoded, RUNS))
     buckets = max(1, -(-(runs.agg(F.sum("tokens")).first()[0] or 0) // BUCKET_TOKENS))
     texts = runs.select("run", "doc_id", "size", "token", "vocabulary")
-    dealt = "bucket int, run long, word array<long>, context array<long>, n array<int>"
-    pairs = counted.put(*[texts.mapInArrow(_pairs_of_runs(buckets, i), dealt).groupBy("bucket").applyInArrow(_counted(buckets), COUNTED) for i in range(ROUNDS)])
+    pairs = counted.put(*[texts.mapInArrow(_pairs_of_runs(buckets, i), PAIRS).groupBy("bucket").applyInArrow(_counted(buckets), COUNTED) for i in range(ROUNDS)])
     asked = of_pairs.put(pairs.where("run is not null").select("bucket", "run", "at"))
-    entries = seated.put(pairs.where("id is not null").select("bucket", "id", "word", "context", "n", "n2"))
+    entries = seated.put(pairs.where("id is not null").select("bucket", "id", "word_at", "context_at", "count", "n2"))
     words = pairs.where("to is not null").select("to", "bucket", "key", "known", "as_word", "words", "as_context", "contexts", "want")
     words = of_words.put(words.groupBy("to").applyInArrow(_first_of_words, OF_WORDS))
     counted.drop()
 
     # after sweep k a word has a<k> customers at r<k> tables of the root, and t<k> tables as a context
-    total, n1, vocabulary, once, twice = words.agg(*[F.coalesce(F.sum(F.col("counts")[i]), F.lit(0)) for i in range(5)]).first()
+    total, n1, vocabulary, once, twice = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "singles", "vocabulary_size", "once", "twice")]).first()
     n2 = entries.agg(F.coalesce(F.sum("n2"), F.lit(0))).first()[0]
     discount = lambda n1, n2: min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
     model = Model(vocabulary, np.empty(0), discount(n1, n2), discount(once, twice))
@@ -588,26 +589,26 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, averaged: int = AVERAGED)
             break
         entries = entries.where("id is not null").unionByName(words.where("told is not null").select("bucket", "to", "told"), True)
         entries = seated.put(entries.groupBy("bucket").applyInArrow(_reseated(model, k, share(0), share(k + 1)), SEATED))
-        words = words.drop("told", "counts", "customers", "tables").unionByName(entries.where("sums is not null").select("to", "bucket", "sums"), True)
+        words = words.select("to", "key", "known", "as_word", "as_context", "now", "past", "bucket", "at").unionByName(entries.where("sums is not null").select("to", "bucket", "sums"), True)
         words = of_words.put(words.groupBy("to").applyInArrow(_next_of_words(model, k, k in kept), OF_WORDS))
 
-    own = asked.unionByName(entries.where("own is not null").select("bucket", "own"), True)
-    own = Written(spark, "own").put(own.groupBy("bucket").applyInArrow(_own_of_pairs(1 - model.discount), "run long, bucket int, own array<float>"))
+    own = asked.unionByName(entries.where("kept is not null").select("bucket", "kept"), True)
+    own = Written(spark, "own").put(own.groupBy("bucket").applyInArrow(_own_of_pairs(1 - model.discount), OWN))
     for done in (of_pairs, seated):
         done.drop()
     words = words.where("key is not null").select("to", "key", "known", "past", "now")
-    frequent = words.drop("to").mapInArrow(_frequent(model, kept, total), "key long, known long, values array<float>").toArrow()
-    frequent = [frequent.column("key").to_numpy().view(np.uint64), frequent.column("known").to_numpy(), _list(frequent.column("values")).reshape(-1, 2 * averaged)]
+    frequent = words.drop("to").mapInArrow(_frequent(model, kept, total), FREQUENT).toArrow()
+    frequent = [_list(frequent, "key"), _list(frequent, "known"), _list(frequent, "values").reshape(-1, 2 * averaged)]
     frequent = tuple(x[np.argsort(frequent[0])] for x in frequent)
-    known = texts.mapInArrow(_words_of_runs(buckets, frequent[0]), "to int, run long, want array<long>").unionByName(words, True)
-    known = known.groupBy("to").applyInArrow(_values_of_words(model, kept), "run long, to int, known array<long>, values array<float>")
+    known = texts.mapInArrow(_words_of_runs(buckets, frequent[0]), ASKED).unionByName(words, True)
+    known = known.groupBy("to").applyInArrow(_values_of_words(model, kept), VALUES)
     known = Written(spark, "known").put(known)
     of_words.drop()
     answered = texts.unionByName(own, True).unionByName(known, True)
     result = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     scored = Written(spark, "scored").put(*[
-        answered.where(F.pmod(F.xxhash64("run"), F.lit(ROUNDS)) == i).groupBy("run").applyInArrow(_scored(buckets, total, vocabulary, frequent), result)
-        for i in range(ROUNDS)
+        answered.where(F.pmod(F.xxhash64("run"), F.lit(RUN_ROUNDS)) == i).groupBy("run").applyInArrow(_scored(buckets, total, vocabulary, frequent), result)
+        for i in range(RUN_ROUNDS)
     ])
     own = own_id()
     return scored.select(

@@ -1,10 +1,13 @@
 """Every operator against a brute-force version, on odd and copied texts."""
 
 import base64
+import contextlib
 import hashlib
 import math
+import os
 import random
 import re
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -500,6 +503,42 @@ def test_frequent_words_sent_and_rare_words_joined_score_alike(make, monkeypatch
         assert math.isclose(runs[0][i], runs[1][i], rel_tol=1e-9)
 
 
+def test_disk_of_the_language_model_is_bounded(spark, make):
+    """Files of all kinds at their most, per token: one written form of the texts, and pairs dealt in rounds."""
+    rnd = random.Random(4)
+    docs = [(i, " ".join(f"w{int(rnd.paretovariate(0.5)) % 50_000}" for _ in range(300))) for i in range(2500)]
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = {os.path.dirname(d.getPath()) for d in manager.localDirs()} | {new_path(spark, "x").rsplit("/siftline/", 1)[0].removeprefix("file://")}
+    most, over = [0], threading.Event()
+
+    def used():
+        total = 0
+        for folder in folders:
+            for at, _, names in os.walk(folder):
+                for name in names:
+                    with contextlib.suppress(OSError):  # removed meanwhile
+                        total += os.lstat(os.path.join(at, name)).st_size if "blockmgr" in at or "siftline" in at else 0
+        return total
+
+    def watch():
+        while not over.wait(0.05):
+            most.append(used())
+
+    df = make(docs).repartition(4).persist()
+    assert df.count() == 2500
+    before = used()
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        tokens = pitman_yor.score_texts(df).agg(F.sum("n_tokens")).first()[0]
+    finally:
+        over.set()
+        watcher.join()
+        df.unpersist()
+    assert tokens == 2500 * 301
+    assert max(most) - before < 25 * tokens, (max(most) - before) / tokens
+
+
 def test_seating_follows_the_restaurant():
     """Mean number of tables against the exact recursion for one word."""
     d, theta, customers = 0.6, 2.0, 40
