@@ -536,7 +536,7 @@ def test_disk_of_the_language_model_is_bounded(spark, make):
         watcher.join()
         df.unpersist()
     assert tokens == 2500 * 301
-    assert max(most) - before < 25 * tokens, (max(most) - before) / tokens
+    assert max(most) - before < 9 * tokens, (max(most) - before) / tokens
 
 
 def test_seating_follows_the_restaurant():
